@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import token_counts
+from spanloom.llm import gif, simhash, token_counts
 from spanloom.llm.common import table
 
 
@@ -22,8 +22,35 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=1024)
 
 
+def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of ``documents`` stored as a GIF, decoded again, with digests of both."""
+    stored = gif.encode_payloads(table(spark, sf_dir, "documents"))
+    read = gif.decode_media(stored, carry=("n_bytes",))
+    bins = F.aggregate("frames.histogram", F.array_repeat(F.lit(0).cast("long"), gif.LEVELS**3 + 1), lambda a, h: F.zip_with(a, h, lambda x, y: x + y))
+    grey = F.transform(F.sequence(F.lit(0), F.lit(gif.LEVELS - 1)), lambda v: F.element_at(bins, (v * (gif.LEVELS**2 + gif.LEVELS + 1) + 1).cast("int")))
+    shown = F.element_at("frames", -1)
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.length("samples").cast("long").alias("payload_bytes"),
+        F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(samples, -32, 32)")).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(";", F.concat(F.lit("frames="), F.size("frames")), F.concat(F.lit("ms="), shown.start_ms + shown.delay_ms), F.concat(F.lit("grey="), F.array_join(grey, ","))).alias("feature"),
+    )
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash classes of every whole text of ``documents``, linked at two bits or fewer."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op4_gif_media": op4_gif_media,
+    "op6_simhash": op6_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
