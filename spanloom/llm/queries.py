@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import gif, simhash, token_counts, topk
+from spanloom.llm import gif, language_crf, simhash, token_counts, topk
 from spanloom.llm.common import table
 
 
@@ -71,11 +71,28 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def held_out(key: str = "doc_id") -> Column:
+    """A third of the documents, by their ids' checksum, from which nothing is learned."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 3 == 1
+
+
+def language_model(docs: DataFrame) -> language_crf.Model:
+    return language_crf.train(language_crf.training_rows(docs.where(~held_out())))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text of ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    found = language_crf.identify(docs, language_model(docs), keep=["doc_id"])
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op2_token_counts": op2_token_counts,
     "op4_gif_media": op4_gif_media,
     "op6_simhash": op6_simhash,
+    "op8_language_id": op8_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
