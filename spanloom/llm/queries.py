@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import gif, language_crf, simhash, token_counts, topk
-from spanloom.llm.common import table
+from spanloom.llm import gif, language_crf, simhash, token_counts, topk, warc
+from spanloom.llm.common import scratch, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -65,6 +65,29 @@ def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``pages`` as a WARC record, written to archives and read back from them."""
+    folder = scratch(spark, "warc")
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), folder, revisit_bytes=1_000, most_bytes=64 << 20)
+    records = warc.read_archives(spark, manifest, folder, with_payload=False)
+    return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
+), d AS (
+  SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest FROM p
+), m AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM d
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
+FROM m
+"""
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash classes of every whole text of ``documents``, linked at two bits or fewer."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3)
@@ -91,10 +114,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op2_token_counts": op2_token_counts,
     "op4_gif_media": op4_gif_media,
+    "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
     "op8_language_id": op8_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_topk_search": OP1_SQL,
+    "op5_warc": OP5_SQL,
 }
