@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import gif, language_crf, simhash, token_counts, topk, warc
+from spanloom.llm import gif, language_crf, segmentations, simhash, token_counts, topk, warc
 from spanloom.llm.common import scratch, table
 
 
@@ -94,6 +94,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two best sampled segmentations of every whole text of ``documents``, decoded and compared."""
+    found = segmentations.sample_segmentations(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), k=2)
+    score = lambda c: F.round(c, 6).alias(c)
+    return found.select("doc_id", "rank", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), score("log_prob"), score("perturbed"), score("log_inclusion"), "round_trip")
+
+
 def held_out(key: str = "doc_id") -> Column:
     """A third of the documents, by their ids' checksum, from which nothing is learned."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 3 == 1
@@ -116,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_gif_media": op4_gif_media,
     "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
+    "op7_segmentations": op7_segmentations,
     "op8_language_id": op8_language_id,
 }
 
