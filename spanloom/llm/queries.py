@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import gif, language_crf, segmentations, simhash, token_counts, topk, warc
-from spanloom.llm.common import scratch, table
+from spanloom.llm import gif, language_crf, mixing, perspectives, segmentations, simhash, token_counts, topk, url_lists, warc
+from spanloom.llm.common import scratch, table, written
 
 
 def tokenizer_file(name: str) -> str:
@@ -46,6 +46,81 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=1024)
 
 
+LEVELS = ["domain", "language", "origin"]
+#: The production mix: half of all tokens, German and Spanish raised, the first domain doubled.
+MIX = mixing.Mix(weights={"domain": {"d0": 2, "d1": 1, "d2": 1, "d3": 1}, "language": {"en": 4, "de": 3, "es": 3, "fr": 2}}, share=0.5, max_epochs=2, seed=1)
+
+
+def with_levels(docs: DataFrame) -> DataFrame:
+    """Domain (a group of sources), language and source of each document as the tree's levels."""
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]{1,9})$", 1)
+    domain = F.when(number == "", "other").otherwise(F.concat(F.lit("d"), (number.cast("long") % 4).cast("string")))
+    return docs.withColumns({"domain": domain, "language": F.coalesce("lang", F.lit("")), "origin": F.coalesce("source", F.lit(""))})
+
+
+def mixed(docs: DataFrame, mix: mixing.Mix, has_token: Column) -> DataFrame:
+    """``docs`` with the tree's levels and how often the mix draws each document."""
+    leveled = with_levels(docs)
+    slim = written(leveled.select("doc_id", *LEVELS, mixing.word_count(F.col("text")).alias("n_tokens")), "mix-tokens")
+    return mixing.copies(leveled, mixing.plan(slim, LEVELS, mix), LEVELS, mix, has_token)
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the production mix draws each of ``documents``."""
+    docs = with_levels(table(spark, sf_dir, "documents"))
+    slim = written(docs.select("doc_id", *LEVELS, mixing.word_count(F.col("text")).alias("n_tokens")), "mix-tokens")
+    drawn = mixing.copies(slim, mixing.plan(slim, LEVELS, MIX), LEVELS, MIX, F.col("n_tokens") > 0)
+    return drawn.select("doc_id", *LEVELS, "n_tokens", "copies")
+
+
+def _level_sql(parent: list[str], child: str) -> str:
+    """One level of the budget, from the table above_<n> to the next."""
+    path = ", ".join([*parent, child])
+    over = f"PARTITION BY {', '.join([*parent, '0'])}"
+    weights = MIX.weights.get(child, {})
+    weight = f"CASE {child} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items()) + " ELSE 1 END" if weights else "1"
+    n = len(parent)
+    return f"""
+nodes_{n} AS (
+  SELECT {path}, CAST(sum(supply) AS BIGINT) AS supply, CAST({weight} AS BIGINT) AS weight FROM leaves GROUP BY {path}
+), level_{n} AS (
+  SELECT {", ".join(f"s.{c}" for c in [*parent, child])}, s.supply, s.weight,
+         CAST(a.budget - sum(s.supply) OVER o + s.supply AS DOUBLE) / CAST(sum(s.weight) OVER ({over.replace(" BY ", " BY ").replace(", ".join(parent), ", ".join(f"s.{c}" for c in parent)) if parent else over}) - sum(s.weight) OVER o + s.weight AS DOUBLE) AS level
+  FROM nodes_{n} s JOIN above_{n} a {"USING (" + ", ".join(parent) + ")" if parent else "ON true"}
+  WHERE s.weight > 0
+  WINDOW o AS (PARTITION BY {", ".join([*(f"s.{c}" for c in parent), "0"])} ORDER BY CAST(s.supply AS DOUBLE) / s.weight, s.{child} ROWS UNBOUNDED PRECEDING)
+), above_{n + 1} AS (
+  SELECT {path}, least(supply, CAST(floor(max(level) OVER ({over}) * weight) AS BIGINT)) AS budget FROM level_{n}
+)"""
+
+
+OP3_SQL = f"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS language, coalesce(source, '') AS origin,
+         CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) = '' THEN 'other'
+              ELSE 'd' || CAST(CAST(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS BIGINT) % 4 AS VARCHAR) END AS domain,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '{mixing.WORDS}')) AS BIGINT) AS n_tokens
+  FROM documents
+), leaves AS (
+  SELECT domain, language, origin, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) * {MIX.max_epochs} AS BIGINT) AS supply
+  FROM docs GROUP BY ALL HAVING sum(n_tokens) > 0
+), above_0 AS (
+  SELECT CAST(floor(sum(tokens) * CAST({MIX.share} AS DOUBLE)) AS BIGINT) AS budget FROM leaves
+), {",".join(_level_sql(LEVELS[:d], LEVELS[d]) for d in range(3))}, shares AS (
+  SELECT l.domain, l.language, l.origin, a.budget // l.tokens AS epochs, a.budget % l.tokens AS rest
+  FROM leaves l JOIN above_3 a USING (domain, language, origin)
+), placed AS (
+  SELECT d.*, s.epochs, s.rest, CAST('0x' || substr(md5('{MIX.seed}:' || CAST(s.epochs AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, {mixing.DIGITS}) AS BIGINT) AS place
+  FROM docs d LEFT JOIN shares s USING (domain, language, origin)
+), summed AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY domain, language, origin ORDER BY place RANGE UNBOUNDED PRECEDING) AS upto FROM placed
+)
+SELECT doc_id, domain, language, origin, n_tokens,
+       CAST(CASE WHEN n_tokens > 0 AND epochs IS NOT NULL THEN epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS copies
+FROM summed
+"""
+
+
 def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents`` stored as a GIF, decoded again, with digests of both."""
     stored = gif.encode_payloads(table(spark, sf_dir, "documents"))
@@ -101,6 +176,90 @@ def op7_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "rank", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), score("log_prob"), score("perturbed"), score("log_inclusion"), "round_trip")
 
 
+def op9_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of ``conversations`` as each participant's dialogue has it."""
+    turns = perspectives.render(table(spark, sf_dir, "conversations"))
+    return turns.select("conv_id", "perspective", "position", "turn", "speaker", F.md5("segment").alias("segment_md5"), "start", "stop", "mask_start", "mask_stop")
+
+
+OP9_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), people AS (
+  SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE speaker <> 'system'
+), rendered AS (
+  SELECT t.conv_id, perspective, turn, speaker, text,
+         CASE WHEN speaker = 'system' THEN '<|im_start|>system' || chr(10) WHEN speaker = perspective THEN '<|im_start|>assistant' || chr(10)
+              ELSE '<|im_start|>user name=' || speaker || chr(10) END AS head
+  FROM turns t JOIN people p USING (conv_id)
+), segments AS (
+  SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM rendered
+), placed AS (
+  SELECT *, row_number() OVER w - 1 AS position, CAST(sum(length(segment)) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop
+  FROM segments WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text)
+)
+SELECT conv_id, perspective, position, turn, speaker, md5(segment) AS segment_md5, stop - length(segment) AS start, stop,
+       CASE WHEN speaker = perspective THEN length(head) END AS mask_start, CASE WHEN speaker = perspective THEN length(segment) END AS mask_stop
+FROM placed
+"""
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """A dated block list made up from the hosts of ``pages``: some hosts, their domains and folders
+    come and go on days that follow from their names."""
+    hosts = pages.select(url_lists.host_of(F.col("url")).alias("host")).where("host <> ''").distinct()
+    names = hosts.select(F.explode(F.array("host", F.concat("host", F.lit("/en/")), F.regexp_replace("host", r"^[^.]*\.", ""))).alias("pattern")).distinct()
+    drawn = names.withColumn("n", F.conv(F.substring(F.md5(F.col("pattern").cast("binary")), 1, 8), 16, 10).cast("long")).where("n % 3 <> 0")
+    steps = F.array(*(F.struct(F.lit(k).cast("long").alias("k"), F.lit(a).alias("action")) for k, a in enumerate(("add", "remove", "add", "remove"))))
+    turns = drawn.select("pattern", "n", F.inline(steps))
+    day = (F.col("n") % 120 + F.col("k") * (20 + F.col("n") % 50)).cast("int")
+    return turns.select((F.col("n") * 4 + F.col("k")).alias("entry_id"), F.lit("block").alias("list"), "pattern", "action", F.date_add(F.lit("2024-01-01").cast("date"), day).alias("dated"))
+
+
+def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the list as of each capture of ``pages`` blocks it; a page's id gives its fetch day."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(365)).cast("int"))
+    return url_lists.evaluate(pages.withColumn("fetched", fetched), url_lists.intervals(list_entries(pages)))
+
+
+OP10_SQL = r"""
+WITH captures AS (
+  SELECT DISTINCT page_id, url, CAST(DATE '2024-01-01' + CAST(((page_id % 365) + 365) % 365 AS INTEGER) AS DATE) AS fetched FROM pages
+), hosts AS (
+  SELECT DISTINCT lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '')) AS host FROM pages
+), names AS (
+  SELECT DISTINCT unnest([host, host || '/en/', regexp_replace(host, '^[^.]*\.', '')]) AS pattern FROM hosts WHERE host <> ''
+), drawn AS (
+  SELECT pattern, CAST('0x' || substr(md5(pattern), 1, 8) AS BIGINT) AS n FROM names
+), entries AS (
+  SELECT pattern, n * 4 + k AS entry_id, CASE WHEN k % 2 = 0 THEN 'add' ELSE 'remove' END AS action,
+         CAST(DATE '2024-01-01' + CAST(n % 120 + k * (20 + n % 50) AS INTEGER) AS DATE) AS dated
+  FROM drawn, (SELECT unnest([0, 1, 2, 3]) AS k) WHERE n % 3 <> 0
+), ruled AS (
+  SELECT *, lead(dated) OVER (PARTITION BY pattern ORDER BY dated, entry_id) AS valid_to FROM entries
+), listed AS (
+  SELECT pattern, dated AS valid_from, valid_to FROM ruled WHERE action = 'add' AND (valid_to IS NULL OR valid_to > dated)
+), parts AS (
+  SELECT *, lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '')) AS host,
+         string_split(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), ''), '/') AS steps
+  FROM captures
+), asked AS (
+  SELECT DISTINCT page_id, url, fetched, unnest(list_concat(
+    [array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.') FOR i IN range(1, len(string_split(host, '.')) + 1)],
+    [host || array_to_string(list_slice(steps, 1, i), '/') || '/' FOR i IN range(2, len(steps))])) AS pattern
+  FROM parts WHERE host <> ''
+), met AS (
+  SELECT page_id, url, fetched, 'block:' || pattern AS found FROM asked JOIN listed USING (pattern)
+  WHERE fetched >= valid_from AND (valid_to IS NULL OR fetched < valid_to)
+)
+SELECT c.page_id, c.url, c.fetched, count(found) > 0 AS blocked, count(found) AS matches,
+       coalesce(string_agg(found, ',' ORDER BY found), '') AS patterns
+FROM captures c LEFT JOIN met m ON m.page_id IS NOT DISTINCT FROM c.page_id AND m.url IS NOT DISTINCT FROM c.url AND m.fetched IS NOT DISTINCT FROM c.fetched
+GROUP BY ALL
+"""
+
+
 def held_out(key: str = "doc_id") -> Column:
     """A third of the documents, by their ids' checksum, from which nothing is learned."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 3 == 1
@@ -120,14 +279,20 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op2_token_counts": op2_token_counts,
+    "op3_mixing": op3_mixing,
     "op4_gif_media": op4_gif_media,
     "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
     "op7_segmentations": op7_segmentations,
     "op8_language_id": op8_language_id,
+    "op9_perspectives": op9_perspectives,
+    "op10_url_lists": op10_url_lists,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_topk_search": OP1_SQL,
+    "op3_mixing": OP3_SQL,
     "op5_warc": OP5_SQL,
+    "op9_perspectives": OP9_SQL,
+    "op10_url_lists": OP10_SQL,
 }
