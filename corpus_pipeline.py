@@ -16,8 +16,8 @@ from spanloom.llm.queries import MIX, language_model, mixed, tokenizer_file
 
 #: Mean label probability below which a document's language is not settled.
 SETTLED = 0.4
-#: Words of a shingle in the pipeline's near-dedup.
-SHINGLE_WORDS = 5
+#: Words of a shingle, as in op6: both link fingerprints of three-word shingles at two bits.
+SHINGLE_WORDS = 3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
