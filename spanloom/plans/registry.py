@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "fan_in"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from spanloom.plans import core
+
+FLAGSHIP = "analyze_impact"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**core.QUERIES}
+ORACLE_SQL: dict[str, str] = {**core.ORACLE_SQL}
