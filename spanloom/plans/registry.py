@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.plans import core
+from spanloom.plans import core, texts
 
 FLAGSHIP = "analyze_impact"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**core.QUERIES}
-ORACLE_SQL: dict[str, str] = {**core.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**core.QUERIES, **texts.QUERIES}
+ORACLE_SQL: dict[str, str] = {**core.ORACLE_SQL, **texts.ORACLE_SQL}
