@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import paths
@@ -39,7 +39,8 @@ def over_graph(name: str, sql: str | None = None) -> Callable:
     return add
 
 
-TEST_SYMBOL = F.col("name").startswith("test_")
+def test_symbol() -> Column:
+    return F.col("name").startswith("test_")
 
 
 @over_graph("alive_filter", "SELECT file_id, path, language FROM f")
@@ -290,7 +291,7 @@ CHANGED = f", {HUNKS}, ch AS (SELECT id, CASE WHEN bool_or(start_line >= hunk_st
 
 @over_graph("test_coverage", CHANGED + " SELECT id, coalesce(tests, 0) AS tests, tests IS NOT NULL AS covered FROM ch LEFT JOIN tc USING (id)")
 def _(g: Snapshot) -> DataFrame:
-    return analytics.test_coverage(resolve.overlapping(_hunks(g), g.s), g.s, g.e, TEST_SYMBOL)
+    return analytics.test_coverage(resolve.overlapping(_hunks(g), g.s), g.s, g.e, test_symbol())
 
 
 @over_graph(
@@ -305,7 +306,7 @@ SELECT id, concat_ws(',', CASE WHEN r1 THEN 'many callers' END, CASE WHEN r2 THE
 def _(g: Snapshot) -> DataFrame:
     changed = resolve.overlapping(_hunks(g), g.s).select("id", "change")
     callers = g.e.where("kind = 'CALLS' and target is not null").groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("callers"))
-    tests = analytics.test_coverage(changed, g.s, g.e, TEST_SYMBOL).select("id", "tests")
+    tests = analytics.test_coverage(changed, g.s, g.e, test_symbol()).select("id", "tests")
     facts = changed.join(g.s.select("id", "kind"), "id").join(callers, "id", "left").join(tests, "id").join(g.m.select(F.col("symbol_id").alias("id"), "complexity"), "id", "left")
     return analytics.risk(facts.fillna(0, ["callers", "complexity"]))
 
@@ -318,11 +319,9 @@ def changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sha"), F.col("l_partkey").alias("file")).join(orders, "sha").select("sha", "ts", "file"), orders
 
 
-NOW = F.lit("2001-08-01").cast("date")
-
-
 def mined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cochange.mine_pairs(changes(spark, sf_dir)[0], NOW)
+    """Pairs as of the last day of the orders."""
+    return cochange.mine_pairs(changes(spark, sf_dir)[0], F.lit("2001-08-01").cast("date"))
 
 
 MINED = """WITH d AS (
@@ -434,7 +433,7 @@ def analyze_impact(g: Snapshot) -> DataFrame:
     """Direct, test and co-change layers of a change of three parts, fused."""
     seeds = g.s.where("id in (1000001, 1000002, 1000005)").select("id")
     reached = impact.direct(seeds, g.e, 2)
-    tests = impact.tests(seeds, g.s, g.e, TEST_SYMBOL)
+    tests = impact.tests(seeds, g.s, g.e, test_symbol())
     files = g.f.select("file_id")
     pairs = files.select(F.col("file_id").alias("file_a"), (F.col("file_id") + 1).alias("file_b")).join(files.withColumnRenamed("file_id", "file_b"), "file_b", "left_semi").select("file_a", "file_b", F.lit(4.0).alias("together"), F.round(F.lit(0.01) * (F.col("file_a") % 50), 6).alias("confidence"))
     return impact.fuse(reached, tests, impact.historical(seeds, g.s, pairs), g.s)
