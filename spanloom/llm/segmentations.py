@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import chunks
 
 BLANK = "▁"
-_units = re.compile(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+").findall
+#: What no piece reaches beyond: blanks and letters, blanks and other signs, a line end.
+_units = re.compile(rf"\n|{BLANK}*[^\W\d_¹²³]+|{BLANK}*(?:[^\w{BLANK}\n]|[\d_¹²³])+|{BLANK}+").findall
 _odd = np.uint64(0x9E3779B97F4A7C15)
 _odd_inverse = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -64,8 +65,8 @@ class Pieces:
         n = sp.get_piece_size()
         names = [sp.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
-        if any(re.search(f"[^{BLANK}]{BLANK}", names[i]) or len(names[i]) > 1 and "\n" in names[i] for i in plain):
-            raise ValueError("a piece crosses the start of a word or line")
+        if any(_units(names[i]) != [names[i]] for i in plain):
+            raise ValueError("a piece reaches beyond a unit of the text")
         self.byte = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
         if any(not sp.is_byte(int(i)) for i in self.byte):
             raise ValueError("byte fallback is needed")
@@ -110,69 +111,99 @@ class Lattice:
     """Arcs of distinct words. Nodes of all words are numbered on; arcs are sorted by their start."""
 
     def __init__(self, words: list[str], pieces: Pieces):
-        sizes = np.array([len(w) for w in words], np.int64)
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
-        self.base = np.cumsum(sizes + 1) - sizes - 1
-        self.stop = self.base + sizes
-        node = np.arange(len(codes)) + np.repeat(np.arange(len(words)), sizes)  # where the character starts
-        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # characters up to the word's end
+        sizes = np.fromiter(map(len, words), np.int32, len(words))
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        ends = np.cumsum(sizes, dtype=np.int32)
+        self.stop = ends + np.arange(len(words), dtype=np.int32)
+        self.base = self.stop - sizes
+        node = np.arange(len(codes), dtype=np.int32) + np.repeat(np.arange(len(words), dtype=np.int32), sizes)  # where the character starts
+        left = np.repeat(ends, sizes) - np.arange(len(codes), dtype=np.int32)  # characters up to the word's end
         widest = max(pieces.by_length, default=1)
         fits = np.full((len(codes), widest), -1, np.int32)  # the piece of each length at each character
         fits[:, 0] = pieces.single[codes]
         with np.errstate(over="ignore"):
             power = np.cumprod(np.full(len(codes), _odd))
             back = np.cumprod(np.full(len(codes), _odd_inverse))
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes + 1).astype(np.uint64) * power, dtype=np.uint64)])
+            sums = np.zeros(len(codes) + 1, np.uint64)
+            np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
+            at = np.arange(len(codes), dtype=np.int32)
             for length, (hashes, found, likely) in pieces.by_length.items():
-                at = np.flatnonzero(left >= length)
-                key = (sums[at + length] - sums[at]) * back[at]
-                maybe = likely[key >> np.uint64(48)]
-                at, key = at[maybe], key[maybe]
+                at = at[left[at] >= length]
+                key = sums[at + length]
+                key -= sums[at]
+                key *= back[at]
+                maybe = np.flatnonzero(likely[key >> np.uint64(48)])
+                key = key[maybe]
                 k = np.searchsorted(hashes, key)
                 hit = hashes[k] == key
-                fits[at[hit], length - 1] = found[k[hit]]
+                fits[at[maybe[hit]], length - 1] = found[k[hit]]
         lost = np.flatnonzero(fits[:, 0] < 0)  # characters without a piece: their bytes
         raw = [chr(c).encode() for c in codes[lost].tolist()]
         fits[lost, 0] = pieces.count + np.arange(len(lost))
         width = np.concatenate([np.ones(pieces.count, np.int64), np.array([len(b) for b in raw], np.int64)])
         self.pool = np.concatenate([np.arange(pieces.count), pieces.byte[np.frombuffer(b"".join(raw), np.uint8)]])
         score = np.concatenate([pieces.score, pieces.least * width[pieces.count :]])
-        flat = np.flatnonzero(fits.ravel() >= 0)
-        at, piece = flat // widest, fits.ravel()[flat]
-        self.begin = node[at]
-        self.end = self.begin + flat % widest + 1
-        score = score[piece]
-        first = np.flatnonzero(np.diff(at, prepend=-1))  # every character has an arc, so one for each
-        many = np.diff(np.append(first, len(at)))
+
+        there = fits >= 0
+        many = there.sum(axis=1, dtype=np.int32)  # at least the character's own arc
+        flat = np.flatnonzero(there.ravel()).astype(np.int32)
+        piece = fits.ravel()[flat]
+        self.begin = np.repeat(node, many)
+        flat %= widest
+        flat += 1
+        self.end = self.begin + flat
+        gain = score[piece]
 
         mass = np.zeros(len(codes) + len(words))
         longest = int(sizes.max(initial=0))
-        distance = left.astype(np.int16 if longest < 1 << 15 else np.int64)
+        distance = left.astype(np.int16 if longest < 1 << 15 else np.int32)
         by_distance = np.argsort(distance, kind="stable")
         order = np.argsort(np.repeat(distance, many), kind="stable")
-        near_score, near_end, near_count, near_node = score[order], self.end[order], many[by_distance], node[by_distance]
-        near_first = np.append(0, np.cumsum(near_count))
-        bounds = np.searchsorted(distance[by_distance], np.arange(1, longest + 2))
+        near_gain, near_end, near_many, near_node = gain[order], self.end[order], many[by_distance], node[by_distance]
+        near_first = np.append(0, np.cumsum(near_many))
+        bounds = np.append(0, np.cumsum(np.bincount(left, minlength=longest + 1)[1:]))
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             lo, hi = near_first[a], near_first[b]
-            value = near_score[lo:hi] + mass[near_end[lo:hi]]
+            value = near_gain[lo:hi]
+            value += mass[near_end[lo:hi]]
             starts = near_first[a:b] - lo
             top = np.maximum.reduceat(value, starts)
-            mass[near_node[a:b]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, near_count[a:b])), starts))
-        self.log_p = np.minimum(score + mass[self.end] - mass[self.begin], 0.0)
+            value -= np.repeat(top, near_many[a:b])
+            np.exp(value, out=value)
+            mass[near_node[a:b]] = top + np.log(np.add.reduceat(value, starts))
+        self.log_p = gain
+        self.log_p += mass[self.end]
+        self.log_p -= np.repeat(mass[node], many)
+        np.minimum(self.log_p, 0, out=self.log_p)
         self.p = np.exp(self.log_p)
-        self.width = width[piece]
-        self.piece = (np.cumsum(width) - width)[piece]
-        low = np.cumsum(self.p) - self.p
-        self.bound = self.begin + np.clip(low - np.repeat(low[first], many), 0, 1 - 1e-9)
-        self.bound[first] = self.begin[first]
+        self.plain = bool((width == 1).all())
+        self.width = None if self.plain else width[piece]
+        self.piece = piece if self.plain else (np.cumsum(width) - width)[piece]
+        self.first_of = np.append(0, np.cumsum(np.bincount(self.begin, minlength=len(mass))))
+        first = np.cumsum(many) - many
+        low = np.cumsum(self.p)
+        low -= self.p
+        low -= np.repeat(low[first], many)
+        np.minimum(low, 1 - 1e-9, out=low)
+        low[first] = 0
+        low += self.begin
+        self.bound = low
+
+    def ids(self, arcs: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of paths that lie end to end, and the bounds of each path's ids."""
+        if self.plain:
+            return self.pool[self.piece[arcs]], np.append(0, stops)
+        widths = self.width[arcs]
+        upto = np.cumsum(widths)
+        at = np.repeat(self.piece[arcs] - upto + widths, widths) + np.arange(int(upto[-1]))
+        return self.pool[at], np.append(0, upto[stops - 1])
 
     def arcs(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bound, node + np.minimum(u, 1 - 1e-9), side="right") - 1
 
     def other(self, node: int, excluded: set[int], u: float) -> int:
         """An arc of the node besides the excluded ones, in proportion to its probability."""
-        a, b = np.searchsorted(self.begin, [node, node + 1])
+        a, b = self.first_of[node : node + 2]
         rest = [e for e in range(int(a), int(b)) if e not in excluded]
         odds = self.p[rest]
         return rest[min(int(np.searchsorted(np.cumsum(odds), u * odds.sum(), side="right")), len(rest) - 1)]
@@ -180,7 +211,7 @@ class Lattice:
     def left_out(self, excluded: set[int]) -> float:
         """Log of the probability of the node's arcs that are not excluded."""
         node = self.begin[next(iter(excluded))]
-        a, b = np.searchsorted(self.begin, [node, node + 1])
+        a, b = self.first_of[node : node + 2]
         odds = sum(float(self.p[e]) for e in range(int(a), int(b)) if e not in excluded)
         return float(np.log(odds)) if odds > 0 else -np.inf
 
@@ -265,26 +296,39 @@ class Sampler:
             arcs, steps = lattice.paths(start, stop[which], at, seeds)
             per_text = np.add.reduceat(steps, first) if len(first) else steps
             upto = np.cumsum(per_text)
-            # 2: emit each path and cut its region
-            for i, (t, prefix, w, excluded) in enumerate(todo):
-                own = np.concatenate([prefix, arcs[upto[i] - per_text[i] : upto[i]]])
-                logs = lattice.log_p[own]
-                before = np.cumsum(logs) - logs
-                out[t].append({"arcs": own, "log_prob": float(before[-1] + logs[-1]), "perturbed": tops[t]})
-                from_ = max(0, len(prefix) - 1)
-                with np.errstate(divide="ignore"):
-                    rest = before[from_:] + np.log1p(-np.minimum(lattice.p[own[from_:]], 1.0))
+            # 2: emit the paths, and the regions that are left of each
+            own = [np.concatenate([prefix, arcs[upto[i] - per_text[i] : upto[i]]]) if len(prefix) else arcs[upto[i] - per_text[i] : upto[i]] for i, (_, prefix, *_) in enumerate(todo)]
+            count_ = np.array([len(o) for o in own], np.int64)
+            stops = np.cumsum(count_)
+            begins = stops - count_
+            flat = np.concatenate(own)
+            logs = lattice.log_p[flat]
+            total = np.cumsum(logs)
+            before = total - logs - np.repeat(total[begins] - logs[begins], count_)
+            step_ = np.arange(len(flat)) - np.repeat(begins, count_)
+            top = np.array([tops[t] for t, *_ in todo])
+            with np.errstate(divide="ignore"):
+                rest = before + np.log1p(-lattice.p[flat])
+            froms = np.array([max(0, len(prefix) - 1) for _, prefix, *_ in todo], np.int64)
+            for i, (*_, excluded) in enumerate(todo):
                 if excluded:
-                    rest[0] = before[from_] + lattice.left_out(excluded | {int(own[from_])})
-                spread = -np.log(uniforms(np.full(len(rest), _seed(keys[t], self.seed, 100 + sample), np.uint64), np.arange(from_, len(own))))
-                with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
-                    value = np.where(np.isfinite(rest), rest - np.log(np.exp(rest - tops[t]) + spread), -np.inf)
-                keep = min(self.k - sample, len(value))
-                for j in np.argpartition(-value, keep - 1)[:keep].tolist():
-                    if value[j] > -np.inf:
+                    at_ = begins[i] + froms[i]
+                    rest[at_] = before[at_] + lattice.left_out(excluded | {int(flat[at_])})
+            spread = -np.log(uniforms(np.repeat(np.array([_seed(keys[t], self.seed, 100 + sample) for t, *_ in todo], np.uint64), count_), step_))
+            with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+                value = np.where(np.isfinite(rest), rest - np.log(np.exp(rest - np.repeat(top, count_)) + spread), -np.inf)
+            sums = (before[stops - 1] + logs[stops - 1]).tolist()
+            ids, id_stops = lattice.ids(flat, stops)
+            for i, (t, _, _, excluded) in enumerate(todo):
+                a, b, from_ = int(begins[i]), int(stops[i]), int(froms[i])
+                out[t].append({"arcs": own[i], "ids": ids[id_stops[i] : id_stops[i + 1]], "log_prob": sums[i], "perturbed": tops[t]})
+                open_ = value[a + from_ : b]
+                keep = min(self.k - sample, len(open_))
+                for j in np.argpartition(open_, len(open_) - keep)[len(open_) - keep :].tolist():
+                    if open_[j] > -np.inf:
                         step = from_ + j
-                        cut = (excluded if j == 0 else set()) | {int(own[step])}
-                        heapq.heappush(heaps[t], (-float(value[j]), sample, step, cut))
+                        cut = (excluded if j == 0 else set()) | {int(own[i][step])}
+                        heapq.heappush(heaps[t], (-float(open_[j]), sample, step, cut))
             if sample + 1 == self.k:
                 break
             # 3: the best region of each text; its path so far and another arc at its node
@@ -308,11 +352,7 @@ class Sampler:
         for t, found in enumerate(out):
             kappa = -heaps[t][0][0] if heaps[t] else -np.inf
             for s in found:
-                arcs = s.pop("arcs", None)
-                if arcs is not None:
-                    widths = lattice.width[arcs]
-                    at = np.repeat(lattice.piece[arcs] - (np.cumsum(widths) - widths), widths) + np.arange(int(widths.sum()))
-                    s["ids"] = lattice.pool[at]
+                if s.pop("arcs", None) is not None:
                     s["log_inclusion"] = log_inclusion(s["log_prob"] - kappa)
         return out
 
