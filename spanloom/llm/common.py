@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Upper bound of the bytes of one Arrow batch sent to a Python worker.
-ARROW_BATCH_BYTES = 16 << 20
+ARROW_BATCH_BYTES = 8 << 20
 #: Upper bound of the text bytes that an operator unfolds into Python objects at a time.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _own_dirs: dict[str, str] = {}
 
@@ -70,6 +71,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Gives freed memory back to the system: workers outlive tasks, and an executor's share is small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def chunks(batch: pa.RecordBatch, column: str | int, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose ``column`` holds about ``most`` bytes each, one row at least."""
     values = batch.column(column)
@@ -82,3 +92,4 @@ def chunks(batch: pa.RecordBatch, column: str | int, most: int = CHUNK_BYTES) ->
             start, size = i + 1, 0
     if start < batch.num_rows:
         yield batch.slice(start)
+    release()

@@ -36,7 +36,7 @@ from spanloom.llm.common import chunks
 UNKNOWN = "und"
 #: Words of a block, and words whose emissions a worker keeps.
 BLOCK = 32
-CACHE = 400_000
+CACHE = 150_000
 _words = re.compile(r"[^\W\d_]+").findall
 _places = re.compile(r"[^\W\d_]+").finditer
 
@@ -256,6 +256,17 @@ def training_rows(df: DataFrame, key: str = "doc_id", text: str = "text", lang:
     return sorted((r.text, r.lang) for r in usable.select("text", "lang").collect())
 
 
+_latest: list[Model] = []
+
+
+def current(model: Model) -> Model:
+    """The model; emissions that a worker has kept for an earlier one go."""
+    if _latest and _latest[0] is not model:
+        _latest[0].known, _latest[0].rows = {}, None
+    _latest[:] = [model]
+    return model
+
+
 def _judge(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
     words = [_words(t.lower()) if t and has_letter(t) else [] for t in texts]
     if not model.labels:
@@ -295,7 +306,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: list[str] |
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shipped.value
+        own = current(shipped.value)
         for batch in batches:
             for part in chunks(batch, 0):
                 texts = part.column(0).to_pylist()
