@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import language_crf, segmentations, simhash
+from spanloom.llm import jaccard, language_crf, segmentations
 from spanloom.llm.common import bounded_batches, table, written
 from spanloom.llm.queries import MIX, language_model, mixed, tokenizer_file
 
 #: Mean label probability below which a document's language is not settled.
 SETTLED = 0.4
-#: Words of a shingle, as in op6: both link fingerprints of three-word shingles at two bits.
+#: Words of a fingerprint's shingle, as in op6. Five-word shingles are compared besides (``jaccard``).
 SHINGLE_WORDS = 3
 
 
@@ -28,9 +28,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each SimHash component."""
+    """Keeps the document with the smallest id of each component of op6's links and of five-word Jaccard links."""
     bounded_batches(spark)
-    found = simhash.near_duplicates(docs, width=SHINGLE_WORDS)
+    found = jaccard.near_duplicates(docs, width=SHINGLE_WORDS)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi")
 

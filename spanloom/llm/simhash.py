@@ -36,21 +36,23 @@ DISTANCE = 2
 SEGMENT = 32
 
 
-def fingerprint(words: list[bytes], width: int) -> int:
-    """SimHash of the ``width``-word shingles: bit b is set if over half their hashes have it."""
+def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """Hashes of the ``width``-word shingles of one word or more; fewer words than that are one shingle."""
     from itertools import repeat
 
     from xxhash import xxh64_intdigest
 
-    if not words:
-        return 0
     text = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - width + 1)
     shingles = [text[s:e] for s, e in zip(starts[:n].tolist(), ends[min(width, len(words)) - 1 :].tolist(), strict=True)]
-    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(42)), np.uint64, n)
-    return majority(hashes)
+    return np.fromiter(map(xxh64_intdigest, shingles, repeat(42)), np.uint64, n)
+
+
+def fingerprint(words: list[bytes], width: int) -> int:
+    """SimHash of the ``width``-word shingles: bit b is set if over half their hashes have it."""
+    return majority(shingle_hashes(words, width)) if words else 0
 
 
 def majority(hashes: np.ndarray) -> int:

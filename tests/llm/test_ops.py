@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import common, gif, language_crf, mixing, perspectives, queries, segmentations, simhash, token_counts, topk, url_lists, warc
+from spanloom.llm import common, gif, jaccard, language_crf, mixing, perspectives, queries, segmentations, simhash, token_counts, topk, url_lists, warc
 from tests.oracle import DATA, agree
 
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
@@ -378,6 +378,46 @@ def test_url_lists_stay_in_the_engine(spark) -> None:
 
 # the pipeline
 
+def five_word_classes(texts) -> list[int]:
+    """For each text the first text of its class: links of op6 and five-word Jaccard links, all pairs."""
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    prints = [slow_fingerprint(t) for t in texts]
+    root = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        either = sets[a] | sets[b]
+        if (prints[a] ^ prints[b]).bit_count() <= 2 or either and 5 * len(sets[a] & sets[b]) >= 4 * len(either):
+            x, y = sorted((root[a], root[b]))
+            root = [x if r == y else r for r in root]
+    return root
+
+
+def test_five_word_classes_by_brute_force(spark) -> None:
+    r = random.Random(5)
+    texts = [None, "", "one two", "ONE  two", "one two three four five"]
+    for size in (8, 40, 120, 300):
+        for _ in range(4):
+            base = [f"v{r.randrange(5000)}" for _ in range(size)]
+            for changes in (0, 1, 1, 2, 3, 4, 6):
+                copy = list(base)
+                for _ in range(changes):
+                    copy[r.randrange(size)] = f"n{r.randrange(10**6)}"
+                texts.append(" ".join(copy))
+    want = five_word_classes(texts)
+    got = sorted(jaccard.near_duplicates(docs(spark, *texts, first=3)).collect())
+    assert [row.component_id - 3 for row in got] == want
+    assert jaccard.near_duplicates(docs(spark).where("false")).count() == 0
+
+
+def test_the_near_dedup_stage_links_what_simhash_does_not(spark) -> None:
+    import corpus_pipeline
+
+    words = [f"word{i}" for i in range(100)]
+    texts = [" ".join(words), " ".join([*words[:50], "other", *words[51:]]), " ".join(reversed(words))]
+    assert (slow_fingerprint(texts[0]) ^ slow_fingerprint(texts[1])).bit_count() > 2
+    assert {d.doc_id for d in corpus_pipeline.near_dedup(spark, docs(spark, *texts), "").collect()} == {0, 2}
+
+
 @needs_data
 def test_the_pipeline_keeps_what_it_should(spark) -> None:
     import corpus_pipeline
