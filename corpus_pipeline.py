@@ -7,7 +7,7 @@ columns of documents. ``run`` applies them to ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm import jaccard, language_crf, segmentations
@@ -28,11 +28,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component of op6's links and of five-word Jaccard links."""
+    """Keeps one row of each component of op6's links and of five-word Jaccard links.
+
+    It is the row of the smallest id. A null id is one as others are but comes last: it is kept where a
+    component has no other. Of rows that share id and text, the first by their other columns is kept.
+    """
     bounded_batches(spark)
     found = jaccard.near_duplicates(docs, width=SHINGLE_WORDS)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "text_id")).alias("row"))
+    plain = (F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("\0id"), F.col("doc_id").isNull().alias("\0none"))  # equal where ids are, nulls too
+    keys = ["\0text", "\0id", "\0none"]
+    kept = first.select("row.*").select(F.col("text_id").alias("\0text"), *plain)
+    rows = docs.select("*", jaccard.text_id(F.col("text")).alias("\0text"), *plain).join(kept, keys, "left_semi")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*docs.columns))
+    return rows.withColumn("\0place", place).where(F.col("\0place") == 1).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

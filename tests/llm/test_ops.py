@@ -418,6 +418,17 @@ def test_the_near_dedup_stage_links_what_simhash_does_not(spark) -> None:
     assert {d.doc_id for d in corpus_pipeline.near_dedup(spark, docs(spark, *texts), "").collect()} == {0, 2}
 
 
+def test_the_near_dedup_stage_keeps_one_row_of_each_class(spark) -> None:
+    import corpus_pipeline
+
+    text = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    given = [(None, "a", 1), (None, "a", 2), (None, "b", 1), (4, "b", 1), (5, "c", 2), (5, "c", 1), (5, "d", 1), (6, "c", 1), (None, "e", 1)]
+    table = spark.createDataFrame([(i, text(c), n) for i, c, n in given], "doc_id long, text string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, table, "")
+    assert got.columns == table.columns
+    assert {(r.doc_id, r.text[0], r.n_chars) for r in got.collect()} == {(None, "a", 1), (4, "b", 1), (5, "c", 1), (5, "d", 1), (None, "e", 1)} and got.count() == 5
+
+
 @needs_data
 def test_the_pipeline_keeps_what_it_should(spark) -> None:
     import corpus_pipeline
