@@ -27,10 +27,11 @@ def checked(name: str, value: int, low: int, high: int) -> int:
 
 
 class Engine:
-    """A snapshot of a graph. ``sources`` has path and text for what reads lines."""
+    """A snapshot of a graph. ``sources`` has path and text for what reads lines, ``pairs`` the mined
+    co-changes (file_a, file_b, together, confidence; file ids) for what reads history."""
 
-    def __init__(self, files: DataFrame, symbols: DataFrame, edges: DataFrame, metrics: DataFrame, sources: DataFrame | None = None):
-        self.files, self.symbols, self.edges, self.metrics, self.sources = files, symbols, edges, metrics, sources
+    def __init__(self, files: DataFrame, symbols: DataFrame, edges: DataFrame, metrics: DataFrame, sources: DataFrame | None = None, pairs: DataFrame | None = None):
+        self.files, self.symbols, self.edges, self.metrics, self.sources, self.pairs = files, symbols, edges, metrics, sources, pairs
 
     def call(self, method: str, params: dict | None = None) -> Result:
         if method not in METHODS:
@@ -93,8 +94,9 @@ def analyze_impact(v: View, query: str, max_depth: int = 3, direction: str = "up
     seeds = traverse.cut(v.seeds(query))
     reached = impact.direct(seeds, v.edges, checked("max_depth", max_depth, 0, 10), traverse.direction(direction))
     tests = impact.tests(seeds, v.symbols, v.edges, F.col("name").startswith("test_"))
-    nothing = reached.where("false").select("id", F.lit(0.0).alias("frequency"))
-    return impact.fuse(reached, tests, nothing, v.symbols)
+    pairs = v.engine.pairs
+    history = reached.where("false").select("id", F.lit(0.0).alias("frequency")) if pairs is None else impact.historical(seeds, v.symbols, pairs)
+    return impact.fuse(reached, tests, history, v.symbols)
 
 
 def analyze_diff(v: View, diff: str, max_depth: int = 2) -> dict[str, DataFrame]:

@@ -59,3 +59,14 @@ def test_reindex_reads_a_tree(engine: Engine, tmp_path) -> None:
 def test_wrong_requests_are_told(engine: Engine) -> None:
     for request in ('{"method": "nothing"}', "no json", '{"method": "trace_flow", "params": {"start": "x", "max_hops": 99}}', '{"method": "orient", "params": {"languages": ["klingon"]}}'):
         assert "error" in json.loads(engine.answer(request))
+
+
+def test_impact_reads_the_history_it_is_given(spark, engine) -> None:
+    here, there = 1000004, 1000005
+    files = {r.id: r.file_id for r in engine.symbols.where(f"id in ({here}, {there})").collect()}
+    assert files[here] != files[there]
+    pairs = spark.createDataFrame([(files[here], files[there], 9.0, 0.75)], "file_a long, file_b long, together double, confidence double")
+    for mined in (None, pairs):
+        found = Engine(engine.files, engine.symbols, engine.edges, engine.metrics, pairs=mined).call("analyze_impact", {"query": str(here), "max_depth": 1})
+        by_history = found.where("relationship = 'COCHANGE'").count()
+        assert (by_history > 0) == (mined is not None)
