@@ -68,7 +68,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._spanloom_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Removes a table of ``written`` before the program ends: nothing that is still to run may read it."""
+    _remove(table.sparkSession, table._spanloom_path)
 
 
 def release() -> None:

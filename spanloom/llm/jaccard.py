@@ -1,8 +1,11 @@
 """Near-duplicates by the Jaccard similarity of five-word shingles, 0.8 at least, exact.
 
-Shingles are hashed and every text's distinct hashes are put in order. Two texts of similarity 0.8 or
-more share one of the first ``size - ceil(0.8 size) + 1`` hashes of both, so those are the index; sizes
-and places at the shared hash rule out most other pairs, and what is left is verified on whole sets.
+Shingles are hashed and every text's distinct hashes are put in order, frequent ones last. Two texts of
+similarity 0.8 or more share one of the first ``size - ceil(0.8 size) + 1`` hashes of both, so those are
+the index; sizes and places at the shared hash rule out most other pairs, and what is left is verified
+on whole sets. Any order common to all texts is exact. This one goes by counts of all shingles in 2^20
+classes of hashes, so passages that many texts share are in the index of those texts alone that have
+little else; the table of counts has one size whatever the corpus is.
 
 Pairs in the square of a family's size are not verified: first each text is compared with a few others,
 those it shares the most prefix hashes with among the first and last texts of its hashes. Then all
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm import simhash
-from spanloom.llm.common import chunks, written
+from spanloom.llm.common import chunks, discard, written
 
 WIDTH = 5
 #: Two sets are linked if 9 x overlap >= 4 x (sum of sizes), which is a similarity of 4/5.
@@ -32,7 +35,9 @@ OVERLAP, SIZES = 9, 4
 #: Bits of the sketch that all texts get, and of the finer one of texts whose whole sets are compared.
 SKETCH, FINE = 1024, 16384
 #: Others that a text is compared with at first. More save later pairs; the result is the same.
-HUBS = 8
+HUBS = 2
+#: Classes of hashes by which shingles are counted.
+CLASSES = 1 << 20
 
 
 def text_id(text: Column) -> Column:
@@ -71,17 +76,48 @@ def sketches(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return given.mapInArrow(run, f"doc_id {kind}, text_id long, bits long, size int, sketch array<long>")
 
 
+def _class(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(CLASSES - 1)).astype(np.int64)
+
+
+def frequencies(df: DataFrame, text: str = "text") -> np.ndarray:
+    """How many shingles of all rows fall to each class of hashes. CLASSES rows come to the driver at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CLASSES, np.int64)
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                counts += np.bincount(np.concatenate([_class(distinct_hashes(t)) for t in part.column("text").to_pylist()]), minlength=CLASSES)
+        there = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(counts[there])], ["class", "n"])
+
+    counted = _given(df, text).mapInArrow(run, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CLASSES, np.float32)
+    out[counted.column("class").to_numpy()] = counted.column("n").to_numpy()
+    return out
+
+
 def postings(df: DataFrame, text: str = "text") -> DataFrame:
-    """h, text_id, at, size: the hashes of each row's prefix with their places from 0."""
+    """h, text_id, at, size: the hashes of each text's prefix with their places from 0.
+
+    A text that a task meets again gives no second postings; other tasks may give the same.
+    """
+    shipped = df.sparkSession.sparkContext.broadcast(frequencies(df, text))  # four bytes for each of CLASSES
+
+    def ordered(hashes: np.ndarray) -> np.ndarray:
+        return hashes[np.argsort(shipped.value[_class(hashes)], kind="stable")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
             for part in chunks(batch, "text"):
-                found = [distinct_hashes(t) for t in part.column("text").to_pylist()]
+                first = [i for i, t in enumerate(part.column("text_id").to_pylist()) if t not in met and not met.add(t)]
+                part = part.take(pa.array(first, pa.int64()))
+                found = [ordered(distinct_hashes(t)) for t in part.column("text").to_pylist()]
                 sizes = np.array([len(x) for x in found], np.int64)
                 most = np.where(sizes > 0, sizes - (4 * sizes + 4) // 5 + 1, 0)
                 of = np.repeat(np.arange(len(found)), most)
-                h = np.concatenate([x[:n] for x, n in zip(found, most.tolist(), strict=True)])
+                h = np.concatenate([np.empty(0, np.uint64), *(x[:n] for x, n in zip(found, most.tolist(), strict=True))])
                 at = np.arange(len(of)) - np.repeat(np.cumsum(most) - most, most)
                 ids = part.column("text_id").to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[of]), pa.array(at.astype(np.int32)), pa.array(sizes[of].astype(np.int32))], ["h", "text_id", "at", "size"])
@@ -134,7 +170,10 @@ def verified(pairs: DataFrame, df: DataFrame, text: str = "text") -> DataFrame:
 
     close = written(with_ends(pairs, "size", "sketch").where(_near("of_a", "of_b")).select("a", "b"), "close")
     overlap = F.size(F.array_intersect("of_a.hashes", "of_b.hashes"))
-    return with_ends(close, "size", "hashes").where(overlap * OVERLAP >= (F.col("of_a.size") + F.col("of_b.size")) * SIZES).select("a", "b")
+    same = written(with_ends(close, "size", "hashes").where(overlap * OVERLAP >= (F.col("of_a.size") + F.col("of_b.size")) * SIZES).select("a", "b"), "similar")
+    for table in (wanted, known, close):
+        discard(table)
+    return same
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
@@ -156,11 +195,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
         same = verified(close.select("a", "b"), df, text)
         return written(close.join(same, ["a", "b"]).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "jaccard-links")
 
-    here = F.struct("text_id", "at", "size")
-    one_hash = Window.partitionBy("h")
-    met = postings(df, text).select("h", here.alias("x"), F.min(here).over(one_hash).alias("low"), F.max(here).over(one_hash).alias("high"))
-    met = written(met.where("low.text_id < high.text_id").distinct(), "prefixes")
-    hubs = met.select("x", F.explode(F.array("low", "high")).alias("y")).where(_possible("x", "y"))
+    index = written(postings(df, text), "postings")
+    shared = index.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    met = written(index.join(shared, "h", "left_semi").distinct().select("h", F.struct("text_id", "at", "size").alias("x")), "prefixes")
+    discard(index)
+    ends = met.groupBy("h").agg(F.min("x").alias("low"), F.max("x").alias("high")).where("low.text_id < high.text_id")
+    hubs = met.join(ends, "h").select("x", F.explode(F.array("low", "high")).alias("y")).where(_possible("x", "y"))
     most = hubs.groupBy(F.col("x.text_id").alias("x"), F.col("y.text_id").alias("y")).count().groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "y")), asc=False), 1, HUBS).alias("y")).select("x", F.explode("y").alias("y"))
     edges = edges.union(between(most.select(F.least("x", "y.y").alias("a"), F.greatest("x", "y.y").alias("b")).distinct()))
     roots = simhash.components(edges)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import chunks, written
+from spanloom.llm.common import chunks, discard, written
 
 #: Members of a variant up to which its pairs are formed by the join.
 PAIRS_UP_TO = 16
@@ -114,7 +114,9 @@ def links(prints: DataFrame) -> DataFrame:
         .select(F.array_min("ball").alias("a"), F.explode("ball").alias("b"))
         .where("a < b")
     )
-    return written(pairs.union(stars).distinct(), "links")
+    found = written(pairs.union(stars).distinct(), "links")
+    discard(met)
+    return found
 
 
 def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
@@ -123,16 +125,18 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     Each round takes the least label among neighbours and then the label of that label.
     """
     both = written(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both-ways")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("root")), "labels")
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("root"), F.lit(True).alias("moved")), "labels")
     for _ in range(most_rounds):
         seen = both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("offer")), "b").groupBy("a").agg(F.min("offer").alias("offer"))
         near = labels.join(seen.withColumnRenamed("a", "node"), "node").select("node", F.col("root").alias("was"), F.least("root", "offer").alias("root"))
         near = written(near, "near")
         jump = near.select(F.col("node").alias("root"), F.col("root").alias("beyond"))
-        labels = written(near.join(jump, "root").select("node", "was", F.least("root", "beyond").alias("root")), "labels")
-        if labels.where("was <> root").isEmpty():
+        last, labels = labels, written(near.join(jump, "root").select("node", F.least("root", "beyond").alias("root"), (F.col("was") != F.least("root", "beyond")).alias("moved")), "labels")
+        discard(near)
+        discard(last)
+        if labels.where("moved").isEmpty():
+            discard(both)
             return labels.select("node", "root")
-        labels = labels.select("node", "root")
     raise RuntimeError(f"labels still change after {most_rounds} rounds")
 
 
