@@ -34,11 +34,13 @@ def bounded_batches(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (local tests) a temporary folder takes its place.
+    Where the setting is absent a temporary folder takes its place, on a local master alone.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="spanloom-")
@@ -78,6 +80,11 @@ def discard(table: DataFrame) -> None:
     _remove(table.sparkSession, table._spanloom_path)
 
 
+def quoted(name: str) -> str:
+    """A column's name as it stands, dots and marks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def release() -> None:
     """Gives freed memory back to the system: workers outlive tasks, and an executor's share is small."""
     pa.default_memory_pool().release_unused()

@@ -4,12 +4,14 @@ For every participant, every turn of the dialogue is rendered once: the particip
 the assistant's, turns of others as a user's with their name, system turns as they are. The loss mask
 of a turn covers the text and end mark of own turns and nothing of others. Turns are put in order by
 a range sort, and places and offsets come from sums over the sorted ranges, so that a dialogue of any
-length is spread over tasks; the rows of a rendering, by position, are its text.
+length is spread over tasks; the rows of a rendering, by position, are its text. Ranges are cut by
+the first characters of the texts at the finest, and sorted by whole texts within.
 
 Defined results: rows with a null conv_id take no part; a null role is the participant ``unknown``, a
 null text is empty; turns of one number are ordered by role and text, nulls of turn first; repeated
 rows are turns each; dialogues with system turns alone have no participant and no row; other columns
-are ignored; an empty table gives an empty table.
+are ignored; an empty table gives an empty table. Marks of the template inside a text or a name stay as
+they are: start, stop and masks, not the marks, say where a turn begins and what is trained.
 """
 
 from __future__ import annotations
@@ -22,6 +24,10 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import written
 
 
+#: Characters of a text that may cut a range.
+RANGE_CHARS = 64
+
+
 @dataclass(frozen=True)
 class Template:
     """What stands around a turn; ``{name}`` is the speaker."""
@@ -38,8 +44,7 @@ def render(df: DataFrame, template: Template = Template(), conv: str = "conv_id"
     the rendering), mask_start and mask_stop (characters of the segment; null if nothing is trained)."""
     given = df.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("unknown")).alias("speaker"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where(F.col("conv_id").isNotNull())
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    mark = F.xxhash64("text")
-    ordered = given.repartitionByRange(n, "conv_id", "turn", "speaker", mark).sortWithinPartitions("conv_id", "turn", "speaker", mark, "text")
+    ordered = given.repartitionByRange(n, "conv_id", "turn", "speaker", F.left("text", F.lit(RANGE_CHARS))).sortWithinPartitions("conv_id", "turn", "speaker", "text")
     ordered = written(ordered.select("*", F.monotonically_increasing_id().alias("place"), F.spark_partition_id().alias("range")), "turns")
     people = ordered.where(F.col("speaker") != template.system_role).select("conv_id", F.col("speaker").alias("perspective")).distinct()
     own = F.col("speaker") == F.col("perspective")
