@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from spanloom.llm import jaccard, language_crf, segmentations
-from spanloom.llm.common import bounded_batches, table, written
+from spanloom.llm.common import bounded_batches, quoted, table, written
 from spanloom.llm.queries import MIX, language_model, mixed, tokenizer_file
 
 #: Mean label probability below which a document's language is not settled.
@@ -21,7 +22,11 @@ SHINGLE_WORDS = 3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a settled language; null texts and texts without a letter go."""
+    """Keeps documents with a settled language; null texts and texts without a letter go.
+
+    Null ids and languages, repeated rows and further columns, whatever their names, stay as they are.
+    Without a labelled row nothing is settled and nothing kept.
+    """
     bounded_batches(spark)
     found = language_crf.identify(docs, language_model(docs), names=("\0lang", "\0score"))
     return found.where((F.col("\0lang") != language_crf.UNKNOWN) & (F.col("\0score") >= SETTLED)).drop("\0lang", "\0score")
@@ -40,19 +45,27 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keys = ["\0text", "\0id", "\0none"]
     kept = first.select("row.*").select(F.col("text_id").alias("\0text"), *plain)
     rows = docs.select("*", jaccard.text_id(F.col("text")).alias("\0text"), *plain).join(kept, keys, "left_semi")
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*docs.columns))
-    return rows.withColumn("\0place", place).where(F.col("\0place") == 1).select(*docs.columns)
+    order = [quoted(f.name) for f in docs.schema if not isinstance(f.dataType, MapType)]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("\0place", place).where(F.col("\0place") == 1).select(*map(quoted, docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the production mix draws them."""
-    drawn = mixed(docs, MIX, F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    times = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("\0draw")
-    return drawn.where("copies > 0").select(*docs.columns, times).drop("\0draw")
+    """Documents as often as the production mix draws them.
+
+    Null sources and languages are the empty name, rows of one id are drawn together, texts without a
+    word never; further columns, whatever their names, stay as they are.
+    """
+    drawn = mixed(docs, MIX, F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"), "\0copies")
+    times = F.explode(F.array_repeat(F.lit(1), F.col("\0copies").cast("int"))).alias("\0draw")
+    return drawn.where(F.col("\0copies") > 0).select(*map(quoted, docs.columns), times).drop("\0draw")
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two sampled segmentations of each document: doc_id, rank, ids, scores, round_trip."""
+    """Two sampled segmentations of each document: doc_id, rank, ids, scores, round_trip.
+
+    Rows that share id and text give the same rows each; further columns are ignored.
+    """
     bounded_batches(spark)
     return segmentations.sample_segmentations(docs, tokenizer_file("piece_bpe_32k.model"), k=2)
 

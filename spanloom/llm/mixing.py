@@ -7,9 +7,10 @@ weights; only if a whole subtree is short does the shortage reach the siblings o
 leaf's budget is spent on whole epochs and on a prefix, in tokens, of the next epoch's own seeded
 order; a document is in if its last token is within the prefix.
 
-The prefix is found without sorting a leaf: token sums of 4096 ranges of the hash order show in which
-range the prefix ends, and only that range is summed document by document. The plan has a row for
-each leaf; a document's share follows from it and the document's own hash, so texts are not shuffled.
+The prefix is found without sorting a leaf: token sums of 256 ranges of the hash order show in which
+range the prefix ends, that one is cut in 256 again, and once more, and what is left, a part in 16
+million of a leaf, is summed document by document. The plan has a row for each leaf; a document's
+share follows from it and the document's own hash, so texts are not shuffled.
 
 Defined results: null levels are the empty name; documents without a token are never drawn; documents
 of one key have one place in the order and are in or out together; weights that are not given
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import written
 
-#: Hexadecimal digits of the hash that orders an epoch, and those of them that name a range.
-DIGITS, RANGE_DIGITS = 15, 3
+#: Hexadecimal digits of the hash that orders an epoch, those of them that name a range, and how often ranges are cut.
+DIGITS, RANGE_DIGITS, CUTS = 15, 2, 3
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -90,14 +91,17 @@ def plan(docs: DataFrame, levels: list[str], mix: Mix, key: str = "doc_id", toke
         "shares",
     )
     placed = docs.where(F.col(tokens) > 0).join(shares, levels).select(*levels, "rest", F.col(tokens).alias("n"), place(mix.seed, F.col("epochs"), F.col(key)).alias("place"))
-    width = 16 ** (DIGITS - RANGE_DIGITS)
-    ranged = placed.withColumn("range", F.expr(f"place div {width}"))
+    inside = placed.withColumn("before", F.lit(0).cast("long"))
     by_range = Window.partitionBy(*levels).orderBy("range")
-    sums = ranged.groupBy(*levels, "range").agg(F.sum("n").alias("n"), F.first("rest").alias("rest")).withColumn("upto", F.sum("n").over(by_range))
-    last = sums.where("rest < upto and rest >= upto - n").select(*levels, "range", (F.col("upto") - F.col("n")).alias("before"))
-    within = Window.partitionBy(*levels, "range").orderBy("place").rangeBetween(Window.unboundedPreceding, 0)
-    inside = ranged.join(last, [*levels, "range"]).withColumn("upto", F.col("before") + F.sum("n").over(within))
-    cuts = inside.groupBy(*levels).agg(F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("place"))), F.first("range") * width - 1).alias("cut"))
+    for depth in range(1, CUTS + 1):
+        width = 16 ** (DIGITS - RANGE_DIGITS * depth)
+        ranged = inside.withColumn("range", F.expr(f"place div {width}"))
+        sums = ranged.groupBy(*levels, "range").agg(F.sum("n").alias("n"), F.first("rest").alias("rest"), F.first("before").alias("before")).withColumn("upto", F.col("before") + F.sum("n").over(by_range))
+        last = sums.where("rest < upto and rest >= upto - n").select(*levels, "range", (F.col("upto") - F.col("n")).alias("start"))
+        inside = written(ranged.join(last, [*levels, "range"]).select(*levels, "rest", "n", "place", F.col("start").alias("before"), (F.col("range") * width).alias("first")), "range")
+    within = Window.partitionBy(*levels).orderBy("place").rangeBetween(Window.unboundedPreceding, 0)
+    summed = inside.withColumn("upto", F.col("before") + F.sum("n").over(within))
+    cuts = summed.groupBy(*levels).agg(F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("place"))), F.first("first") - 1).alias("cut"))
     return written(shares.join(cuts, levels).select(*levels, "epochs", "cut"), "plan")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,18 +52,21 @@ LEVELS = ["domain", "language", "origin"]
 MIX = mixing.Mix(weights={"domain": {"d0": 2, "d1": 1, "d2": 1, "d3": 1}, "language": {"en": 4, "de": 3, "es": 3, "fr": 2}}, share=0.5, max_epochs=2, seed=1)
 
 
-def with_levels(docs: DataFrame) -> DataFrame:
+def with_levels(docs: DataFrame, names: list[str] = LEVELS) -> DataFrame:
     """Domain (a group of sources), language and source of each document as the tree's levels."""
     number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]{1,9})$", 1)
     domain = F.when(number == "", "other").otherwise(F.concat(F.lit("d"), (number.cast("long") % 4).cast("string")))
-    return docs.withColumns({"domain": domain, "language": F.coalesce("lang", F.lit("")), "origin": F.coalesce("source", F.lit(""))})
+    return docs.withColumns(dict(zip(names, (domain, F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))), strict=True)))
 
 
-def mixed(docs: DataFrame, mix: mixing.Mix, has_token: Column) -> DataFrame:
-    """``docs`` with the tree's levels and how often the mix draws each document."""
-    leveled = with_levels(docs)
-    slim = written(leveled.select("doc_id", *LEVELS, mixing.word_count(F.col("text")).alias("n_tokens")), "mix-tokens")
-    return mixing.copies(leveled, mixing.plan(slim, LEVELS, mix), LEVELS, mix, has_token)
+def mixed(docs: DataFrame, mix: mixing.Mix, has_token: Column, name: str) -> DataFrame:
+    """``docs`` and how often the mix draws each document, as the column ``name``."""
+    own = {level: f"\0{level}" for level in LEVELS}  # names that no document has
+    levels = list(own.values())
+    mix = replace(mix, weights={own[level]: weights for level, weights in mix.weights.items()})
+    leveled = with_levels(docs, levels)
+    slim = written(leveled.select("doc_id", *levels, mixing.word_count(F.col("text")).alias("n_tokens")), "mix-tokens")
+    return mixing.copies(leveled, mixing.plan(slim, levels, mix), levels, mix, has_token, name=name).drop(*levels)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
