@@ -3,16 +3,17 @@
 Every word of a text (a run of letters, lower-cased) has a language label. Emission scores add the
 learned weights of its affixes, character n-grams and, for words of the learned lexicon, the word
 itself; transition scores between neighbouring labels are learned with them, on sequences that
-switch between labelled documents. Forward-backward gives every word its label probabilities: a
-document's language is the one with the largest mean, its score that mean, and runs of words with
+switch between labelled documents; a text's first word may have any label, equally likely.
+Forward-backward gives every word its label probabilities: a document's language is the one with the largest mean, its score that mean, and runs of words with
 one most likely label are the spans of a code-switched text.
 
 Words repeat, so a worker keeps the emissions of words it has met. Forward-backward runs over blocks
 of words: the transfer matrix of every block first, then a scan over each text's blocks, then all
 blocks at once. A text of any length is processed whole.
 
-Training takes a bounded sample: about ``per_language`` documents of each language by a hash of
-their keys and ``documents`` in all at most, none longer than ``most_chars``.
+Training takes a bounded sample: ``per_language`` documents of each language, fewer of each where there
+would be more than ``documents`` in all, but one of each at least; of long ones the first ``most_chars``
+characters. They are the first by a hash of key and text, whatever the order of the table.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; with no labelled row
 every text is ``und``; ties go to the label first in the alphabet; rows are independent, so repeated
@@ -28,15 +29,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from spanloom.llm.common import chunks
+from spanloom.llm.common import chunks, quoted
 
 UNKNOWN = "und"
-#: Words of a block, and words whose emissions a worker keeps.
+#: Words of a block; words whose emissions a worker keeps, and characters of them.
 BLOCK = 32
-CACHE = 150_000
+CACHE, CACHE_CHARS = 150_000, 4_000_000
 _words = re.compile(r"[^\W\d_]+").findall
 _places = re.compile(r"[^\W\d_]+").finditer
 
@@ -68,9 +70,10 @@ class Model:
     transitions: np.ndarray
     known: dict[str, int] = field(default_factory=dict, repr=False)
     rows: np.ndarray | None = field(default=None, repr=False)
+    held: int = field(default=0, repr=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}, "rows": None}
+        return self.__dict__ | {"known": {}, "rows": None, "held": 0}
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Scores of distinct words, one row each."""
@@ -89,10 +92,11 @@ class Model:
         ids = list(map(self.known.get, flat))
         if None in ids:
             new = list({w for w, i in zip(flat, ids, strict=True) if i is None})
-            if len(self.known) + len(new) > CACHE:
-                self.known, self.rows, new = {}, None, list(set(flat))
+            if len(self.known) + len(new) > CACHE or self.held + sum(map(len, new)) > CACHE_CHARS:
+                self.known, self.rows, self.held, new = {}, None, 0, list(set(flat))
             made = self.emissions(new)
             made = np.exp(made - made.max(axis=1, keepdims=True))
+            self.held += sum(map(len, new))
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
             self.rows = made if self.rows is None else np.concatenate([self.rows, made])
             ids = list(map(self.known.__getitem__, flat))
@@ -109,8 +113,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(x.sum(axis=-1, keepdims=True), 1e-300)
 
 
-def forward_backward(potentials: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """Marginals of chains laid end to end. The label before a chain is any, equally likely."""
+def forward_backward(potentials: np.ndarray, sizes: np.ndarray, moves: np.ndarray, filtered: np.ndarray | None = None) -> np.ndarray:
+    """Marginals of chains laid end to end. The first label of a chain is any, equally likely.
+
+    ``filtered`` is filled with each word's label probabilities by the words up to it alone.
+    """
     n, labels = potentials.shape
     if not n:
         return potentials
@@ -129,7 +136,10 @@ def forward_backward(potentials: np.ndarray, sizes: np.ndarray, moves: np.ndarra
     matrix = np.broadcast_to(np.eye(labels), (len(begin), labels, labels)).copy()
     for t in range(BLOCK):
         live = slice(None) if (on := there[:, t]).all() else np.flatnonzero(on)
-        step = (matrix[live].reshape(-1, labels) @ moves).reshape(-1, labels, labels) * emit[live, t][:, None, :]
+        step = (matrix[live].reshape(-1, labels) @ moves).reshape(-1, labels, labels)
+        if not t:
+            step[heads] = matrix[heads]  # no move leads to a chain's first word
+        step *= emit[live, t][:, None, :]
         matrix[live] = step / np.maximum(step.max(axis=(1, 2), keepdims=True), 1e-300)
 
     ahead = np.full((len(begin), labels), 1 / labels)
@@ -149,9 +159,14 @@ def forward_backward(potentials: np.ndarray, sizes: np.ndarray, moves: np.ndarra
 
     forward = np.empty_like(emit)
     for t in range(BLOCK):
-        new = _unit((ahead @ moves) * emit[:, t])
+        come = ahead @ moves
+        if not t:
+            come[heads] = ahead[heads]
+        new = _unit(come * emit[:, t])
         ahead = np.where(there[:, t : t + 1], new, ahead)
         forward[:, t] = ahead
+    if filtered is not None:
+        filtered[at[there]] = forward[there]
     for t in range(BLOCK - 1, -1, -1):
         on = there[:, t : t + 1]
         forward[:, t] *= behind
@@ -216,13 +231,11 @@ def train(rows: list[tuple[str, str]], seed: int = 7, sequences: int = 2_000, sp
         scores = np.stack([np.bincount(owner, weights[columns, c], len(distinct)) for c in range(k)], axis=1)
         emit = np.exp(scores - scores.max(axis=1, keepdims=True))[flat_]
         move = np.exp(moves - moves.max())
-        margin = forward_backward(emit, sizes_, move)
+        margin, joint = expected(emit, sizes_, move, pairs)
         lack = -margin
         lack[np.arange(len(gold_)), gold_] += 1
         per_word = np.stack([np.bincount(flat_, lack[:, c], len(distinct)) for c in range(k)], axis=1)
         grad_w = np.stack([np.bincount(columns, per_word[owner, c], len(index)) for c in range(k)], axis=1) / len(sizes_) - decay * weights
-        # expected moves: from each word's filtered label to the next word's label
-        joint = _pairs(emit, margin, move, sizes_, pairs)
         grad_t = (seen_moves - joint) / len(sizes_) - decay * moves
         for (value, grad), (m, v) in zip(((weights, grad_w), (moves, grad_t)), state, strict=True):
             m += 0.1 * (grad - m)
@@ -231,29 +244,34 @@ def train(rows: list[tuple[str, str]], seed: int = 7, sequences: int = 2_000, sp
     return Model(labels, index, weights.astype(np.float32), moves)
 
 
-def _pairs(emit: np.ndarray, margin: np.ndarray, move: np.ndarray, sizes: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Expected counts of label pairs at neighbouring words, from the two words' marginals.
+def expected(emit: np.ndarray, sizes: np.ndarray, move: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals, and expected counts of label pairs at the words ``pairs`` and those before them.
+
+    They are the gradients of the chains' log partition sums by emission and transition scores. Given
+    a word's label and all words, the label before it depends on the words up to there alone.
+    """
+    filtered = np.empty_like(emit)
+    margin = forward_backward(emit, sizes, move, filtered)
+    before = filtered[pairs - 1]
+    return margin, move * (before.T @ (margin[pairs] / np.maximum(before @ move, 1e-300)))
+
+
+def training_rows(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 300, documents: int = 4_000, most_chars: int = 20_000) -> list[tuple[str, str]]:
+    """The bounded sample that ``train`` gets.
 
-    P(y, z) is proportional to f(y) move(y, z) g(z); scaling f and g to the marginals finds it.
+    A rate for each language leaves a few times what is wanted, so that the exact choice moves little.
+    A count for each language comes to the driver.
     """
-    a, b = margin[pairs - 1], margin[pairs]
-    f, g = np.ones_like(a), np.ones_like(b)
-    for _ in range(12):
-        f = a / np.maximum(g @ move.T, 1e-300)
-        g = b / np.maximum(f @ move, 1e-300)
-    return move * (f.T @ g)
-
-
-def training_rows(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 300, documents: int = 4_000, most_chars: int = 20_000, languages: int = 200) -> list[tuple[str, str]]:
-    """The bounded sample that ``train`` gets: rows whose hashed key falls below the language's rate."""
-    given = df.select(F.xxhash64(key).alias("place"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull())
-    counts = given.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    usable = df.select(F.xxhash64(key, text).alias("place"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = usable.groupBy("lang").count().collect()
     if not counts:
         return []
-    rate = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))))
-    drawn = given.where(F.pmod("place", F.lit(1_000_003)) / 1_000_003 < F.try_element_at(rate, F.col("lang")))
-    usable = drawn.where(F.col("text").isNotNull() & (F.length("text") <= most_chars)).limit(documents)
-    return sorted((r.text, r.lang) for r in usable.select("text", "lang").collect())
+    each = max(1, min(per_language, documents // len(counts)))
+    rate = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, (4 * each + 32) / r["count"]))))
+    near = usable.where(F.pmod("place", F.lit(1_000_003)) / 1_000_003 < F.try_element_at(rate, F.col("lang")))
+    distinct = near.groupBy("lang", "place").agg(F.first(F.left("text", F.lit(most_chars))).alias("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    return sorted((r.text, r.lang) for r in distinct.withColumn("n", first).where(F.col("n") <= each).select("text", "lang").collect())
 
 
 _latest: list[Model] = []
@@ -262,7 +280,7 @@ _latest: list[Model] = []
 def current(model: Model) -> Model:
     """The model; emissions that a worker has kept for an earlier one go."""
     if _latest and _latest[0] is not model:
-        _latest[0].known, _latest[0].rows = {}, None
+        _latest[0].known, _latest[0].rows, _latest[0].held = {}, None, 0
     _latest[:] = [model]
     return model
 
@@ -301,8 +319,10 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: list[str] |
     """
     shipped = df.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
     kept = df.columns if keep is None else keep
-    given = df.select(F.col(text).alias("\0text"), *kept)
-    extra = ", spans array<struct<start:int,end:int,lang:string,score:double>>" if with_spans else ""
+    # plain names on the way through Python, whatever the columns are called
+    given = df.select(F.col(text).alias("text"), *(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(kept)))
+    made = StructType.fromDDL("lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string,score:double>>" * with_spans)
+    schema = StructType([*given.schema.fields[1:], *made.fields])
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,10 +331,9 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: list[str] |
             for part in chunks(batch, 0):
                 texts = part.column(0).to_pylist()
                 lang, score = _judge(own, texts)
-                made = [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
+                found = [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
                 if with_spans:
-                    made.append(pa.array([spans(own, t) for t in texts], kind))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], [*part.schema.names[1:], *names, *["spans"] * with_spans])
+                    found.append(pa.array([spans(own, t) for t in texts], kind))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *found], schema.names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema[1:])
-    return given.mapInArrow(run, f"{schema}, `{names[0]}` string, `{names[1]}` double{extra}")
+    return given.mapInArrow(run, schema).toDF(*kept, *names, *["spans"] * with_spans)
