@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import chunks
 
-#: Pre-tokens whose counts a worker keeps at most.
-CACHE = 500_000
+#: Pre-tokens whose counts a worker keeps at most, and characters of one that it keeps.
+CACHE, CACHED_CHARS = 500_000, 64
 _NEVER = np.iinfo(np.int32).max
 
 
@@ -140,7 +140,7 @@ class RankMerger:
                 out[i] += sum(map(lengths.__getitem__, words))
             if len(self.known) + len(lengths) > CACHE:
                 self.known.clear()
-            self.known.update(lengths)
+            self.known.update((w, n) for w, n in lengths.items() if len(w) <= CACHED_CHARS)
         return out
 
 
