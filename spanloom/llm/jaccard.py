@@ -8,8 +8,9 @@ classes of hashes, so passages that many texts share are in the index of those t
 little else; the table of counts has one size whatever the corpus is.
 
 Pairs in the square of a family's size are not verified: first each text is compared with a few others,
-those it shares the most prefix hashes with among the first and last texts of its hashes. Then all
-pairs that are in different components still are compared. So no bucket is capped and no link between
+those it shares the most prefix hashes with among the first, last and two drawn texts of its hashes. Then
+all pairs that are in different components still are compared, met at few of the hashes that they share:
+first a sixteenth of them, which joins most of what is to be joined, then all that are apart even so. So no bucket is capped and no link between
 components is lost; only texts that share a hash and are yet unlike cost pairs in the square. Most of
 these go by a sketch, the parity of hashes per bit: it differs in no more bits than the sets in members.
 
@@ -35,7 +36,11 @@ OVERLAP, SIZES = 9, 4
 #: Bits of the sketch that all texts get, and of the finer one of texts whose whole sets are compared.
 SKETCH, FINE = 1024, 16384
 #: Others that a text is compared with at first. More save later pairs; the result is the same.
-HUBS = 2
+HUBS = 8
+#: The part of the remaining pairs that is compared before the rest is: one in so many.
+SHARE = 16
+#: Earlier hashes that each posting knows: texts that share one of them have met there.
+EARLIER = 4
 #: Classes of hashes by which shingles are counted.
 CLASSES = 1 << 20
 
@@ -197,22 +202,42 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
 
     index = written(postings(df, text), "postings")
     shared = index.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    met = written(index.join(shared, "h", "left_semi").distinct().select("h", F.struct("text_id", "at", "size").alias("x")), "prefixes")
+    before = F.collect_list("h").over(Window.partitionBy("text_id").orderBy("at").rowsBetween(-EARLIER, -1)).alias("before")
+    met = index.join(shared, "h", "left_semi").distinct().select("h", "text_id", "at", "size", before)
+    met = written(met.select("h", F.struct("text_id", "at", "size", "before").alias("x")), "prefixes")
     discard(index)
-    ends = met.groupBy("h").agg(F.min("x").alias("low"), F.max("x").alias("high")).where("low.text_id < high.text_id")
-    hubs = met.join(ends, "h").select("x", F.explode(F.array("low", "high")).alias("y")).where(_possible("x", "y"))
-    most = hubs.groupBy(F.col("x.text_id").alias("x"), F.col("y.text_id").alias("y")).count().groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "y")), asc=False), 1, HUBS).alias("y")).select("x", F.explode("y").alias("y"))
-    edges = edges.union(between(most.select(F.least("x", "y.y").alias("a"), F.greatest("x", "y.y").alias("b")).distinct()))
-    roots = simhash.components(edges)
 
-    placed = texts.join(roots.withColumnRenamed("node", "bits"), "bits", "left").select("text_id", F.coalesce("root", "bits").alias("root"))
-    apart = met.select("h", "x", F.col("x.text_id").alias("text_id")).join(placed, "text_id").select("h", "x", "root")
-    mixed = apart.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("h")
-    apart = written(apart.join(mixed, "h", "left_semi"), "apart")
-    other = apart.select("h", F.col("x").alias("y"), F.col("root").alias("other"))
-    found = between(_named(apart.join(other, "h").where((F.col("root") < F.col("other")) & _possible("x", "y"))).distinct())
-    if not found.isEmpty():
-        roots = simhash.components(edges.union(found))
+    def apart(roots: DataFrame | None) -> DataFrame:
+        """h, x, root of the hashes that texts of several classes share. At first each text is one."""
+        if roots is None:
+            rooted = met.select("h", "x", F.col("x.text_id").alias("root"))
+        else:
+            placed = texts.join(roots.withColumnRenamed("node", "bits"), "bits", "left").select("text_id", F.coalesce("root", "bits").alias("root"))
+            rooted = met.select("h", "x", F.col("x.text_id").alias("text_id")).join(placed, "text_id").select("h", "x", "root")
+        mixed = rooted.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("h")
+        return written(rooted.join(mixed, "h", "left_semi"), "apart")
+
+    def hubs(rooted: DataFrame) -> DataFrame:
+        """Each text with a few of other classes: those it meets most often as the first or last class of a
+        hash, or as one drawn for the hash."""
+        here, drawn = F.struct("root", "x"), F.struct(F.xxhash64("h", "x.text_id"), "root", "x")
+        ends = rooted.groupBy("h").agg(F.min(here).alias("low"), F.max(here).alias("high"), F.min(drawn).alias("one"), F.max(drawn).alias("two"))
+        few = F.explode(F.array("low", "high", *(F.struct(f"{name}.root", f"{name}.x") for name in ("one", "two")))).alias("hub")
+        met = rooted.join(ends, "h").select("root", "x", few).select("root", "x", F.col("hub.root").alias("other"), F.col("hub.x").alias("y")).where((F.col("root") != F.col("other")) & _possible("x", "y"))
+        most = met.groupBy(F.col("x.text_id").alias("x"), F.col("y.text_id").alias("y")).count().groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "y")), asc=False), 1, HUBS).alias("y")).select("x", F.explode("y").alias("y"))
+        return most.select(F.least("x", "y.y").alias("a"), F.greatest("x", "y.y").alias("b")).distinct()
+
+    edges = edges.union(between(hubs(apart(None))))
+    roots = simhash.components(edges)
+    first = ~F.arrays_overlap("x.before", "y.before")  # else an earlier hash makes the pair
+    for share in (SHARE, 1):
+        rest = apart(roots)
+        other = rest.select("h", F.col("x").alias("y"), F.col("root").alias("other"))
+        drawn = F.pmod(F.xxhash64("x.text_id", "y.text_id"), F.lit(share)) == 0
+        found = between(_named(rest.join(other, "h").where((F.col("root") < F.col("other")) & drawn & first & _possible("x", "y"))).distinct())
+        if not found.isEmpty():
+            edges = edges.union(found)
+            roots = simhash.components(edges)
 
     placed = docs.join(roots.withColumnRenamed("node", "bits"), "bits", "left").select("doc_id", "text_id", F.coalesce("root", "bits").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
