@@ -53,6 +53,28 @@ def test_topk_leaves_out_unusable_vectors(spark) -> None:
     assert topk.search(v.where("false"), v.where("false"), 5).count() == 0
 
 
+def test_topk_in_several_shards_and_blocks(spark, monkeypatch) -> None:
+    monkeypatch.setattr(topk, "SHARD_ROWS", 60)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 4)
+    r = np.random.default_rng(2)
+    vectors = r.integers(-40, 40, (400, 6)) / 64.0
+    vectors[50:200] = vectors[50]  # one very common vector
+    rows = [(i, v.tolist(), "clash") for i, v in enumerate(vectors)]
+    rows += [(10, vectors[10].tolist(), "again"), (10, vectors[11].tolist(), "other"), (399, vectors[399].tolist(), "query twice")]
+    v = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string"))
+    got = {}
+    for row in topk.search(v, v.where("vec_id % 19 = 0 or vec_id = 10"), 5).collect():
+        got.setdefault(row.query_id, []).append((row.rank, row.vec_id, row.score))
+    whole = [(i, np.floor(256 * np.array(x, np.float64)).astype(int)) for i, x, _ in rows]
+    asked = {}
+    for i, x in whole:
+        if i % 19 == 0 or i == 10:
+            asked[i] = min(asked.get(i, x.tolist()), x.tolist())
+    for i, q in asked.items():
+        best = sorted((-int(x @ np.array(q)), j) for j, x in whole if j != i)[:5]
+        assert sorted(got[i]) == [(n, j, -s) for n, (s, j) in enumerate(best, 1)]
+
+
 # 2
 
 @pytest.fixture(scope="module")
@@ -110,6 +132,58 @@ def test_lzw_round_trips() -> None:
             assert gif.unlzw(gif.pack(gif.lzw_codes(data)), 8) == data
 
 
+def deferred_lzw(data: bytes) -> bytes:
+    """Another encoder: one clear code at first, and a full table that is kept to the end."""
+    table, bits, width, last = {bytes([i]): i for i in range(256)}, [], 9, b""
+    put = lambda code: bits.append(format(code, f"0{width}b")[::-1])
+    put(256)
+    n = 258
+    for byte in data:
+        if last + bytes([byte]) in table:
+            last += bytes([byte])
+            continue
+        put(table[last])
+        if n < 4096:
+            table[last + bytes([byte])] = n
+            n += 1
+            if n > 1 << width and width < 12:
+                width += 1
+        last = bytes([byte])
+    if last:
+        put(table[last])
+        if n < 4096 and n + 1 > 1 << width and width < 12:
+            width += 1
+    put(257)
+    stream = "".join(bits)
+    return bytes(int(stream[i : i + 8][::-1], 2) for i in range(0, len(stream), 8))
+
+
+def test_another_encoders_full_table_is_read() -> None:
+    r = random.Random(9)
+    for n in (1, 700, 20_000, 60_000):
+        for signs in (b"ab ", bytes(range(256))):
+            data = bytes(r.choice(signs) for _ in range(n))
+            assert gif.unlzw(deferred_lzw(data), 8) == data
+
+
+@needs_data
+def test_media_digests_of_the_query(spark) -> None:
+    import zlib
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    media = {r.doc_id: bytes(r.media) for r in gif.encode_payloads(common.table(spark, DATA, "documents")).collect()}
+    got = queries.op4_gif_media(spark, DATA).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media[r.doc_id]), hashlib.sha256(media[r.doc_id]).hexdigest())
+        grey = np.bincount(np.frombuffer(payload, np.uint8) >> 6, minlength=4)
+        frames = -(-len(payload) // (96 * 96))
+        assert r.feature.startswith(f"frames={frames};ms={frames * 40};grey=") and sum(map(int, r.feature.split("grey=")[1].split(","))) >= grey.sum()
+
+
 def hand_made(frames, palette=b"\x00\x00\x00\xff\x00\x00\x00\xff\x00\x00\x00\xff", size=(2, 2)):
     """A 4-colour GIF from (indices, left, top, width, height, disposal, transparent, flags)."""
     out = [b"GIF89a", bytes((size[0], 0, size[1], 0, 0x81, 0, 0)), palette]
@@ -308,7 +382,7 @@ def test_forward_backward_by_brute_force() -> None:
     emit, moves = r.random((6, 3)), r.random((3, 3))
     weights = {}
     for labels in itertools.product(range(3), repeat=6):
-        w = moves[:, labels[0]].sum() * emit[0, labels[0]]
+        w = emit[0, labels[0]]
         for i in range(1, 6):
             w *= moves[labels[i - 1], labels[i]] * emit[i, labels[i]]
         weights[labels] = w
@@ -321,6 +395,55 @@ def test_forward_backward_by_brute_force() -> None:
     assert np.allclose(language_crf.forward_backward(many, sizes, moves), np.concatenate(parts))
 
 
+def test_gradients_by_finite_differences() -> None:
+    r = np.random.default_rng(4)
+    sizes, labels = np.array([3, 1, 4]), 3
+    scores, transitions = r.normal(size=(8, labels)), r.normal(size=(labels, labels))
+    pairs = np.array([1, 2, 5, 6, 7])
+
+    def log_sum(scores, transitions) -> float:
+        total = 0.0
+        for a, n in zip(np.cumsum(sizes) - sizes, sizes, strict=True):
+            every = [sum(scores[a + i, y[i]] for i in range(n)) + sum(transitions[y[i - 1], y[i]] for i in range(1, n)) for y in itertools.product(range(labels), repeat=int(n))]
+            total += np.log(np.exp(every).sum())
+        return total
+
+    margin, joint = language_crf.expected(np.exp(scores), sizes, np.exp(transitions), pairs)
+    step = 1e-5
+    for grad, at in ((margin, 0), (joint, 1)):
+        for place in itertools.product(*map(range, grad.shape)):
+            up, down = [scores.copy(), transitions.copy()], [scores.copy(), transitions.copy()]
+            up[at][place] += step
+            down[at][place] -= step
+            assert abs((log_sum(*up) - log_sum(*down)) / (2 * step) - grad[place]) < 1e-5
+
+
+def test_the_training_sample_is_bounded_and_fair(spark) -> None:
+    rows = [(i, f"word{i} of lang{i % 7}", f"l{i % 7}") for i in range(700)] + [(1000, "x" * 50, "long"), (1001, None, "empty"), (1002, "no label", None)] + [(5, "same", "l0")] * 30
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_crf.training_rows(table, per_language=10, most_chars=20)
+    assert got == language_crf.training_rows(table.repartition(7).orderBy("text"), per_language=10, most_chars=20)
+    assert {k: len(list(v)) for k, v in itertools.groupby(sorted(lang for _, lang in got))} == {**{f"l{i}": 10 for i in range(7)}, "long": 1} and ("x" * 20, "long") in got
+    few = language_crf.training_rows(table, per_language=10, documents=4)
+    assert sorted(lang for _, lang in few) == [*(f"l{i}" for i in range(7)), "long"]
+
+
+@needs_data
+def test_the_query_predicts_languages(spark) -> None:
+    import zlib
+
+    given = {r.doc_id: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = queries.op8_language_id(spark, DATA).collect()
+    assert sorted(r.doc_id for r in got) == sorted(given)
+    langs = {d.lang for d in given.values()} - {None}
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1
+        letters = any(map(str.isalpha, given[r.doc_id].text or ""))
+        assert r.lang_pred in langs if letters else (r.lang_pred, r.score) == ("und", 0.0)
+    sure = [r for r in got if r.held_out and given[r.doc_id].lang]
+    assert sum(r.lang_pred == given[r.doc_id].lang for r in sure) >= 0.95 * len(sure)
+
+
 @needs_data
 def test_held_out_accuracy_and_spans(spark) -> None:
     folder = DATA.replace("sf0.001", "sf0.01")
@@ -356,6 +479,13 @@ def test_every_participant_is_the_assistant_once(spark) -> None:
     assert perspectives.render(turns.where("false")).count() == 0
 
 
+def test_turns_of_one_number_and_speaker_are_ordered_by_text(spark) -> None:
+    texts = ["b", "a", "f", "c", "e", "d", "x" * 100 + "2", "x" * 100 + "1"]
+    turns = spark.createDataFrame([(1, 1, "ann", t) for t in texts] + [(1, 1, "bob", "z")], "conv_id long, turn long, role string, text string")
+    got = sorted((r.position, r.segment) for r in perspectives.render(turns).where("perspective = 'bob'").collect())
+    assert [s.split("\n")[1].removesuffix("<|im_end|>") for _, s in got] == [*sorted(texts), "z"]
+
+
 # 10
 
 def test_lists_rule_from_their_dates(spark) -> None:
@@ -429,6 +559,41 @@ def test_the_near_dedup_stage_keeps_one_row_of_each_class(spark) -> None:
     assert {(r.doc_id, r.text[0], r.n_chars) for r in got.collect()} == {(None, "a", 1), (4, "b", 1), (5, "c", 1), (5, "d", 1), (None, "e", 1)} and got.count() == 5
 
 
+def test_stages_leave_other_columns_alone(spark) -> None:
+    import corpus_pipeline
+
+    good = [(i, f"the of and with that nothing number{i} is for words on this page of text {i * 7}", "en", f"src{i % 2}", 1) for i in range(12)]
+    extra = {"domain": "MINE", "language": "LANG", "origin": "ORI", "copies": "99", "a.b": "dot", "lang_pred": "x", "score": "y", "root": "r", "text_id": "t", "we`ird": "w"}
+    table = spark.createDataFrame([*good, good[2]], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, value in extra.items():
+        table = table.withColumn(name, F.lit(value))
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, table, "")
+        assert out.columns == table.columns, name
+        rows = [r.asDict() for r in out.collect()]
+        assert rows and all({k: r[k] for k in extra} == extra for r in rows), name
+        assert stage(spark, table.where("false"), "").count() == 0
+    assert corpus_pipeline.STAGES[3][1](spark, table, "").count() == 26
+
+
+@needs_data
+def test_queries_run_over_a_whole_table(spark) -> None:
+    n = spark.read.parquet(f"{DATA}/documents.parquet").count()
+    assert queries.op2_token_counts(spark, DATA).count() == n
+    prints = queries.op6_simhash(spark, DATA).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    assert len(prints) == n and all(int(r.fingerprint, 16) == slow_fingerprint(texts[r.doc_id]) for r in prints)
+    assert queries.op7_segmentations(spark, DATA).where("not round_trip").count() == 0
+
+
+@needs_data
+def test_the_pipeline_runs_over_a_whole_table(spark) -> None:
+    import corpus_pipeline
+
+    rows = corpus_pipeline.run(spark, DATA).select("doc_id", "round_trip").collect()
+    assert rows and all(r.round_trip for r in rows)
+
+
 @needs_data
 def test_the_pipeline_keeps_what_it_should(spark) -> None:
     import corpus_pipeline
