@@ -7,15 +7,17 @@ takes one JSON line and gives one, within a bound of bytes.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.paths import under
-from spanloom.operators import analytics, bundles, impact, search, traverse
+from spanloom.functions.paths import escapes, under
+from spanloom.operators import analytics, bundles, filters, impact, index, search, traverse
+from spanloom.operators.shared import cut
 from spanloom.plans.model import VERSION, alive, as_of
-from spanloom.sources import extract, repository
+from spanloom.sources import repository
 
 Result = DataFrame | dict[str, DataFrame]
 
@@ -32,15 +34,26 @@ class Engine:
 
     def __init__(self, files: DataFrame, symbols: DataFrame, edges: DataFrame, metrics: DataFrame, sources: DataFrame | None = None, pairs: DataFrame | None = None):
         self.files, self.symbols, self.edges, self.metrics, self.sources, self.pairs = files, symbols, edges, metrics, sources, pairs
+        self.tables: index.Tables | None = None
+        self.latest = VERSION
+
+    def use(self, tables: index.Tables) -> None:
+        """Answers from tables of the write path, by default from their last version."""
+        self.tables, self.latest = tables, index.next_version(tables.versions) - 1
+        self.files, self.symbols, self.edges, self.metrics = tables.files, tables.symbols, tables.edges, tables.metrics.where(F.col("graph_version") == self.latest)
 
     def call(self, method: str, params: dict | None = None) -> Result:
         if method not in METHODS:
             raise ValueError(f"no such method: {method}")
         p = dict(params or {})
-        version = p.pop("graph_version", p.pop("as_of", p.pop("version", VERSION)))
+        version = p.pop("graph_version", p.pop("as_of", p.pop("version", self.latest)))
         languages = repository.language_filter(p.pop("languages")) if p.get("languages") else None
-        view = View(self, version, languages, p.pop("paths", []) or [])
-        return METHODS[method](view, **p)
+        prefixes, chosen, short = p.pop("paths", []) or [], p.pop("fields", []) or [], p.pop("compact", False)
+        if away := [x for x in prefixes if escapes(x)]:
+            raise ValueError(f"outside of the repository: {', '.join(away)}")
+        found = METHODS[method](View(self, version, languages, prefixes), **p)
+        shown = lambda rows: filters.projected(filters.compact(rows) if short else rows, [f for f in chosen if f in rows.columns])
+        return {name: shown(rows) for name, rows in found.items()} if isinstance(found, dict) else shown(found)
 
     def answer(self, line: str, most: int = bundles.ANSWER_BYTES) -> str:
         """The JSON answer to a request with ``method`` and ``params``; rows beyond ``most`` bytes are
@@ -63,13 +76,19 @@ class Engine:
         except (ValueError, KeyError, TypeError) as e:
             return json.dumps({"error": f"{type(e).__name__}: {e}"})
 
+    def serve(self, requests: Iterable[str]) -> Iterator[str]:
+        """An answer for each line that is not blank, in order: ``serve(sys.stdin)`` is the JSON-lines loop."""
+        for line in requests:
+            if line.strip():
+                yield self.answer(line)
+
 
 class View:
     """The files, symbols and edges that one call sees."""
 
     def __init__(self, engine: Engine, version: int, languages: list[str] | None, prefixes: list[str]):
         below = under(F.col("path"), prefixes)
-        self.engine = engine
+        self.engine, self.version = engine, version
         self.files = engine.files.where(alive(version)).where(below)
         if languages:
             self.files = self.files.where(F.col("language").isin(*languages))
@@ -77,40 +96,75 @@ class View:
         self.edges = as_of(engine.edges, engine.files, version, languages).where(below)
         self.metrics = engine.metrics
 
-    def lines(self) -> DataFrame:
+    def sources(self) -> DataFrame:
         if self.engine.sources is None:
             raise ValueError("no sources are given")
-        return search.lines(self.engine.sources)
+        return self.engine.sources
+
+    def lines(self) -> DataFrame:
+        return search.lines(self.sources())
 
     def seeds(self, query: str | int) -> DataFrame:
         return bundles.resolve_seeds(str(query), self.symbols, self.edges)
 
 
-def trace_flow(v: View, start: str, direction: str = "downstream", max_hops: int = 3) -> DataFrame:
-    return traverse.bfs(v.seeds(start), traverse.adjacency(v.edges, traverse.direction(direction)), checked("max_hops", max_hops, 0, 10))
-
-
-def analyze_impact(v: View, query: str, max_depth: int = 3, direction: str = "upstream") -> DataFrame:
-    seeds = traverse.cut(v.seeds(query))
-    reached = impact.direct(seeds, v.edges, checked("max_depth", max_depth, 0, 10), traverse.direction(direction))
-    tests = impact.tests(seeds, v.symbols, v.edges, F.col("name").startswith("test_"))
-    pairs = v.engine.pairs
-    history = reached.where("false").select("id", F.lit(0.0).alias("frequency")) if pairs is None else impact.historical(seeds, v.symbols, pairs)
-    return impact.fuse(reached, tests, history, v.symbols)
+def trace_flow(v: View, start: str, end: str | None = None, direction: str = "downstream", max_hops: int = 5, kinds: list[str] | None = None, max_bytes: int = traverse.TRACE_BYTES, offset: int = 0) -> dict[str, DataFrame]:
+    """The hops of a trace from a symbol, to ``end`` if it is given, and how many paths there are."""
+    goal = None
+    if end is not None:
+        first = v.seeds(end).orderBy("id").first()
+        if first is None:
+            raise ValueError(f"no such symbol: {end}")
+        goal = first["id"]
+    hops = cut(traverse.trace_flow(v.seeds(start), v.symbols, v.edges, traverse.direction(direction), tuple(kinds) if kinds else traverse.TRACE_KINDS, checked("max_hops", max_hops, 0, 10), goal, max_bytes, checked("offset", offset, 0, 1_000_000)))
+    return {"hops": hops, "paths": traverse.paths_found(hops, goal)}
+
+
+def analyze_impact(
+    v: View,
+    query: str,
+    max_depth: int = 3,
+    direction: str = "both",
+    kinds: list[str] | None = None,
+    include_tests: bool = True,
+    layers: tuple[str, ...] | list[str] = ("direct", "test", "historical"),
+    min_confidence: float = 0.0,
+    limit: int = 10_000,
+) -> DataFrame:
+    """Impact of a change by the layers asked for, sure enough, nearest first."""
+    if unknown := set(layers) - {"direct", "test", "historical"}:
+        raise ValueError(f"no such layer: {', '.join(sorted(unknown))}")
+    seeds = cut(v.seeds(query))
+    depth = checked("max_depth", max_depth, 0, 10) if "direct" in layers else 0
+    reached = impact.direct(seeds, v.symbols, v.edges, depth, traverse.direction(direction), tuple(kinds) if kinds else None, include_tests)
+    nothing, pairs = reached.where("false"), v.engine.pairs
+    tests = impact.tests(seeds, v.symbols, v.edges, F.col("name").startswith("test_")) if "test" in layers else nothing.select("id", F.lit("").alias("source"))
+    history = impact.historical(seeds, v.symbols, pairs) if "historical" in layers and pairs is not None else nothing.select("id", F.lit(0.0).alias("frequency"))
+    return impact.ranked(impact.fuse(reached, tests, history, v.symbols), min_confidence, checked("limit", limit, 1, 1_000_000))
 
 
 def analyze_diff(v: View, diff: str, max_depth: int = 2) -> dict[str, DataFrame]:
+    """What a unified diff changes and reaches; signatures are compared with the version before."""
     given = v.symbols.sparkSession.createDataFrame([(0, diff)], "diff_id long, text string")
-    return bundles.analyze_diff(repository.hunks(given), v.symbols, v.edges, v.metrics, checked("max_depth", max_depth, 0, 10))
+    before = as_of(v.engine.symbols, v.engine.files, v.version - 1)
+    return bundles.analyze_diff(repository.hunks(given), v.symbols, v.edges, before, checked("max_depth", max_depth, 0, 10))
 
 
-def reindex(v: View, root: str, languages: list[str] | None = None) -> dict[str, DataFrame]:
-    files = repository.scan(v.symbols.sparkSession, root, languages=languages)
-    return {"files": files.drop("text"), "items": extract.extract(files)}
+def reindex(v: View, root: str, languages: list[str] | None = None, commit_sha: str | None = None) -> dict[str, DataFrame]:
+    """A new version of the engine's tables from a tree of files: what it counts, and its symbols and edges."""
+    spark, engine = v.symbols.sparkSession, v.engine
+    scanned = cut(repository.scan(spark, root, languages=languages))
+    made = index.reindex(engine.tables or index.empty(spark), scanned, commit_sha)
+    made = index.Tables(*(cut(getattr(made, f.name)) for f in fields(made)))
+    engine.use(made)
+    version = index.next_version(made.versions) - 1
+    symbols, edges = index.snapshot(made, version)
+    alive_files = made.files.where(alive(version))
+    return {"counts": analytics.overview(alive_files, symbols, edges), "symbols": symbols, "edges": edges}
 
 
 METHODS: dict[str, Callable[..., Result]] = {
-    "search": lambda v, query, context=0, limit=100: bundles.search_text(v.lines(), v.symbols, query, context, checked("limit", limit, 1, 500)),
+    "search": lambda v, query, context=0, limit=100: bundles.search_text(v.sources(), v.symbols, query, context, checked("limit", limit, 1, 500)),
     "explain_symbol": lambda v, query, max_bytes=bundles.ANSWER_BYTES: bundles.explain_symbol(v.seeds(query), v.symbols, v.edges, max_bytes),
     "trace_flow": trace_flow,
     "analyze_impact": analyze_impact,

@@ -49,7 +49,7 @@ def module_prefix(path: Column, depth: int) -> Column:
 
 def under(path: Column, prefixes: list[str]) -> Column:
     """Whether a path is one of the prefixes or below it. Blank prefixes and ``.`` do not restrict."""
-    kept = [p.strip().rstrip("/") for p in prefixes if p.strip() not in ("", ".", "./")]
+    kept = [p for p in (prefix.strip().replace("\\", "/").removeprefix("./").rstrip("/") for prefix in prefixes) if p not in ("", ".")]
     if not kept:
         return F.lit(True)
     out = F.lit(False)
@@ -58,6 +58,22 @@ def under(path: Column, prefixes: list[str]) -> Column:
     return out
 
 
+def normal(path: Column) -> Column:
+    """A path with single slashes and without a leading ``./``."""
+    return F.regexp_replace(F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "/+", "/"), r"^(\./)+", "")
+
+
+def escapes(path: str) -> bool:
+    """Whether a path given from outside would leave the repository."""
+    parts = path.replace("\\", "/").split("/")
+    depth = 0
+    for part in parts:
+        depth += -1 if part == ".." else 0 if part in ("", ".") else 1
+        if depth < 0:
+            return True
+    return path.startswith(("/", "\\", "~")) or ":" in parts[0]
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 

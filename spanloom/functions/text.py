@@ -108,3 +108,22 @@ def utf8_prefix(text: Column, most: int) -> Column:
         lambda a, c: F.when(a.size + F.octet_length(c) <= most, state(a.size + F.octet_length(c), a.n + F.length(c))).otherwise(state(F.lit(most), a.n)),
     )
     return F.left(text, kept.n)
+
+
+def slice_lines(text: Column, first: Column, last: Column) -> Column:
+    """Lines ``first`` to ``last`` of a text (from 1, both in); empty if there are none."""
+    start = F.greatest(first, F.lit(1)).cast("int")
+    return F.array_join(F.slice(F.split(text, "\n"), start, F.greatest(last.cast("int") - start + 1, F.lit(0))), "\n")
+
+
+def line_bytes(text: Column, first: Column, last: Column) -> Column:
+    """start and stop, in bytes, of lines ``first`` to ``last`` of a text, without the last line's end."""
+    before = F.array_join(F.slice(F.split(text, "\n"), 1, F.greatest(first.cast("int") - 1, F.lit(0))), "\n")
+    start = F.when(first > 1, F.octet_length(before) + 1).otherwise(0)
+    return F.struct(start.cast("long").alias("start"), (start + F.octet_length(slice_lines(text, first, last))).cast("long").alias("stop"))
+
+
+def slice_bytes(text: Column, start: Column, stop: Column) -> Column:
+    """The characters of a text between two byte offsets; those that an offset cuts are left out."""
+    part = F.substring(text.cast("binary"), start.cast("int") + 1, F.greatest((stop - start).cast("int"), F.lit(0)))
+    return F.regexp_replace(F.make_valid_utf8(part.cast("string")), "^\ufffd+|\ufffd+$", "")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.functions.names import trailing_name
 from spanloom.functions.paths import first_segment, module_prefix
 
 
@@ -14,11 +15,13 @@ def overview(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFram
     return counted(files, "files").union(counted(symbols, "symbols")).union(counted(edges, "edges"))
 
 
-def coupling(symbols: DataFrame, edges: DataFrame, end: str, limit: int, kinds: tuple[str, ...] | None = None) -> DataFrame:
-    """The symbols with the most edges at one end (target: fan-in, source: fan-out)."""
-    used = edges.where(F.col(end).isNotNull())
-    if kinds:
-        used = used.where(F.col("kind").isin(*kinds))
+# Kinds whose fan-in a module's list shows.
+LISTED_KINDS = ("function", "method", "class", "struct", "interface", "service")
+
+
+def coupling(symbols: DataFrame, edges: DataFrame, end: str, limit: int, kinds: tuple[str, ...] = ("CALLS",)) -> DataFrame:
+    """The symbols with the most calls at one end (target: fan-in, source: fan-out)."""
+    used = edges.where(F.col(end).isNotNull() & F.col("kind").isin(*kinds))
     counts = used.groupBy(F.col(end).alias("id")).agg(F.count(F.lit(1)).alias("edges"))
     return counts.join(symbols.select("id", "kind", "qualname", "path"), "id").orderBy(F.desc("edges"), "id").limit(limit)
 
@@ -26,7 +29,7 @@ def coupling(symbols: DataFrame, edges: DataFrame, end: str, limit: int, kinds:
 def fan_in_by_module(symbols: DataFrame, edges: DataFrame, per_module: int) -> DataFrame:
     """The most called symbols of each top directory."""
     counts = edges.where("kind = 'CALLS' and target is not null").groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("calls"))
-    called = symbols.select("id", "qualname", first_segment(F.col("path")).alias("module")).join(counts, "id")
+    called = symbols.where(F.col("kind").isin(*LISTED_KINDS)).select("id", "qualname", first_segment(F.col("path")).alias("module")).join(counts, "id")
     order = Window.partitionBy("module").orderBy(F.desc("calls"), "id")
     return called.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_module)
 
@@ -94,28 +97,55 @@ def staleness(indexed: DataFrame, scanned: DataFrame) -> DataFrame:
     return old.join(new, "path", "full").groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
 
-# Risk rules over changed symbols: a condition, its name and how severe it is (1 to 3).
-RISK_RULES: tuple[tuple[str, str, int], ...] = (
-    ("callers >= 20", "many callers", 3),
-    ("callers between 5 and 19", "several callers", 2),
-    ("tests = 0 and callers > 0", "used but untested", 2),
-    ("complexity >= 30", "high complexity", 2),
-    ("change = 'added' and tests = 0", "new and untested", 1),
-    ("kind in ('class', 'interface', 'struct')", "type changed", 1),
-)
-SEVERITY = ("low", "medium", "high")
+# How many callers and files make a change risky, kinds that are contracts, and severities by rank.
+MANY_CALLERS, MANY_FILES = 10, 3
+CONTRACT_KINDS = ("interface", "trait", "abstract_class")
+SEVERITIES = ("low", "medium", "high", "critical")
+
+
+def risk_factors(changed: DataFrame, downstream: DataFrame, coverage: DataFrame) -> DataFrame:
+    """factor, severity, subject, n of a change: what makes it risky, of which symbol if of one, how many.
+
+    ``changed``: id, change (signature_changed, added, modified), kind, qualname, language.
+    ``downstream``: callers as ``impact.diff_downstream`` finds them (few), with path and language.
+    ``coverage``: id and status as ``test_coverage`` gives them.
+    """
+    signed = changed.where("change = 'signature_changed'")
+    reach = downstream.agg(F.count(F.lit(1)).alias("callers"), F.count_distinct("path").alias("files"))
+    foreign = downstream.join(changed.select("language").distinct(), "language", "left_anti").agg(F.count(F.lit(1)).alias("n"))
+    bare = coverage.where("status = 'uncovered'").agg(F.count(F.lit(1)).alias("n"))
+
+    def rows(of: DataFrame, name: Column | str, severity: Column | str, n: Column, subject: Column | None = None) -> DataFrame:
+        text = lambda x: x if isinstance(x, Column) else F.lit(x)
+        return of.select(text(name).alias("factor"), text(severity).alias("severity"), (F.lit(None).cast("string") if subject is None else subject).alias("subject"), n.alias("n"))
+
+    callers, qualname, n = F.col("callers"), F.col("qualname"), F.col("n")
+    busy = callers > MANY_CALLERS
+    called = signed.select("qualname").join(F.broadcast(reach.where("callers > 0")))  # one row
+    return (
+        rows(called, F.when(busy, "Signature changed on high-traffic symbol").otherwise("Signature change"), F.when(busy, "critical").otherwise("high"), callers, qualname)
+        .union(rows(foreign.where("n > 0"), "Cross-language impact", "high", n))
+        .union(rows(signed.where(F.col("kind").isin(*CONTRACT_KINDS)), "Interface/contract change", "high", F.lit(1).cast("long"), qualname))
+        .union(rows(reach.where(busy), "High fan-in", "high", callers))
+        .union(rows(reach.where(F.col("files") > MANY_FILES), "Wide blast radius", "medium", F.col("files")))
+        .union(rows(bare.where("n > 0"), "Missing test coverage", "medium", n))
+    )
 
 
-def risk(changed: DataFrame) -> DataFrame:
-    """id, factors, level of changed symbols (kind, change, callers, tests, complexity)."""
-    found = F.array_compact(F.array(*(F.when(F.expr(rule), F.lit(name)) for rule, name, _ in RISK_RULES)))
-    worst = F.greatest(*(F.when(F.expr(rule), F.lit(severity)).otherwise(0) for rule, _, severity in RISK_RULES))
-    level = F.when(worst >= 3, SEVERITY[2]).when(worst == 2, SEVERITY[1]).otherwise(SEVERITY[0])
-    return changed.select("id", F.array_join(found, ",").alias("factors"), level.alias("level"))
+def risk_level(factors: DataFrame) -> DataFrame:
+    """level, factors: the most severe of the factors (low without any) and how many there are."""
+    names = F.array(*map(F.lit, SEVERITIES))
+    rank = F.array_position(names, F.col("severity"))
+    return factors.agg(F.element_at(names, F.coalesce(F.max(rank), F.lit(1)).cast("int")).alias("level"), F.count(F.lit(1)).alias("factors"))
 
 
 def test_coverage(changed: DataFrame, symbols: DataFrame, edges: DataFrame, is_test: Column) -> DataFrame:
-    """id, tests, covered of changed symbols: the distinct tests that call each."""
-    tests = symbols.where(is_test).select(F.col("id").alias("source"))
-    calls = edges.where("kind in ('CALLS', 'XREF')").select("source", F.col("target").alias("id")).join(tests, "source").groupBy("id").agg(F.countDistinct("source").alias("tests"))
-    return changed.select("id").join(calls, "id", "left").select("id", F.coalesce("tests", F.lit(0)).alias("tests"), F.col("tests").isNotNull().alias("covered"))
+    """id, tests, status of changed symbols: the qualnames of the tests that call each, by edge or by name."""
+    tests = symbols.where(is_test).select(F.col("id").alias("source"), F.col("qualname").alias("test"))
+    calls = edges.where("kind = 'CALLS' and source is not null").join(tests, "source").select("test", "target", "target_qualname")
+    own = changed.select("id").join(symbols.select("id", "name"), "id")
+    by_edge = calls.select("test", F.col("target").alias("id")).join(own.select("id"), "id").select("id", "test")
+    by_name = calls.where("target is null").select("test", trailing_name(F.col("target_qualname")).alias("name")).join(own, "name").select("id", "test")
+    found = by_edge.union(by_name).groupBy("id").agg(F.array_sort(F.collect_set("test")).alias("tests"))
+    listed = F.coalesce("tests", F.array().cast("array<string>"))
+    return changed.select("id").join(found, "id", "left").select("id", listed.alias("tests"), F.when(F.size(listed) > 0, "covered").otherwise("uncovered").alias("status"))

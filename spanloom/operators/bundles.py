@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.names import short_name
 from spanloom.functions.paths import is_test_path
-from spanloom.operators import analytics, budget, filters, impact, resolve, search, traverse
+from spanloom.operators import analytics, budget, filters, impact, resolve, search, snapshot, traverse
+from spanloom.operators.shared import cut
 
-#: Bytes of an answer, and the kinds that contexts follow.
+#: Bytes of an answer.
 ANSWER_BYTES = 30_000
-CONTEXT_KINDS = ("CALLS", "IMPORTS", "EXTENDS", "IMPLEMENTS", "REFERENCES", "XREF")
+# Kinds of edges that contexts follow.
+CONTEXT_KINDS = ("CALLS", "CONTAINS", "IMPLEMENTS", "EXTENDS", "IMPORTS", "RPC_IMPL")
 Bundle = dict[str, DataFrame]
 
 
@@ -71,7 +73,7 @@ def file_context(path: str, symbols: DataFrame, edges: DataFrame, each: int = 15
 def gather_context(seeds: DataFrame, symbols: DataFrame, edges: DataFrame, lines: DataFrame, depth: int = 1, most: int = ANSWER_BYTES) -> DataFrame:
     """position, id, path, start_line, content: the seeds' source and that of their neighbours, nearest
     first, regions inside others once, cut where ``most`` bytes are reached."""
-    near = traverse.bfs(seeds, traverse.adjacency(edges, traverse.BOTH, CONTEXT_KINDS, with_bridges=False), depth)
+    near = traverse.bfs(seeds, traverse.ways(symbols, edges, traverse.BOTH, CONTEXT_KINDS, with_bridges=False), depth)
     spans = near.join(symbols.where(~F.col("kind").isin(*filters.MODULE_KINDS)), "id").select("id", "distance", "path", "start_line", "end_line")
     kept = budget.outer_regions(spans.withColumnsRenamed({"start_line": "start", "end_line": "stop"}), ["path"])
     body = kept.join(lines.withColumnRenamed("path", "file"), (F.col("path") == F.col("file")) & F.col("line").between(F.col("start"), F.col("stop")))
@@ -81,16 +83,23 @@ def gather_context(seeds: DataFrame, symbols: DataFrame, edges: DataFrame, lines
     return cut.select(F.row_number().over(Window.partitionBy("answer").orderBy(*order)).alias("position"), "id", "path", F.col("start").alias("start_line"), "content")
 
 
-def analyze_diff(hunks: DataFrame, symbols: DataFrame, edges: DataFrame, metrics: DataFrame, depth: int = 2) -> Bundle:
-    """Changed symbols of a diff's hunks (path, hunk_start, hunk_end), what they reach, tests and risk."""
+def analyze_diff(hunks: DataFrame, symbols: DataFrame, edges: DataFrame, before: DataFrame | None = None, depth: int = 2) -> Bundle:
+    """Changed symbols of a diff's hunks (path, hunk_start, hunk_end), what they reach, tests and risk.
+
+    ``before``: symbols of an earlier snapshot, against which signatures are compared.
+    """
     by_file = hunks.join(symbols.select("path", "file_id").distinct(), "path").select("file_id", "hunk_start", "hunk_end")
     touched = resolve.overlapping(by_file, symbols)
     inner = resolve.innermost_only(symbols.join(touched.select("id"), "id", "left_semi")).select("id")
-    changed = traverse.cut(touched.join(inner, "id").join(symbols.select("id", "kind", "qualname", "path"), "id").select("id", "kind", "qualname", "path", "change"))
+    changed = touched.join(inner, "id").join(symbols.select("id", "kind", "qualname", "path", "language"), "id").select("id", "kind", "qualname", "path", "language", "change")
+    if before is not None:
+        signed = snapshot.signature_changes(before, symbols).select("id", F.lit(True).alias("signed"))
+        changed = changed.join(signed, "id", "left").withColumn("change", F.when(F.col("signed"), "signature_changed").otherwise(F.col("change"))).drop("signed")
+    changed = cut(changed)
     tests = analytics.test_coverage(changed, symbols, edges, is_test_path(F.col("path")) | F.col("name").startswith("test_"))
-    callers = edges.where("kind = 'CALLS' and target is not null").groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("callers"))
-    facts = changed.join(callers, "id", "left").join(tests.select("id", "tests"), "id").join(metrics.select(F.col("symbol_id").alias("id"), "complexity"), "id", "left").fillna(0, ["callers", "complexity"])
-    return {"changed": changed, "downstream": impact.diff_downstream(changed.select("id"), edges, depth), "tests": tests, "risk": analytics.risk(facts)}
+    downstream = cut(impact.diff_downstream(changed.select("id"), symbols, edges, depth).join(symbols.select("id", "qualname", "path", "language"), "id"))
+    factors = analytics.risk_factors(changed, downstream, tests)
+    return {"changed": changed, "downstream": downstream, "tests": tests, "factors": factors, "risk": analytics.risk_level(factors)}
 
 
 def resolve_seeds(query: str, symbols: DataFrame, edges: DataFrame, limit: int = 5) -> DataFrame:
@@ -109,9 +118,9 @@ def dead_code(symbols: DataFrame, edges: DataFrame) -> Bundle:
     return {"symbols": resolve.dead_symbols(symbols, edges), "imports": resolve.unused_imports(edges), "tests": resolve.orphan_tests(symbols)}
 
 
-def search_text(lines: DataFrame, symbols: DataFrame, pattern: str, context: int = 0, limit: int = 100) -> DataFrame:
+def search_text(sources: DataFrame, symbols: DataFrame, pattern: str, context: int = 0, limit: int = 100) -> DataFrame:
     """path, line, content, before, after, symbol: matches and the innermost symbol around each."""
-    hits = search.regex(lines, pattern, min(context, 50)).orderBy("path", "line").limit(min(limit, 500))
+    hits = search.regex(sources, pattern, min(context, 50)).orderBy("path", "line").limit(min(limit, 500))
     points = hits.join(symbols.select("path", "file_id").distinct(), "path").select("path", "file_id", F.col("line").alias("at"))
     around = resolve.enclosing(points, symbols, ["path", "at"]).select("path", F.col("at").alias("line"), F.col("id").alias("symbol"))
     return hits.join(around, ["path", "line"], "left")

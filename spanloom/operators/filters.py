@@ -81,3 +81,39 @@ def filter_edges(edges: DataFrame, include: list[str] | None = None, exclude: li
     if drop_tests:
         wanted.append(~paths.is_test_file(F.col("path")))
     return edges.where(all_of(wanted))
+
+
+# The order of kinds in lists of edges; others come after them.
+EDGE_RANKS = {"CONTAINS": 0, "MODULE_FILE": 1, "EXTENDS": 2, "IMPLEMENTS": 3, "IMPORTS_FILE": 4, "IMPORTS": 5, "CALLS": 6, "XREF": 7}
+OTHER_RANK = 10
+
+
+def edge_order(edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Edges by rank of kind, name of source, name of target and detail, with these names and the rank."""
+    named = lambda end: symbols.select(F.col("id").alias(end), F.col("qualname").alias(f"{end}_name"))
+    rank = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in EDGE_RANKS.items() for x in kv)), F.col("kind")), F.lit(OTHER_RANK))
+    both = edges.join(named("source"), "source", "left").join(named("target"), "target", "left")
+    shown = both.select(*edges.columns, F.coalesce("source_name", F.lit("")).alias("source_name"), F.coalesce("target_name", "target_qualname", F.lit("")).alias("target_name"), rank.alias("rank"))
+    detail = F.coalesce("detail", F.lit("")) if "detail" in edges.columns else F.lit("")
+    return shown.orderBy("rank", "source_name", "target_name", detail, "kind", "line")
+
+
+def projected(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """The fields asked for, in the order of the rows' own; unknown ones are an error, none asks for all."""
+    if unknown := [f for f in fields if f not in rows.columns]:
+        raise ValueError(f"no such field: {', '.join(unknown)}")
+    return rows.select(*(c for c in rows.columns if c in fields)) if fields else rows
+
+
+#: Fields of a compact answer.
+COMPACT = ("id", "kind", "name", "qualname", "path", "start_line", "end_line", "distance", "confidence", "relationship", "edge_kind", "score", "line")
+
+
+def compact(rows: DataFrame) -> DataFrame:
+    """Rows without what a reader can look up: signatures, texts, hashes and versions."""
+    return rows.select(*(c for c in rows.columns if c in COMPACT)) if any(c in COMPACT for c in rows.columns) else rows
+
+
+def sure(rows: DataFrame, least: float) -> DataFrame:
+    """Rows of a confidence of ``least`` or more; without a bound above zero, all."""
+    return rows.where(F.coalesce("confidence", F.lit(0.0)) >= least) if least > 0 else rows

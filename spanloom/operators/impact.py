@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.names import test_target
+from spanloom.functions.paths import is_test_file
 from spanloom.operators.cochange import evidence_confidence, noisy_or
-from spanloom.operators.traverse import UP, adjacency, bfs
+from spanloom.operators.traverse import UP, bfs, ways
 
 NOISE = ("module", "namespace", "package")
 
 
-def direct(seeds: DataFrame, edges: DataFrame, depth: int, way: str = UP, kinds: tuple[str, ...] | None = None) -> DataFrame:
-    """id, distance, parent, kind of what a change of the seeds reaches."""
-    near = adjacency(edges, way, *([kinds] if kinds else []))
-    return bfs(seeds, near, depth)
+def direct(seeds: DataFrame, symbols: DataFrame, edges: DataFrame, depth: int, way: str = UP, kinds: tuple[str, ...] | None = None, include_tests: bool = True) -> DataFrame:
+    """id, distance, parent, kind, via, solid of what a change of the seeds reaches, by all kinds of edges
+    or by ``kinds``. Unresolved calls and settings count upwards by their target's name."""
+    used = edges if include_tests else edges.where(~is_test_file(F.col("path")))
+    return bfs(seeds, ways(symbols, used, way, kinds), depth)
 
 
 def tests(seeds: DataFrame, symbols: DataFrame, edges: DataFrame, is_test: Column) -> DataFrame:
@@ -62,7 +64,16 @@ def summary(fused: DataFrame) -> DataFrame:
     return sets.select(F.when(F.col("g") == 3, "file").when(F.col("g") == 5, "relationship").when(F.col("g") == 6, "distance").otherwise("total").alias("what"), F.coalesce("path", "relationship", F.col("distance").cast("string"), F.lit("all")).alias("which"), "n")
 
 
-def diff_downstream(seeds: DataFrame, edges: DataFrame, depth: int, most: int = 50) -> DataFrame:
-    """Callers of changed symbols by steps; confidence 0.9, less a fifth for each further step."""
-    near = adjacency(edges, UP, ("CALLS",), with_bridges=False)
-    return bfs(seeds, near, depth).where("distance > 0").withColumn("confidence", F.round(0.9 * F.pow(F.lit(0.8), F.col("distance") - 1), 6)).orderBy("distance", "id").limit(most)
+def ranked(fused: DataFrame, min_confidence: float = 0.0, limit: int | None = None) -> DataFrame:
+    """Fused impact sure enough, by distance and name, at most ``limit`` rows."""
+    out = fused.where(F.col("confidence") >= min_confidence).orderBy("distance", "qualname", "id")
+    return out if limit is None else out.limit(limit)
+
+
+def diff_downstream(seeds: DataFrame, symbols: DataFrame, edges: DataFrame, depth: int, most: int = 50) -> DataFrame:
+    """Callers of changed symbols by steps; confidence 0.9, less a fifth for each further step, and less
+    a fifth for a caller that is known by the name it calls alone."""
+    reached = bfs(seeds, ways(symbols, edges, UP, ("CALLS",), with_bridges=False), depth).where("distance > 0")
+    confidence = 0.9 * F.pow(F.lit(0.8), F.col("distance") - 1) * F.when(F.col("solid"), 1.0).otherwise(0.8)
+    label = F.when(F.col("distance") == 1, "caller").otherwise(F.concat(F.lit("caller_depth_"), F.col("distance").cast("string")))
+    return reached.withColumn("confidence", F.round(confidence, 6)).withColumn("relationship", label).orderBy("distance", "id").limit(most)

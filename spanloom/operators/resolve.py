@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.names import orphan_target, trailing_name
 from spanloom.plans.model import BRIDGE_KINDS, COMPLEMENTS
 
-#: Kinds that an unresolved name may stand for.
-TARGET_KINDS = ("function", "method", "class", "struct", "interface", "enum", "trait", "type", "service", "rpc", "module", "table", "view")
+# Kinds that an unresolved name may stand for.
+TARGET_KINDS = ("method", "function", "class", "interface", "struct", "property", "enum", "trait", "type", "record", "service")
+# What may be dead, names that are entry points, edges that are a use and edges that make an entry point.
+DEAD_KINDS = ("function", "method", "class", "struct")
+ENTRY_NAMES = ("main", "__init__", "setup", "teardown", "configure", "register")
+USE_KINDS = ("CALLS", "IMPORTS", "RPC_IMPL", "IMPLEMENTS", "EXTENDS")
+ENTRY_KINDS = ("HTTP_ROUTE", "RPC_IMPL", "CHANNEL_SUBSCRIBE")
+
+
+def crosses(kind: Column) -> Column:
+    """Whether edges of a kind may lead to symbols of another language."""
+    return kind.isin(*BRIDGE_KINDS)
 
 
 def resolve_by_suffix(names: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -20,7 +30,7 @@ def resolve_by_suffix(names: DataFrame, symbols: DataFrame) -> DataFrame:
     so that a name that many edges share is looked up once. Best is: same language, exact, shortest,
     first. Symbols of another language count for bridge kinds alone.
     """
-    asked = names.select("target_qualname", "language", F.col("kind").isin(*BRIDGE_KINDS).alias("may_cross")).distinct().withColumn("last", trailing_name(F.col("target_qualname")))
+    asked = names.select("target_qualname", "language", crosses(F.col("kind")).alias("may_cross")).distinct().withColumn("last", trailing_name(F.col("target_qualname")))
     known = symbols.where(F.col("kind").isin(*TARGET_KINDS)).select("id", "qualname", F.col("language").alias("symbol_language"), trailing_name(F.col("qualname")).alias("last"))
     same = F.col("symbol_language") == F.col("language")
     order = Window.partitionBy("target_qualname", "language", "may_cross").orderBy(same.desc(), (F.col("qualname") == F.col("target_qualname")).desc(), F.length("qualname"), "qualname", "id")
@@ -43,31 +53,36 @@ def repair_dangling(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     return out
 
 
-def dead_symbols(symbols: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = ("function", "method")) -> DataFrame:
-    """Symbols that nothing calls, imports or routes to, and that are no entry point themselves."""
-    used = edges.where(F.col("kind").isin("CALLS", "IMPORTS", "XREF", "RPC_IMPL") & F.col("target").isNotNull()).select(F.col("target").alias("id"))
-    entries = edges.where(F.col("kind").isin("HTTP_ROUTE", "RPC_IMPL", "CHANNEL_SUBSCRIBE")).select(F.col("source").alias("id"))
-    candidates = symbols.where(F.col("kind").isin(*kinds) & ~F.lower("name").startswith("test_") & ~F.col("name").isin("main", "__init__"))
+def dead_symbols(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """Symbols that nothing calls, imports, implements or extends, and that are no entry point themselves."""
+    used = edges.where(F.col("kind").isin(*USE_KINDS) & F.col("target").isNotNull()).select(F.col("target").alias("id"))
+    entries = edges.where(F.col("kind").isin(*ENTRY_KINDS) & F.col("source").isNotNull()).select(F.col("source").alias("id"))
+    candidates = symbols.where(F.col("kind").isin(*DEAD_KINDS) & ~F.col("name").isin(*ENTRY_NAMES))
     return candidates.join(used.union(entries).distinct(), "id", "left_anti")
 
 
 def unused_imports(edges: DataFrame) -> DataFrame:
-    """Imports whose name no other edge of the same file uses."""
-    used = edges.where("kind <> 'IMPORTS' and target_qualname is not null").select("file_id", "target_qualname").distinct()
+    """Imports whose name no call of the same file uses."""
+    used = edges.where("kind = 'CALLS' and target_qualname is not null").select("file_id", "target_qualname").distinct()
     return edges.where("kind = 'IMPORTS' and target_qualname is not null").join(used, ["file_id", "target_qualname"], "left_anti")
 
 
 def orphan_tests(symbols: DataFrame) -> DataFrame:
-    """Test functions whose target's name no symbol has, with that name."""
-    tests = symbols.where(F.col("kind").isin("function", "method") & (F.col("name").startswith("test_") | F.col("name").rlike("^Test|Tests?$|_test$"))).withColumn("wanted", orphan_target(F.col("name")))
+    """Test functions, by name or path, whose target's name no symbol has, with that name."""
+    named = F.col("name").ilike("test%") | F.lower("path").contains("test") | F.lower("path").contains("spec")
+    tests = symbols.where(F.col("kind").isin("function", "method") & named).withColumn("wanted", orphan_target(F.col("name"))).where("wanted <> ''")
     return tests.join(symbols.select(F.col("name").alias("wanted")).distinct(), "wanted", "left_anti")
 
 
 def incoming_by_name(edges: DataFrame, symbols: DataFrame, kind: str, most: int = 100) -> DataFrame:
-    """Edges of a kind whose target name ends with a symbol's name, ``most`` for each symbol."""
+    """Edges of a kind whose target name ends with a symbol's name, ``most`` for each symbol.
+
+    The first edges of a name are the same for all its symbols, so they are chosen before the join.
+    """
     named = edges.where((F.col("kind") == kind) & F.col("source").isNotNull()).select("source", "line", "target_qualname", trailing_name(F.col("target_qualname")).alias("name"))
-    order = Window.partitionBy("id").orderBy("source", "line", "target_qualname")
-    return symbols.select("id", "name").join(named, "name").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("id", "name", "source", "line", "target_qualname", "place")
+    order = Window.partitionBy("name").orderBy("source", "line", "target_qualname")
+    first = named.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    return symbols.select("id", "name").join(first, "name").select("id", "name", "source", "line", "target_qualname", "place")
 
 
 def bridges(edges: DataFrame) -> DataFrame:
@@ -78,27 +93,54 @@ def bridges(edges: DataFrame) -> DataFrame:
     return left.withColumn("other_kind", F.try_element_at(pairs, F.col("kind"))).join(right, ["target_qualname", "other_kind"]).where("from_id <> to_id")
 
 
+#: Lines of a stretch. Intervals are joined by the stretches of a file that they touch.
+STRETCH = 64
+
+
+def _stretches(start: str, stop: str) -> Column:
+    return F.explode(F.sequence(F.expr(f"{start} div {STRETCH}"), F.expr(f"greatest({start}, {stop}) div {STRETCH}")))
+
+
 def enclosing(points: DataFrame, symbols: DataFrame, keys: list[str]) -> DataFrame:
-    """``points`` (file_id, at) with the innermost symbol around each: modules last, then shortest."""
-    spans = symbols.select("file_id", "id", "kind", "start_line", "end_line")
-    order = Window.partitionBy(*keys).orderBy(F.when(F.col("kind") == "module", 1).otherwise(0), F.col("end_line") - F.col("start_line"), F.desc("start_line"), "id")
-    return points.join(spans, "file_id").where("at between start_line and end_line").withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
+    """``points`` (file_id, at) with the innermost symbol around each: modules last, then shortest.
+
+    Of symbols with the same lines one is compared; points meet the symbols of their stretch of lines alone.
+    """
+    last = F.when(F.col("kind") == "module", 1).otherwise(0).alias("last")
+    spans = symbols.groupBy("file_id", last, "start_line", "end_line").agg(F.min("id").alias("id"))
+    spans = spans.where("end_line >= start_line").select("*", _stretches("start_line", "end_line").alias("stretch"))
+    order = Window.partitionBy(*keys).orderBy("last", F.col("end_line") - F.col("start_line"), F.desc("start_line"), "id")
+    met = points.withColumn("stretch", F.expr(f"at div {STRETCH}")).join(spans, ["file_id", "stretch"]).where("at between start_line and end_line")
+    return met.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place", "stretch", "last")
 
 
 def overlapping(hunks: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Symbols that a change touches: added if a hunk covers one whole, else modified."""
-    met = hunks.join(symbols.select("file_id", "id", "start_line", "end_line"), "file_id").where("start_line <= hunk_end and end_line >= hunk_start")
+    """Symbols that a change touches: added if a hunk covers one whole, else modified.
+
+    A hunk and a symbol meet in the stretch in which their common lines begin.
+    """
+    own = symbols.select("file_id", "id", "start_line", "end_line", _stretches("start_line", "end_line").alias("stretch"))
+    given = hunks.select("file_id", "hunk_start", "hunk_end", _stretches("hunk_start", "hunk_end").alias("stretch"))
+    met = given.join(own, ["file_id", "stretch"]).where(f"start_line <= hunk_end and end_line >= hunk_start and greatest(start_line, hunk_start) div {STRETCH} = stretch")
     inside = F.max((F.col("start_line") >= F.col("hunk_start")) & (F.col("end_line") <= F.col("hunk_end")))
     return met.groupBy("file_id", "id").agg(F.when(inside, "added").otherwise("modified").alias("change"), F.count(F.lit(1)).alias("hunks"))
 
 
 def innermost_only(symbols: DataFrame) -> DataFrame:
-    """Symbols without another one of the same file strictly inside them."""
-    inner = symbols.select("file_id", F.col("start_line").alias("a"), F.col("end_line").alias("b"))
-    return symbols.join(inner, (symbols.file_id == inner.file_id) & (inner.a >= symbols.start_line) & (inner.b <= symbols.end_line) & ((inner.a > symbols.start_line) | (inner.b < symbols.end_line)), "left_anti")
+    """Symbols without another one of the same file strictly inside them.
+
+    One is inside if it begins on the same line and ends earlier, or begins later and ends no later: the
+    least end of each line, and of all lines after it, decide. No pairs are formed.
+    """
+    ends = symbols.groupBy("file_id", "start_line").agg(F.min("end_line").alias("least"))
+    after = Window.partitionBy("file_id").orderBy("start_line").rowsBetween(1, Window.unboundedFollowing)
+    ends = ends.withColumn("later", F.min("least").over(after))
+    kept = (F.col("least") >= F.col("end_line")) & (F.col("later").isNull() | (F.col("later") > F.col("end_line")))
+    return symbols.join(ends, ["file_id", "start_line"]).where(kept).select(*symbols.columns)
 
 
 def members(containers: DataFrame, symbols: DataFrame) -> DataFrame:
     """container_id, id of the symbols inside each container's lines."""
-    outer = containers.select("file_id", F.col("id").alias("container_id"), F.col("start_line").alias("a"), F.col("end_line").alias("b"))
-    return symbols.select("file_id", "id", "start_line", "end_line").join(outer, "file_id").where("start_line >= a and end_line <= b and id <> container_id").select("container_id", "id")
+    outer = containers.select("file_id", F.col("id").alias("container_id"), F.col("start_line").alias("a"), F.col("end_line").alias("b")).select("*", _stretches("a", "b").alias("stretch"))
+    inner = symbols.select("file_id", "id", "start_line", "end_line", F.expr(f"start_line div {STRETCH}").alias("stretch"))
+    return inner.join(outer, ["file_id", "stretch"]).where("start_line >= a and end_line <= b and id <> container_id").select("container_id", "id")

@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.paths import path_bonus
 from spanloom.functions.text import line_tokens, similarity
+from spanloom.functions.text import words as plain_words
+from spanloom.operators.shared import cut
 
-EXACT_SCORE = 10.0
-FUZZY_WEIGHT = 1.5
+# What hits score, how many are ranked for each one shown, and the length of a lone token.
+EXACT_SCORE, FUZZY_WEIGHT = 10.0, 1.5
+FETCH_TIMES, FETCH_CAP = 4, 500
+LEAST_TOKEN = 4
 
-# Words that are no reference to a symbol.
-STOPWORDS = ("a", "an", "and", "any", "as", "asc", "begin", "between", "by", "case", "create", "delete", "desc", "distinct", "drop", "else", "end", "exists", "false", "from", "full", "group", "having", "if", "in", "inner", "insert", "into", "is", "join", "left", "like", "limit", "not", "null", "offset", "on", "or", "order", "outer", "primary", "return", "right", "select", "set", "then", "true", "union", "update", "values", "when", "where", "with")
+def _cut(text: Column) -> Column:
+    return F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\n$", ""), "\n")
 
 
 def lines(sources: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """path, line (from 1), content of every line; a last empty line is none."""
-    cut = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\n$", ""), "\n")
-    return sources.select(F.col(path).alias("path"), F.posexplode(cut).alias("at", "content")).select("path", (F.col("at") + 1).cast("long").alias("line"), "content")
+    return sources.select(F.col(path).alias("path"), F.posexplode(_cut(F.col(text))).alias("at", "content")).select("path", (F.col("at") + 1).cast("long").alias("line"), "content")
 
 
 def exact(rows: DataFrame, query: str, limit: int | None = None) -> DataFrame:
@@ -27,78 +30,74 @@ def exact(rows: DataFrame, query: str, limit: int | None = None) -> DataFrame:
     return found if limit is None else found.orderBy("path", "line").limit(limit)
 
 
-def regex(rows: DataFrame, pattern: str, context: int = 0) -> DataFrame:
-    """path, line, content, before, after of the lines that match, with lines around them."""
+def regex(sources: DataFrame, pattern: str, context: int = 0) -> DataFrame:
+    """path, line, content, before, after of the lines that match, with lines around them.
+
+    ``sources``: path, text. Only lines that match leave a text, with their neighbours, so nothing is shuffled.
+    """
     if not pattern or len(pattern.encode()) > 10_000:
         raise ValueError("a pattern of 1 to 10000 bytes is needed")
-    order = Window.partitionBy("path").orderBy("line")
-    around = lambda a, b: F.array_join(F.collect_list("content").over(order.rowsBetween(a, b)), "\n")
-    shown = rows.withColumn("before", around(-context, -1) if context else F.lit("")).withColumn("after", around(1, context) if context else F.lit(""))
-    return shown.where(F.col("content").rlike(pattern))
+    rows = sources.select("path", _cut(F.col("text")).alias("rows"))
+    at = F.filter(F.sequence(F.lit(1), F.size("rows")), lambda i: F.element_at("rows", i).rlike(pattern))
+    first = lambda i: F.greatest(i - context, F.lit(1))
+    joined = lambda start, n: F.array_join(F.slice("rows", start, n), "\n")
+    around = (lambda i: (joined(first(i), i - first(i)), joined(i + 1, F.lit(context)))) if context else (lambda i: (F.lit(""), F.lit("")))
+    shown = F.transform(at, lambda i: F.struct(i.cast("long").alias("line"), F.element_at("rows", i).alias("content"), around(i)[0].alias("before"), around(i)[1].alias("after")))
+    return rows.select("path", F.inline(shown))
+
+
+def query_tokens(spark: SparkSession, query: str) -> list[str]:
+    """The distinct tokens of a query, in order; none if they do not suffice for a fuzzy search."""
+    found = spark.range(1).select(F.array_distinct(line_tokens(F.lit(query))).alias("t")).first()["t"]
+    return found if len(found) > 1 or found and len(found[0]) >= LEAST_TOKEN else []
 
 
 def fuzzy(rows: DataFrame, tokens: list[str]) -> DataFrame:
     """path, score, line of files in which a line comes close to each token.
 
-    Best similarities are taken per line and token first, then per file: two aggregations with map-side
-    combination, whatever a file's length. Files must reach a token's least score for every token; near
-    lines and many lines add to the score. The line reported has the largest sum, the first of equals.
+    Similarities are taken once for each distinct word, and the few that are similar to a token are
+    joined back to the lines. Best similarities are taken per line and token first, then per file: two
+    aggregations with map-side combination, whatever a file's length. Files must reach a token's least
+    score for every token; near lines and many lines add to the score. The line reported has the largest
+    sum, the first of equals.
     """
     if not tokens:
         raise ValueError("a token is needed")
     base = 0.45 if len(tokens) > 1 else 0.6
     asked = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(t).alias("token"), F.lit(base + (0.1 if len(t) <= 3 else 0.0)).alias("least")) for i, t in enumerate(tokens)))
-    words = rows.select("path", "line", F.explode(F.array_distinct(line_tokens(F.col("content")))).alias("word"))
-    near = words.select("path", "line", "word", F.inline(asked)).withColumn("s", similarity(F.col("token"), F.col("word"))).where("s > 0")
-    per_line = near.groupBy("path", "line", "i", "least").agg(F.max("s").alias("s"))
+    words = rows.select("path", "line", F.explode(plain_words(F.col("content"))).alias("word"))
+    forms = words.select("word").distinct().select("word", F.explode(line_tokens(F.col("word"))).alias("form"))
+    close = forms.select("word", "form", F.inline(asked)).withColumn("s", similarity(F.col("token"), F.col("form"))).where("s > 0")
+    near = cut(close.groupBy("word", "i", "least").agg(F.max("s").alias("s")))
+    per_line = words.join(near, "word").groupBy("path", "line", "i", "least").agg(F.max("s").alias("s"))
     per_token = per_line.groupBy("path", "i", "least").agg(F.max("s").alias("best"), F.max(F.struct("s", (-F.col("line")).alias("l"))).alias("where")).where("best >= least - 1e-9")
     per_file = per_token.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum("best").alias("total"), (F.max("where.l") - F.min("where.l")).alias("span")).where(F.col("n") == len(tokens))
     sums = per_line.groupBy("path", "line").agg(F.sum("s").alias("sum")).groupBy("path").agg(F.count(F.lit(1)).alias("hits"), F.max(F.struct(F.round("sum", 9).alias("s"), (-F.col("line")).alias("l"))).alias("top"))
-    close = F.when(F.lit(len(tokens) < 2), 0.0).when(F.col("span") == 0, 2.0).when(F.col("span") <= 3, 1.0).when(F.col("span") <= 10, 0.5).otherwise(0.0)
-    score = F.col("total") + close + F.least(F.col("hits") * 0.1, F.lit(1.0))
+    close_by = F.when(F.lit(len(tokens) < 2), 0.0).when(F.col("span") == 0, 2.0).when(F.col("span") <= 3, 1.0).when(F.col("span") <= 10, 0.5).otherwise(0.0)
+    score = F.col("total") + close_by + F.least(F.col("hits") * 0.1, F.lit(1.0))
     return per_file.join(sums, "path").select("path", F.round(score, 6).alias("score"), (-F.col("top.l")).alias("line"))
 
 
-def ranked(rows: DataFrame, query: str, tokens: list[str], limit: int) -> DataFrame:
-    """path, line, score, engine: exact hits and fuzzy hits of other lines, best first.
-
-    A query with a path or address in it is searched exactly alone.
-    """
-    hits = exact(rows, query).select("path", "line", (F.lit(EXACT_SCORE) + path_bonus(F.col("path"))).alias("score"), F.lit("exact").alias("engine"))
-    if not any(s in query for s in ("/", "\\")) and tokens:
-        loose = fuzzy(rows, tokens).select("path", "line", (F.col("score") * FUZZY_WEIGHT + path_bonus(F.col("path"))).alias("score"), F.lit("fuzzy").alias("engine"))
-        hits = hits.union(loose.join(hits.select("path", "line"), ["path", "line"], "left_anti"))
-    return hits.select("path", "line", F.round("score", 6).alias("score"), "engine").orderBy(F.desc("score"), "path", "line").limit(limit)
-
-
-def literal_tokens(text: Column) -> Column:
-    """Words of a string literal that may name a symbol."""
-    words = F.transform(F.regexp_extract_all(text, F.lit("([A-Za-z0-9_.:/$@]+)"), F.lit(1)), lambda w: F.regexp_replace(w, "^[.:/]+|[.:/]+$", ""))
-    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 4) & w.rlike("[A-Za-z]") & ~F.lower(w).isin(*STOPWORDS) & ((F.length(w) >= 6) | ~w.rlike("^[a-z]+$"))))
+def fetch_limit(limit: int) -> int:
+    """How many hits are ranked to find the best ``limit``."""
+    return min(FETCH_CAP, max(limit, FETCH_TIMES * limit))
 
 
-# How sure a match by each form of a symbol's key is, and what each form of a token costs.
-KEY_SCORES = {"qualname": 0.7, "short": 0.65, "name": 0.6, "lower_qualname": 0.55, "lower_short": 0.55, "lower_name": 0.45}
-FORM_COSTS = {"exact": 0.0, "normal": 0.05, "lower": 0.1, "lower_normal": 0.15}
-LEAST_XREF = 0.7
+def merged(hits: DataFrame, loose: DataFrame) -> DataFrame:
+    """Hits (path, line, score, engine) and those of ``loose`` at other places."""
+    return hits.union(loose.join(hits.select("path", "line"), ["path", "line"], "left_anti"))
 
 
-def cross_references(literals: DataFrame, symbols: DataFrame) -> DataFrame:
-    """source_language, token, id, confidence: the one symbol of another language that a token names.
-
-    Forms of tokens and keys of symbols meet by equality. A token that names two symbols equally well
-    names none.
-    """
-    c = F.col
-    plain = lambda x: F.replace(F.replace(x, F.lit("::"), F.lit(".")), F.lit("/"), F.lit("."))
-    entry = lambda value, name, number: F.struct(value.alias("key"), F.lit(number).alias(name))
-    forms = F.array(*(entry(v, "cost", FORM_COSTS[k]) for k, v in {"exact": c("token"), "normal": plain(c("token")), "lower": F.lower("token"), "lower_normal": F.lower(plain(c("token")))}.items()))
-    short = F.substring_index("qualname", ".", -2)
-    keys = F.array(*(entry(v, "base", KEY_SCORES[k]) for k, v in {"qualname": c("qualname"), "short": short, "name": c("name"), "lower_qualname": F.lower("qualname"), "lower_short": F.lower(short), "lower_name": F.lower("name")}.items()))
-    asked = literals.select("language", "token").distinct().select("language", "token", F.inline(forms)).groupBy("language", "token", "key").agg(F.min("cost").alias("cost"))
-    known = symbols.select("id", c("language").alias("symbol_language"), F.inline(keys.alias("k"))).groupBy("id", "symbol_language", "key").agg(F.max("base").alias("base"))
-    bonus = F.when(c("token").rlike("[._:/]"), 0.2).otherwise(0.0) + F.when(F.length("token") >= 12, 0.2).when(F.length("token") >= 8, 0.1).otherwise(0.0) + F.when(c("token").rlike("[a-z]") & c("token").rlike("[A-Z]"), 0.05).otherwise(0.0)
-    scored = asked.join(known, "key").where(c("language") != c("symbol_language")).groupBy("language", "token", "id").agg(F.max(c("base") - c("cost")).alias("match")).withColumn("score", F.round(F.least(c("match") + bonus, F.lit(1.0)), 6)).where(c("score") >= LEAST_XREF)
-    best = scored.groupBy("language", "token").agg(F.max("score").alias("confidence"))
-    top = scored.join(best, ["language", "token"]).where("score = confidence").groupBy("language", "token").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("confidence").alias("confidence"))
-    return top.where("n = 1").select(c("language").alias("source_language"), "token", "id", "confidence")
+def ranked(rows: DataFrame, query: str, limit: int) -> DataFrame:
+    """path, line, score, engine: exact hits and, where they are too few or none is in code, fuzzy hits
+    of other lines, best first. A query with a path or address in it is searched exactly alone."""
+    best = [F.desc("score"), "path", "line"]
+    most = fetch_limit(limit)
+    score = lambda c: F.round(c + path_bonus(F.col("path")), 6).alias("score")
+    hits = cut(exact(rows, query).select("path", "line", score(F.lit(EXACT_SCORE)), F.lit("exact").alias("engine")).orderBy(*best).limit(most))
+    literal = any(sign in query for sign in ("/", "\\"))
+    if not literal and (hits.limit(limit).count() < limit or hits.where(F.col("score") >= EXACT_SCORE).isEmpty()):
+        if tokens := query_tokens(rows.sparkSession, query):
+            loose = fuzzy(rows, tokens).orderBy(F.desc("score"), "path").limit(most)
+            hits = merged(hits, loose.select("path", "line", score(F.col("score") * FUZZY_WEIGHT), F.lit("fuzzy").alias("engine")))
+    return hits.orderBy(*best).limit(limit)

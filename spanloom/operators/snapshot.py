@@ -46,3 +46,13 @@ def apply_diff(symbols: DataFrame, edges: DataFrame, states: DataFrame, new_rows
     for end in ("source", "target"):
         out = out.join(gone.select(F.col("id").alias("\0gone")), F.col(end) == F.col("\0gone"), "left").withColumn(end, F.when(F.col("\0gone").isNull(), F.col(end))).drop("\0gone")
     return kept.unionByName(fresh.select(*symbols.columns)), out
+
+
+def signature_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """id, qualname, before, after of symbols whose signature is another than in an earlier snapshot.
+
+    Symbols of one qualified name and kind are the same; of several earlier ones the smallest id counts.
+    """
+    was = before.groupBy("qualname", "kind").agg(F.min_by(F.struct("signature"), "id").alias("was"))
+    met = after.select("id", "qualname", "kind", "signature").join(was, ["qualname", "kind"])
+    return met.where(~F.col("was.signature").eqNullSafe(F.col("signature"))).select("id", "qualname", F.col("was.signature").alias("before"), F.col("signature").alias("after"))

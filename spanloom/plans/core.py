@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import paths
 from spanloom.functions.names import test_target
-from spanloom.operators import analytics, budget, cochange, filters, impact, resolve, traverse
+from spanloom.operators import analytics, budget, cochange, filters, impact, resolve, snapshot, traverse
 from spanloom.plans.model import PREFIX, VERSION, Graph, alive, as_of, graph, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,7 @@ class Snapshot:
     """The graph at the queries' version: f(iles), s(ymbols) and e(dges) with path and language."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.folder = spark, sf_dir
         self.all: Graph = graph(spark, sf_dir)
         self.f = self.all.files.where(alive())
         self.s = as_of(self.all.symbols, self.all.files)
@@ -98,7 +99,7 @@ def _(g: Snapshot) -> DataFrame:
     return found.select("path", "line", "source", "target", "kind", "confidence", "event_ts")
 
 
-@over_graph("edge_filter", "SELECT kind, count(*) AS n FROM e WHERE kind <> 'IMPORTS' AND target IS NOT NULL GROUP BY kind")
+@over_graph("edge_filter", "SELECT kind, count(*) AS n FROM e WHERE kind <> 'IMPORTS' AND target IS NOT NULL AND path NOT LIKE '%/tests/%' GROUP BY kind")
 def _(g: Snapshot) -> DataFrame:
     return filters.filter_edges(g.e, exclude=["IMPORTS"], resolved_only=True, drop_tests=True).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -110,16 +111,16 @@ def _(g: Snapshot) -> DataFrame:
 
 # joins by name
 
-@over_graph(
-    "fuzzy_suffix_resolve",
-    """, asked AS (
+RESOLVED = """, asked AS (
   SELECT DISTINCT target_qualname, language, kind IN ('RPC_IMPL','RPC_CALL','RPC_ROUTE','HTTP_ROUTE','HTTP_CALL','CHANNEL_PUBLISH','CHANNEL_SUBSCRIBE','CONFIG_SOURCE','CONFIG_READ','CONFIG_BIND','XREF') AS may_cross FROM e WHERE target IS NULL AND target_qualname IS NOT NULL
 ), ranked AS (
   SELECT a.*, id, row_number() OVER (PARTITION BY target_qualname, a.language, may_cross ORDER BY CASE WHEN s.language = a.language THEN 0 ELSE 1 END, CASE WHEN qualname = target_qualname THEN 0 ELSE 1 END, length(qualname), qualname, id) AS place
   FROM asked a JOIN s ON regexp_extract(qualname, '([^.:]*)$', 1) = regexp_extract(target_qualname, '([^.:]*)$', 1)
-  WHERE (s.language = a.language OR may_cross) AND s.kind IN ('function','method','class','struct','interface','enum','trait','type','service','rpc','module','table','view'))
-SELECT target_qualname, language, may_cross, id AS resolved_id FROM ranked WHERE place = 1""",
-)
+  WHERE (s.language = a.language OR may_cross) AND s.kind IN ('method','function','class','interface','struct','property','enum','trait','type','record','service')
+), resolved AS (SELECT target_qualname, language, may_cross, id AS resolved_id FROM ranked WHERE place = 1)"""
+
+
+@over_graph("fuzzy_suffix_resolve", RESOLVED + " SELECT * FROM resolved")
 def _(g: Snapshot) -> DataFrame:
     return resolve.resolve_by_suffix(g.e.where("target is null and target_qualname is not null"), g.s)
 
@@ -135,17 +136,21 @@ def _(g: Snapshot) -> DataFrame:
     return resolve.repair_dangling(g.e, g.s).groupBy("kind").agg(F.count(F.lit(1)).alias("edges"), F.count("source").alias("sources"), F.count("target").alias("targets"))
 
 
-@over_graph("dead_symbols", "SELECT id, qualname, path FROM s WHERE kind IN ('function', 'method') AND NOT starts_with(lower(name), 'test_') AND name NOT IN ('main', '__init__') AND NOT EXISTS (SELECT 1 FROM e WHERE e.target = s.id AND e.kind IN ('CALLS','IMPORTS','XREF','RPC_IMPL')) AND NOT EXISTS (SELECT 1 FROM e WHERE e.source = s.id AND e.kind IN ('HTTP_ROUTE','RPC_IMPL','CHANNEL_SUBSCRIBE'))")
+@over_graph(
+    "dead_symbols",
+    """, used AS (SELECT DISTINCT target AS id FROM e WHERE kind IN ('CALLS', 'IMPORTS', 'RPC_IMPL', 'IMPLEMENTS', 'EXTENDS') AND target IS NOT NULL), entries AS (SELECT DISTINCT source AS id FROM e WHERE kind IN ('HTTP_ROUTE', 'RPC_IMPL', 'CHANNEL_SUBSCRIBE') AND source IS NOT NULL)
+SELECT id, qualname, path FROM s WHERE kind IN ('function', 'method', 'class', 'struct') AND name NOT IN ('main', '__init__', 'setup', 'teardown', 'configure', 'register') AND id NOT IN (SELECT id FROM used) AND id NOT IN (SELECT id FROM entries)""",
+)
 def _(g: Snapshot) -> DataFrame:
     return resolve.dead_symbols(g.s, g.e).select("id", "qualname", "path")
 
 
-@over_graph("unused_imports", "SELECT file_id, target_qualname, source, line FROM e WHERE kind = 'IMPORTS' AND NOT EXISTS (SELECT 1 FROM e o WHERE o.file_id = e.file_id AND o.target_qualname = e.target_qualname AND o.kind <> 'IMPORTS')")
+@over_graph("unused_imports", ", used AS (SELECT DISTINCT file_id, target_qualname, true AS called FROM e WHERE kind = 'CALLS' AND target_qualname IS NOT NULL) SELECT file_id, target_qualname, source, line FROM e LEFT JOIN used USING (file_id, target_qualname) WHERE kind = 'IMPORTS' AND target_qualname IS NOT NULL AND called IS NULL")
 def _(g: Snapshot) -> DataFrame:
     return resolve.unused_imports(g.e).select("file_id", "target_qualname", "source", "line")
 
 
-@over_graph("orphan_tests", "SELECT id, name, substr(name, 6) AS wanted FROM s WHERE kind IN ('function', 'method') AND starts_with(name, 'test_') AND substr(name, 6) NOT IN (SELECT name FROM s)")
+@over_graph("orphan_tests", "SELECT id, name, wanted FROM (SELECT *, CASE WHEN starts_with(name, 'test_') THEN substr(name, 6) ELSE name END AS wanted FROM s WHERE kind IN ('function', 'method') AND (name ILIKE 'test%' OR path ILIKE '%test%' OR path ILIKE '%spec%')) WHERE wanted <> '' AND wanted NOT IN (SELECT name FROM s)")
 def _(g: Snapshot) -> DataFrame:
     return resolve.orphan_tests(g.s).select("id", "name", "wanted")
 
@@ -192,17 +197,17 @@ def _(g: Snapshot) -> DataFrame:
     return resolve.innermost_only(g.s.where("kind in ('class', 'struct')")).select("id")
 
 
-@over_graph("container_members", "SELECT c.id AS container_id, s.id FROM s c JOIN s ON s.file_id = c.file_id AND s.start_line >= c.start_line AND s.end_line <= c.end_line AND s.id <> c.id WHERE c.kind = 'class' AND c.id % 20 = 0")
+@over_graph("container_members", "SELECT c.id AS container_id, s.id FROM s c JOIN s ON s.file_id = c.file_id AND s.start_line >= c.start_line AND s.end_line <= c.end_line AND s.id <> c.id WHERE c.kind = 'class'")
 def _(g: Snapshot) -> DataFrame:
-    return resolve.members(g.s.where("kind = 'class' and id % 20 = 0"), g.s)
+    return resolve.members(g.s.where("kind = 'class'"), g.s)
 
 
-@over_graph("version_signature_change", "SELECT a.id, a.qualname, a.signature AS before, b.signature AS after FROM (SELECT *, CASE WHEN id % 4 = 0 THEN '(old)' ELSE signature END AS sig FROM s WHERE id < 2000000) x JOIN s a ON a.id = x.id JOIN s b ON b.id = x.id WHERE false UNION ALL SELECT id, qualname, CASE WHEN id % 4 = 0 THEN '(old)' ELSE signature END, signature FROM s WHERE id < 2000000 AND id % 4 = 0 AND signature IS DISTINCT FROM '(old)'")
+BEFORE = f", old AS (SELECT g_symbols.* FROM g_symbols JOIN g_files USING (file_id) WHERE graph_version = {VERSION - 1} AND (deleted_version IS NULL OR deleted_version > {VERSION - 1})), was AS (SELECT qualname, kind, arg_min(struct_pack(sig := signature), id).sig AS before FROM old GROUP BY qualname, kind), sig AS (SELECT s.id, s.qualname, before, signature AS after FROM s JOIN was USING (qualname, kind) WHERE before IS DISTINCT FROM signature)"
+
+
+@over_graph("version_signature_change", BEFORE + " SELECT * FROM sig")
 def _(g: Snapshot) -> DataFrame:
-    now = g.s.where("id < 2000000").select("id", "qualname", "kind", "signature")
-    was = now.withColumn("signature", F.when(F.col("id") % 4 == 0, "(old)").otherwise(F.col("signature")))
-    joined = was.withColumnRenamed("signature", "before").join(now.select("id", F.col("signature").alias("after")), "id")
-    return joined.where(~F.col("before").eqNullSafe(F.col("after"))).select("id", "qualname", "before", "after")
+    return snapshot.signature_changes(as_of(g.all.symbols, g.all.files, VERSION - 1), g.s)
 
 
 # analytics
@@ -217,17 +222,17 @@ def _(g: Snapshot) -> DataFrame:
     return g.e.where((F.col("kind") == "CALLS") & paths.under(F.col("path"), ["ASIA"])).agg(F.count(F.lit(1)).alias("n"))
 
 
-@over_graph("fan_in", "SELECT s.id, kind, qualname, path, edges FROM (SELECT target AS id, count(*) AS edges FROM e WHERE target IS NOT NULL GROUP BY target) c JOIN s USING (id) ORDER BY edges DESC, id LIMIT 20")
+@over_graph("fan_in", "SELECT s.id, kind, qualname, path, edges FROM (SELECT target AS id, count(*) AS edges FROM e WHERE target IS NOT NULL AND kind = 'CALLS' GROUP BY target) c JOIN s USING (id) ORDER BY edges DESC, id LIMIT 20")
 def _(g: Snapshot) -> DataFrame:
     return analytics.coupling(g.s, g.e, "target", 20)
 
 
 @over_graph("fan_out", "SELECT s.id, kind, qualname, path, edges FROM (SELECT source AS id, count(*) AS edges FROM e WHERE source IS NOT NULL AND kind = 'CALLS' GROUP BY source) c JOIN s USING (id) ORDER BY edges DESC, id LIMIT 20")
 def _(g: Snapshot) -> DataFrame:
-    return analytics.coupling(g.s, g.e, "source", 20, ("CALLS",))
+    return analytics.coupling(g.s, g.e, "source", 20)
 
 
-@over_graph("fan_in_by_module", "SELECT * FROM (SELECT s.id, qualname, split_part(path, '/', 1) AS module, calls, row_number() OVER (PARTITION BY split_part(path, '/', 1) ORDER BY calls DESC, s.id) AS place FROM s JOIN (SELECT target AS id, count(*) AS calls FROM e WHERE kind = 'CALLS' AND target IS NOT NULL GROUP BY 1) c USING (id)) WHERE place <= 5")
+@over_graph("fan_in_by_module", "SELECT * FROM (SELECT s.id, qualname, split_part(path, '/', 1) AS module, calls, row_number() OVER (PARTITION BY split_part(path, '/', 1) ORDER BY calls DESC, s.id) AS place FROM s JOIN (SELECT target AS id, count(*) AS calls FROM e WHERE kind = 'CALLS' AND target IS NOT NULL GROUP BY 1) c USING (id) WHERE s.kind IN ('function', 'method', 'class', 'struct', 'interface', 'service')) WHERE place <= 5")
 def _(g: Snapshot) -> DataFrame:
     return analytics.fan_in_by_module(g.s, g.e, 5).select("id", "qualname", "module", "calls", "place")
 
@@ -286,46 +291,68 @@ def _(g: Snapshot) -> DataFrame:
     return analytics.staleness(old, new)
 
 
-CHANGED = f", {HUNKS}, ch AS (SELECT id, CASE WHEN bool_or(start_line >= hunk_start AND end_line <= hunk_end) THEN 'added' ELSE 'modified' END AS change FROM s JOIN hunks h ON s.file_id = h.file_id AND start_line <= hunk_end AND end_line >= hunk_start GROUP BY id), tc AS (SELECT e.target AS id, count(DISTINCT e.source) AS tests FROM e JOIN s t ON t.id = e.source AND starts_with(t.name, 'test_') WHERE e.kind IN ('CALLS', 'XREF') GROUP BY 1), ca AS (SELECT target AS id, count(*) AS callers FROM e WHERE kind = 'CALLS' AND target IS NOT NULL GROUP BY 1)"
+CHANGED = f"{BEFORE}, {HUNKS}, ch AS (SELECT id, CASE WHEN bool_or(sig.id IS NOT NULL) THEN 'signature_changed' WHEN bool_or(start_line >= hunk_start AND end_line <= hunk_end) THEN 'added' ELSE 'modified' END AS change FROM s JOIN hunks h ON s.file_id = h.file_id AND start_line <= hunk_end AND end_line >= hunk_start LEFT JOIN sig USING (id) GROUP BY id), called AS (SELECT source, target AS id FROM e WHERE kind = 'CALLS' AND source IS NOT NULL AND target IS NOT NULL UNION SELECT e.source, s.id FROM e JOIN s ON regexp_extract(target_qualname, '([^.:]*)$', 1) = s.name WHERE e.kind = 'CALLS' AND e.source IS NOT NULL AND e.target IS NULL), tc AS (SELECT called.id, string_agg(DISTINCT t.qualname, ',' ORDER BY t.qualname) AS tests FROM called JOIN s t ON t.id = source AND starts_with(t.name, 'test_') JOIN ch ON ch.id = called.id GROUP BY 1)"
+
 
+def changed(g: Snapshot) -> DataFrame:
+    """Symbols that the hunks touch, with how: by signature, whole or in part."""
+    touched = resolve.overlapping(_hunks(g), g.s).select("id", "change")
+    signed = snapshot.signature_changes(as_of(g.all.symbols, g.all.files, VERSION - 1), g.s).select("id", F.lit(True).alias("signed"))
+    return touched.join(signed, "id", "left").select("id", F.when(F.col("signed"), "signature_changed").otherwise(F.col("change")).alias("change"))
 
-@over_graph("test_coverage", CHANGED + " SELECT id, coalesce(tests, 0) AS tests, tests IS NOT NULL AS covered FROM ch LEFT JOIN tc USING (id)")
+
+@over_graph("test_coverage", CHANGED + " SELECT id, coalesce(tests, '') AS tests, CASE WHEN tests IS NULL THEN 'uncovered' ELSE 'covered' END AS status FROM ch LEFT JOIN tc USING (id)")
 def _(g: Snapshot) -> DataFrame:
-    return analytics.test_coverage(resolve.overlapping(_hunks(g), g.s), g.s, g.e, test_symbol())
+    return analytics.test_coverage(changed(g), g.s, g.e, test_symbol()).select("id", F.array_join("tests", ",").alias("tests"), "status")
 
 
-@over_graph(
-    "risk_rules",
+RISK = (
     CHANGED
-    + """, x AS (SELECT ch.id, change, kind, coalesce(callers, 0) AS callers, coalesce(tests, 0) AS tests, coalesce(complexity, 0) AS complexity
-  FROM ch JOIN s USING (id) LEFT JOIN ca USING (id) LEFT JOIN tc USING (id) LEFT JOIN g_metrics m ON m.symbol_id = ch.id), y AS (
-  SELECT id, callers >= 20 AS r1, callers BETWEEN 5 AND 19 AS r2, tests = 0 AND callers > 0 AS r3, complexity >= 30 AS r4, change = 'added' AND tests = 0 AS r5, kind IN ('class', 'interface', 'struct') AS r6 FROM x)
-SELECT id, concat_ws(',', CASE WHEN r1 THEN 'many callers' END, CASE WHEN r2 THEN 'several callers' END, CASE WHEN r3 THEN 'used but untested' END, CASE WHEN r4 THEN 'high complexity' END, CASE WHEN r5 THEN 'new and untested' END, CASE WHEN r6 THEN 'type changed' END) AS factors,
-  CASE WHEN r1 THEN 'high' WHEN r2 OR r3 OR r4 THEN 'medium' ELSE 'low' END AS level FROM y""",
+    + """, near1 AS (SELECT source AS id, max(solid) AS solid FROM (SELECT source, target AS id, 1 AS solid FROM e WHERE kind = 'CALLS' AND source IS NOT NULL UNION ALL SELECT e.source, s.id, 0 FROM e JOIN s ON regexp_extract(target_qualname, '([^.:]*)$', 1) = s.name WHERE e.kind = 'CALLS' AND e.source IS NOT NULL AND e.target IS NULL) JOIN ch USING (id) GROUP BY source
+), down AS (SELECT s.id, path, language FROM near1 JOIN s USING (id) WHERE id NOT IN (SELECT id FROM ch) ORDER BY id LIMIT 50
+), c AS (SELECT ch.id, change, s.kind, s.qualname, s.language FROM ch JOIN s USING (id)), n AS (SELECT count(*) AS callers, count(DISTINCT path) AS files, count(*) FILTER (language NOT IN (SELECT language FROM c)) AS cross_ FROM down
+), factors AS (
+  SELECT CASE WHEN callers > 10 THEN 'Signature changed on high-traffic symbol' ELSE 'Signature change' END AS factor, CASE WHEN callers > 10 THEN 'critical' ELSE 'high' END AS severity, qualname AS subject, callers AS n FROM c, n WHERE change = 'signature_changed' AND callers > 0
+  UNION ALL SELECT 'Cross-language impact', 'high', NULL, cross_ FROM n WHERE cross_ > 0
+  UNION ALL SELECT 'Interface/contract change', 'high', qualname, 1 FROM c WHERE change = 'signature_changed' AND kind IN ('interface', 'trait', 'abstract_class')
+  UNION ALL SELECT 'High fan-in', 'high', NULL, callers FROM n WHERE callers > 10
+  UNION ALL SELECT 'Wide blast radius', 'medium', NULL, files FROM n WHERE files > 3
+  UNION ALL SELECT 'Missing test coverage', 'medium', NULL, count(*) FROM c WHERE id NOT IN (SELECT id FROM tc) HAVING count(*) > 0)"""
 )
+
+
+def risk_factors(g: Snapshot) -> DataFrame:
+    touched = traverse.cut(changed(g).join(g.s.select("id", "kind", "qualname", "path", "language"), "id"))
+    down = impact.diff_downstream(touched.select("id"), g.s, g.e, 1).join(g.s.select("id", "path", "language"), "id")
+    return analytics.risk_factors(touched, down, analytics.test_coverage(touched, g.s, g.e, test_symbol()))
+
+
+@over_graph("risk_rules", RISK + " SELECT factor, severity, subject, n FROM factors")
+def _(g: Snapshot) -> DataFrame:
+    return risk_factors(g)
+
+
+@over_graph("risk_level", RISK + " SELECT CASE max(CASE severity WHEN 'critical' THEN 3 WHEN 'high' THEN 2 ELSE 1 END) WHEN 3 THEN 'critical' WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS level, count(*) AS factors FROM factors")
 def _(g: Snapshot) -> DataFrame:
-    changed = resolve.overlapping(_hunks(g), g.s).select("id", "change")
-    callers = g.e.where("kind = 'CALLS' and target is not null").groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("callers"))
-    tests = analytics.test_coverage(changed, g.s, g.e, test_symbol()).select("id", "tests")
-    facts = changed.join(g.s.select("id", "kind"), "id").join(callers, "id", "left").join(tests, "id").join(g.m.select(F.col("symbol_id").alias("id"), "complexity"), "id", "left")
-    return analytics.risk(facts.fillna(0, ["callers", "complexity"]))
+    return analytics.risk_level(risk_factors(g))
 
 
 # co-changes and fusion
 
-def changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Commits (orders) and the files (parts) they touch, with the day of the last one."""
+def changes(spark: SparkSession, sf_dir: str, file: str = "l_partkey") -> DataFrame:
+    """Commits (orders), their days and the files (by default parts) that they touch."""
     orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sha"), F.col("o_orderdate").cast("date").alias("ts"))
-    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sha"), F.col("l_partkey").alias("file")).join(orders, "sha").select("sha", "ts", "file"), orders
+    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sha"), F.expr(file).alias("file")).join(orders, "sha").select("sha", "ts", "file")
 
 
-def mined(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mined(spark: SparkSession, sf_dir: str, file: str = "l_partkey") -> DataFrame:
     """Pairs as of the last day of the orders."""
-    return cochange.mine_pairs(changes(spark, sf_dir)[0], F.lit("2001-08-01").cast("date"))
+    return cochange.mine_pairs(changes(spark, sf_dir, file), F.lit("2001-08-01").cast("date"))
 
 
-MINED = """WITH d AS (
-  SELECT DISTINCT l_orderkey AS sha, CAST(o_orderdate AS DATE) AS ts, l_partkey AS file FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+def mined_sql(file: str = "l_partkey") -> str:
+    return f"""d AS (
+  SELECT DISTINCT l_orderkey AS sha, CAST(o_orderdate AS DATE) AS ts, {file} AS file FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 ), k AS (
   SELECT d.*, exp(-greatest(date_diff('day', ts, DATE '2001-08-01'), 0) / CAST(90 AS DOUBLE)) AS w FROM d WHERE sha IN (SELECT sha FROM d GROUP BY sha HAVING count(*) <= 50)
 ), t AS (SELECT file, sum(w) AS total FROM k GROUP BY file), p AS (
@@ -334,6 +361,9 @@ MINED = """WITH d AS (
   SELECT file_a, file_b, round(together, 6) AS together, round(ta.total, 6) AS total_a, round(tb.total, 6) AS total_b, round(least(1.0, together / least(ta.total, tb.total)), 6) AS confidence, last.sha AS last_sha
   FROM p JOIN t ta ON ta.file = file_a JOIN t tb ON tb.file = file_b)
 """
+
+
+MINED = "WITH " + mined_sql()
 QUERIES["cochange_mining"] = mined
 ORACLE_SQL["cochange_mining"] = MINED + "SELECT * FROM mined"
 QUERIES["coupling_hotspots"] = lambda spark, d: cochange.hotspots(mined(spark, d), 50, 0.05)
@@ -357,68 +387,114 @@ def _(g: Snapshot) -> DataFrame:
 # traversals; every bound on depth is the feature's own
 
 def _seeds(g: Snapshot) -> DataFrame:
-    return g.s.where("kind = 'service' and id % 100 = 11").select("id")
+    return g.s.where("kind = 'service' and qualname like 'machinery.customer_%9'").select("id")
+
 
+SEEDS = "SELECT id FROM s WHERE kind = 'service' AND qualname LIKE 'machinery.customer\\_%9' ESCAPE '\\'"
+TRACED = str(traverse.TRACE_KINDS)
+COMPLEMENT = "CASE {} WHEN 'HTTP_CALL' THEN 'HTTP_ROUTE' WHEN 'HTTP_ROUTE' THEN 'HTTP_CALL' WHEN 'RPC_CALL' THEN 'RPC_IMPL' WHEN 'RPC_IMPL' THEN 'RPC_CALL' END"
 
-NEAR = f", br AS ({BRIDGE_SQL}), solid AS (SELECT DISTINCT source, target, kind FROM e WHERE source IS NOT NULL AND target IS NOT NULL), "
-DOWN_NEAR = NEAR + "near AS (SELECT source AS node, target AS next, kind FROM solid UNION SELECT from_id, to_id, kind FROM br)"
-UP_NEAR = NEAR + "near AS (SELECT target AS node, source AS next, kind FROM solid UNION SELECT from_id, to_id, kind FROM br)"
+
+def near_sql(way: str, kinds: str | None = TRACED, named: str | None = "('CALLS', 'CONFIG_BIND')", bridges: bool = True) -> str:
+    """The table near (node, next, kind, via) of all steps that a traversal may take."""
+    used = f"kind IN {kinds}" if kinds else "true"
+    by_name = f"kind IN {named}" if named else "true"
+    parts = []
+    if way != "up":
+        parts.append("SELECT source, target, kind, 'edge' FROM used WHERE source IS NOT NULL AND target IS NOT NULL")
+        parts.append("SELECT u.source, resolved_id, u.kind, 'name' FROM used u JOIN resolved r ON r.target_qualname = u.target_qualname AND r.language = u.language AND r.may_cross = (u.kind IN ('RPC_IMPL','RPC_CALL','RPC_ROUTE','HTTP_ROUTE','HTTP_CALL','CHANNEL_PUBLISH','CHANNEL_SUBSCRIBE','CONFIG_SOURCE','CONFIG_READ','CONFIG_BIND','XREF')) WHERE u.source IS NOT NULL AND u.target IS NULL")
+    if way != "down":
+        parts.append("SELECT target, source, kind, 'edge' FROM used WHERE source IS NOT NULL AND target IS NOT NULL")
+        parts.append(f"SELECT s.id, u.source, u.kind, 'name' FROM used u JOIN s ON regexp_extract(u.target_qualname, '([^.:]*)$', 1) = s.name WHERE u.target IS NULL AND u.source IS NOT NULL AND u.target_qualname IS NOT NULL AND u.{by_name}" if named else "SELECT s.id, u.source, u.kind, 'name' FROM used u JOIN s ON regexp_extract(u.target_qualname, '([^.:]*)$', 1) = s.name WHERE u.target IS NULL AND u.source IS NOT NULL AND u.target_qualname IS NOT NULL")
+    if bridges:
+        parts.append(f"SELECT a.source, b.source, a.kind, 'bridge' FROM used a JOIN used b ON a.target_qualname = b.target_qualname AND b.kind = {COMPLEMENT.format('a.kind')} WHERE a.source IS NOT NULL AND b.source IS NOT NULL")
+    return (RESOLVED if way != "up" else "") + f", used AS (SELECT source, target, kind, target_qualname, language FROM e WHERE {used}), all_steps(node, next, kind, via) AS ({' UNION '.join(parts)}), near AS MATERIALIZED (SELECT * FROM all_steps WHERE node <> next AND next IN (SELECT id FROM s))"
 
 
 def reached_sql(near: str, seeds: str, depth: int) -> str:
     """The traversal as levels of a query: least distances, then the smallest way into each node."""
     return f"""{near}, seeds AS ({seeds}), walk AS (
-  SELECT id, 0 AS distance FROM seeds UNION SELECT next, distance + 1 FROM walk JOIN near ON node = id WHERE distance < {depth} AND node <> next
+  SELECT id, 0 AS distance FROM seeds UNION SELECT next, distance + 1 FROM walk JOIN near ON node = id WHERE distance < {depth}
 ), least_ AS (SELECT id, min(distance) AS distance FROM walk GROUP BY id), reached AS (
-  SELECT l.id, l.distance, min(CASE WHEN p.id IS NOT NULL THEN struct_pack(parent := p.id, kind := n.kind) END) AS way
-  FROM least_ l LEFT JOIN near n ON n.next = l.id AND n.node <> n.next LEFT JOIN least_ p ON p.id = n.node AND p.distance = l.distance - 1 GROUP BY 1, 2)"""
+  SELECT l.id, l.distance, min(CASE WHEN p.id IS NOT NULL THEN struct_pack(parent := p.id, kind := n.kind, via := n.via) END) AS way, coalesce(bool_or(CASE WHEN p.id IS NOT NULL THEN n.via <> 'name' END), true) AS solid
+  FROM least_ l LEFT JOIN near n ON n.next = l.id LEFT JOIN least_ p ON p.id = n.node AND p.distance = l.distance - 1 GROUP BY 1, 2)"""
 
 
-SEEDS = "SELECT id FROM s WHERE kind = 'service' AND id % 100 = 11"
 REACHED = " SELECT id, CAST(distance AS INTEGER) AS distance, way.parent AS parent, way.kind AS kind FROM reached"
+WAY = ("id", "distance", "parent", "kind")
 
 
-@over_graph("trace_downstream", reached_sql(DOWN_NEAR, SEEDS, 3) + REACHED)
+@over_graph("trace_downstream", reached_sql(near_sql("down", named=None), SEEDS, 3) + REACHED)
 def _(g: Snapshot) -> DataFrame:
-    return traverse.bfs(_seeds(g), traverse.adjacency(g.e, traverse.DOWN), 3)
+    return traverse.bfs(_seeds(g), traverse.ways(g.s, g.e, traverse.DOWN, by_name=None), 3).select(*WAY)
 
 
 PART_SEEDS = "SELECT id FROM s WHERE id IN (1000001, 1000002, 1000005)"
 
 
-@over_graph("trace_upstream", reached_sql(UP_NEAR, PART_SEEDS, 2) + REACHED)
+def _parts(g: Snapshot) -> DataFrame:
+    return g.s.where("id in (1000001, 1000002, 1000005)").select("id")
+
+
+@over_graph("trace_upstream", reached_sql(near_sql("up", named=None), PART_SEEDS, 2) + REACHED)
+def _(g: Snapshot) -> DataFrame:
+    return traverse.bfs(_parts(g), traverse.ways(g.s, g.e, traverse.UP, by_name=None), 2).select(*WAY)
+
+
+HOPS = """, shown AS (
+  SELECT r.id, s.qualname, s.path, CASE WHEN via = 'bridge' THEN """ + COMPLEMENT.format("way.kind") + """ ELSE way.kind END AS edge_kind, CAST(distance AS INTEGER) AS distance, s.language, via = 'bridge' OR s.language <> p.language AS cross_language, p.language AS came, CASE WHEN via = 'bridge' THEN r.id ELSE way.parent END AS owner
+  FROM (SELECT *, way.via AS via FROM reached WHERE distance > 0) r JOIN s ON s.id = r.id JOIN s p ON p.id = way.parent
+), told AS (SELECT source, kind, min(detail) AS detail FROM e WHERE detail IS NOT NULL GROUP BY 1, 2), typed AS (
+  SELECT h.*, detail, CASE WHEN cross_language THEN CASE WHEN edge_kind IN ('RPC_IMPL', 'RPC_CALL', 'RPC_ROUTE') THEN 'grpc' WHEN edge_kind IN ('HTTP_CALL', 'HTTP_ROUTE') THEN 'http' WHEN edge_kind = 'XREF' THEN 'xref' ELSE 'other' END END AS boundary_type
+  FROM shown h LEFT JOIN told t ON t.source = owner AND t.kind = edge_kind
+), hops AS (SELECT id, qualname, path, edge_kind, distance, language, cross_language, boundary_type,
+  CASE WHEN cross_language THEN came || ' → ' || language || CASE boundary_type WHEN 'grpc' THEN ' via gRPC' WHEN 'http' THEN ' via HTTP' WHEN 'xref' THEN ' via cross-reference' ELSE '' END END AS boundary_detail,
+  CASE WHEN cross_language AND detail IS NOT NULL THEN CASE boundary_type WHEN 'http' THEN '{"framework":"' || json_extract_string(detail, '$.framework') || '","method":"' || json_extract_string(detail, '$.method') || '","path":"' || json_extract_string(detail, '$.path') || '"}'
+    WHEN 'grpc' THEN '{"framework":"grpc","service":"' || json_extract_string(detail, '$.service') || '","rpc":"' || json_extract_string(detail, '$.rpc') || '"}' END END AS protocol FROM typed
+), sized AS (SELECT *, strlen('{"id":' || id || ',"qualname":"' || qualname || '","path":"' || path || '","edge_kind":"' || edge_kind || '","distance":' || distance || ',"language":"' || language || '","cross_language":' || cross_language
+  || CASE WHEN boundary_type IS NULL THEN '' ELSE ',"boundary_type":"' || boundary_type || '","boundary_detail":"' || boundary_detail || '"' END || CASE WHEN protocol IS NULL THEN '' ELSE ',"protocol":"' || replace(protocol, '"', '\\"') || '"' END || '}') AS size, row_number() OVER (ORDER BY distance, id) - 1 AS position FROM hops
+), summed AS (SELECT *, CAST(sum(size) OVER (ORDER BY position) AS BIGINT) AS used_bytes FROM sized WHERE position >= 10)"""
+FLOW = reached_sql(near_sql("down", named=None), SEEDS, 3) + HOPS
+
+
+@over_graph("trace_flow", FLOW + " SELECT id, qualname, path, edge_kind, distance, language, cross_language, boundary_type, boundary_detail, protocol, position, used_bytes FROM summed WHERE used_bytes - size < 30000")
 def _(g: Snapshot) -> DataFrame:
-    return traverse.bfs(g.s.where("id in (1000001, 1000002, 1000005)").select("id"), traverse.adjacency(g.e, traverse.UP), 2)
+    return traverse.trace_flow(_seeds(g), g.s, g.e, max_hops=3, offset=10)
 
 
-@over_graph("impact_paths", reached_sql(UP_NEAR, PART_SEEDS, 2) + ", tree AS (SELECT id, way.parent AS parent FROM reached), steps AS (SELECT id, parent AS upper_, CAST(id AS VARCHAR) AS steps FROM tree UNION ALL SELECT p.id, t.parent, CAST(t.id AS VARCHAR) || '>' || steps FROM steps p JOIN tree t ON t.id = p.upper_) SELECT id, steps FROM steps WHERE upper_ IS NULL")
+@over_graph("paths_found", FLOW + ", kept AS (SELECT * FROM summed WHERE used_bytes - size < 30000) SELECT count(*) AS hops, count(*) FILTER (distance = (SELECT max(distance) FROM kept)) AS paths, false AS reached FROM kept")
 def _(g: Snapshot) -> DataFrame:
-    reached = traverse.bfs(g.s.where("id in (1000001, 1000002, 1000005)").select("id"), traverse.adjacency(g.e, traverse.UP), 2)
-    return traverse.paths(reached, 2).select("id", F.array_join(F.transform("steps", lambda x: x.cast("string")), ">").alias("steps"))
+    return traverse.paths_found(traverse.trace_flow(_seeds(g), g.s, g.e, max_hops=3, offset=10))
 
 
-BOTH_NEAR = NEAR + "near AS (SELECT source AS node, target AS next, kind FROM solid UNION SELECT target, source, kind FROM solid UNION SELECT from_id, to_id, kind FROM br)"
+@over_graph("impact_paths", reached_sql(near_sql("up", named=None), PART_SEEDS, 2) + ", tree AS (SELECT id, way.parent AS parent FROM reached), steps AS (SELECT id, parent AS upper_, CAST(id AS VARCHAR) AS steps FROM tree UNION ALL SELECT p.id, t.parent, CAST(t.id AS VARCHAR) || '>' || steps FROM steps p JOIN tree t ON t.id = p.upper_) SELECT id, steps FROM steps WHERE upper_ IS NULL")
+def _(g: Snapshot) -> DataFrame:
+    reached = traverse.bfs(_parts(g), traverse.ways(g.s, g.e, traverse.UP, by_name=None), 2)
+    return traverse.paths(reached, 2).select("id", F.array_join(F.transform("steps", lambda x: x.cast("string")), ">").alias("steps"))
 
 
-@over_graph("impact_both", reached_sql(BOTH_NEAR, "SELECT id FROM s WHERE id = 1000004", 2) + REACHED)
+@over_graph("impact_both", reached_sql(near_sql("both", kinds=None), "SELECT id FROM s WHERE id = 1000004", 2) + REACHED)
 def _(g: Snapshot) -> DataFrame:
-    return traverse.bfs(g.s.where("id = 1000004").select("id"), traverse.adjacency(g.e, traverse.BOTH), 2)
+    return impact.direct(g.s.where("id = 1000004").select("id"), g.s, g.e, 2, traverse.BOTH).select(*WAY)
 
 
-@over_graph("subgraph", reached_sql(DOWN_NEAR, SEEDS, 2) + " SELECT source, target, kind FROM solid WHERE source IN (SELECT id FROM reached) AND target IN (SELECT id FROM reached)")
+@over_graph("subgraph", reached_sql(near_sql("down", named=None), SEEDS, 2) + " SELECT DISTINCT source, target, kind FROM e WHERE source IN (SELECT id FROM reached) AND target IN (SELECT id FROM reached)")
 def _(g: Snapshot) -> DataFrame:
-    return traverse.subgraph(traverse.bfs(_seeds(g), traverse.adjacency(g.e, traverse.DOWN), 2), g.e)
+    return traverse.subgraph(traverse.bfs(_seeds(g), traverse.ways(g.s, g.e, traverse.DOWN, by_name=None), 2), g.e)
+
+
+CALLED_UP = near_sql("up", "('CALLS')", "('CALLS')", bridges=False)
 
 
-@over_graph("diff_downstream", NEAR + "near AS (SELECT target AS node, source AS next, kind FROM solid WHERE kind = 'CALLS')" + reached_sql("", PART_SEEDS, 3) + " SELECT id, CAST(distance AS INTEGER) AS distance, round(0.9 * pow(0.8, distance - 1), 6) AS confidence FROM reached WHERE distance > 0 ORDER BY distance, id LIMIT 50")
+@over_graph("diff_downstream", reached_sql(CALLED_UP, PART_SEEDS, 3) + " SELECT id, CAST(distance AS INTEGER) AS distance, round(0.9 * pow(0.8, distance - 1) * CASE WHEN solid THEN 1.0 ELSE 0.8 END, 6) AS confidence, CASE WHEN distance = 1 THEN 'caller' ELSE 'caller_depth_' || distance END AS relationship FROM reached WHERE distance > 0 ORDER BY distance, id LIMIT 50")
 def _(g: Snapshot) -> DataFrame:
-    return impact.diff_downstream(g.s.where("id in (1000001, 1000002, 1000005)").select("id"), g.e, 3).select("id", "distance", "confidence")
+    return impact.diff_downstream(_parts(g), g.s, g.e, 3).select("id", "distance", "confidence", "relationship")
 
 
-@over_graph("batch_impact", NEAR + "near AS (SELECT target AS node, source AS next, kind FROM solid WHERE kind IN ('CALLS', 'HTTP_CALL')), walk AS (SELECT id AS seed, id, 0 AS distance FROM s WHERE id BETWEEN 1000010 AND 1000019 UNION SELECT seed, next, distance + 1 FROM walk JOIN near ON node = id WHERE distance < 2 AND node <> next) SELECT seed, count(DISTINCT id) - 1 AS affected, count(DISTINCT f2.file_id) AS files FROM walk LEFT JOIN s f2 USING (id) GROUP BY seed")
+@over_graph("batch_impact", near_sql("up", "('CALLS', 'HTTP_CALL')", bridges=False) + ", walk AS (SELECT id AS seed, id, 0 AS distance FROM s WHERE id BETWEEN 1000010 AND 1000019 UNION SELECT seed, next, distance + 1 FROM walk JOIN near ON node = id WHERE distance < 2) SELECT seed, count(DISTINCT id) - 1 AS affected, count(DISTINCT f2.file_id) AS files FROM walk LEFT JOIN s f2 USING (id) GROUP BY seed")
 def _(g: Snapshot) -> DataFrame:
     seeds = g.s.where("id between 1000010 and 1000019").select(F.col("id").alias("seed"), "id")
-    reached = traverse.bfs(seeds, traverse.adjacency(g.e, traverse.UP, ("CALLS", "HTTP_CALL"), with_bridges=False), 2, keys=("seed",))
+    reached = traverse.bfs(seeds, traverse.ways(g.s, g.e, traverse.UP, ("CALLS", "HTTP_CALL"), with_bridges=False), 2, keys=("seed",))
     return reached.join(g.s.select("id", "file_id"), "id", "left").groupBy("seed").agg((F.count_distinct("id") - 1).alias("affected"), F.count_distinct("file_id").alias("files"))
 
 
@@ -429,26 +505,30 @@ def _(g: Snapshot) -> DataFrame:
     return g.s.where("kind = 'variable'").select(F.col("id").alias("seed"), "file_id", owner(F.col("qualname")).alias("owner")).where("owner <> ''").join(parents, ["file_id", "owner"]).select("seed", "parent").distinct()
 
 
+#: The file of the graph that a line of an order touches.
+TOUCHED = "l_suppkey % 25 + 1000"
+
+
 def analyze_impact(g: Snapshot) -> DataFrame:
     """Direct, test and co-change layers of a change of three parts, fused."""
-    seeds = g.s.where("id in (1000001, 1000002, 1000005)").select("id")
-    reached = impact.direct(seeds, g.e, 2)
+    seeds = _parts(g)
+    reached = impact.direct(seeds, g.s, g.e, 2)
     tests = impact.tests(seeds, g.s, g.e, test_symbol())
-    files = g.f.select("file_id")
-    pairs = files.select(F.col("file_id").alias("file_a"), (F.col("file_id") + 1).alias("file_b")).join(files.withColumnRenamed("file_id", "file_b"), "file_b", "left_semi").select("file_a", "file_b", F.lit(4.0).alias("together"), F.round(F.lit(0.01) * (F.col("file_a") % 50), 6).alias("confidence"))
+    pairs = mined(g.spark, g.folder, TOUCHED)
     return impact.fuse(reached, tests, impact.historical(seeds, g.s, pairs), g.s)
 
 
 IMPACT = (
-    reached_sql(UP_NEAR, PART_SEEDS, 2)
+    reached_sql(near_sql("up", kinds=None), PART_SEEDS, 2)
     + """, tests_ AS (SELECT * FROM s WHERE starts_with(name, 'test_')), own AS (SELECT s.* FROM s JOIN seeds USING (id)), by_test AS (
   SELECT e.source AS id, CASE WHEN e.kind = 'IMPORTS' THEN 'test_import' ELSE 'test_call' END AS source FROM e JOIN seeds ON e.target = seeds.id JOIN tests_ ON tests_.id = e.source WHERE e.kind IN ('CALLS', 'IMPORTS', 'XREF')
   UNION SELECT t.id, 'test_naming' FROM tests_ t JOIN own ON lower(substr(t.name, 6)) = lower(own.name) AND t.language = own.language
   UNION SELECT t.id, 'test_proximity' FROM tests_ t JOIN own ON t.language = own.language
     WHERE len(list_intersect(list_distinct([x FOR x IN regexp_split_to_array(lower(t.path), '[/._]') IF x NOT IN ('', 'test', 'tests', 'spec', 'src')]), list_distinct([x FOR x IN regexp_split_to_array(lower(own.path), '[/._]') IF x NOT IN ('', 'test', 'tests', 'spec', 'src')]))) >= 2
-), pairs AS (SELECT a.file_id AS file_a, b.file_id AS file_b, round(0.01 * (a.file_id % 50), 6) AS confidence FROM f a JOIN f b ON b.file_id = a.file_id + 1
-), own_files AS (SELECT DISTINCT file_id FROM own), other AS (
-  SELECT file_b AS file_id, confidence FROM pairs WHERE file_a IN (SELECT file_id FROM own_files) UNION ALL SELECT file_a, confidence FROM pairs WHERE file_b IN (SELECT file_id FROM own_files)
+), """
+    + mined_sql("l_suppkey % 25 + 1000")
+    + """, own_files AS (SELECT DISTINCT file_id FROM own), other AS (
+  SELECT file_b AS file_id, confidence FROM mined WHERE together >= 3 AND file_a IN (SELECT file_id FROM own_files) UNION ALL SELECT file_a, confidence FROM mined WHERE together >= 3 AND file_b IN (SELECT file_id FROM own_files)
 ), by_history AS (SELECT s.id, max(confidence) AS frequency FROM s JOIN other USING (file_id) WHERE s.id NOT IN (SELECT id FROM seeds) GROUP BY 1), evidence AS (
   SELECT id, 'direct' AS source, distance, 0.95 * pow(0.9, distance) AS confidence FROM reached
   UNION ALL SELECT id, source, NULL, CASE source WHEN 'test_call' THEN 0.95 WHEN 'test_import' THEN 0.7 WHEN 'test_naming' THEN 0.6 ELSE 0.4 END FROM by_test
@@ -460,6 +540,11 @@ IMPACT = (
 )
 
 
+@over_graph("impact_ranked", IMPACT + " SELECT id, qualname, confidence, distance, relationship FROM shown WHERE confidence >= 0.5 ORDER BY distance, qualname, id LIMIT 100")
+def _(g: Snapshot) -> DataFrame:
+    return impact.ranked(analyze_impact(g), 0.5, 100).select("id", "qualname", "confidence", "distance", "relationship")
+
+
 @over_graph("analyze_impact", IMPACT + " SELECT * FROM shown")
 def _(g: Snapshot) -> DataFrame:
     return analyze_impact(g)
@@ -497,16 +582,16 @@ def _(g: Snapshot) -> DataFrame:
 
 @over_graph("version_compare", ", a AS (SELECT DISTINCT target AS id FROM e WHERE source IS NOT NULL AND event_ts < 883612800 AND target IS NOT NULL), b AS (SELECT DISTINCT target AS id FROM e WHERE event_ts >= 883612800 AND target IS NOT NULL) SELECT 'new' AS state, count(*) AS n FROM b WHERE id NOT IN (SELECT id FROM a) UNION ALL SELECT 'removed', count(*) FROM a WHERE id NOT IN (SELECT id FROM b) UNION ALL SELECT 'stable', count(*) FROM a WHERE id IN (SELECT id FROM b)")
 def _(g: Snapshot) -> DataFrame:
-    from spanloom.operators import snapshot
-
     found = g.e.where("target is not null").select(F.col("target").alias("id"), "event_ts")
     return snapshot.compare_sets(found.where("event_ts < 883612800").select("id"), found.where("event_ts >= 883612800").select("id"))
 
 
-TEST_SQL = "starts_with(lower(name), 'test_')"
+PREFIXED = "starts_with(lower(name), 'test_')"
+TEST_SQL = f"(path LIKE '%.py' AND ({PREFIXED} OR regexp_matches(lower(path), '/tests/') AND kind IN ('function', 'method', 'class')))"
+TYPE_SQL = "CASE WHEN path LIKE '%/e2e/%' THEN 'e2e' WHEN path LIKE '%/integration/%' THEN 'integration' ELSE 'unit' END"
 
 
-@over_graph("test_symbol_classify", f"SELECT id, {TEST_SQL} AS is_test, CASE WHEN {TEST_SQL} THEN substr(lower(name), 6) END AS about, 'unit' AS test_type FROM s")
+@over_graph("test_symbol_classify", f"SELECT id, {TEST_SQL} AS is_test, CASE WHEN {PREFIXED} THEN substr(lower(name), 6) END AS about, {TYPE_SQL} AS test_type FROM s")
 def _(g: Snapshot) -> DataFrame:
     c = F.col
     return g.s.select("id", paths.is_test_symbol(c("kind"), c("name"), c("path"), c("signature"), c("qualname")).alias("is_test"), test_target(c("name")).alias("about"), paths.test_type(c("path"), c("name")).alias("test_type"))

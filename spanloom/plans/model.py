@@ -54,7 +54,7 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     c = F.col
     files = t("nation").join(F.broadcast(t("region")), c("n_regionkey") == c("r_regionkey")).select(
         (c("n_nationkey") + 1000).cast("long").alias("file_id"),
-        _text(c("r_name"), "/", c("n_name"), "/core.py").alias("path"),
+        F.concat(c("r_name"), F.lit("/"), c("n_name"), F.lit("/"), F.when(c("n_nationkey") % 6 == 5, "tests/").when(c("n_nationkey") % 6 == 4, "integration/").when(c("n_nationkey") % 6 == 1, "e2e/").otherwise(""), F.lit("core.py")).alias("path"),
         c("r_name").alias("language"),
         F.when(c("n_nationkey") % 7 == 3, F.lit(2)).cast("long").alias("deleted_version"),
     )
@@ -64,8 +64,11 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
 
     key = c("p_partkey")
     kinds = F.create_map(*(F.lit(x) for kv in {"PROMO": "function", "STANDARD": "method", "ECONOMY": "class", "SMALL": "struct", "LARGE": "module", "MEDIUM": "variable"}.items() for x in kv))
-    part_name = _text("part_", F.expr("p_partkey div 3"))
-    parts = t("part").select(*symbol(key + 1_000_000, key % 25, F.try_element_at(kinds, c("p_type")), part_name, F.concat(F.replace(c("p_brand"), F.lit("#"), F.lit("")), F.when(key % 3 < 2, ".").otherwise("::"), part_name), key * 13 % 900 + 1, key * 13 % 900 + 1 + c("p_size"), _text("(", c("p_name"), ")")))
+    part_name = F.when(key % 97 == 5, "setup").otherwise(_text("part_", F.expr("p_partkey div 3")))
+    part_kind = F.when((c("p_type") == "MEDIUM") & (key % 2 == 0), "property").otherwise(F.try_element_at(kinds, c("p_type")))
+    parts = t("part").select(*symbol(key + 1_000_000, key % 25, part_kind, part_name, F.concat(F.replace(c("p_brand"), F.lit("#"), F.lit("")), F.when(key % 3 < 2, ".").otherwise("::"), part_name), key * 13 % 900 + 1, key * 13 % 900 + 1 + c("p_size"), _text("(", c("p_name"), ")")))
+    changed = F.when(key % 4 == 0, _text("(", c("p_name"), ", old)")).when(key % 4 == 1, _text("(", c("p_name"), ")"))
+    earlier = t("part").where("p_partkey % 3 = 0").select(*symbol(key + 5_000_000, key % 25, part_kind, part_name, F.concat(F.replace(c("p_brand"), F.lit("#"), F.lit("")), F.lit("."), part_name), key * 13 % 900 + 1, key * 13 % 900 + 1 + c("p_size"), changed)).withColumn("graph_version", F.lit(VERSION - 1).cast("long"))
     s = c("s_suppkey")
     suppliers = t("supplier").select(*symbol(s + 2_000_000, c("s_nationkey"), F.lit("interface"), _text("supplier_", s), _text("supply.supplier_", s), s % 500 + 1, s % 500 + 21, F.lit(None).cast("string")))
     o = c("o_orderkey")
@@ -74,31 +77,45 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     u = c("c_custkey")
     customers = t("customer").select(*symbol(u + 20_000_000, c("c_nationkey"), F.lit("service"), _text("customer_", u), F.concat(F.lower(c("c_mktsegment")), F.lit("."), _text("customer_", u)), u % 300 + 1, u % 300 + 9, F.lit(None).cast("string")))
 
-    def edge(source: Column, target: Column, kind: Column, name: Column, file: Column, line: Column, confidence: Column, ts: Column, trace: Column) -> list[Column]:
-        return [source.cast("long").alias("source"), target.cast("long").alias("target"), kind.alias("kind"), name.alias("target_qualname"), (file + 1000).cast("long").alias("file_id"), line.cast("long").alias("line"), confidence.cast("double").alias("confidence"), ts.cast("long").alias("event_ts"), trace.alias("trace_id"), F.lit(VERSION).cast("long").alias("graph_version")]
+    def edge(source: Column, target: Column, kind: Column, name: Column, file: Column, line: Column, confidence: Column, ts: Column, trace: Column, detail: Column = F.lit(None).cast("string")) -> list[Column]:
+        return [source.cast("long").alias("source"), target.cast("long").alias("target"), kind.alias("kind"), name.alias("target_qualname"), (file + 1000).cast("long").alias("file_id"), line.cast("long").alias("line"), confidence.cast("double").alias("confidence"), ts.cast("long").alias("event_ts"), trace.alias("trace_id"), detail.alias("detail"), F.lit(VERSION).cast("long").alias("graph_version")]
 
     flag = F.when(c("l_returnflag") == "R", "CALLS").when(c("l_returnflag") == "A", "IMPORTS").otherwise("XREF")
     shipped = F.unix_date(c("l_shipdate").cast("date")) * 86_400
     lines = t("lineitem")
     calls = lines.select(*edge(c("l_orderkey") + 3_000_000, F.when(c("l_linenumber") % 5 != 0, c("l_partkey") + 1_000_000), flag, _text("lib.part_", F.expr("l_partkey div 3")), c("l_suppkey") % 25, c("l_linenumber"), F.round(c("l_discount") * 10, 4), shipped, _text("trace_", c("l_orderkey") % 100)))
     binds = lines.where("l_linenumber = 1").select(*edge(c("l_partkey") + 1_000_000, c("l_suppkey") + 2_000_000, F.lit("CONFIG_BIND"), _text("env://S", c("l_suppkey")), c("l_partkey") % 25, F.lit(1), F.lit(0.8), shipped, F.lit(None).cast("string")))
-    posts = t("orders").select(*edge(c("o_custkey") + 20_000_000, o + 3_000_000, F.lit("HTTP_CALL"), _text("/api/orders/", o % 1000), c("o_custkey") % 25, o % 50 + 1, F.lit(0.9), F.unix_date(c("o_orderdate").cast("date")) * 86_400, F.lit(None).cast("string")))
+    posts = t("orders").select(*edge(c("o_custkey") + 20_000_000, o + 3_000_000, F.lit("HTTP_CALL"), _text("/api/orders/", o % 1000), c("o_custkey") % 25, o % 50 + 1, F.lit(0.9), F.unix_date(c("o_orderdate").cast("date")) * 86_400, F.lit(None).cast("string"), _text('{"framework":"fetch","method":"GET","path":"/api/orders/', o % 1000, '"}')))
     routes = t("part").where("p_partkey % 10 = 0").select(*edge(key + 1_000_000, F.lit(None), F.lit("HTTP_ROUTE"), _text("/api/orders/", key % 1000), key % 25, key % 50 + 1, F.lit(0.85), F.lit(None), F.lit(None).cast("string")))
+    up = F.when(key % 12 == 1, "EXTENDS").when(key % 6 == 1, "IMPLEMENTS").otherwise("CONTAINS")
+    kin = t("part").where("p_partkey % 6 in (1, 2)").select(*edge(key + 1_000_000, key * 7 % 1000 + 1_000_001, up, _text("lib.part_", F.expr("(p_partkey * 7 % 1000 + 1) div 3")), key % 25, key % 70 + 1, F.lit(0.7), F.lit(None), F.lit(None).cast("string")))
+    rpc = lambda n: _text('{"service":"Orders","rpc":"Get', n % 50, '"}')
+    served = t("supplier").select(*edge(s + 2_000_000, F.lit(None), F.lit("RPC_IMPL"), _text("/orders/get", s % 50), s % 25, s % 50 + 1, F.lit(0.75), F.lit(None), F.lit(None).cast("string"), rpc(s)))
+    asked = t("customer").where("c_custkey % 10 = 0").select(*edge(u + 20_000_000, F.lit(None), F.lit("RPC_CALL"), _text("/orders/get", u % 50), u % 25, u % 50 + 1, F.lit(0.65), F.lit(None), F.lit(None).cast("string")))
     metrics = t("part").select((key + 1_000_000).cast("long").alias("symbol_id"), (c("p_size") + 1).cast("long").alias("loc"), c("p_size").cast("long").alias("complexity"), F.md5(F.concat("p_name", "p_brand")).alias("duplication_hash"))
-    return Graph(files, parts.unionByName(suppliers).unionByName(orders).unionByName(customers), calls.unionByName(binds).unionByName(posts).unionByName(routes), metrics)
+    edges = calls
+    for more in (binds, posts, routes, kin, served, asked):
+        edges = edges.unionByName(more)
+    return Graph(files, parts.unionByName(earlier).unionByName(suppliers).unionByName(orders).unionByName(customers), edges, metrics)
 
 
 PREFIX = f"""
 WITH RECURSIVE g_files AS (
-  SELECT CAST(1000 + n_nationkey AS BIGINT) AS file_id, r_name || '/' || n_name || '/core.py' AS path, r_name AS language,
+  SELECT CAST(1000 + n_nationkey AS BIGINT) AS file_id, r_name || '/' || n_name || '/' || CASE n_nationkey % 6 WHEN 5 THEN 'tests/' WHEN 4 THEN 'integration/' WHEN 1 THEN 'e2e/' ELSE '' END || 'core.py' AS path, r_name AS language,
          CAST(CASE WHEN n_nationkey % 7 = 3 THEN 2 END AS BIGINT) AS deleted_version
   FROM nation JOIN region ON n_regionkey = r_regionkey
+), named AS (
+  SELECT *, CASE WHEN p_partkey % 97 = 5 THEN 'setup' ELSE 'part_' || (p_partkey // 3) END AS name,
+         CASE p_type WHEN 'PROMO' THEN 'function' WHEN 'STANDARD' THEN 'method' WHEN 'ECONOMY' THEN 'class' WHEN 'SMALL' THEN 'struct' WHEN 'LARGE' THEN 'module' WHEN 'MEDIUM' THEN CASE WHEN p_partkey % 2 = 0 THEN 'property' ELSE 'variable' END END AS kind
+  FROM part
 ), g_symbols AS (
-  SELECT CAST(p_partkey + 1000000 AS BIGINT) AS id, CAST(p_partkey % 25 + 1000 AS BIGINT) AS file_id,
-         CASE p_type WHEN 'PROMO' THEN 'function' WHEN 'STANDARD' THEN 'method' WHEN 'ECONOMY' THEN 'class' WHEN 'SMALL' THEN 'struct' WHEN 'LARGE' THEN 'module' WHEN 'MEDIUM' THEN 'variable' END AS kind,
-         'part_' || (p_partkey // 3) AS name, replace(p_brand, '#', '') || CASE WHEN p_partkey % 3 < 2 THEN '.' ELSE '::' END || 'part_' || (p_partkey // 3) AS qualname,
+  SELECT CAST(p_partkey + 1000000 AS BIGINT) AS id, CAST(p_partkey % 25 + 1000 AS BIGINT) AS file_id, kind, name,
+         replace(p_brand, '#', '') || CASE WHEN p_partkey % 3 < 2 THEN '.' ELSE '::' END || name AS qualname,
          CAST(p_partkey * 13 % 900 + 1 AS BIGINT) AS start_line, CAST(p_partkey * 13 % 900 + 1 + p_size AS BIGINT) AS end_line, '(' || p_name || ')' AS signature, CAST({VERSION} AS BIGINT) AS graph_version
-  FROM part
+  FROM named
+  UNION ALL SELECT p_partkey + 5000000, p_partkey % 25 + 1000, kind, name, replace(p_brand, '#', '') || '.' || name, p_partkey * 13 % 900 + 1, p_partkey * 13 % 900 + 1 + p_size,
+         CASE p_partkey % 4 WHEN 0 THEN '(' || p_name || ', old)' WHEN 1 THEN '(' || p_name || ')' END, {VERSION - 1}
+  FROM named WHERE p_partkey % 3 = 0
   UNION ALL SELECT s_suppkey + 2000000, s_nationkey + 1000, 'interface', 'supplier_' || s_suppkey, 'supply.supplier_' || s_suppkey, s_suppkey % 500 + 1, s_suppkey % 500 + 21, NULL, {VERSION} FROM supplier
   UNION ALL SELECT o_orderkey + 3000000, o_custkey % 25 + 1000, 'function', CASE WHEN o_orderkey % 10 = 0 THEN 'test_part_' || (o_orderkey % 3000) ELSE 'order_' || o_orderkey END,
          'orders.' || lower(o_orderstatus) || '.' || CASE WHEN o_orderkey % 10 = 0 THEN 'test_part_' || (o_orderkey % 3000) ELSE 'order_' || o_orderkey END, o_orderkey % 800 + 1, o_orderkey % 800 + 1 + o_orderkey % 40, NULL, {VERSION} FROM orders
@@ -107,11 +124,14 @@ WITH RECURSIVE g_files AS (
   SELECT CAST(l_orderkey + 3000000 AS BIGINT) AS source, CAST(CASE WHEN l_linenumber % 5 <> 0 THEN l_partkey + 1000000 END AS BIGINT) AS target,
          CASE l_returnflag WHEN 'R' THEN 'CALLS' WHEN 'A' THEN 'IMPORTS' ELSE 'XREF' END AS kind, 'lib.part_' || (l_partkey // 3) AS target_qualname,
          CAST(l_suppkey % 25 + 1000 AS BIGINT) AS file_id, CAST(l_linenumber AS BIGINT) AS line, round(l_discount * 10, 4) AS confidence,
-         CAST(epoch(CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP)) AS BIGINT) AS event_ts, 'trace_' || (l_orderkey % 100) AS trace_id, CAST({VERSION} AS BIGINT) AS graph_version
+         CAST(epoch(CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP)) AS BIGINT) AS event_ts, 'trace_' || (l_orderkey % 100) AS trace_id, CAST(NULL AS VARCHAR) AS detail, CAST({VERSION} AS BIGINT) AS graph_version
   FROM lineitem
-  UNION ALL SELECT l_partkey + 1000000, l_suppkey + 2000000, 'CONFIG_BIND', 'env://S' || l_suppkey, l_partkey % 25 + 1000, 1, CAST(0.8 AS DOUBLE), CAST(epoch(CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP)) AS BIGINT), NULL, {VERSION} FROM lineitem WHERE l_linenumber = 1
-  UNION ALL SELECT o_custkey + 20000000, o_orderkey + 3000000, 'HTTP_CALL', '/api/orders/' || (o_orderkey % 1000), o_custkey % 25 + 1000, o_orderkey % 50 + 1, CAST(0.9 AS DOUBLE), CAST(epoch(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)) AS BIGINT), NULL, {VERSION} FROM orders
-  UNION ALL SELECT p_partkey + 1000000, NULL, 'HTTP_ROUTE', '/api/orders/' || (p_partkey % 1000), p_partkey % 25 + 1000, p_partkey % 50 + 1, CAST(0.85 AS DOUBLE), NULL, NULL, {VERSION} FROM part WHERE p_partkey % 10 = 0
+  UNION ALL SELECT l_partkey + 1000000, l_suppkey + 2000000, 'CONFIG_BIND', 'env://S' || l_suppkey, l_partkey % 25 + 1000, 1, CAST(0.8 AS DOUBLE), CAST(epoch(CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP)) AS BIGINT), NULL, NULL, {VERSION} FROM lineitem WHERE l_linenumber = 1
+  UNION ALL SELECT o_custkey + 20000000, o_orderkey + 3000000, 'HTTP_CALL', '/api/orders/' || (o_orderkey % 1000), o_custkey % 25 + 1000, o_orderkey % 50 + 1, CAST(0.9 AS DOUBLE), CAST(epoch(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)) AS BIGINT), NULL, '{{"framework":"fetch","method":"GET","path":"/api/orders/' || (o_orderkey % 1000) || '"}}', {VERSION} FROM orders
+  UNION ALL SELECT p_partkey + 1000000, NULL, 'HTTP_ROUTE', '/api/orders/' || (p_partkey % 1000), p_partkey % 25 + 1000, p_partkey % 50 + 1, CAST(0.85 AS DOUBLE), NULL, NULL, NULL, {VERSION} FROM part WHERE p_partkey % 10 = 0
+  UNION ALL SELECT p_partkey + 1000000, p_partkey * 7 % 1000 + 1000001, CASE WHEN p_partkey % 12 = 1 THEN 'EXTENDS' WHEN p_partkey % 6 = 1 THEN 'IMPLEMENTS' ELSE 'CONTAINS' END, 'lib.part_' || ((p_partkey * 7 % 1000 + 1) // 3), p_partkey % 25 + 1000, p_partkey % 70 + 1, CAST(0.7 AS DOUBLE), NULL, NULL, NULL, {VERSION} FROM part WHERE p_partkey % 6 IN (1, 2)
+  UNION ALL SELECT s_suppkey + 2000000, NULL, 'RPC_IMPL', '/orders/get' || (s_suppkey % 50), s_suppkey % 25 + 1000, s_suppkey % 50 + 1, CAST(0.75 AS DOUBLE), NULL, NULL, '{{"service":"Orders","rpc":"Get' || (s_suppkey % 50) || '"}}', {VERSION} FROM supplier
+  UNION ALL SELECT c_custkey + 20000000, NULL, 'RPC_CALL', '/orders/get' || (c_custkey % 50), c_custkey % 25 + 1000, c_custkey % 50 + 1, CAST(0.65 AS DOUBLE), NULL, NULL, NULL, {VERSION} FROM customer WHERE c_custkey % 10 = 0
 ), g_metrics AS (
   SELECT CAST(p_partkey + 1000000 AS BIGINT) AS symbol_id, CAST(p_size + 1 AS BIGINT) AS loc, CAST(p_size AS BIGINT) AS complexity, md5(p_name || p_brand) AS duplication_hash FROM part
 ), f AS (

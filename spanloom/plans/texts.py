@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import names, normalize, paths, text
-from spanloom.operators import budget, search, snapshot
+from spanloom.operators import budget, search, snapshot, xref
 from spanloom.plans.model import PREFIX, as_of, graph, read
 from spanloom.streaming import watch
 
@@ -43,15 +43,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("regex_search", SOURCES + ", c AS (SELECT path, line, content, coalesce(lag(content) OVER w, '') AS before, coalesce(lead(content) OVER w, '') AS after FROM lines WINDOW w AS (PARTITION BY path ORDER BY line)) SELECT path, line, md5(content) AS content_md5, md5(before) AS before_md5, md5(after) AS after_md5 FROM c WHERE regexp_matches(content, '(ing|tion) the ')")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    found = search.regex(search.lines(sources(spark, d)), "(ing|tion) the ", context=1)
+    found = search.regex(sources(spark, d), "(ing|tion) the ", context=1)
     return found.select("path", "line", F.md5("content").alias("content_md5"), F.md5("before").alias("before_md5"), F.md5("after").alias("after_md5"))
 
 
-@query("text_search_ranked", SOURCES + f" SELECT path, line, round(10.0 + {BONUS}, 6) AS score, 'exact' AS engine FROM lines WHERE contains(content, 'nd the e') ORDER BY score DESC, path, line LIMIT 100")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return search.ranked(search.lines(sources(spark, d)), "nd the e", [], 100)
-
-
 @query("scope_filter", SOURCES + f" SELECT path, NOT (path LIKE 'docs/%' OR path LIKE 'tests/%') AS code, path LIKE 'docs/%' AS docs, path LIKE 'tests/%' AS tests, CAST({BONUS} AS DOUBLE) AS bonus FROM sources")
 def _(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("path")
@@ -93,33 +88,71 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return asked.select("q", "t", F.round(text.similarity(F.col("q"), F.col("t")), 6).alias("score"))
 
 
-FUZZY = (
-    SOURCES.replace("FROM documents)", "FROM documents WHERE doc_id >= 0)")
-    + f""", w AS (SELECT path, line, unnest(regexp_extract_all(content, '[A-Za-z0-9_-]+')) AS w FROM lines
+def fuzzy_sql(tokens: list[str]) -> str:
+    """The table fuzz (path, score, line) over lines."""
+    least = "0.45" if len(tokens) > 1 else "0.6"
+    return f"""w AS (SELECT path, line, unnest(regexp_extract_all(content, '[A-Za-z0-9_-]+')) AS w FROM lines
 ), parts AS (SELECT path, line, unnest(list_concat([w], [x FOR x IN regexp_split_to_array({SPLIT}, '[_-]') IF x <> ''])) AS r FROM w
 ), plain AS (SELECT path, line, lower(regexp_replace(r, '[^A-Za-z0-9]', '', 'g')) AS t FROM parts
 ), tokens AS (SELECT DISTINCT path, line, {STEM} AS t FROM plain WHERE length(t) >= 2 AND regexp_matches(t, '[a-z]')
-), near AS (SELECT path, line, q, CAST({SIMILAR} AS DOUBLE) AS s FROM tokens, (SELECT unnest(['heedthe', 'erinand']) AS q)
+), known AS (SELECT q, t, CAST({SIMILAR} AS DOUBLE) AS s FROM (SELECT DISTINCT t FROM tokens), (SELECT unnest({tokens}) AS q)
+), near AS (SELECT path, line, q, s FROM tokens JOIN known USING (t)
 ), per_line AS (SELECT path, line, q, max(s) AS s FROM near WHERE s > 0 GROUP BY ALL
-), per_token AS (SELECT path, q, max(s) AS best, max(struct_pack(s := s, l := -line)) AS place FROM per_line GROUP BY ALL HAVING max(s) >= 0.45 - 1e-9
-), per_file AS (SELECT path, sum(best) AS total, max(place.l) - min(place.l) AS span FROM per_token GROUP BY path HAVING count(*) = 2
-), sums AS (SELECT path, count(*) AS hits, max(struct_pack(s := round(s, 9), l := -line)) AS top FROM (SELECT path, line, sum(s) AS s FROM per_line GROUP BY ALL) GROUP BY path)
-SELECT path, round(total + CASE WHEN span = 0 THEN 2.0 WHEN span <= 3 THEN 1.0 WHEN span <= 10 THEN 0.5 ELSE 0.0 END + least(hits * CAST(0.1 AS DOUBLE), 1.0), 6) AS score, -top.l AS line FROM per_file JOIN sums USING (path)"""
-)
+), per_token AS (SELECT path, q, max(s) AS best, max(struct_pack(s := s, l := -line)) AS place FROM per_line GROUP BY ALL HAVING max(s) >= {least} + CASE WHEN length(q) <= 3 THEN 0.1 ELSE 0 END - 1e-9
+), per_file AS (SELECT path, sum(best) AS total, max(place.l) - min(place.l) AS span FROM per_token GROUP BY path HAVING count(*) = {len(tokens)}
+), sums AS (SELECT path, count(*) AS hits, max(struct_pack(s := round(s, 9), l := -line)) AS top FROM (SELECT path, line, sum(s) AS s FROM per_line GROUP BY ALL) GROUP BY path
+), fuzz AS (SELECT path, round(total + {"CASE WHEN span = 0 THEN 2.0 WHEN span <= 3 THEN 1.0 WHEN span <= 10 THEN 0.5 ELSE 0.0 END" if len(tokens) > 1 else "0.0"} + least(hits * CAST(0.1 AS DOUBLE), 1.0), 6) AS score, -top.l AS line FROM per_file JOIN sums USING (path))"""
 
 
-@query("text_search_fuzzy", FUZZY)
+@query("text_search_fuzzy", f"{SOURCES}, {fuzzy_sql(['heedthe', 'erinand'])} SELECT * FROM fuzz")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return search.fuzzy(search.lines(sources(spark, d)), ["heedthe", "erinand"])
 
 
-@query("token_cross_references")
+def ranked_sql(query_text: str, limit: int) -> str:
+    most = search.fetch_limit(limit)
+    return f"""best AS (SELECT path, line, round(10.0 + {BONUS}, 6) AS score, 'exact' AS engine FROM lines WHERE contains(content, '{query_text}') ORDER BY score DESC, path, line LIMIT {most}
+), loose AS (SELECT path, line, round(score * CAST(1.5 AS DOUBLE) + {BONUS}, 6) AS score, 'fuzzy' AS engine FROM (SELECT * FROM fuzz ORDER BY score DESC, path LIMIT {most})
+), merged AS (SELECT * FROM best UNION ALL SELECT * FROM loose WHERE (path, line) NOT IN (SELECT path, line FROM best))"""
+
+
+@query("text_search_ranked", f"{SOURCES}, {fuzzy_sql(['anre', 'hestwh'])}, {ranked_sql('anreed hestwh', 400)} SELECT path, line, score, engine FROM merged ORDER BY score DESC, path, line LIMIT 400")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return search.ranked(search.lines(sources(spark, d)), "anreed hestwh", 400)
+
+
+@query("over_fetch_topk", SOURCES + f" SELECT path, line, round(10.0 + {BONUS}, 6) AS score, 'exact' AS engine FROM lines WHERE contains(content, 'nd the e') ORDER BY score DESC, path, line LIMIT 10")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return search.ranked(search.lines(sources(spark, d)), "nd the e", 10)
+
+
+PLAIN = "replace(replace({}, '::', '.'), '/', '.')"
+XREF = f"""{PREFIX}, tokens AS (
+  SELECT DISTINCT language, token FROM (SELECT 'html' AS language, unnest([regexp_replace(w, '^[.:/]+|[.:/]+$', '', 'g') FOR w IN regexp_extract_all(lit, '[A-Za-z0-9_.:/$@]+')]) AS token FROM (SELECT unnest(regexp_extract_all(html, '"([^"]*)"', 1)) AS lit FROM pages))
+  WHERE length(token) >= 4 AND regexp_matches(token, '[A-Za-z]') AND lower(token) NOT IN {xref.STOPWORDS} AND NOT (NOT regexp_matches(token, '[./]|::') AND lower(token) = token AND length(token) < 6)
+  UNION SELECT 'script', 'orders.o.order_' || l_orderkey FROM lineitem UNION SELECT 'script', upper(replace(p_brand, '#', '')) || '/Part_' || (p_partkey // 3) FROM part
+), forms AS (
+  SELECT language, token, token AS key, 0.0 AS cost FROM tokens UNION ALL SELECT language, token, {PLAIN.format("token")}, 0.05 FROM tokens WHERE {PLAIN.format("token")} <> token
+  UNION ALL SELECT language, token, lower(token), 0.1 FROM tokens WHERE lower(token) <> token UNION ALL SELECT language, token, lower({PLAIN.format("token")}), 0.15 FROM tokens WHERE lower({PLAIN.format("token")}) <> lower(token)
+), keys AS (
+  SELECT id, language, qualname AS key, 0.7 AS base FROM s UNION ALL SELECT id, language, {PLAIN.format("qualname")}, 0.65 FROM s WHERE {PLAIN.format("qualname")} <> qualname
+  UNION ALL SELECT id, language, lower(qualname), 0.6 FROM s WHERE lower(qualname) <> qualname UNION ALL SELECT id, language, lower({PLAIN.format("qualname")}), 0.55 FROM s WHERE lower({PLAIN.format("qualname")}) <> lower(qualname)
+  UNION ALL SELECT id, language, name, 0.55 FROM s UNION ALL SELECT id, language, lower(name), 0.45 FROM s WHERE lower(name) <> name
+), scored AS (
+  SELECT f.language, token, id, round(CAST(least(1.0, max(base - cost) + CASE WHEN regexp_matches(token, '[./]|::') THEN 0.2 ELSE 0 END + CASE WHEN length(token) >= 12 THEN 0.2 WHEN length(token) >= 8 THEN 0.1 ELSE 0 END + CASE WHEN regexp_matches(token, '[a-z]') AND regexp_matches(token, '[A-Z]') THEN 0.05 ELSE 0 END) AS DOUBLE), 6) AS score
+  FROM forms f JOIN keys k USING (key) WHERE f.language <> k.language GROUP BY f.language, token, id
+), top AS (SELECT *, max(score) OVER (PARTITION BY language, token) AS best FROM scored WHERE score >= 0.7)
+SELECT language AS source_language, token, min(id) AS id, any_value(score) AS confidence FROM top WHERE score = best GROUP BY language, token HAVING count(*) = 1"""
+
+
+@query("token_cross_references", XREF)
 def _(spark: SparkSession, d: str) -> DataFrame:
     g = graph(spark, d)
-    symbols = as_of(g.symbols, g.files)
-    literals = read(spark, d, "pages").select(F.lit("html").alias("language"), F.explode(search.literal_tokens(F.col("html"))).alias("token"))
+    quoted = F.explode(F.regexp_extract_all("html", F.lit('"([^"]*)"'), F.lit(1))).alias("literal")
+    literals = read(spark, d, "pages").select(quoted).select(F.lit("html").alias("language"), F.explode(xref.literal_tokens(F.col("literal"))).alias("token"))
     called = read(spark, d, "lineitem").select(F.lit("script").alias("language"), F.concat(F.lit("orders.o.order_"), F.col("l_orderkey").cast("string")).alias("token"))
-    return search.cross_references(literals.union(called), symbols)
+    named = read(spark, d, "part").select(F.lit("script").alias("language"), F.concat(F.upper(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit("/Part_"), F.expr("p_partkey div 3").cast("string")).alias("token"))
+    return xref.cross_references(literals.union(called).union(named), as_of(g.symbols, g.files))
 
 
 # names and normal forms
@@ -129,10 +162,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", normalize.route(F.col("url")).alias("route"))
 
 
-@query("href_routes", "SELECT page_id, count(*) AS links, count(DISTINCT lower(h)) AS routes FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"(/[A-Za-z]+)\"', 1)) AS h FROM pages) GROUP BY page_id")
+ROUTE = """lower('/' || array_to_string([CASE WHEN regexp_matches(x, '^[:{<$]|[$][{]|[*]|^[0-9]+$') OR (regexp_matches(x, '^[0-9A-Fa-f-]+$') AND contains(x, '-') AND length(replace(x, '-', '')) >= 16) THEN '{}' ELSE x END
+  FOR x IN string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(h), '[?#].*$', ''), '/+', '/', 'g'), '(.)/$', '\\1'), '^/', ''), '/')], '/'))"""
+
+
+@query("href_routes", f"SELECT DISTINCT page_id AS source, {ROUTE} AS route, CAST(0.85 AS DOUBLE) AS confidence FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1)) AS h FROM pages) WHERE strlen(trim(h)) <= 200 AND NOT regexp_matches(trim(h), '[\\s\\\\]') AND regexp_matches({ROUTE}, '[a-z]')")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    links = read(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="(/[A-Za-z]+)"'), F.lit(1))).alias("h"))
-    return links.withColumn("route", normalize.route(F.col("h"))).groupBy("page_id").agg(F.count("route").alias("links"), F.count_distinct("route").alias("routes"))
+    links = read(spark, d, "pages").select(F.col("page_id").alias("source"), F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("text"))
+    return xref.routes(links)
 
 
 @query("channel_normalize", "SELECT DISTINCT raw, CASE WHEN replace(n, '_', '') <> '' THEN 'channel://' || lower(replace(n, '_', '')) END AS channel FROM (SELECT raw, regexp_replace(raw, '^(Topics|EventTypes)[.]', '') AS n FROM (SELECT CASE event_type WHEN 'click' THEN 'Topics.' WHEN 'view' THEN 'EventTypes.' WHEN 'error' THEN 'other.' ELSE '' END || upper(event_type) || '_' || (user_id % 20) AS raw FROM events))")
@@ -147,10 +184,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "customer").select(F.col("c_mktsegment").alias("raw")).distinct().select("raw", normalize.env(F.col("raw")).alias("env"), normalize.secret(F.col("raw")).alias("secret"))
 
 
-@query("http_method_normalize", "SELECT raw, CASE WHEN upper(trim(raw, '\"')) IN ('ALL', 'ANY') THEN 'ANY' WHEN regexp_replace(upper(trim(raw, '\"')), '(.)ASYNC$', '\\1') IN ('GET','POST','PUT','PATCH','DELETE','OPTIONS','HEAD') THEN regexp_replace(upper(trim(raw, '\"')), '(.)ASYNC$', '\\1') END AS method FROM (SELECT unnest(['get', '\"post\"', 'GetAsync', 'all', 'Any', 'fetch', 'DELETE', 'putasync']) || CASE WHEN r_regionkey = 1 THEN '' ELSE '' END AS raw FROM region WHERE r_regionkey = 1)")
+WORDS = ("get", '"post"', "GET", "all", "Any", "fetch", "DELETE", "put", "options")
+METHODS = "('GET','POST','PUT','PATCH','DELETE','OPTIONS','HEAD')"
+
+
+@query("http_method_normalize", f"SELECT DISTINCT raw, CASE WHEN u IN ('ALL', 'ANY') THEN 'ANY' WHEN u IN {METHODS} THEN u WHEN regexp_replace(u, '(.)ASYNC$', '\\1') IN {METHODS} THEN regexp_replace(u, '(.)ASYNC$', '\\1') END AS method FROM (SELECT raw, upper(trim(raw, '\"')) AS u FROM (SELECT {list(WORDS)}[event_id % 9 + 1] || CASE user_id % 3 WHEN 0 THEN 'Async' ELSE '' END AS raw FROM events))")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    words = F.array(*map(F.lit, ("get", '"post"', "GetAsync", "all", "Any", "fetch", "DELETE", "putasync")))
-    return read(spark, d, "region").where("r_regionkey = 1").select(F.explode(words).alias("raw")).select("raw", normalize.http_method(F.col("raw")).alias("method"))
+    word = F.element_at(F.array(*map(F.lit, WORDS)), (F.col("event_id") % 9 + 1).cast("int"))
+    raw = read(spark, d, "events").select(F.concat(word, F.when(F.col("user_id") % 3 == 0, "Async").otherwise("")).alias("raw")).distinct()
+    return raw.select("raw", normalize.http_method(F.col("raw")).alias("method"))
 
 
 @query("json_detail", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '{\"kind\":\"' || event_type || '\",\"user\":' || user_id || '}' AS detail FROM events")
@@ -189,17 +231,20 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return as_of(g.symbols, g.files).select("id", names.trailing_name(F.col("qualname")).alias("trailing"), names.short_name(F.col("qualname")).alias("short"), paths.first_segment(p).alias("top"), paths.module_prefix(p, 2).alias("prefix"))
 
 
-@query("language_detection", SOURCES + " SELECT DISTINCT ext, CASE ext WHEN 'py' THEN 'python' WHEN 'rs' THEN 'rust' WHEN 'tsx' THEN 'tsx' WHEN 'go' THEN 'go' WHEN 'psql' THEN 'postgres' END AS language FROM (SELECT unnest(['py', 'rs', 'tsx', 'go', 'psql', 'xyz']) AS ext FROM sources)")
+ENDINGS = ("py", "pyi", "PY", "rs", "js", "jsx", "mjs", "cjs", "ts", "mts", "cts", "tsx", "cs", "csx", "sql", "psql", "pgsql", "tsql", "proto", "go", "yaml", "yml", "bicep", "bicepparam", "txt")
+BY_ENDING = "CASE WHEN x IN ('py', 'pyi') THEN 'python' WHEN x = 'rs' THEN 'rust' WHEN x IN ('js', 'jsx', 'mjs', 'cjs') THEN 'javascript' WHEN x IN ('ts', 'mts', 'cts') THEN 'typescript' WHEN x = 'tsx' THEN 'tsx' WHEN x IN ('cs', 'csx') THEN 'csharp' WHEN x = 'sql' THEN 'sql' WHEN x IN ('psql', 'pgsql') THEN 'postgres' WHEN x = 'tsql' THEN 'tsql' WHEN x = 'proto' THEN 'proto' WHEN x = 'go' THEN 'go' WHEN x IN ('yaml', 'yml') THEN 'yaml' WHEN x IN ('bicep', 'bicepparam') THEN 'bicep' END"
+
+
+@query("language_detection", f"SELECT path, {BY_ENDING} AS language FROM (SELECT 'a.b/' || source || '/' || doc_id || '.' || {list(ENDINGS)}[doc_id % 25 + 1] AS path, lower({list(ENDINGS)}[doc_id % 25 + 1]) AS x FROM documents)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    ext = sources(spark, d).select(F.explode(F.array(*map(F.lit, ("py", "rs", "tsx", "go", "psql", "xyz")))).alias("ext")).distinct()
-    return ext.select("ext", paths.language(F.concat(F.lit("a/b."), "ext")).alias("language"))
+    ending = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("doc_id") % 25 + 1).cast("int"))
+    found = read(spark, d, "documents").select(F.concat(F.lit("a.b/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), ending).alias("path"))
+    return found.select("path", paths.language(F.col("path")).alias("language"))
 
 
-@query("evidence_snippet", "SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS whole FROM benchmark WHERE strlen(trim(regexp_replace(text, '\\s+', ' ', 'g'))) <= 200")
+@query("evidence_snippet", "SELECT doc_id, CASE WHEN strlen(one) <= 200 THEN one ELSE left(one, list_max([n FOR n IN range(0, 201) IF strlen(left(one, CAST(n AS INTEGER))) <= 200])) END AS snippet FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS one FROM documents)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    cut = text.snippet(F.col("text"))
-    whole = F.trim(F.regexp_replace("text", r"\s+", " "))
-    return read(spark, d, "benchmark").select("item_id", cut.alias("whole"), whole.alias("all")).where("whole = all").drop("all")
+    return read(spark, d, "documents").select("doc_id", text.snippet(F.col("text")).alias("snippet"))
 
 
 # budgets and snapshots
@@ -238,12 +283,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return snapshot.soft_delete(files, files.where("file_id % 3 = 0"), 5).select("file_id", "path", "deleted_version")
 
 
-@query("hit_merge", SOURCES + ", x AS (SELECT path, line FROM lines WHERE contains(content, ' the ')), y AS (SELECT path, line FROM lines WHERE contains(content, ' of ')) SELECT path, line, 'exact' AS engine FROM x UNION ALL SELECT path, line, 'fuzzy' FROM y WHERE (path, line) NOT IN (SELECT path, line FROM x)")
+SHORT = "WITH lines AS (SELECT 'src/' || item_id AS path, i AS line, string_split(text, chr(10))[i] AS content FROM (SELECT item_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM benchmark))"
+
+
+@query("hit_merge", f"{SHORT}, {fuzzy_sql(['heed'])}, x AS (SELECT path, line FROM lines WHERE contains(content, 'the')) SELECT path, line, CAST(10.0 AS DOUBLE) AS score, 'exact' AS engine FROM x UNION ALL SELECT path, line, score, 'fuzzy' FROM fuzz WHERE (path, line) NOT IN (SELECT path, line FROM x)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = search.lines(sources(spark, d))
-    first = search.exact(rows, " the ").select("path", "line", F.lit("exact").alias("engine"))
-    second = search.exact(rows, " of ").select("path", "line", F.lit("fuzzy").alias("engine"))
-    return first.union(second.join(first.select("path", "line"), ["path", "line"], "left_anti"))
+    rows = search.lines(read(spark, d, "benchmark").select(F.concat(F.lit("src/"), F.col("item_id").cast("string")).alias("path"), "text"))
+    first = search.exact(rows, "the").select("path", "line", F.lit(search.EXACT_SCORE).alias("score"), F.lit("exact").alias("engine"))
+    return search.merged(first, search.fuzzy(rows, ["heed"]).select("path", "line", "score", F.lit("fuzzy").alias("engine")))
 
 
 # change streams

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import fnmatch
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.paths import BY_EXTENSION, LANGUAGES, language
+from spanloom.functions.paths import BY_EXTENSION, LANGUAGES, escapes, language
 
-# Directories that are never scanned, and other names of languages.
+# Files with ignore rules, directories that are never scanned, and other names of languages.
+IGNORE_FILES = (".gitignore", ".ignore")
 SKIPPED = (".git", ".hg", ".svn", "node_modules", "target", "__pycache__")
 ALIASES = {
     "py": ("python",), "rs": ("rust",), "js": ("javascript",), "node": ("javascript",), "ts": ("typescript", "tsx"), "typescript": ("typescript", "tsx"), "c#": ("csharp",), "cs": ("csharp",), "dotnet": ("csharp",), "dot-net": ("csharp",),
@@ -31,6 +32,33 @@ def extensions(languages: list[str]) -> list[str]:
     return list(dict.fromkeys(e for name in languages for e in LANGUAGES[name]))
 
 
+def glob_pattern(glob: str) -> str:
+    """A glob as a regular expression: ``*`` and ``?`` stay in a folder, ``**`` does not, ``[..]`` is a class."""
+    parts = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    out = []
+    for piece in re.findall(r"\*\*/|\*\*|\*|\?|\[!?[^\]]+\]|.", glob):
+        if piece in parts:
+            out.append(parts[piece])
+        elif len(piece) > 1:
+            out.append("[^" + piece[2:] if piece[1] == "!" else piece)
+        else:
+            out.append(re.escape(piece))
+    return "".join(out)
+
+
+def ignore_rules(spark: SparkSession, root: str) -> list[str]:
+    """The rules of the ignore files at a tree's root, in order."""
+    jvm, out = spark.sparkContext._jvm, []
+    for name in IGNORE_FILES:
+        where = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+        fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(where):
+            stream = fs.open(where)
+            out += jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+            stream.close()
+    return out
+
+
 def ignored(path: Column, rules: list[str]) -> Column:
     """Whether the last of the ignore rules that fits a path excludes it (``!`` includes again)."""
     out = F.lit(False)
@@ -39,15 +67,28 @@ def ignored(path: Column, rules: list[str]) -> Column:
             continue
         keep, pattern = rule.startswith("!"), rule.lstrip("!").rstrip("/")
         anchored = pattern.startswith("/") or "/" in pattern
-        body = fnmatch.translate(pattern.lstrip("/")).removeprefix("(?s:").removesuffix(r")\z").removesuffix(r")\Z").replace(".*", "[^/]*")
-        out = F.when(path.rlike(f"{'^' if anchored else '(^|/)'}(?:{body})(/|$)"), F.lit(not keep)).otherwise(out)
+        out = F.when(path.rlike(f"{'^' if anchored else '(^|/)'}(?:{glob_pattern(pattern.lstrip('/'))})(/|$)"), F.lit(not keep)).otherwise(out)
     return out
 
 
+def scan_file(spark: SparkSession, root: str, path: str) -> DataFrame:
+    """What ``scan`` gives of one file; a path that leaves the tree is an error."""
+    if escapes(path):
+        raise ValueError(f"outside of the repository: {path}")
+    return _scanned(spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{path}"), root.rstrip("/"))
+
+
 def scan(spark: SparkSession, root: str, rules: list[str] | None = None, languages: list[str] | None = None) -> DataFrame:
-    """path, language, size, modified, hash, text of a tree's source files."""
+    """path, language, size, modified, hash, text of a tree's source files.
+
+    ``rules`` tell what to leave out; by default those of the tree's own ignore files do.
+    """
     base = root.rstrip("/")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(sorted(BY_EXTENSION)) + "}").load(base)
+    return _scanned(found, base, ignore_rules(spark, base) if rules is None else rules, languages)
+
+
+def _scanned(found: DataFrame, base: str, rules: list[str] | None = None, languages: list[str] | None = None) -> DataFrame:
     path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*(?=/)", ""), F.lit("^" + _quoted(base)), F.lit(""))
     rows = found.select(path.alias("path"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("modified"), "content")
     rows = rows.withColumn("language", language(F.col("path"))).where(F.col("language").isNotNull() & ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED))))
@@ -59,8 +100,6 @@ def scan(spark: SparkSession, root: str, rules: list[str] | None = None, languag
 
 
 def _quoted(base: str) -> str:
-    import re
-
     return re.escape(base.split("://", 1)[-1]) + "/"
 
 

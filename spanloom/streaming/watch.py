@@ -16,6 +16,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 # Quiet times before a flush, the time within which a further edit is urgent, and when
 # so much is pending that everything is built anew.
 QUIET_URGENT, QUIET_NORMAL, URGENT_SECONDS, OVERFLOW = "50 milliseconds", "300 milliseconds", 60, 1_000
+# Rows and bytes at which a batch is written, and how long one may wait.
+BATCH_ROWS, BATCH_BYTES, BATCH_WAIT = 100, 10 << 20, "500 milliseconds"
 
 
 def events(spark: SparkSession, folder: str, schema: str, per_trigger: int = 100) -> DataFrame:
@@ -80,8 +82,12 @@ def batches(changes: DataFrame, order: list[str], size: str, most: int) -> DataF
     return numbered.groupBy("batch").agg(F.count(F.lit(1)).alias("changes"), F.sum(size).alias("bytes"))
 
 
-def maintain(changes: DataFrame, apply: Callable[[DataFrame, int], None], rebuild: Callable[[], None], checkpoint: str, overflow: int = OVERFLOW) -> StreamingQuery:
-    """Runs ``apply`` on each micro-batch's last change of every path, or ``rebuild`` on an overflow."""
+def maintain(changes: DataFrame, apply: Callable[[DataFrame, int], None], rebuild: Callable[[], None], checkpoint: str, overflow: int = OVERFLOW, every: str | None = None) -> StreamingQuery:
+    """Runs ``apply`` on each micro-batch's last change of every path, or ``rebuild`` on an overflow.
+
+    ``every`` keeps the stream running, with a batch after each such time (as ``BATCH_WAIT``); without it
+    what is there is done and the stream ends.
+    """
 
     def one(batch: DataFrame, number: int) -> None:
         if batch.limit(overflow).count() >= overflow:
@@ -90,4 +96,22 @@ def maintain(changes: DataFrame, apply: Callable[[DataFrame, int], None], rebuil
             last = Window.partitionBy("path").orderBy(F.desc("ts"), F.desc("event"))
             apply(batch.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n"), number)
 
-    return changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**({"processingTime": every} if every else {"availableNow": True})).start()
+
+
+def polled(before: DataFrame, after: DataFrame) -> DataFrame:
+    """path, event of what changed between two scans (path, hash): the fallback where no events come.
+
+    Against an empty scan everything is created, which is how a stream begins.
+    """
+    old, new = before.select("path", F.col("hash").alias("old")), after.select("path", F.col("hash").alias("new"))
+    event = F.when(F.col("old").isNull(), "created").when(F.col("new").isNull(), "deleted").when(F.col("old") != F.col("new"), "modified")
+    return old.join(new, "path", "full").select("path", event.alias("event")).where("event is not null")
+
+
+def next_batch(pending: DataFrame, most: int = BATCH_ROWS, most_bytes: int = BATCH_BYTES) -> DataFrame:
+    """What is to be done next: urgent changes (event_id, ts, urgent, size) first, then the oldest, up to
+    ``most`` rows and until ``most_bytes`` are reached, one row at least."""
+    first = pending.orderBy(F.desc("urgent"), "ts", "event_id").limit(most)  # few rows from here on
+    before = F.coalesce(F.sum("size").over(Window.orderBy(F.desc("urgent"), "ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return first.withColumn("\0before", before).where(F.col("\0before") < most_bytes).drop("\0before")

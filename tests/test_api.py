@@ -35,7 +35,7 @@ def test_all_methods_are_there() -> None:
         ("top_complexity", {"limit": 3}, "rows"),
         ("dead_symbols", {}, "symbols"),
         ("explain_symbol", {"query": "1000004"}, "rows"),
-        ("trace_flow", {"start": "supply.supplier_7", "direction": "up", "max_hops": 1}, "rows"),
+        ("trace_flow", {"start": "supply.supplier_7", "direction": "up", "max_hops": 1}, "hops"),
         ("analyze_impact", {"query": "1000004", "max_depth": 1}, "rows"),
         ("context", {"path": "ASIA/NATION_2/core.py"}, "rows"),
         ("search", {"query": "[a-z]"}, "rows"),
@@ -52,8 +52,12 @@ def test_methods_answer(engine: Engine, method: str, params: dict, part: str) ->
 
 def test_reindex_reads_a_tree(engine: Engine, tmp_path) -> None:
     (tmp_path / "a.py").write_text("def f():\n    return g()\n")
-    got = json.loads(engine.answer(json.dumps({"method": "reindex", "params": {"root": str(tmp_path)}})))
-    assert {i.get("qualname") for i in got["result"]["items"]} >= {"a", "a.f"}
+    own = Engine(engine.files, engine.symbols, engine.edges, engine.metrics)
+    got = json.loads(own.answer(json.dumps({"method": "reindex", "params": {"root": str(tmp_path)}})))
+    assert {i.get("qualname") for i in got["result"]["symbols"]} >= {"a", "a.f"}
+    (again,) = own.serve(["", json.dumps({"method": "explain_symbol", "params": {"query": "a.f", "fields": ["qualname"]}})])
+    assert json.loads(again)["result"]["rows"] == [{"qualname": "a.f"}]
+    assert "error" in json.loads(own.answer('{"method": "orient", "params": {"paths": ["../x"]}}'))
 
 
 def test_wrong_requests_are_told(engine: Engine) -> None:
