@@ -7,9 +7,11 @@ from the star-schema tables; ``PREFIX`` is the same as SQL, for the oracles.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The snapshot that the queries read.
 VERSION = 2
@@ -41,62 +43,61 @@ def as_of(rows: DataFrame, files: DataFrame, version: int = VERSION, languages:
     return rows.where(F.col("graph_version") == version).join(kept, "file_id")
 
 
+_schemas: dict[tuple[str, str], StructType] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table. Its schema is read from the files once in a session."""
+    path = f"{sf_dir}/{name}.parquet"
+    known = _schemas.get((spark.sparkContext.applicationId, path))
+    found = spark.read.schema(known).parquet(path) if known else spark.read.parquet(path)
+    _schemas[spark.sparkContext.applicationId, path] = found.schema
+    return found
+
 
+def _symbols(id_: str, file: str, kind: str, name: str, qualname: str, start: str, end: str, signature: str = "cast(null as string)", version: int = VERSION) -> list[str]:
+    return [f"cast({id_} as long) as id", f"cast({file} + 1000 as long) as file_id", f"{kind} as kind", f"{name} as name", f"{qualname} as qualname", f"cast({start} as long) as start_line", f"cast({end} as long) as end_line", f"{signature} as signature", f"{version}L as graph_version"]
 
-def _text(*parts: Column | str) -> Column:
-    return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+
+def _edges(source: str, target: str, kind: str, name: str, file: str, line: str, confidence: str, ts: str = "null", trace: str = "null", detail: str = "null") -> list[str]:
+    return [f"cast({source} as long) as source", f"cast({target} as long) as target", f"{kind} as kind", f"{name} as target_qualname", f"cast({file} + 1000 as long) as file_id", f"cast({line} as long) as line", f"cast({confidence} as double) as confidence", f"cast({ts} as long) as event_ts", f"cast({trace} as string) as trace_id", f"cast({detail} as string) as detail", f"{VERSION}L as graph_version"]
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    t = lambda name: read(spark, sf_dir, name)
-    c = F.col
-    files = t("nation").join(F.broadcast(t("region")), c("n_regionkey") == c("r_regionkey")).select(
-        (c("n_nationkey") + 1000).cast("long").alias("file_id"),
-        F.concat(c("r_name"), F.lit("/"), c("n_name"), F.lit("/"), F.when(c("n_nationkey") % 6 == 5, "tests/").when(c("n_nationkey") % 6 == 4, "integration/").when(c("n_nationkey") % 6 == 1, "e2e/").otherwise(""), F.lit("core.py")).alias("path"),
-        c("r_name").alias("language"),
-        F.when(c("n_nationkey") % 7 == 3, F.lit(2)).cast("long").alias("deleted_version"),
+    """The four relations, as expressions in SQL: a plan of this size is built quickest from text."""
+    tables = {name: read(spark, sf_dir, name) for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
+    t = tables.__getitem__
+    folder = "case n_nationkey % 6 when 5 then 'tests/' when 4 then 'integration/' when 1 then 'e2e/' else '' end"
+    files = t("nation").join(F.broadcast(t("region")), F.expr("n_regionkey = r_regionkey")).selectExpr(
+        "cast(n_nationkey + 1000 as long) as file_id",
+        f"concat(r_name, '/', n_name, '/', {folder}, 'core.py') as path",
+        "r_name as language",
+        "cast(case when n_nationkey % 7 = 3 then 2 end as long) as deleted_version",
     )
-
-    def symbol(id_: Column, file: Column, kind: Column, name: Column, qualname: Column, start: Column, end: Column, signature: Column) -> list[Column]:
-        return [id_.cast("long").alias("id"), (file + 1000).cast("long").alias("file_id"), kind.alias("kind"), name.alias("name"), qualname.alias("qualname"), start.cast("long").alias("start_line"), end.cast("long").alias("end_line"), signature.alias("signature"), F.lit(VERSION).cast("long").alias("graph_version")]
-
-    key = c("p_partkey")
-    kinds = F.create_map(*(F.lit(x) for kv in {"PROMO": "function", "STANDARD": "method", "ECONOMY": "class", "SMALL": "struct", "LARGE": "module", "MEDIUM": "variable"}.items() for x in kv))
-    part_name = F.when(key % 97 == 5, "setup").otherwise(_text("part_", F.expr("p_partkey div 3")))
-    part_kind = F.when((c("p_type") == "MEDIUM") & (key % 2 == 0), "property").otherwise(F.try_element_at(kinds, c("p_type")))
-    parts = t("part").select(*symbol(key + 1_000_000, key % 25, part_kind, part_name, F.concat(F.replace(c("p_brand"), F.lit("#"), F.lit("")), F.when(key % 3 < 2, ".").otherwise("::"), part_name), key * 13 % 900 + 1, key * 13 % 900 + 1 + c("p_size"), _text("(", c("p_name"), ")")))
-    changed = F.when(key % 4 == 0, _text("(", c("p_name"), ", old)")).when(key % 4 == 1, _text("(", c("p_name"), ")"))
-    earlier = t("part").where("p_partkey % 3 = 0").select(*symbol(key + 5_000_000, key % 25, part_kind, part_name, F.concat(F.replace(c("p_brand"), F.lit("#"), F.lit("")), F.lit("."), part_name), key * 13 % 900 + 1, key * 13 % 900 + 1 + c("p_size"), changed)).withColumn("graph_version", F.lit(VERSION - 1).cast("long"))
-    s = c("s_suppkey")
-    suppliers = t("supplier").select(*symbol(s + 2_000_000, c("s_nationkey"), F.lit("interface"), _text("supplier_", s), _text("supply.supplier_", s), s % 500 + 1, s % 500 + 21, F.lit(None).cast("string")))
-    o = c("o_orderkey")
-    order_name = F.when(o % 10 == 0, _text("test_part_", o % 3000)).otherwise(_text("order_", o))
-    orders = t("orders").select(*symbol(o + 3_000_000, c("o_custkey") % 25, F.lit("function"), order_name, F.concat(F.lit("orders."), F.lower(c("o_orderstatus")), F.lit("."), order_name), o % 800 + 1, o % 800 + 1 + o % 40, F.lit(None).cast("string")))
-    u = c("c_custkey")
-    customers = t("customer").select(*symbol(u + 20_000_000, c("c_nationkey"), F.lit("service"), _text("customer_", u), F.concat(F.lower(c("c_mktsegment")), F.lit("."), _text("customer_", u)), u % 300 + 1, u % 300 + 9, F.lit(None).cast("string")))
-
-    def edge(source: Column, target: Column, kind: Column, name: Column, file: Column, line: Column, confidence: Column, ts: Column, trace: Column, detail: Column = F.lit(None).cast("string")) -> list[Column]:
-        return [source.cast("long").alias("source"), target.cast("long").alias("target"), kind.alias("kind"), name.alias("target_qualname"), (file + 1000).cast("long").alias("file_id"), line.cast("long").alias("line"), confidence.cast("double").alias("confidence"), ts.cast("long").alias("event_ts"), trace.alias("trace_id"), detail.alias("detail"), F.lit(VERSION).cast("long").alias("graph_version")]
-
-    flag = F.when(c("l_returnflag") == "R", "CALLS").when(c("l_returnflag") == "A", "IMPORTS").otherwise("XREF")
-    shipped = F.unix_date(c("l_shipdate").cast("date")) * 86_400
-    lines = t("lineitem")
-    calls = lines.select(*edge(c("l_orderkey") + 3_000_000, F.when(c("l_linenumber") % 5 != 0, c("l_partkey") + 1_000_000), flag, _text("lib.part_", F.expr("l_partkey div 3")), c("l_suppkey") % 25, c("l_linenumber"), F.round(c("l_discount") * 10, 4), shipped, _text("trace_", c("l_orderkey") % 100)))
-    binds = lines.where("l_linenumber = 1").select(*edge(c("l_partkey") + 1_000_000, c("l_suppkey") + 2_000_000, F.lit("CONFIG_BIND"), _text("env://S", c("l_suppkey")), c("l_partkey") % 25, F.lit(1), F.lit(0.8), shipped, F.lit(None).cast("string")))
-    posts = t("orders").select(*edge(c("o_custkey") + 20_000_000, o + 3_000_000, F.lit("HTTP_CALL"), _text("/api/orders/", o % 1000), c("o_custkey") % 25, o % 50 + 1, F.lit(0.9), F.unix_date(c("o_orderdate").cast("date")) * 86_400, F.lit(None).cast("string"), _text('{"framework":"fetch","method":"GET","path":"/api/orders/', o % 1000, '"}')))
-    routes = t("part").where("p_partkey % 10 = 0").select(*edge(key + 1_000_000, F.lit(None), F.lit("HTTP_ROUTE"), _text("/api/orders/", key % 1000), key % 25, key % 50 + 1, F.lit(0.85), F.lit(None), F.lit(None).cast("string")))
-    up = F.when(key % 12 == 1, "EXTENDS").when(key % 6 == 1, "IMPLEMENTS").otherwise("CONTAINS")
-    kin = t("part").where("p_partkey % 6 in (1, 2)").select(*edge(key + 1_000_000, key * 7 % 1000 + 1_000_001, up, _text("lib.part_", F.expr("(p_partkey * 7 % 1000 + 1) div 3")), key % 25, key % 70 + 1, F.lit(0.7), F.lit(None), F.lit(None).cast("string")))
-    rpc = lambda n: _text('{"service":"Orders","rpc":"Get', n % 50, '"}')
-    served = t("supplier").select(*edge(s + 2_000_000, F.lit(None), F.lit("RPC_IMPL"), _text("/orders/get", s % 50), s % 25, s % 50 + 1, F.lit(0.75), F.lit(None), F.lit(None).cast("string"), rpc(s)))
-    asked = t("customer").where("c_custkey % 10 = 0").select(*edge(u + 20_000_000, F.lit(None), F.lit("RPC_CALL"), _text("/orders/get", u % 50), u % 25, u % 50 + 1, F.lit(0.65), F.lit(None), F.lit(None).cast("string")))
-    metrics = t("part").select((key + 1_000_000).cast("long").alias("symbol_id"), (c("p_size") + 1).cast("long").alias("loc"), c("p_size").cast("long").alias("complexity"), F.md5(F.concat("p_name", "p_brand")).alias("duplication_hash"))
-    edges = calls
-    for more in (binds, posts, routes, kin, served, asked):
-        edges = edges.unionByName(more)
-    return Graph(files, parts.unionByName(earlier).unionByName(suppliers).unionByName(orders).unionByName(customers), edges, metrics)
+    name = "if(p_partkey % 97 = 5, 'setup', concat('part_', p_partkey div 3))"
+    kind = "case p_type when 'PROMO' then 'function' when 'STANDARD' then 'method' when 'ECONOMY' then 'class' when 'SMALL' then 'struct' when 'LARGE' then 'module' when 'MEDIUM' then if(p_partkey % 2 = 0, 'property', 'variable') end"
+    owner, start = "replace(p_brand, '#', '')", "p_partkey * 13 % 900 + 1"
+    parts = t("part").selectExpr(*_symbols("p_partkey + 1000000", "p_partkey % 25", kind, name, f"concat({owner}, if(p_partkey % 3 < 2, '.', '::'), {name})", start, f"{start} + p_size", "concat('(', p_name, ')')"))
+    changed = "case p_partkey % 4 when 0 then concat('(', p_name, ', old)') when 1 then concat('(', p_name, ')') end"
+    earlier = t("part").where("p_partkey % 3 = 0").selectExpr(*_symbols("p_partkey + 5000000", "p_partkey % 25", kind, name, f"concat({owner}, '.', {name})", start, f"{start} + p_size", changed, VERSION - 1))
+    suppliers = t("supplier").selectExpr(*_symbols("s_suppkey + 2000000", "s_nationkey", "'interface'", "concat('supplier_', s_suppkey)", "concat('supply.supplier_', s_suppkey)", "s_suppkey % 500 + 1", "s_suppkey % 500 + 21"))
+    order = "if(o_orderkey % 10 = 0, concat('test_part_', o_orderkey % 3000), concat('order_', o_orderkey))"
+    orders = t("orders").selectExpr(*_symbols("o_orderkey + 3000000", "o_custkey % 25", "'function'", order, f"concat('orders.', lower(o_orderstatus), '.', {order})", "o_orderkey % 800 + 1", "o_orderkey % 800 + 1 + o_orderkey % 40"))
+    customers = t("customer").selectExpr(*_symbols("c_custkey + 20000000", "c_nationkey", "'service'", "concat('customer_', c_custkey)", "concat(lower(c_mktsegment), '.customer_', c_custkey)", "c_custkey % 300 + 1", "c_custkey % 300 + 9"))
+
+    shipped, ordered = "unix_date(cast(l_shipdate as date)) * 86400L", "unix_date(cast(o_orderdate as date)) * 86400L"
+    path = "concat('/api/orders/', o_orderkey % 1000)"
+    edges = [
+        t("lineitem").selectExpr(*_edges("l_orderkey + 3000000", "if(l_linenumber % 5 <> 0, l_partkey + 1000000, null)", "case l_returnflag when 'R' then 'CALLS' when 'A' then 'IMPORTS' else 'XREF' end", "concat('lib.part_', l_partkey div 3)", "l_suppkey % 25", "l_linenumber", "round(l_discount * 10, 4)", shipped, "concat('trace_', l_orderkey % 100)")),
+        t("lineitem").where("l_linenumber = 1").selectExpr(*_edges("l_partkey + 1000000", "l_suppkey + 2000000", "'CONFIG_BIND'", "concat('env://S', l_suppkey)", "l_partkey % 25", "1", "0.8", shipped)),
+        t("orders").selectExpr(*_edges("o_custkey + 20000000", "o_orderkey + 3000000", "'HTTP_CALL'", path, "o_custkey % 25", "o_orderkey % 50 + 1", "0.9", ordered, detail=f"""concat('{{"framework":"fetch","method":"GET","path":"', {path}, '"}}')""")),
+        t("part").where("p_partkey % 10 = 0").selectExpr(*_edges("p_partkey + 1000000", "null", "'HTTP_ROUTE'", "concat('/api/orders/', p_partkey % 1000)", "p_partkey % 25", "p_partkey % 50 + 1", "0.85")),
+        t("part").where("p_partkey % 6 in (1, 2)").selectExpr(*_edges("p_partkey + 1000000", "p_partkey * 7 % 1000 + 1000001", "case when p_partkey % 12 = 1 then 'EXTENDS' when p_partkey % 6 = 1 then 'IMPLEMENTS' else 'CONTAINS' end", "concat('lib.part_', (p_partkey * 7 % 1000 + 1) div 3)", "p_partkey % 25", "p_partkey % 70 + 1", "0.7")),
+        t("supplier").selectExpr(*_edges("s_suppkey + 2000000", "null", "'RPC_IMPL'", "concat('/orders/get', s_suppkey % 50)", "s_suppkey % 25", "s_suppkey % 50 + 1", "0.75", detail="""concat('{"service":"Orders","rpc":"Get', s_suppkey % 50, '"}')""")),
+        t("customer").where("c_custkey % 10 = 0").selectExpr(*_edges("c_custkey + 20000000", "null", "'RPC_CALL'", "concat('/orders/get', c_custkey % 50)", "c_custkey % 25", "c_custkey % 50 + 1", "0.65")),
+    ]
+    metrics = t("part").selectExpr("cast(p_partkey + 1000000 as long) as symbol_id", "cast(p_size + 1 as long) as loc", "cast(p_size as long) as complexity", "md5(concat(p_name, p_brand)) as duplication_hash")
+    return Graph(files, reduce(DataFrame.unionByName, [parts, earlier, suppliers, orders, customers]), reduce(DataFrame.unionByName, edges), metrics)
 
 
 PREFIX = f"""
