@@ -99,7 +99,7 @@ def analyze_diff(hunks: DataFrame, symbols: DataFrame, edges: DataFrame, before:
     tests = analytics.test_coverage(changed, symbols, edges, is_test_path(F.col("path")) | F.col("name").startswith("test_"))
     downstream = cut(impact.diff_downstream(changed.select("id"), symbols, edges, depth).join(symbols.select("id", "qualname", "path", "language"), "id"))
     factors = analytics.risk_factors(changed, downstream, tests)
-    return {"changed": changed, "downstream": downstream, "tests": tests, "factors": factors, "risk": analytics.risk_level(factors)}
+    return {"changed": changed, "downstream": downstream, "tests": tests, "factors": factors, "risk": analytics.risk_level(factors), "next_hops": next_hops(changed)}
 
 
 def resolve_seeds(query: str, symbols: DataFrame, edges: DataFrame, limit: int = 5) -> DataFrame:
@@ -114,6 +114,13 @@ def resolve_seeds(query: str, symbols: DataFrame, edges: DataFrame, limit: int =
     return both.join(both.agg(F.min("rank").alias("best")), F.col("rank") == F.col("best")).select("id").distinct()
 
 
+def next_hops(found: DataFrame) -> DataFrame:
+    """method, id, direction, description: what to ask next about symbols (id, kind, qualname)."""
+    first = found.orderBy("id").limit(1).select(F.lit("explain_symbol").alias("method"), "id", F.lit(None).cast("string").alias("direction"), F.concat(F.lit("Explain "), "qualname").alias("description"))
+    callers = found.where("kind in ('method', 'function')").orderBy("id").limit(1).select(F.lit("analyze_impact"), "id", F.lit("upstream"), F.concat(F.lit("Callers of "), "qualname"))
+    return first.union(callers)
+
+
 def dead_code(symbols: DataFrame, edges: DataFrame) -> Bundle:
     return {"symbols": resolve.dead_symbols(symbols, edges), "imports": resolve.unused_imports(edges), "tests": resolve.orphan_tests(symbols)}
 

@@ -42,6 +42,10 @@ def list_edges(
     kinds: list[str] | None = None,
     path_prefixes: list[str] | None = None,
     min_confidence: float | None = None,
+    source: int | None = None,
+    target: int | None = None,
+    target_qualname: str | None = None,
+    languages: list[str] | None = None,
     trace_id: str | None = None,
     since: int | None = None,
     until: int | None = None,
@@ -57,6 +61,11 @@ def list_edges(
         wanted.append(paths.under(F.col("path"), path_prefixes))
     if min_confidence is not None:
         wanted.append(F.col("confidence") >= min_confidence)
+    for name, value in (("source", source), ("target", target), ("target_qualname", target_qualname)):
+        if value is not None:
+            wanted.append(F.col(name) == value)
+    if languages is not None:
+        wanted.append(F.col("language").isin(*languages) if languages else F.lit(False))
     if trace_id is not None:
         wanted.append(F.col("trace_id") == trace_id)
     if since is not None:
@@ -64,7 +73,7 @@ def list_edges(
     if until is not None:
         wanted.append(F.col("event_ts") <= until)
     if resolved_only:
-        wanted.append(F.col("target").isNotNull())
+        wanted.append(F.col("source").isNotNull() & F.col("target").isNotNull())
     order = ["path", F.coalesce("line", F.lit(0)), "source", F.coalesce("target", F.lit(0)), "kind", "target_qualname", "confidence", "event_ts"]
     return edges.where(all_of(wanted)).orderBy(*order).offset(offset).limit(limit)
 
@@ -77,7 +86,7 @@ def filter_edges(edges: DataFrame, include: list[str] | None = None, exclude: li
     if exclude:
         wanted.append(~F.col("kind").isin(*exclude))
     if resolved_only:
-        wanted.append(F.col("target").isNotNull())
+        wanted.append(F.col("source").isNotNull() & F.col("target").isNotNull())
     if drop_tests:
         wanted.append(~paths.is_test_file(F.col("path")))
     return edges.where(all_of(wanted))

@@ -44,6 +44,17 @@ def resolve_exact(names: DataFrame, symbols: DataFrame) -> DataFrame:
     return names.select("target_qualname").distinct().join(first, "target_qualname", "left")
 
 
+# Kinds of symbols that stand for their owner too where a search starts.
+OWNED_KINDS = ("property", "field", "attribute", "const")
+
+
+def parents(seeds: DataFrame, symbols: DataFrame) -> DataFrame:
+    """seed, parent of the properties and the like among seeds (id): the symbols that their names are inside of."""
+    owner = F.regexp_extract("qualname", r"^(.*)\.[^.]*$", 1)
+    owned = symbols.where(F.col("kind").isin(*OWNED_KINDS)).join(seeds.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("seed"), owner.alias("qualname")).where("qualname <> ''")
+    return owned.join(symbols.select("qualname", F.col("id").alias("parent")), "qualname").select("seed", "parent")
+
+
 def repair_dangling(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """Edges whose ends that are no symbol are null."""
     live = symbols.select("id").distinct()

@@ -498,11 +498,9 @@ def _(g: Snapshot) -> DataFrame:
     return reached.join(g.s.select("id", "file_id"), "id", "left").groupBy("seed").agg((F.count_distinct("id") - 1).alias("affected"), F.count_distinct("file_id").alias("files"))
 
 
-@over_graph("seed_expansion", "SELECT DISTINCT s.id AS seed, p.id AS parent FROM s JOIN s p ON p.qualname = regexp_extract(s.qualname, '^(.*)[.][^.]*$', 1) || '.' || p.name AND p.file_id = s.file_id AND p.kind IN ('class', 'struct') WHERE s.kind = 'variable' AND s.id <> p.id AND regexp_extract(s.qualname, '^(.*)[.][^.]*$', 1) <> ''")
+@over_graph("seed_expansion", "SELECT s.id AS seed, p.id AS parent FROM s JOIN s p ON p.qualname = regexp_extract(s.qualname, '^(.*)[.][^.]*$', 1) WHERE s.kind IN ('property', 'field', 'attribute', 'const')")
 def _(g: Snapshot) -> DataFrame:
-    owner = lambda c: F.regexp_extract(c, r"^(.*)\.[^.]*$", 1)
-    parents = g.s.where("kind in ('class', 'struct')").select(F.col("id").alias("parent"), "file_id", owner(F.col("qualname")).alias("owner"))
-    return g.s.where("kind = 'variable'").select(F.col("id").alias("seed"), "file_id", owner(F.col("qualname")).alias("owner")).where("owner <> ''").join(parents, ["file_id", "owner"]).select("seed", "parent").distinct()
+    return resolve.parents(g.s.select("id"), g.s)
 
 
 #: The file of the graph that a line of an order touches.

@@ -84,6 +84,7 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     order = "if(o_orderkey % 10 = 0, concat('test_part_', o_orderkey % 3000), concat('order_', o_orderkey))"
     orders = t("orders").selectExpr(*_symbols("o_orderkey + 3000000", "o_custkey % 25", "'function'", order, f"concat('orders.', lower(o_orderstatus), '.', {order})", "o_orderkey % 800 + 1", "o_orderkey % 800 + 1 + o_orderkey % 40"))
     customers = t("customer").selectExpr(*_symbols("c_custkey + 20000000", "c_nationkey", "'service'", "concat('customer_', c_custkey)", "concat(lower(c_mktsegment), '.customer_', c_custkey)", "c_custkey % 300 + 1", "c_custkey % 300 + 9"))
+    brands = t("customer").where("c_custkey between 11 and 55").selectExpr(*_symbols("c_custkey + 6000000", "c_custkey % 25", "'class'", "concat('Brand', c_custkey)", "concat('Brand', c_custkey)", "1", "900"))
 
     shipped, ordered = "unix_date(cast(l_shipdate as date)) * 86400L", "unix_date(cast(o_orderdate as date)) * 86400L"
     path = "concat('/api/orders/', o_orderkey % 1000)"
@@ -97,7 +98,7 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
         t("customer").where("c_custkey % 10 = 0").selectExpr(*_edges("c_custkey + 20000000", "null", "'RPC_CALL'", "concat('/orders/get', c_custkey % 50)", "c_custkey % 25", "c_custkey % 50 + 1", "0.65")),
     ]
     metrics = t("part").selectExpr("cast(p_partkey + 1000000 as long) as symbol_id", "cast(p_size + 1 as long) as loc", "cast(p_size as long) as complexity", "md5(concat(p_name, p_brand)) as duplication_hash")
-    return Graph(files, reduce(DataFrame.unionByName, [parts, earlier, suppliers, orders, customers]), reduce(DataFrame.unionByName, edges), metrics)
+    return Graph(files, reduce(DataFrame.unionByName, [parts, earlier, suppliers, orders, customers, brands]), reduce(DataFrame.unionByName, edges), metrics)
 
 
 PREFIX = f"""
@@ -121,6 +122,7 @@ WITH RECURSIVE g_files AS (
   UNION ALL SELECT o_orderkey + 3000000, o_custkey % 25 + 1000, 'function', CASE WHEN o_orderkey % 10 = 0 THEN 'test_part_' || (o_orderkey % 3000) ELSE 'order_' || o_orderkey END,
          'orders.' || lower(o_orderstatus) || '.' || CASE WHEN o_orderkey % 10 = 0 THEN 'test_part_' || (o_orderkey % 3000) ELSE 'order_' || o_orderkey END, o_orderkey % 800 + 1, o_orderkey % 800 + 1 + o_orderkey % 40, NULL, {VERSION} FROM orders
   UNION ALL SELECT c_custkey + 20000000, c_nationkey + 1000, 'service', 'customer_' || c_custkey, lower(c_mktsegment) || '.customer_' || c_custkey, c_custkey % 300 + 1, c_custkey % 300 + 9, NULL, {VERSION} FROM customer
+  UNION ALL SELECT c_custkey + 6000000, c_custkey % 25 + 1000, 'class', 'Brand' || c_custkey, 'Brand' || c_custkey, 1, 900, NULL, {VERSION} FROM customer WHERE c_custkey BETWEEN 11 AND 55
 ), g_edges AS (
   SELECT CAST(l_orderkey + 3000000 AS BIGINT) AS source, CAST(CASE WHEN l_linenumber % 5 <> 0 THEN l_partkey + 1000000 END AS BIGINT) AS target,
          CASE l_returnflag WHEN 'R' THEN 'CALLS' WHEN 'A' THEN 'IMPORTS' ELSE 'XREF' END AS kind, 'lib.part_' || (l_partkey // 3) AS target_qualname,

@@ -358,3 +358,24 @@ def test_globs_and_ignore_files(spark, tmp_path) -> None:
     assert [(r.path, r.text) for r in repository.scan_file(spark, str(tmp_path), "d/top.py").collect()] == [("d/top.py", "x = 1\n")]
     with pytest.raises(ValueError):
         repository.scan_file(spark, str(tmp_path), "../x.py")
+
+
+def test_buses_routes_and_extensions(spark) -> None:
+    calls = spark.createDataFrame([("this._bus", "PublishAsync"), ("eventBus", "on"), ("eventBus", "other"), ("db", "send")], "receiver string, method string")
+    assert [r[0] for r in calls.select(normalize.bus_role(F.col("receiver"), F.col("method"))).collect()] == ["publisher", "subscriber", None, None]
+    joins = spark.createDataFrame([("/api/", "/users"), ("", ""), ("/api", None), (None, "x")], "a string, b string")
+    assert [r[0] for r in joins.select(normalize.join_route(F.col("a"), F.col("b"))).collect()] == ["/api/users", "/", "/api", "/x"]
+    rpc = spark.createDataFrame([("shop.v1", "Orders", "Get"), (None, "Orders", "Get")], "p string, s string, m string")
+    assert [r[0] for r in rpc.select(normalize.rpc_path(F.col("p"), F.col("s"), F.col("m"))).collect()] == ["/shop.v1.orders/get", "/orders/get"]
+    assert repository.extensions(["tsx", "typescript"]) == ["tsx", "ts", "mts", "cts"]
+    assert column(spark, paths.is_test_file, "a/tests/x.py", "a/x_test.go", "a/x.spec.ts", "src/x.py") == [True, True, True, False]
+
+
+def test_owners_and_listed_edges(spark) -> None:
+    symbols = spark.createDataFrame([(1, "class", "a.C"), (2, "property", "a.C.x"), (3, "method", "a.C.m"), (4, "const", "lone")], "id long, kind string, qualname string")
+    assert [tuple(r) for r in resolve.parents(symbols.select("id"), symbols).collect()] == [(2, 1)]
+    rows = [(1, 2, "CALLS", "q", 1, "py", "p", 0.5, 10, "t"), (None, 2, "CALLS", "q", 2, "py", "p", 0.5, 10, "t"), (1, None, "XREF", "r", 3, "go", "p", 0.9, 20, None)]
+    edges = spark.createDataFrame(rows, "source long, target long, kind string, target_qualname string, line long, language string, path string, confidence double, event_ts long, trace_id string")
+    got = lambda **by: [r.line for r in filters.list_edges(edges, **by).collect()]
+    assert got() == [2, 1, 3] or got() == [1, 2, 3]
+    assert got(resolved_only=True) == [1] and got(source=1) == [1, 3] and got(target=2, kinds=["CALLS"], source=1) == [1] and got(target_qualname="r") == [3] and got(languages=["go"]) == [3] and got(languages=[]) == [] and got(since=15) == [3] and got(trace_id="t", source=1) == [1]
