@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import chunks, discard, written
+from spanloom.llm.common import chunks, discard, merged, written
 
 #: Members of a variant up to which its pairs are formed by the join.
 PAIRS_UP_TO = 16
@@ -96,11 +96,11 @@ def links(prints: DataFrame) -> DataFrame:
     """
     index = variants(prints)
     shared = index.groupBy("variant").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    met = written(index.join(shared, "variant"), "variants")
+    met = written(index.join(merged(shared), "variant"), "variants")
     small = met.where(F.col("members") <= PAIRS_UP_TO)
     pairs = (
         small.select("variant", F.col("bits").alias("a"))
-        .join(small.select("variant", F.col("bits").alias("b")), "variant")
+        .join(merged(small.select("variant", F.col("bits").alias("b"))), "variant")
         .where(f"a < b and bit_count(a ^ b) <= {DISTANCE}")
         .select("a", "b")
     )
@@ -148,4 +148,4 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: Column | str = "te
     placed = classes.join(roots.withColumnRenamed("node", "bits"), "bits", "left").select("bits", "first", F.coalesce("root", "bits").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = placed.join(smallest, "root").select("bits", "component_id")
-    return docs.join(named, "bits").select("doc_id", "bits", "component_id")
+    return docs.join(named, "bits", "left").select("doc_id", "bits", "component_id")

@@ -302,6 +302,25 @@ def test_links_by_brute_force(spark, monkeypatch, pairs_up_to: int) -> None:
     assert classes(lambda p: roots.get(p, p)) == classes(want.get)
 
 
+@pytest.fixture
+def little_to_broadcast(spark):
+    """A broadcast of more than 4 MB fails, as it does where the driver has little memory."""
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "1m", "spark.sql.maxBroadcastTableSize": "4m"}
+    for name, value in limits.items():
+        spark.conf.set(name, value)
+    yield
+    for name in limits:
+        spark.conf.unset(name)
+
+
+def test_variants_are_not_broadcast(spark, little_to_broadcast) -> None:
+    r = random.Random(62)
+    base = [r.getrandbits(63) for _ in range(5000)]
+    table = common.written(spark.createDataFrame([(b ^ c,) for b in base for c in (0, 5)], "bits long"), "prints")
+    got = {(row.a, row.b) for row in simhash.links(table).collect()}
+    assert got >= {tuple(sorted((b, b ^ 5))) for b in base}
+
+
 def test_near_duplicates_of_a_table(spark) -> None:
     long = " ".join(f"w{i}" for i in range(40_000))
     texts = [None, "", " \t\n", "One two THREE four", "one TWO three\x0bfour", "é É", long, long + " more", "only one", "One two THREE four"]
