@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm import simhash
-from spanloom.llm.common import chunks, discard, written
+from spanloom.llm.common import chunks, discard, merged, written
 
 WIDTH = 5
 #: Two sets are linked if 9 x overlap >= 4 x (sum of sizes), which is a similarity of 4/5.
@@ -170,7 +170,7 @@ def verified(pairs: DataFrame, df: DataFrame, text: str = "text") -> DataFrame:
 
     def with_ends(pairs: DataFrame, *columns: str) -> DataFrame:
         for end in ("a", "b"):
-            pairs = pairs.join(known.select(F.col("text_id").alias(end), F.struct(*columns).alias(f"of_{end}")), end)
+            pairs = pairs.join(merged(known.select(F.col("text_id").alias(end), F.struct(*columns).alias(f"of_{end}"))), end)
         return pairs
 
     close = written(with_ends(pairs, "size", "sketch").where(_near("of_a", "of_b")).select("a", "b"), "close")
@@ -194,16 +194,16 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     def between(pairs: DataFrame) -> DataFrame:
         """Verified pairs as links of fingerprints; texts of one fingerprint are together anyway."""
         for end in ("a", "b"):
-            pairs = pairs.join(texts.select(F.col("text_id").alias(end), F.struct("bits", "size", "sketch").alias(f"of_{end}")), end)
+            pairs = pairs.join(merged(texts.select(F.col("text_id").alias(end), F.struct("bits", "size", "sketch").alias(f"of_{end}"))), end)
         near = (F.col("of_a.bits") != F.col("of_b.bits")) & _near("of_a", "of_b")
         close = written(pairs.where(near).select("a", "b", F.col("of_a.bits").alias("p"), F.col("of_b.bits").alias("q")), "pairs")
         same = verified(close.select("a", "b"), df, text)
-        return written(close.join(same, ["a", "b"]).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "jaccard-links")
+        return written(close.join(merged(same), ["a", "b"]).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "jaccard-links")
 
     index = written(postings(df, text), "postings")
     shared = index.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     before = F.collect_list("h").over(Window.partitionBy("text_id").orderBy("at").rowsBetween(-EARLIER, -1)).alias("before")
-    met = index.join(shared, "h", "left_semi").distinct().select("h", "text_id", "at", "size", before)
+    met = index.join(merged(shared), "h", "left_semi").distinct().select("h", "text_id", "at", "size", before)
     met = written(met.select("h", F.struct("text_id", "at", "size", "before").alias("x")), "prefixes")
     discard(index)
 
@@ -213,9 +213,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
             rooted = met.select("h", "x", F.col("x.text_id").alias("root"))
         else:
             placed = texts.join(roots.withColumnRenamed("node", "bits"), "bits", "left").select("text_id", F.coalesce("root", "bits").alias("root"))
-            rooted = met.select("h", "x", F.col("x.text_id").alias("text_id")).join(placed, "text_id").select("h", "x", "root")
+            rooted = met.select("h", "x", F.col("x.text_id").alias("text_id")).join(placed, "text_id", "left").select("h", "x", "root")
         mixed = rooted.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("h")
-        return written(rooted.join(mixed, "h", "left_semi"), "apart")
+        return written(rooted.join(merged(mixed), "h", "left_semi"), "apart")
 
     def hubs(rooted: DataFrame) -> DataFrame:
         """Each text with a few of other classes: those it meets most often as the first or last class of a
@@ -223,7 +223,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
         here, drawn = F.struct("root", "x"), F.struct(F.xxhash64("h", "x.text_id"), "root", "x")
         ends = rooted.groupBy("h").agg(F.min(here).alias("low"), F.max(here).alias("high"), F.min(drawn).alias("one"), F.max(drawn).alias("two"))
         few = F.explode(F.array("low", "high", *(F.struct(f"{name}.root", f"{name}.x") for name in ("one", "two")))).alias("hub")
-        met = rooted.join(ends, "h").select("root", "x", few).select("root", "x", F.col("hub.root").alias("other"), F.col("hub.x").alias("y")).where((F.col("root") != F.col("other")) & _possible("x", "y"))
+        met = rooted.join(merged(ends), "h").select("root", "x", few).select("root", "x", F.col("hub.root").alias("other"), F.col("hub.x").alias("y")).where((F.col("root") != F.col("other")) & _possible("x", "y"))
         most = met.groupBy(F.col("x.text_id").alias("x"), F.col("y.text_id").alias("y")).count().groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "y")), asc=False), 1, HUBS).alias("y")).select("x", F.explode("y").alias("y"))
         return most.select(F.least("x", "y.y").alias("a"), F.greatest("x", "y.y").alias("b")).distinct()
 
@@ -234,7 +234,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
         rest = apart(roots)
         other = rest.select("h", F.col("x").alias("y"), F.col("root").alias("other"))
         drawn = F.pmod(F.xxhash64("x.text_id", "y.text_id"), F.lit(share)) == 0
-        found = between(_named(rest.join(other, "h").where((F.col("root") < F.col("other")) & drawn & first & _possible("x", "y"))).distinct())
+        found = between(_named(rest.join(merged(other), "h").where((F.col("root") < F.col("other")) & drawn & first & _possible("x", "y"))).distinct())
         if not found.isEmpty():
             edges = edges.union(found)
             roots = simhash.components(edges)

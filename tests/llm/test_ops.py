@@ -558,6 +558,12 @@ def test_five_word_classes_by_brute_force(spark) -> None:
     assert jaccard.near_duplicates(docs(spark).where("false")).count() == 0
 
 
+def test_sketches_of_short_texts_are_not_broadcast(spark, little_to_broadcast) -> None:
+    texts = [" ".join(f"v{i}w{k}" for k in range(n)) for i in range(1500) for n in (9, 10)]
+    got = jaccard.near_duplicates(docs(spark, *texts), width=3).collect()
+    assert {(row.doc_id, row.component_id) for row in got} == {(i, i - i % 2) for i in range(3000)}
+
+
 def test_the_near_dedup_stage_links_what_simhash_does_not(spark) -> None:
     import corpus_pipeline
 
