@@ -2,7 +2,8 @@
 
 A text's lattice has a node for each character and an arc for each piece (or byte fallback) that fits;
 pieces do not cross word starts, so the lattice of a text is the chain of its words' lattices, and
-each distinct word's is built once for many texts. Arc probabilities come from summed path scores
+each distinct word's is built once for many texts. Words are found and told apart as arrays of
+characters: by hashes, compared character by character after that. Arc probabilities come from summed path scores
 backwards from each word's end. Piece scores are those of the model times ``alpha``.
 
 The k segmentations with the largest perturbed log-probabilities are found by A* over regions of the
@@ -26,10 +27,8 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +38,9 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import CHUNK_BYTES, chunks
 
 BLANK = "▁"
-#: What no piece reaches beyond: blanks and letters, blanks and other signs, a line end.
-_units = re.compile(rf"\n|{BLANK}*[^\W\d_¹²³]+|{BLANK}*(?:[^\w{BLANK}\n]|[\d_¹²³])+|{BLANK}+").findall
+LETTER, OTHER, MARK, LINE_END = range(4)
+#: Whether a unit begins between characters of two kinds (16 pairs).
+_parts = np.array([[a != b and not (a == MARK and b <= OTHER) or b == LINE_END for b in range(4)] for a in range(4)]).ravel()
 _odd = np.uint64(0x9E3779B97F4A7C15)
 _odd_inverse = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -53,6 +53,66 @@ def uniforms(seed: np.ndarray, place: np.ndarray) -> np.ndarray:
     return ((z ^ z >> np.uint64(31)) >> np.uint64(12)).astype(np.float64) * 2.0**-52 + 2.0**-53
 
 
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """The kind of each character."""
+    kinds = np.full(0x110000, OTHER, np.uint8)
+    every = np.arange(len(kinds), dtype=np.uint32).tobytes().decode("utf-32-le", "surrogatepass")  # a string each would fill a worker
+    for run in re.finditer(r"[^\W\d_¹²³]+", every):
+        kinds[run.start() : run.end()] = LETTER
+    kinds[ord(BLANK)], kinds[ord("\n")] = MARK, LINE_END
+    return kinds
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def _units(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where units begin in texts that lie end to end and begin at ``first``.
+
+    A unit is what no piece reaches beyond: blanks and letters, blanks and other signs, a line end.
+    """
+    kinds = _kinds()[codes]
+    begins = np.ones(len(codes), bool)
+    begins[1:] = _parts[kinds[:-1] * 4 + kinds[1:]]
+    begins[first] = True
+    return np.flatnonzero(begins)
+
+
+def _sums(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """With these the hash of the characters from a to b is (sums[b] - sums[a]) * back[a]."""
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    back = np.full(len(codes), _odd)
+    np.cumprod(back, out=back)
+    np.add(codes, np.uint64(1), out=sums[1:])
+    sums[1:] *= back
+    np.cumsum(sums, out=sums)
+    back[:1], back[1:] = 1, _odd_inverse
+    return sums, np.cumprod(back, out=back)
+
+
+def distinct(codes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each unit among the distinct ones, and of each distinct one a unit that is like it."""
+    sums, back = _sums(codes)
+    ends = np.append(begins[1:], len(codes))
+    key = (sums[ends] - sums[begins]) * back[begins]
+    del sums, back
+    order = np.argsort(key)
+    new = np.ones(len(key), bool)
+    new[1:] = np.diff(key[order]) != 0
+    number = np.empty(len(key), np.int64)
+    number[order] = np.cumsum(new) - 1
+    like = order[new]
+    sizes = ends - begins
+    away = begins[like[number]] - begins
+    if (sizes == sizes[like[number]]).all() and (codes[np.arange(len(codes)) + np.repeat(away, sizes)] == codes).all():
+        return number, like
+    seen: dict[bytes, int] = {}  # unlike units have a hash in common
+    number = np.array([seen.setdefault(codes[a:b].tobytes(), len(seen)) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)])
+    return number, np.unique(number, return_index=True)[1]
+
+
 class Pieces:
     """The pieces of a model file as arrays: hashes by length, scores, bytes."""
 
@@ -65,7 +125,8 @@ class Pieces:
         n = sp.get_piece_size()
         names = [sp.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
-        if any(_units(names[i]) != [names[i]] for i in plain):
+        sizes = np.array([len(names[i]) for i in plain])
+        if len(_units(_codes("".join(names[i] for i in plain)), np.cumsum(sizes) - sizes)) != len(plain):
             raise ValueError("a piece reaches beyond a unit of the text")
         self.byte = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
         if any(not sp.is_byte(int(i)) for i in self.byte):
@@ -84,11 +145,11 @@ class Pieces:
         for length, ids in sorted(by_length.items()):
             codes = np.array([list(map(ord, names[i])) for i in ids], np.uint64)
             with np.errstate(over="ignore"):
-                hashes = ((codes + np.uint64(1)) * np.cumprod(np.full(length, _odd))).sum(axis=1, dtype=np.uint64) * _odd_inverse
+                hashes = ((codes + np.uint64(1)) * np.cumprod(np.full(length, _odd))).sum(axis=1, dtype=np.uint64)
             order = np.argsort(hashes)
-            likely = np.zeros(1 << 16, bool)  # by the first bits of the hash
-            likely[hashes >> np.uint64(48)] = True
-            self.by_length[length] = (np.append(hashes[order], np.uint64(2**64 - 1)), np.append(np.array(ids)[order], -1), likely)
+            many = np.bincount((hashes >> np.uint64(48)).astype(np.int64), minlength=1 << 16)  # by the first bits of the hash
+            first = np.where(many > 0, np.cumsum(many) - many, len(ids)).astype(np.int32)
+            self.by_length[length] = (np.append(hashes[order], np.uint64(2**64 - 1)), np.append(np.array(ids)[order], -1), first, int(many.max()))
         text = [b""] * n
         for i in plain:
             text[i] = names[i].replace(BLANK, " ").encode()
@@ -108,35 +169,35 @@ class Pieces:
 
 
 class Lattice:
-    """Arcs of distinct words. Nodes of all words are numbered on; arcs are sorted by their start."""
+    """Arcs of distinct words. Nodes of all words are numbered on; arcs are sorted by their start.
+
+    ``codes`` has the words' characters end to end, ``sizes`` the words' lengths.
+    """
 
-    def __init__(self, words: list[str], pieces: Pieces):
-        sizes = np.fromiter(map(len, words), np.int32, len(words))
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    def __init__(self, codes: np.ndarray, sizes: np.ndarray, pieces: Pieces):
+        words = len(sizes)
         ends = np.cumsum(sizes, dtype=np.int32)
-        self.stop = ends + np.arange(len(words), dtype=np.int32)
+        self.stop = ends + np.arange(words, dtype=np.int32)
         self.base = self.stop - sizes
-        node = np.arange(len(codes), dtype=np.int32) + np.repeat(np.arange(len(words), dtype=np.int32), sizes)  # where the character starts
+        node = np.arange(len(codes), dtype=np.int32) + np.repeat(np.arange(words, dtype=np.int32), sizes)  # where the character starts
         left = np.repeat(ends, sizes) - np.arange(len(codes), dtype=np.int32)  # characters up to the word's end
         widest = max(pieces.by_length, default=1)
         fits = np.full((len(codes), widest), -1, np.int32)  # the piece of each length at each character
         fits[:, 0] = pieces.single[codes]
-        with np.errstate(over="ignore"):
-            power = np.cumprod(np.full(len(codes), _odd))
-            back = np.cumprod(np.full(len(codes), _odd_inverse))
-            sums = np.zeros(len(codes) + 1, np.uint64)
-            np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
-            at = np.arange(len(codes), dtype=np.int32)
-            for length, (hashes, found, likely) in pieces.by_length.items():
-                at = at[left[at] >= length]
-                key = sums[at + length]
-                key -= sums[at]
-                key *= back[at]
-                maybe = np.flatnonzero(likely[key >> np.uint64(48)])
-                key = key[maybe]
-                k = np.searchsorted(hashes, key)
-                hit = hashes[k] == key
-                fits[at[maybe[hit]], length - 1] = found[k[hit]]
+        sums, back = _sums(codes)
+        at = np.arange(len(codes), dtype=np.int32)
+        for length, (hashes, found, first, deep) in pieces.by_length.items():
+            at = at[left[at] >= length]
+            key = sums[at + length]
+            key -= sums[at]
+            key *= back[at]
+            k = first[key >> np.uint64(48)]
+            maybe = np.flatnonzero(k < len(found) - 1)
+            key, k = key[maybe], k[maybe]
+            for _ in range(deep - 1):
+                k += hashes[k] < key
+            hit = np.flatnonzero(hashes[k] == key)
+            fits[at[maybe[hit]], length - 1] = found[k[hit]]
         lost = np.flatnonzero(fits[:, 0] < 0)  # characters without a piece: their bytes
         raw = [chr(c).encode() for c in codes[lost].tolist()]
         fits[lost, 0] = pieces.count + np.arange(len(lost))
@@ -154,7 +215,7 @@ class Lattice:
         self.end = self.begin + flat
         gain = score[piece]
 
-        mass = np.zeros(len(codes) + len(words))
+        mass = np.zeros(len(codes) + words)
         longest = int(sizes.max(initial=0))
         distance = left.astype(np.int16 if longest < 1 << 15 else np.int32)
         by_distance = np.argsort(distance, kind="stable")
@@ -180,14 +241,13 @@ class Lattice:
         self.width = None if self.plain else width[piece]
         self.piece = piece if self.plain else (np.cumsum(width) - width)[piece]
         self.first_of = np.append(0, np.cumsum(np.bincount(self.begin, minlength=len(mass))))
-        first = np.cumsum(many) - many
-        low = np.cumsum(self.p)
-        low -= self.p
-        low -= np.repeat(low[first], many)
-        np.minimum(low, 1 - 1e-9, out=low)
-        low[first] = 0
-        low += self.begin
-        self.bound = low
+        # an arc is taken below its bound: the sum of its node's arcs up to it, and anything for the last
+        self.bound = self.p.copy()
+        last = np.cumsum(many) - 1
+        for r in range(1, int(many.max(initial=1)) - 1):
+            arc = (last - many + (1 + r))[many > r + 1]
+            self.bound[arc] += self.bound[arc - 1]
+        self.bound[last] = np.inf
 
     def ids(self, arcs: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of paths that lie end to end, and the bounds of each path's ids."""
@@ -199,7 +259,12 @@ class Lattice:
         return self.pool[at], np.append(0, upto[stops - 1])
 
     def arcs(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.bound, node + np.minimum(u, 1 - 1e-9), side="right") - 1
+        arc = self.first_of[node]
+        on = np.flatnonzero(self.bound[arc] <= u)
+        while len(on):
+            arc[on] += 1
+            on = on[self.bound[arc[on]] <= u[on]]
+        return arc
 
     def other(self, node: int, excluded: set[int], u: float) -> int:
         """An arc of the node besides the excluded ones, in proportion to its probability."""
@@ -222,7 +287,7 @@ class Lattice:
         """
         taken = np.zeros(len(node), np.int64)
         rounds: list[tuple[np.ndarray, np.ndarray]] = []
-        live = np.argsort(node, kind="stable")  # neighbours look up neighbouring arcs
+        live = np.argsort(node)  # neighbours look up neighbouring arcs
         live = live[node[live] < stop[live]]
         node, stop, place, seed = node[live], stop[live], place[live], seed[live]
         while len(live):
@@ -259,28 +324,27 @@ class Sampler:
 
     def sample(self, texts: list[str | None], keys: list[int]) -> list[list[dict]]:
         """For each text its segmentations by falling perturbed value."""
-        known: dict[str, int] = defaultdict(count().__next__)
-        words: list[int] = []
-        sizes = np.zeros(len(texts), np.int64)
-        for t, text in enumerate(texts):
-            if text:
-                found = _units(BLANK + text.replace(" ", BLANK))
-                words.extend(map(known.__getitem__, found))
-                sizes[t] = len(found)
-        if not known:
+        codes = _codes("".join([BLANK + text for text in texts if text])).copy()
+        if not len(codes):
             return [[self._nothing()] for _ in texts]
-        lattice = Lattice(list(known), self.pieces)
-        word = np.array(words, np.int64)
+        codes[codes == ord(" ")] = ord(BLANK)
+        lengths = np.array([len(text) + 1 if text else 0 for text in texts], np.int64)
+        upto = np.cumsum(lengths)
+        begins = _units(codes, (upto - lengths)[lengths > 0])
+        ends = np.searchsorted(begins, upto)
+        sizes = np.diff(ends, prepend=0)
+        word, like = distinct(codes, begins)
+        long = np.diff(begins, append=len(codes))[like]
+        at = np.repeat(begins[like] - (np.cumsum(long) - long), long) + np.arange(int(long.sum()))
+        lattice = Lattice(codes[at], long.astype(np.int32), self.pieces)
         node, stop = lattice.base[word], lattice.stop[word]
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        ends = np.cumsum(sizes)
         length = np.cumsum(stop - node) - (stop - node)
         place = length - np.repeat(length[np.minimum(ends - sizes, len(word) - 1)], sizes)
         # texts' own state
         heaps: list[list] = [[] for _ in texts]
         out: list[list[dict]] = [[] if n else [self._nothing()] for n in sizes.tolist()]
         todo = [(t, np.zeros(0, np.int64), -1, set()) for t in np.flatnonzero(sizes).tolist()]
-        tops = {t: float(-np.log(-np.log(uniforms(np.array([_seed(keys[t], self.seed, 99)], np.uint64), np.zeros(1))[0]))) for t, *_ in todo}
+        tops = (-np.log(-np.log(uniforms(np.array([_seed(key, self.seed, 99) for key in keys], np.uint64), np.zeros(len(keys)))))).tolist()
         for sample in range(self.k):
             # 1: every text's words that are free, from a text's forced arc on
             begin_word = np.array([ends[t] - sizes[t] if w < 0 else w for t, _, w, _ in todo], np.int64)
@@ -333,13 +397,11 @@ class Sampler:
                 break
             # 3: the best region of each text; its path so far and another arc at its node
             again = []
-            for t, *_ in todo:
-                if not heaps[t]:
-                    continue
-                value, parent, step, cut = heapq.heappop(heaps[t])
+            best = [(t, *heapq.heappop(heaps[t])) for t, *_ in todo if heaps[t]]
+            draws = uniforms(np.array([_seed(keys[t], self.seed, 200 + sample) for t, *_ in best], np.uint64), np.array([step for *_, step, _ in best], np.int64))
+            for (t, value, parent, step, cut), u in zip(best, draws.tolist(), strict=True):
                 path = out[t][parent]["arcs"]
                 at_node = int(lattice.begin[path[step]])
-                u = float(uniforms(np.array([_seed(keys[t], self.seed, 200 + sample)], np.uint64), np.array([step]))[0])
                 forced = lattice.other(at_node, cut, u)
                 offset = int((lattice.end[path[:step]] - lattice.begin[path[:step]]).sum())
                 a, b = ends[t] - sizes[t], ends[t]

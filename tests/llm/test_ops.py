@@ -6,6 +6,8 @@ import hashlib
 import itertools
 import os
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -394,6 +396,60 @@ def test_samples_of_a_table_do_not_depend_on_partitions(spark) -> None:
     assert segmentations.sample_segmentations(table.where("false"), model).count() == 0
 
 
+def test_units_are_those_of_the_expression() -> None:
+    mark = segmentations.BLANK
+    by_expression = re.compile(rf"\n|{mark}*[^\W\d_¹²³]+|{mark}*(?:[^\w{mark}\n]|[\d_¹²³])+|{mark}+").findall
+    signs = np.array([*"ab ▁\n\t1_²é漢١.!𝐀😀\x00"])
+    r = np.random.default_rng(3)
+    texts = [mark + "".join(signs[r.integers(0, len(signs), n)]).replace(" ", mark) for n in (0, 1, 2, 40, 3000)]
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    lengths = np.array([len(t) for t in texts])
+    begins = segmentations._units(codes, np.cumsum(lengths) - lengths)
+    want = [u for t in texts for u in by_expression(t)]
+    assert [codes[a:b].tobytes().decode("utf-32-le") for a, b in itertools.pairwise([*begins.tolist(), len(codes)])] == want
+    number, like = segmentations.distinct(codes, begins)
+    assert len(like) == len(set(want)) and [want[like[n]] for n in number] == want
+
+
+def test_unlike_units_of_one_hash_stay_apart(pieces) -> None:
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = one.translate(str.maketrans("ab", "ba"))  # any polynomial modulo 2^64 takes them for one
+    sums, back = segmentations._sums(np.frombuffer((one + other).encode("utf-32-le"), np.uint32))
+    assert (sums[2048:2049] == (sums[4096:] - sums[2048:2049]) * back[2048:2049]).all()
+    texts = [f"{one} {other}", f"{other} {one}", one]
+    for samples, text in zip(segmentations.Sampler(pieces, 2, 5).sample(texts, [1, 2, 3]), texts, strict=True):
+        assert [pieces.decode(s["ids"]) for s in samples] == [text.encode()] * 2
+
+
+def test_sampling_costs_little_more_than_finding_words(pieces) -> None:
+    """CPU time in units of what an expression and a dictionary take for the same words.
+
+    It was 5.3 to 6.4 when words were strings, it is 3.9 to 4.1 as they are arrays.
+    """
+    r = np.random.default_rng(7)
+    parts = np.array("the en er ti on wh ch lich ei vi ou th an st re ly ed or at ion".split())
+    words = np.array(["".join(w) for w in parts[r.integers(0, 20, (60_000, 4))]])
+    texts = [" ".join(words[(r.pareto(0.7, 500) * 400).astype(int) % 60_000]) + "." for _ in range(300)]
+    by_expression = re.compile(rf"\n|{segmentations.BLANK}*[^\W\d_¹²³]+|{segmentations.BLANK}*(?:[^\w{segmentations.BLANK}\n]|[\d_¹²³])+|{segmentations.BLANK}+").findall
+    sampler = segmentations.Sampler(pieces, 2, 11)
+
+    def find() -> None:
+        known: dict[str, int] = {}
+        for text in texts:
+            for word in by_expression(segmentations.BLANK + text.replace(" ", segmentations.BLANK)):
+                known.setdefault(word, len(known))
+
+    def cost(run) -> float:
+        times = []
+        for _ in range(7):
+            start = time.process_time()
+            run()
+            times.append(time.process_time() - start)
+        return min(times)
+
+    assert cost(lambda: sampler.sample(texts, list(range(300)))) < 4.8 * cost(find)
+
+
 # 8
 
 def test_forward_backward_by_brute_force() -> None:
