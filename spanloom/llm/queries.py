@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import gif, language_crf, mixing, perspectives, segmentations, simhash, token_counts, topk, url_lists, warc
+from spanloom.llm import gif, hard_negatives, language_crf, mixing, perspectives, segmentations, simhash, suffix_levels, token_counts, topk, url_lists, warc, word_runs
 from spanloom.llm.common import scratch, table, written
 
 
@@ -280,6 +280,74 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def spun(docs: DataFrame) -> DataFrame:
+    """doc_id, text: a tenth of the documents, by their ids' checksum, go round in their last words."""
+    white = "[\\x20\\x09-\\x0D]+"
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), white), lambda w: w != "")
+    given = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words"), F.expr("h div 10").alias("g"))
+    sized = given.withColumn("n", F.size("words")).withColumn("a", F.expr("g % n"))
+    period = F.expr("1 + (n - a) div (3 + g % 8)")
+    turned = F.transform(F.col("words"), lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return sized.withColumn("p", period).select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), F.array_join(turned, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every whole text of ``documents``, a tenth of them spun."""
+    found = word_runs.find_runs(spun(table(spark, sf_dir, "documents")), least_length=24, least_exponent=3)
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    best = found.strongest
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best.start.alias("start"),
+        best.length.alias("length"),
+        best.period.alias("period"),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten hard negatives for each of the five positives of every vector whose id 100 divides."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.labelled_vectors(table(spark, sf_dir, "embeddings"), label=label, scale=256)
+    return hard_negatives.mine(rows, rows.where("vec_id % 100 = 0"), positives=5, negatives=10, low=30, high=90)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+         [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS terms
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)
+), scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.terms, c.terms), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v c ON c.vec_id <> a.vec_id AND len(c.terms) = len(a.terms)
+  WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), ranked AS (
+  SELECT p.anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+   AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10
+"""
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every whole text of ``documents`` that strings of 400 bytes repeated anywhere cover."""
+    found = suffix_levels.deduplicate(table(spark, sf_dir, "documents"), least=400)
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1)
+    return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op2_token_counts": op2_token_counts,
@@ -291,6 +359,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_perspectives": op9_perspectives,
     "op10_url_lists": op10_url_lists,
+    "op11_word_runs": op11_word_runs,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -299,4 +370,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_warc": OP5_SQL,
     "op9_perspectives": OP9_SQL,
     "op10_url_lists": OP10_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }

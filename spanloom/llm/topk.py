@@ -77,12 +77,13 @@ class Shard:
         return self.ids[alive[first]], (scores[first] + base).astype(np.int64)
 
 
-def integer_vectors(df: DataFrame, key: str = "vec_id", vector: Column | str = "embedding", scale: int = 256) -> DataFrame:
-    """vec_id, terms: floor(scale * x) of every component, for the vectors that take part."""
+def integer_vectors(df: DataFrame, key: str = "vec_id", vector: Column | str = "embedding", scale: int = 256, carry: list[str] | None = None) -> DataFrame:
+    """vec_id, ``carry``'s columns, terms: floor(scale * x) of every component, for the vectors that take part."""
+    carry = carry or []
     source = F.col(vector) if isinstance(vector, str) else vector
-    given = df.select(F.col(key).cast("long").alias("vec_id"), source.cast("array<double>").alias("terms"))
+    given = df.select(F.col(key).cast("long").alias("vec_id"), *carry, source.cast("array<double>").alias("terms"))
     sound = F.forall("terms", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))))
-    return given.where(F.col("vec_id").isNotNull() & (F.size("terms") > 0) & sound).select("vec_id", F.transform("terms", lambda x: F.floor(x * scale)).alias("terms"))
+    return given.where(F.col("vec_id").isNotNull() & (F.size("terms") > 0) & sound).select("vec_id", *carry, F.transform("terms", lambda x: F.floor(x * scale)).alias("terms"))
 
 
 def _matrix(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
