@@ -7,7 +7,6 @@ import itertools
 import os
 import random
 import re
-import time
 
 import numpy as np
 import pytest
@@ -421,33 +420,21 @@ def test_unlike_units_of_one_hash_stay_apart(pieces) -> None:
         assert [pieces.decode(s["ids"]) for s in samples] == [text.encode()] * 2
 
 
-def test_sampling_costs_little_more_than_finding_words(pieces) -> None:
-    """CPU time in units of what an expression and a dictionary take for the same words.
-
-    It was 5.3 to 6.4 when words were strings, it is 3.9 to 4.1 as they are arrays.
-    """
-    r = np.random.default_rng(7)
-    parts = np.array("the en er ti on wh ch lich ei vi ou th an st re ly ed or at ion".split())
-    words = np.array(["".join(w) for w in parts[r.integers(0, 20, (60_000, 4))]])
-    texts = [" ".join(words[(r.pareto(0.7, 500) * 400).astype(int) % 60_000]) + "." for _ in range(300)]
-    by_expression = re.compile(rf"\n|{segmentations.BLANK}*[^\W\d_¹²³]+|{segmentations.BLANK}*(?:[^\w{segmentations.BLANK}\n]|[\d_¹²³])+|{segmentations.BLANK}+").findall
-    sampler = segmentations.Sampler(pieces, 2, 11)
-
-    def find() -> None:
-        known: dict[str, int] = {}
-        for text in texts:
-            for word in by_expression(segmentations.BLANK + text.replace(" ", segmentations.BLANK)):
-                known.setdefault(word, len(known))
-
-    def cost(run) -> float:
-        times = []
-        for _ in range(7):
-            start = time.process_time()
-            run()
-            times.append(time.process_time() - start)
-        return min(times)
-
-    assert cost(lambda: sampler.sample(texts, list(range(300)))) < 4.8 * cost(find)
+def test_repeated_words_reach_the_lattice_once(pieces, monkeypatch) -> None:
+    """However often a word stands in the texts of a chunk, one lattice is built for it."""
+    built: list[int] = []
+    build = segmentations.Lattice.__init__
+
+    def counted(self, codes, sizes, pieces) -> None:
+        built.append(len(sizes))
+        build(self, codes, sizes, pieces)
+
+    monkeypatch.setattr(segmentations.Lattice, "__init__", counted)
+    words = [f"word{c}" for c in "abcdefg"]
+    texts = [" ".join(words * n) for n in (1, 50, 500)]
+    sampled = segmentations.Sampler(pieces, 2, 11).sample(texts, [1, 2, 3])
+    assert built == [len(words)]
+    assert [pieces.decode(s["ids"]) for row in sampled for s in row] == [t.encode() for t in texts for _ in range(2)]
 
 
 # 8
