@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +39,14 @@ class Engine:
     def use(self, tables: index.Tables) -> None:
         """Answers from tables of the write path, by default from their last version."""
         self.tables, self.latest = tables, index.next_version(tables.versions) - 1
-        self.files, self.symbols, self.edges, self.metrics = tables.files, tables.symbols, tables.edges, tables.metrics.where(F.col("graph_version") == self.latest)
+        self.files, self.metrics = index.files_at(tables, self.latest), index.rows_at(tables, "metrics", self.latest)
+
+    def rows(self, version: int, languages: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+        """Symbols and edges of a version with path and language."""
+        if self.tables is None:
+            return as_of(self.symbols, self.files, version, languages), as_of(self.edges, self.files, version, languages)
+        found = index.snapshot(self.tables, version)
+        return tuple(df.where(F.col("language").isin(*languages)) for df in found) if languages else found
 
     def call(self, method: str, params: dict | None = None) -> Result:
         if method not in METHODS:
@@ -89,12 +95,12 @@ class View:
     def __init__(self, engine: Engine, version: int, languages: list[str] | None, prefixes: list[str]):
         below = under(F.col("path"), prefixes)
         self.engine, self.version = engine, version
-        self.files = engine.files.where(alive(version)).where(below)
+        files = engine.files if engine.tables is None else index.files_at(engine.tables, version)
+        self.files = files.where(alive(version)).where(below)
         if languages:
             self.files = self.files.where(F.col("language").isin(*languages))
-        self.symbols = as_of(engine.symbols, engine.files, version, languages).where(below)
-        self.edges = as_of(engine.edges, engine.files, version, languages).where(below)
-        self.metrics = engine.metrics
+        self.symbols, self.edges = (rows.where(below) for rows in engine.rows(version, languages))
+        self.metrics = engine.metrics if engine.tables is None else index.rows_at(engine.tables, "metrics", version)
 
     def sources(self) -> DataFrame:
         if self.engine.sources is None:
@@ -146,7 +152,7 @@ def analyze_impact(
 def analyze_diff(v: View, diff: str, max_depth: int = 2) -> dict[str, DataFrame]:
     """What a unified diff changes and reaches; signatures are compared with the version before."""
     given = v.symbols.sparkSession.createDataFrame([(0, diff)], "diff_id long, text string")
-    before = as_of(v.engine.symbols, v.engine.files, v.version - 1)
+    before, _ = v.engine.rows(v.version - 1)
     return bundles.analyze_diff(repository.hunks(given), v.symbols, v.edges, before, checked("max_depth", max_depth, 0, 10))
 
 
@@ -155,11 +161,9 @@ def reindex(v: View, root: str, languages: list[str] | None = None, commit_sha:
     spark, engine = v.symbols.sparkSession, v.engine
     scanned = cut(repository.scan(spark, root, languages=languages))
     made = index.reindex(engine.tables or index.empty(spark), scanned, commit_sha)
-    made = index.Tables(*(cut(getattr(made, f.name)) for f in fields(made)))
     engine.use(made)
-    version = index.next_version(made.versions) - 1
-    symbols, edges = index.snapshot(made, version)
-    alive_files = made.files.where(alive(version))
+    symbols, edges = index.snapshot(made, engine.latest)
+    alive_files = engine.files.where(alive(engine.latest))
     return {"counts": analytics.overview(alive_files, symbols, edges), "symbols": symbols, "edges": edges}
 
 

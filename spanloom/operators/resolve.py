@@ -25,17 +25,28 @@ def crosses(kind: Column) -> Column:
 def resolve_by_suffix(names: DataFrame, symbols: DataFrame) -> DataFrame:
     """``names`` (target_qualname, language, kind) with resolved_id of the best symbol that matches.
 
-    A symbol matches if its qualname is the name or ends with its last part after ``.`` or ``::``. The
-    last part is computed on both sides, so this is an equality join; names are distinct before it,
-    so that a name that many edges share is looked up once. Best is: same language, exact, shortest,
-    first. Symbols of another language count for bridge kinds alone.
+    A symbol matches if its qualname is the name or ends with its last part after ``.`` or ``::``. Best is:
+    same language, exact, shortest, first. Symbols of another language count for bridge kinds alone.
+
+    So the best is the first that there is of four: the first symbol of that name in the language, the
+    shortest with that last part in the language, and both of these anywhere. Each is an aggregation of
+    symbols and an equality join of distinct names with it: however many names and symbols share a last
+    part, no pairs are formed.
     """
     asked = names.select("target_qualname", "language", crosses(F.col("kind")).alias("may_cross")).distinct().withColumn("last", trailing_name(F.col("target_qualname")))
-    known = symbols.where(F.col("kind").isin(*TARGET_KINDS)).select("id", "qualname", F.col("language").alias("symbol_language"), trailing_name(F.col("qualname")).alias("last"))
-    same = F.col("symbol_language") == F.col("language")
-    order = Window.partitionBy("target_qualname", "language", "may_cross").orderBy(same.desc(), (F.col("qualname") == F.col("target_qualname")).desc(), F.length("qualname"), "qualname", "id")
-    best = asked.join(known, "last").where(same | F.col("may_cross")).withColumn("place", F.row_number().over(order)).where("place = 1")
-    return best.select("target_qualname", "language", "may_cross", F.col("id").alias("resolved_id"))
+    known = symbols.where(F.col("kind").isin(*TARGET_KINDS)).select("id", "qualname", "language", trailing_name(F.col("qualname")).alias("last"))
+    shortest = F.min_by("id", F.struct(F.length("qualname"), "qualname", "id"))
+    exact = known.withColumnRenamed("qualname", "target_qualname").where("last is not null")
+    steps = [
+        (exact.groupBy("target_qualname", "language").agg(F.min("id").alias("same_exact")), ["target_qualname", "language"]),
+        (known.groupBy("last", "language").agg(shortest.alias("same_last")), ["last", "language"]),
+        (exact.groupBy("target_qualname").agg(F.min("id").alias("any_exact")), ["target_qualname"]),
+        (known.groupBy("last").agg(shortest.alias("any_last")), ["last"]),
+    ]
+    for found, keys in steps:
+        asked = asked.join(found, keys, "left")
+    best = F.coalesce("same_exact", "same_last", F.when(F.col("may_cross"), F.coalesce("any_exact", "any_last")))
+    return asked.select("target_qualname", "language", "may_cross", best.alias("resolved_id")).where("resolved_id is not null")
 
 
 def resolve_exact(names: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -101,19 +101,46 @@ def cross_references(asked: DataFrame, symbols: DataFrame) -> DataFrame:
     return top.join(ties.where("n = 1"), ["language", "token"]).select(c("language").alias("source_language"), "token", (-c("best.id")).alias("id"), "confidence")
 
 
-def edges(sources: DataFrame, symbols: DataFrame) -> DataFrame:
-    """kind (XREF or ROUTE), source, target, target_qualname, line, confidence: what literals refer to.
+# Kinds of the edges that come of literals.
+XREF, ROUTE = KINDS = ("XREF", "ROUTE")
 
-    A literal speaks for the innermost symbol around it; one without takes no part. Of several references
-    of one symbol to another the surest counts, of equal ones the first line.
-    """
+
+def owned_literals(sources: DataFrame, symbols: DataFrame) -> DataFrame:
+    """file_id, source (the innermost symbol around), language, line, literal, long; literals outside of all
+    symbols take no part."""
     found = string_literals(sources).join(symbols.select("path", "file_id").distinct(), "path").withColumn("at", F.col("line"))
     around = enclosing(found.select("file_id", "at").distinct(), symbols, ["file_id", "at"]).select("file_id", "at", F.col("id").alias("source"))
-    owned = found.join(around, ["file_id", "at"])
-    tokens = owned.select("source", "language", "line", F.explode(literal_tokens(F.col("literal"))).alias("token"))
-    named = cross_references(tokens.select("language", "token"), symbols).withColumnRenamed("source_language", "language")
-    hit = tokens.join(named, ["language", "token"]).join(symbols.select("id", F.col("qualname").alias("target_qualname")), "id")
-    best = hit.groupBy("source", F.col("id").alias("target"), "target_qualname").agg(F.max(F.struct("confidence", (-F.col("line")).alias("line"))).alias("b"))
-    by_name = best.select(F.lit("XREF").alias("kind"), "source", "target", "target_qualname", (-F.col("b.line")).alias("line"), F.col("b.confidence").alias("confidence"))
-    paths = owned.where("not long").select("source", "line", route(F.col("literal")).alias("target_qualname")).where("target_qualname is not null").groupBy("source", "target_qualname").agg(F.min("line").alias("line"))
-    return by_name.union(paths.select(F.lit("ROUTE"), "source", F.lit(None).cast("long"), "target_qualname", "line", F.lit(ROUTE_CONFIDENCE)))
+    return found.join(around, ["file_id", "at"]).select("file_id", "source", "language", "line", "literal", "long")
+
+
+def tokens(owned: DataFrame) -> DataFrame:
+    """file_id, source, language, token, line: what owned literals may name, each word of a line once."""
+    return owned.select("file_id", "source", "language", F.explode(literal_tokens(F.col("literal"))).alias("token"), "line").distinct()
+
+
+def by_token(named: DataFrame, symbols: DataFrame) -> DataFrame:
+    """XREF edges of tokens. Of several references of one symbol to another the surest counts, of equal ones
+    the first line."""
+    found = cross_references(named.select("language", "token"), symbols).withColumnRenamed("source_language", "language")
+    hit = named.join(found, ["language", "token"]).join(symbols.select("id", F.col("qualname").alias("target_qualname")), "id")
+    best = hit.groupBy("file_id", "source", F.col("id").alias("target"), "target_qualname").agg(F.max(F.struct("confidence", (-F.col("line")).alias("line"))).alias("b"))
+    return best.select(F.lit(XREF).alias("kind"), "file_id", "source", "target", "target_qualname", (-F.col("b.line")).alias("line"), F.col("b.confidence").alias("confidence"))
+
+
+def by_route(owned: DataFrame) -> DataFrame:
+    """ROUTE edges of owned literals, from the first line that has a route."""
+    paths = owned.where("not long").select("file_id", "source", "line", route(F.col("literal")).alias("target_qualname")).where("target_qualname is not null").groupBy("file_id", "source", "target_qualname").agg(F.min("line").alias("line"))
+    return paths.select(F.lit(ROUTE).alias("kind"), "file_id", "source", F.lit(None).cast("long").alias("target"), "target_qualname", "line", F.lit(ROUTE_CONFIDENCE).alias("confidence"))
+
+
+def naming(named: DataFrame, moved: DataFrame) -> DataFrame:
+    """The rows of ``named`` (token) of which one of the forms is a key of a symbol of ``moved`` (qualname, name)."""
+    folded = lambda name: F.lower(_plain(F.trim(name)))  # noqa: E731  all forms and keys of one spelling
+    keys = moved.select(F.explode(F.array(folded(F.col("qualname")), folded(F.col("name")))).alias("folded")).distinct()
+    return named.withColumn("folded", folded(F.col("token"))).join(keys, "folded", "left_semi").select(*named.columns)
+
+
+def edges(sources: DataFrame, symbols: DataFrame) -> DataFrame:
+    """kind (XREF or ROUTE), file_id, source, target, target_qualname, line, confidence: what literals refer to."""
+    owned = owned_literals(sources, symbols)
+    return by_token(tokens(owned), symbols).union(by_route(owned))

@@ -281,35 +281,6 @@ def test_maintenance_takes_the_last_change_of_a_path(spark, tmp_path) -> None:
     assert again == ["rebuilt"]
 
 
-def tree(spark, **texts):
-    rows = [(name.replace("__", "/") + ".py", "python", text, str(hash(text))) for name, text in texts.items()]
-    return spark.createDataFrame(rows, "path string, language string, text string, hash string")
-
-
-def test_versions_carry_what_did_not_change(spark, tmp_path) -> None:
-    main = "import lib\n\ndef run():\n    return lib.load(1)\n\ndef idle():\n    pass\n"
-    first = index.reindex(index.empty(spark), tree(spark, main=main, lib="def load(x):\n    return x\n", old="def gone():\n    pass\n"), "c1")
-    index.save(first, str(tmp_path / "one"))
-    first = index.load(spark, str(tmp_path / "one"))
-    second = index.reindex(first, tree(spark, main=main, lib="def load(x):\n    if x:\n        return x\n\ndef more():\n    pass\n", new="def fresh():\n    pass\n"), "c2")
-    index.save(second, str(tmp_path / "two"))
-    tables = index.load(spark, str(tmp_path / "two"))
-    assert [tuple(r) for r in tables.versions.select("version", "commit_sha").orderBy("version").collect()] == [(1, "c1"), (2, "c2")] and index.next_version(tables.versions) == 3
-    names = lambda v: {r.qualname: r.id for r in index.snapshot(tables, v)[0].collect()}
-    one, two = names(1), names(2)
-    assert set(one) == {"main", "main.run", "main.idle", "lib", "lib.load", "old", "old.gone"} and set(two) == {"main", "main.run", "main.idle", "lib", "lib.load", "lib.more", "new", "new.fresh"}
-    assert one["main.run"] == two["main.run"] and one["lib.load"] == two["lib.load"] and len(set(two.values())) == len(two)
-    assert {r.path: r.deleted_version for r in tables.files.collect()} == {"main.py": None, "lib.py": None, "old.py": 2, "new.py": None}
-    calls = [(r.source, r.target) for r in index.snapshot(tables, 2)[1].where("kind = 'CALLS'").collect()]
-    assert (two["main.run"], two["lib.load"]) in calls
-    assert {r.symbol_id: (r.loc, r.complexity) for r in tables.metrics.where("graph_version = 2").collect()}[two["lib.load"]] == (3, 2)
-    state = {r.stable_id: r.state for r in snapshot.diff(*(tables.symbols.where(f"graph_version = {v}") for v in (1, 2)), "stable_id", ["name", "end_line"]).collect()}
-    assert sorted(state.values()) == ["added"] * 3 + ["deleted"] * 2 + ["modified"] * 2 + ["unchanged"] * 3
-    fewer = index.delete_files(tables, tables.files.where("path = 'lib.py'"), 2)
-    assert fewer.symbols.where("graph_version = 2").count() == 5 and fewer.symbols.where("graph_version = 1").count() == 7
-    assert fewer.edges.where(f"graph_version = 2 and target = {two['lib.load']}").count() == 0 and index.drop_version(tables, 1).symbols.select("graph_version").distinct().count() == 1
-
-
 def test_literals_name_routes_and_symbols(spark) -> None:
     texts = 'x = "a\\"b" + @"v""w" + r#"raw "q" s"# + """long\n"x" y""" + `t` + "" + "open'
     assert [(text, long) for *_, text, long in xref.literals(texts)] == [('a\\"b', False), ('v""w', False), ('raw "q" s', False), ('long\n"x" y', True), ("t", False), ("", False)]
