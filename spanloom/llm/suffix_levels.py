@@ -16,7 +16,7 @@ whole. A block with a core that no other has holds no repeated string, one whose
 nothing else; of the others, which lie at an end of a match, one for each whole goes on, string by string.
 All of that is counting by 128-bit hashes: no group of copies is ever held by a task, no pairs are formed.
 
-Texts are compared once however often they occur, by their SHA-256, and what a text repeats in itself around
+Texts are compared once however often they occur, by half of their SHA-256, and what a text repeats in itself around
 one anchor is found on the spot. Tables of texts are bucketed by text, so they are shuffled once.
 
 Defined results: a null or empty text has no bytes; texts shorter than ``least`` lose nothing; a text of
@@ -275,7 +275,7 @@ def _strings(texts: DataFrame, blocks: DataFrame, least: int) -> DataFrame:
 
 
 def repeated_starts(texts: DataFrame, matches: DataFrame, least: int) -> DataFrame:
-    """tid, first, last: ranges of starts of strings that stand at two places of ``texts`` at least."""
+    """tid, first, last: ranges of starts of strings that stand at two places of ``texts`` at least, written."""
     members = texts.select("tid", F.inline("entries")).join(matches, SUFFIX, "left_semi").select("tid", "place", "first", "last")
     blocks = written(_matched_blocks(texts, members, least), "blocks")
     wholes = written(blocks.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tid", "place", "first", "last")).alias("one")), "wholes")
@@ -284,7 +284,10 @@ def repeated_starts(texts: DataFrame, matches: DataFrame, least: int) -> DataFra
     twice = strings.groupBy("offset", "string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("offset", "string")
     single = strings.join(twice, ["offset", "string"], "left_semi").select("tid", F.col("start").alias("first"), F.col("start").alias("last"))
     settled = blocks.join(wholes.where("n > 1").select("core", "whole"), ["core", "whole"], "left_semi").select("tid", "first", "last")
-    return texts.where("size(repeated) > 0").select("tid", F.inline("repeated")).union(settled).union(single)
+    starts = written(texts.where("size(repeated) > 0").select("tid", F.inline("repeated")).union(settled).union(single), "starts")
+    for table in (blocks, wholes, strings):
+        discard(table)
+    return starts
 
 
 def _without(texts: DataFrame, starts: DataFrame, least: int) -> DataFrame:
@@ -319,16 +322,18 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", least: i
     spark: SparkSession = df.sparkSession
     given = df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"").cast("binary")).alias("text"))
     digest = F.sha2("text", 256)
-    tid = F.unhex(digest)
+    tid = F.substring(F.unhex(digest), 1, 16)
     texts = texts_with_entries(given.where(F.length("text") >= least).select(tid.alias("tid"), "text"), least)
     index = Levels()
     part = F.pmod(F.xxhash64("tid"), F.lit(batches))
     found = [index.add(texts.where(part == b).select(F.inline(F.transform("entries", lambda e: F.struct(e["head"].alias("head"), e["key"].alias("key")))))) for b in range(batches)]
     matches = written(reduce(DataFrame.union, found).distinct(), "matches")
     starts = repeated_starts(texts.where("size(entries) > 0"), matches, least)
+    for table in (matches, *found, *(level for _, level in index.levels)):
+        discard(table)
     partly = _without(texts.where("copies = 1"), starts, least)
     whole = texts.where("copies > 1").select("tid", F.array(F.struct(F.lit(0).alias("first"), (F.col("n_bytes") - 1).cast("int").alias("last"))).alias("removed"), F.lit(sha256(b"").hexdigest()).alias("kept_sha256"))
     changed = written(partly.union(whole), "changed")
-    rows = given.select("doc_id", F.length("text").cast("long").alias("n_bytes"), digest.alias("sha256")).withColumn("tid", F.unhex("sha256"))
+    rows = given.select("doc_id", F.length("text").cast("long").alias("n_bytes"), digest.alias("sha256")).withColumn("tid", F.substring(F.unhex("sha256"), 1, 16))
     none = F.array().cast("array<struct<first: int, last: int>>")
     return rows.join(changed, "tid", "left").select("doc_id", "n_bytes", F.coalesce("removed", none).alias("removed"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"))
