@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import chunks
+from spanloom.llm.common import chunks, quoted
 
 #: Payloads are padded with bytes 255 to a positive multiple of this.
 UNIT = 576
@@ -48,6 +48,8 @@ def widths(min_size: int) -> np.ndarray:
 WIDTHS = widths(8)
 _GREY = bytes(v for v in range(256) for _ in range(3))
 _TWELVE = np.arange(12)
+#: Pixels of a canvas or frame beyond which media counts as broken; four bytes of memory each.
+MOST_PIXELS = 1 << 24
 
 
 class BrokenMedia(ValueError):
@@ -151,11 +153,15 @@ def read_codes(data: bytes, min_size: int) -> Iterator[list[int]]:
         at = int(place[n] + width[n])
 
 
-def unlzw(data: bytes, min_size: int) -> bytes:
-    """The bytes of an LZW stream of any GIF writer."""
+def unlzw(data: bytes, min_size: int, most: int) -> bytes:
+    """The bytes of an LZW stream of any GIF writer, up to the run of codes that reaches ``most`` of them."""
     base = [bytes((i,)) for i in range(1 << min_size)] + [b"", b""]
     out: list[bytes] = []
+    size = 0
     for codes in read_codes(data, min_size):
+        if size >= most:
+            break
+        begun = len(out)
         table = base.copy()
         if codes[0] >= len(base):
             raise BrokenMedia("a code beyond the table")
@@ -173,7 +179,13 @@ def unlzw(data: bytes, min_size: int) -> bytes:
             emit(text)
             place(last + text[:1])
             last = text
-        out += [table[code] for code in codes[room:]]
+        size += sum(map(len, out[begun:]))
+        for at in range(room, len(codes), 256):  # a full table: each code may stand for thousands of bytes
+            if size >= most:
+                break
+            texts = [table[code] for code in codes[at : at + 256]]
+            size += sum(map(len, texts))
+            out += texts
     return b"".join(out)
 
 
@@ -207,17 +219,20 @@ def _interlaced(height: int) -> np.ndarray:
     return np.concatenate([np.arange(a, height, b) for a, b in ((0, 8), (4, 8), (2, 4), (1, 2))])
 
 
-def read_gif(media: bytes) -> Iterator[Frame]:
-    """Frames in order, each with its indices and the composed RGBA canvas as it is shown."""
+def read_gif(media: bytes, most_pixels: int = MOST_PIXELS) -> Iterator[Frame]:
+    """Frames in order, each with its indices and the composed RGBA canvas as it is shown.
+
+    A canvas or a frame of more than ``most_pixels`` is broken media: headers are not trusted with memory.
+    """
     if media[:6] not in (b"GIF89a", b"GIF87a") or len(media) < 13:
         raise BrokenMedia("not a GIF")
     try:
-        yield from _frames(media)
+        yield from _frames(media, most_pixels)
     except (IndexError, struct.error) as e:
         raise BrokenMedia("it ends early") from e
 
 
-def _frames(media: bytes) -> Iterator[Frame]:
+def _frames(media: bytes, most_pixels: int) -> Iterator[Frame]:
     wide, high, flags, _, _ = struct.unpack_from("<HHBBB", media, 6)
     at = 13
 
@@ -242,6 +257,8 @@ def _frames(media: bytes) -> Iterator[Frame]:
         return b"".join(parts)
 
     shared = palette(flags & 7) if flags & 0x80 else None
+    if wide * high > most_pixels:
+        raise BrokenMedia("more pixels than the bound")
     canvas = np.zeros((high, wide, 4), np.uint8)
     index = time = delay = disposal = 0
     transparent: int | None = None
@@ -264,7 +281,9 @@ def _frames(media: bytes) -> Iterator[Frame]:
             at += 1
             if not 2 <= min_size <= 8:
                 raise BrokenMedia("no such code size")
-            data = unlzw(blocks(), min_size)
+            if width * height > most_pixels:
+                raise BrokenMedia("more pixels than the bound")
+            data = unlzw(blocks(), min_size, width * height)
             if len(data) < width * height:
                 raise BrokenMedia("a frame lacks pixels")
             pixels = np.frombuffer(data, np.uint8, width * height).reshape(height, width)
@@ -309,19 +328,22 @@ def encode_payloads(df: DataFrame, key: str = "doc_id", payload: Column | str =
 FRAME = "struct<index:int,start_ms:long,delay_ms:long,left:int,top:int,width:int,height:int,disposal:int,transparent:int,histogram:array<long>>"
 
 
-def decode_media(df: DataFrame, key: str = "doc_id", media: str = "media", carry: tuple[str, ...] = ()) -> DataFrame:
+def decode_media(df: DataFrame, key: str = "doc_id", media: str = "media", carry: tuple[str, ...] = (), most_pixels: int = MOST_PIXELS) -> DataFrame:
     """One row for each row of ``df``: doc_id, columns of ``carry``, media, frames, samples, error.
 
+    Media that are no GIF, end early or have more than ``most_pixels`` in a canvas or frame give ``error``,
+    no frames and null samples.
+
     ``samples`` are the red values of every composed frame's own rectangle, end to end, which are
     the palette indices where the palette is grey. ``frames`` holds times and histograms.
     """
-    given = df.select(F.col(key).alias("doc_id"), *carry, F.col(media).alias("media"))
+    given = df.select(F.col(quoted(key)).alias("doc_id"), *(F.col(quoted(c)).alias(f"carry_{i}") for i, c in enumerate(carry)), F.col(quoted(media)).alias("media"))
     kinds = pa.struct([(n, pa.int64() if n.endswith("_ms") else pa.list_(pa.int64()) if n == "histogram" else pa.int32()) for n in ("index", "start_ms", "delay_ms", "left", "top", "width", "height", "disposal", "transparent", "histogram")])
 
     def one(raw: bytes | None) -> tuple[list[dict], bytes | None, str | None]:
         try:
             frames, parts = [], []
-            for f in read_gif(raw or b""):
+            for f in read_gif(raw or b"", most_pixels):
                 frames.append(f.row())
                 parts.append(f.canvas[f.top : f.top + f.height, f.left : f.left + f.width, 0].tobytes())
             return frames, b"".join(parts), None
@@ -336,5 +358,6 @@ def decode_media(df: DataFrame, key: str = "doc_id", media: str = "media", carry
                 made = [pa.array(frames, pa.list_(kinds)), pa.array(samples, pa.binary()), pa.array(errors, pa.string())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, "frames", "samples", "error"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema)
-    return given.mapInArrow(run, f"{kept}, frames array<{FRAME}>, samples binary, error string")
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema)
+    found = given.mapInArrow(run, f"{kept}, frames array<{FRAME}>, samples binary, error string")
+    return found.select("doc_id", *(F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)), "media", "frames", "samples", "error")

@@ -106,7 +106,8 @@ def plan(docs: DataFrame, levels: list[str], mix: Mix, key: str = "doc_id", toke
 
 
 def copies(docs: DataFrame, chosen: DataFrame, levels: list[str], mix: Mix, has_token: Column, key: str = "doc_id", name: str = "copies") -> DataFrame:
-    """``docs`` with how often each is drawn. The plan is joined on the levels: broadcast where Spark
+    """``docs`` with how often each is drawn as the column ``name``, in the place of one that has this name;
+    other columns stay. The plan is joined on the levels: broadcast where Spark
     finds it below its threshold, else by a shuffle whose hot leaves are split at run time."""
     at = place(mix.seed, F.col("\0epochs"), F.col(key))
     drawn = F.when(has_token & F.col("\0epochs").isNotNull(), F.col("\0epochs") + F.when(at <= F.col("\0cut"), 1).otherwise(0)).otherwise(0).cast("long")

@@ -7,6 +7,7 @@ import itertools
 import os
 import random
 import re
+import struct
 
 import numpy as np
 import pytest
@@ -130,7 +131,7 @@ def test_lzw_round_trips() -> None:
     r = random.Random(3)
     for n in (0, 1, 2, 255, 257, 3000, 5000, 20_000):
         for data in (bytes(r.randrange(256) for _ in range(n)), bytes(n), bytes(r.choice(b"ab ") for _ in range(n))):
-            assert gif.unlzw(gif.pack(gif.lzw_codes(data)), 8) == data
+            assert gif.unlzw(gif.pack(gif.lzw_codes(data)), 8, len(data)) == data
 
 
 def deferred_lzw(data: bytes) -> bytes:
@@ -164,7 +165,7 @@ def test_another_encoders_full_table_is_read() -> None:
     for n in (1, 700, 20_000, 60_000):
         for signs in (b"ab ", bytes(range(256))):
             data = bytes(r.choice(signs) for _ in range(n))
-            assert gif.unlzw(deferred_lzw(data), 8) == data
+            assert gif.unlzw(deferred_lzw(data), 8, len(data)) == data
 
 
 @needs_data
@@ -228,6 +229,25 @@ def test_payloads_come_back(spark) -> None:
     assert all(r.error and r.frames == [] and r.samples is None for r in gif.decode_media(broken).collect())
 
 
+def one_frame(wide: int, high: int, width: int, height: int, data: bytes) -> bytes:
+    head = b"GIF89a" + struct.pack("<HHBBB", wide, high, 0xF7, 0, 0) + bytes(768)
+    return head + struct.pack("<BHHHHB", 0x2C, 0, 0, width, height, 0) + b"\x08" + gif.sub_blocks(data) + b"\x3b"
+
+
+def test_headers_and_streams_are_not_trusted_with_memory(spark) -> None:
+    small = gif.pack(gif.lzw_codes(bytes(16)))
+    codes = [[0, *range(258, 4096), *[4095] * 100_000]]  # each code is longer by one byte than the one before
+    bits = "".join(format(c, "b").zfill(int(w))[::-1] for c, w in zip([256, *codes[0]], [9, *gif.WIDTHS[:3839], *[12] * 100_000]))
+    bomb = np.packbits(np.array([*bits], np.uint8), bitorder="little").tobytes()
+    assert len(gif.unlzw(bomb, 8, 100)) < 10_000_000 < 3_800 * 100_000
+    media = [one_frame(65_535, 65_535, 4, 4, small), one_frame(4, 4, 65_535, 65_535, small), one_frame(4, 4, 4, 4, bomb), one_frame(4, 4, 4, 4, small)]
+    given = spark.createDataFrame([(i, bytearray(m), "x", "y") for i, m in enumerate(media)], "`a.key` long, media binary, frames string, `o``dd` string")
+    found = {r.doc_id: r for r in gif.decode_media(given, key="a.key", carry=("o`dd",)).collect()}
+    assert [found[i].error for i in range(4)] == ["more pixels than the bound"] * 2 + [None] * 2
+    assert [len(found[i].frames) for i in range(4)] == [0, 0, 1, 1] and found[0].samples is None and found[3].samples == bytearray(16) and found[1]["o`dd"] == "y"
+    assert gif.decode_media(given, key="a.key", most_pixels=15).where("error is null").count() == 0
+
+
 # 5
 
 def test_archives_roll_and_revisit(spark) -> None:
