@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,6 +92,42 @@ def digest(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row % 1_000_000_007), F.lit(0)).alias("digest"))
 
 
+def multiset_digest(df: DataFrame, columns: list[str]) -> DataFrame:
+    """rows and a digest of a table as a bag of rows: two sums modulo 2^64 of 60 bits each of a row's MD5.
+
+    Fields are put together with their lengths, so no two rows look alike. Sums do not depend on order or
+    split, and those of two parts add up to that of both (``merged_digests``).
+    """
+    field = lambda c: F.coalesce(F.concat(F.octet_length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("n"))
+    row = df.select(F.md5(F.concat(*(field(F.col(c)) for c in columns)).cast("binary")).alias("row"))
+    part = lambda at: F.conv(F.substring("row", at, 15), 16, 10).cast("decimal(20,0)")
+    return merged_digests(row.select(F.lit(1).cast("long").alias("rows"), part(1).alias("first"), part(16).alias("second")))
+
+
+def merged_digests(parts: DataFrame) -> DataFrame:
+    """rows, first, second of all parts (rows, first, second) together."""
+    total = lambda name: F.coalesce((F.sum(name) % F.lit(str(2**64)).cast("decimal(20,0)")), F.lit(0)).cast("decimal(20,0)").alias(name)
+    return parts.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), total("first"), total("second"))
+
+
+#: What of each table a digest covers. Edges have the names of both ends, as far as these are symbols.
+DIGESTED = {
+    "files": ["path", "language", "deleted_version"],
+    "symbols": ["id", "kind", "qualname", "path", "start_line", "end_line", "signature"],
+    "edges": ["kind", "source_name", "target_name", "target_qualname", "path", "line", "sure", "event_ts", "trace_id", "detail"],
+    "metrics": ["symbol_id", "loc", "complexity", "duplication_hash"],
+}
+
+
+def graph_digests(files: DataFrame, symbols: DataFrame, edges: DataFrame, metrics: DataFrame) -> DataFrame:
+    """name, rows, digest of each table of a snapshot. Confidences count to four places."""
+    named = edges.withColumn("sure", F.round(F.col("confidence") * 10_000).cast("long"))
+    for end in ("source", "target"):
+        named = named.join(symbols.select(F.col("id").alias(end), F.col("qualname").alias(f"{end}_name")), end, "left")
+    tables = {"files": files, "symbols": symbols, "edges": named, "metrics": metrics}
+    return reduce(DataFrame.union, (multiset_digest(df, DIGESTED[name]).select(F.lit(name).alias("name"), "rows", F.concat_ws("-", "first", "second").alias("digest")) for name, df in tables.items()))
+
+
 def staleness(indexed: DataFrame, scanned: DataFrame) -> DataFrame:
     """state, n: files added, modified, deleted and unchanged since the index (path, hash on both sides)."""
     old, new = indexed.select("path", F.col("hash").alias("old")), scanned.select("path", F.col("hash").alias("new"))

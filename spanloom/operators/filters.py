@@ -124,5 +124,5 @@ def compact(rows: DataFrame) -> DataFrame:
 
 
 def sure(rows: DataFrame, least: float) -> DataFrame:
-    """Rows of a confidence of ``least`` or more; without a bound above zero, all."""
-    return rows.where(F.coalesce("confidence", F.lit(0.0)) >= least) if least > 0 else rows
+    """Rows of a confidence of ``least`` or more; without a bound above zero, all. No confidence is full confidence."""
+    return rows.where(F.coalesce("confidence", F.lit(1.0)) >= least) if least > 0 else rows

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.names import test_target
 from spanloom.functions.paths import is_test_file
 from spanloom.operators.cochange import evidence_confidence, noisy_or
+from spanloom.operators.filters import sure
 from spanloom.operators.traverse import UP, bfs, ways
 
 NOISE = ("module", "namespace", "package")
@@ -66,7 +67,7 @@ def summary(fused: DataFrame) -> DataFrame:
 
 def ranked(fused: DataFrame, min_confidence: float = 0.0, limit: int | None = None) -> DataFrame:
     """Fused impact sure enough, by distance and name, at most ``limit`` rows."""
-    out = fused.where(F.col("confidence") >= min_confidence).orderBy("distance", "qualname", "id")
+    out = sure(fused, min_confidence).orderBy("distance", "qualname", "id")
     return out if limit is None else out.limit(limit)
 
 

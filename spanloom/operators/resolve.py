@@ -49,6 +49,21 @@ def resolve_by_suffix(names: DataFrame, symbols: DataFrame) -> DataFrame:
     return asked.select("target_qualname", "language", "may_cross", best.alias("resolved_id")).where("resolved_id is not null")
 
 
+def re_resolved(known: DataFrame, names: DataFrame, moved: DataFrame, symbols: DataFrame) -> DataFrame:
+    """What ``resolve_by_suffix`` gives for ``names`` and ``symbols``, from what it gave before (``known``).
+
+    ``moved`` (qualname) are the names of symbols that came, went or changed since. Names whose last part is
+    none of theirs stay as they were; only the others, and those not asked before, are looked up.
+    """
+    keys = ["target_qualname", "language", "may_cross"]
+    lasts = moved.select(trailing_name(F.col("qualname")).alias("last")).distinct()
+    touched = lambda df: df.withColumn("last", trailing_name(F.col("target_qualname"))).join(lasts, "last", "left_semi").drop("last")
+    again = resolve_by_suffix(touched(names), symbols.withColumn("last", trailing_name(F.col("qualname"))).join(lasts, "last", "left_semi").drop("last"))
+    asked = names.select("target_qualname", "language", crosses(F.col("kind")).alias("may_cross")).distinct()
+    still = known.withColumn("last", trailing_name(F.col("target_qualname"))).join(lasts, "last", "left_anti").drop("last")
+    return still.join(asked, keys, "left_semi").select(*again.columns).union(again)
+
+
 def resolve_exact(names: DataFrame, symbols: DataFrame) -> DataFrame:
     """Distinct target_qualname with the smallest id of the symbols of that qualname, null if none."""
     first = symbols.groupBy(F.col("qualname").alias("target_qualname")).agg(F.min("id").alias("resolved_id"))

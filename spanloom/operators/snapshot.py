@@ -56,3 +56,21 @@ def signature_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     was = before.groupBy("qualname", "kind").agg(F.min_by(F.struct("signature"), "id").alias("was"))
     met = after.select("id", "qualname", "kind", "signature").join(was, ["qualname", "kind"])
     return met.where(~F.col("was.signature").eqNullSafe(F.col("signature"))).select("id", "qualname", F.col("was.signature").alias("before"), F.col("signature").alias("after"))
+
+
+def validity(rows: DataFrame, keys: list[str], version: str = "graph_version") -> DataFrame:
+    """keys, since, until: runs of consecutive versions that have a row of these keys."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(version))
+    runs = rows.select(*keys, version).distinct().withColumn("\0run", F.col(version) - place)
+    return runs.groupBy(*keys, "\0run").agg(F.min(version).alias("since"), F.max(version).alias("until")).drop("\0run")
+
+
+def neighbours_between(runs: DataFrame, before: int, after: int) -> DataFrame:
+    """source, target, state: the neighbours of each source at two versions, new, removed or stable.
+
+    ``runs``: source, target, since, until of its edges. Both versions are read in one pass.
+    """
+    at = lambda v: F.lit(v).between(F.col("since"), F.col("until"))
+    held = runs.where("source is not null and target is not null").select("source", "target", at(before).alias("a"), at(after).alias("b")).where("a or b")
+    sides = held.groupBy("source", "target").agg(F.bool_or("a").alias("a"), F.bool_or("b").alias("b"))
+    return sides.select("source", "target", F.when(F.col("a") & F.col("b"), "stable").when(F.col("b"), "new").otherwise("removed").alias("state"))

@@ -11,12 +11,14 @@ lost executor costs one level. The bound on depth ends the loop.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.boundary import boundary_detail, boundary_type, plain_language, protocol_context
 from spanloom.functions.names import trailing_name
+from spanloom.operators.filters import EDGE_RANKS, OTHER_RANK
 from spanloom.operators.resolve import crosses, resolve_by_suffix
 from spanloom.operators.shared import cut
 from spanloom.plans.model import COMPLEMENTS
@@ -132,6 +134,57 @@ def subgraph(reached: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.where("source is not null and target is not null").select("source", "target", "kind").distinct().join(ids.select(F.col("id").alias("source")), "source", "left_semi").join(ids.select(F.col("id").alias("target")), "target", "left_semi")
 
 
+# Kinds of edges whose open names are whole names of files' modules.
+FILE_KINDS = ("MODULE_FILE", "IMPORTS_FILE")
+
+
+def bounded_subgraph(seeds: DataFrame, symbols: DataFrame, edges: DataFrame, depth: int, max_nodes: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, distance, place) and edges (source, target, kind, target_qualname, detail) around the seeds,
+    along edges of both directions, ``max_nodes`` nodes at most beside the seeds' own.
+
+    Nodes are taken in the order of a queue: a level's nodes in their order, the neighbours of each in the order
+    of the edges that lead there (rank of kind, names of both ends, detail). So a level is a join, the first
+    edge into each new node, and the first nodes that there is still room for. Edges are those of all nodes
+    up to the one whose neighbours filled the room. Open names of files are looked up whole, those of calls by
+    their last part; edges with an end that is no symbol are left out.
+    """
+    c, names = F.col, symbols.select("id", "qualname")
+    used = cut(edges.select("source", "target", "kind", "target_qualname", "detail", "language").distinct())
+    order = Window.orderBy("way", "id")  # over ``max_nodes`` rows at most
+    start = seeds.select("id").distinct().join(names, "id", "left_semi")
+    visited = frontier = cut(start.select("id", F.lit(0).alias("distance"), F.row_number().over(Window.orderBy("id")).cast("long").alias("place")))
+    count, kept = visited.count(), []
+    for level in range(1, depth + 1):
+        at = frontier.select(c("id").alias("node"), "place")
+        near = at.join(used.where("source is not null"), c("node") == c("source")).union(at.join(used.where("target is not null"), c("node") == c("target"))).distinct()
+        open_ = c("target").isNull() & c("target_qualname").isNotNull()
+        whole = symbols.join(near.where(open_ & c("kind").isin(*FILE_KINDS)).select(c("target_qualname").alias("qualname")).distinct(), "qualname", "left_semi").groupBy(c("qualname").alias("target_qualname")).agg(F.min("id").alias("whole_id"))
+        best = resolve_by_suffix(near.where(open_ & (c("kind") == "CALLS")), symbols).where("not may_cross").select("target_qualname", "language", "resolved_id")
+        near = near.join(whole, "target_qualname", "left").join(best, ["target_qualname", "language"], "left")
+        near = near.withColumn("target", F.coalesce("target", F.when(c("kind").isin(*FILE_KINDS), c("whole_id")), F.when(c("kind") == "CALLS", c("resolved_id"))))
+        for end in ("source", "target"):
+            near = near.join(names.select(c("id").alias(end), c("qualname").alias(f"{end}_name")), end, "left")
+        sound = (c("source").isNull() | c("source_name").isNotNull()) & (c("target").isNull() | c("target_name").isNotNull())
+        rank = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in EDGE_RANKS.items() for x in kv)), c("kind")), F.lit(OTHER_RANK))
+        empty = F.lit("")
+        way = F.struct("place", rank.alias("rank"), F.coalesce("source_name", empty).alias("s"), F.coalesce("target_name", "target_qualname", empty).alias("t"), F.coalesce("detail", empty).alias("d"), "kind")
+        near = cut(near.where(sound).withColumns({"way": way, "other": F.when(c("source") == c("node"), c("target")).otherwise(c("source"))}))
+        fresh = near.where("other is not null").groupBy(c("other").alias("id")).agg(F.min("way").alias("way")).join(visited.select("id"), "id", "left_anti")
+        chosen = fresh.orderBy("way", "id").limit(max(0, max_nodes - count))
+        frontier = cut(chosen.select("id", F.lit(level).alias("distance"), F.row_number().over(order).cast("long").alias("place"), c("way.place").alias("after")))
+        found, last = frontier.agg(F.count(F.lit(1)), F.max("after")).first()
+        count += found
+        full = count >= max_nodes
+        kept.append(near.where(c("place") <= (last or 1)) if full else near)
+        frontier = frontier.drop("after")
+        visited = visited.union(frontier)
+        if full or not found:
+            break
+    columns = ["source", "target", "kind", "target_qualname", "detail"]
+    out = reduce(DataFrame.union, (df.select(*columns) for df in kept)).distinct() if kept else used.where("false").select(*columns)
+    return visited, out
+
+
 def trace_flow(
     seeds: DataFrame,
     symbols: DataFrame,

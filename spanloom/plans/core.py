@@ -28,13 +28,16 @@ class Snapshot:
         self.m = self.all.metrics
 
 
-def over_graph(name: str, sql: str | None = None) -> Callable:
+def over_graph(name: str, sql: str | None = None, queries: dict[str, Callable] | None = None, oracles: dict[str, str] | None = None) -> Callable:
     """Registers a query on a snapshot and, with the shared prefix, its oracle."""
+    queries, oracles = QUERIES if queries is None else queries, ORACLE_SQL if oracles is None else oracles
 
     def add(query: Callable[[Snapshot], DataFrame]) -> Callable:
-        QUERIES[name] = lambda spark, sf_dir: query(Snapshot(spark, sf_dir))
+        if name in queries:
+            raise ValueError(f"two queries have the name {name}")
+        queries[name] = lambda spark, sf_dir: query(Snapshot(spark, sf_dir))
         if sql:
-            ORACLE_SQL[name] = PREFIX + sql
+            oracles[name] = PREFIX + sql
         return query
 
     return add
@@ -555,11 +558,6 @@ def _(g: Snapshot) -> DataFrame:
 
 # budgets and sets
 
-@over_graph("over_fetch_topk", "SELECT id, qualname FROM s WHERE qualname ILIKE '%order%' ORDER BY length(qualname), qualname, id LIMIT 400")
-def _(g: Snapshot) -> DataFrame:
-    return g.s.where(F.col("qualname").ilike("%order%")).orderBy(F.length("qualname"), "qualname", "id").limit(min(500, max(100, 4 * 100))).select("id", "qualname")
-
-
 @over_graph("context_sort", "SELECT path, start_line, id, row_number() OVER (ORDER BY path, start_line, id) AS place FROM s WHERE kind = 'interface'")
 def _(g: Snapshot) -> DataFrame:
     from pyspark.sql import Window

@@ -18,6 +18,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None) -> Callable:
     def add(run: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        if name in QUERIES:
+            raise ValueError(f"two queries have the name {name}")
         QUERIES[name] = run
         if sql:
             ORACLE_SQL[name] = sql

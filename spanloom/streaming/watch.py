@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from spanloom.operators.shared import cut
+
 # Quiet times before a flush, the time within which a further edit is urgent, and when
 # so much is pending that everything is built anew.
 QUIET_URGENT, QUIET_NORMAL, URGENT_SECONDS, OVERFLOW = "50 milliseconds", "300 milliseconds", 60, 1_000
 # Rows and bytes at which a batch is written, and how long one may wait.
-BATCH_ROWS, BATCH_BYTES, BATCH_WAIT = 100, 10 << 20, "500 milliseconds"
+BATCH_ROWS, BATCH_BYTES, BATCH_WAIT, BATCH_MS = 100, 10 << 20, "500 milliseconds", 500
 
 
 def events(spark: SparkSession, folder: str, schema: str, per_trigger: int = 100) -> DataFrame:
@@ -82,6 +84,44 @@ def batches(changes: DataFrame, order: list[str], size: str, most: int) -> DataF
     return numbered.groupBy("batch").agg(F.count(F.lit(1)).alias("changes"), F.sum(size).alias("bytes"))
 
 
+def flushes(changes: DataFrame, order: list[str], ts: str, size: str, most: int = BATCH_ROWS, most_bytes: int = BATCH_BYTES, most_ms: int = BATCH_MS) -> DataFrame:
+    """first, changes, bytes of the batches into which a queue is cut: one ends with the change that makes it
+    ``most`` changes, or ``most_bytes``, or that comes ``most_ms`` or more after its first, whichever is first.
+
+    ``first`` is the number in the queue of the batch's first change. Where a batch ends follows from where
+    it begins: each change points to the first one of the batch after a batch that it would begin. That one
+    is at most ``most`` changes ahead, so windows over stretches of ``most`` find it. The cuts that are really
+    made are those reached from the beginning; pointers of twice the length reach twice as many each round.
+    No task holds the queue.
+    """
+    c = F.col
+    ranged = changes.select(*order, F.unix_micros(c(ts)).alias("\0us"), F.coalesce(c(size), F.lit(0)).cast("long").alias("\0size")).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    ranged = cut(ranged)
+    counts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("\0size").alias("size"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    offset = counts.select("part", *(F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"{x}_before") for x in ("n", "size")))
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.select("*", F.coalesce(F.count(F.lit(1)).over(inside), F.lit(0)).alias("at"), F.coalesce(F.sum("\0size").over(inside), F.lit(0)).alias("upto")).join(offset, "part")
+    queue = cut(placed.select((c("n_before") + c("at")).alias("n"), (c("size_before") + c("upto")).alias("bytes"), c("\0us").alias("us")))
+    total, all_bytes = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+
+    stretch = queue.withColumn("stretch", F.expr(f"n div {most}"))
+    both = stretch.withColumn("own", F.lit(True)).union(stretch.where("stretch > 0").withColumn("stretch", c("stretch") - 1).withColumn("own", F.lit(False)))
+    ahead = lambda by, far: F.min("n").over(Window.partitionBy("stretch").orderBy(by).rangeBetween(far, Window.unboundedFollowing))
+    ends = both.select("*", ahead("bytes", most_bytes).alias("by_bytes"), (ahead("us", most_ms * 1_000) + 1).alias("by_time")).where("own")
+    pointers = cut(ends.select("n", F.least(c("n") + most, "by_bytes", "by_time", F.lit(total)).alias("next")))
+    made, far = cut(pointers.where("n = 0").select("n")), pointers
+    while True:
+        reached = cut(made.join(far, "n").where(c("next") < total).select(c("next").alias("n")))
+        if reached.isEmpty():
+            break
+        made = cut(made.union(reached))
+        far = cut(far.join(far.select(c("n").alias("next"), c("next").alias("beyond")), "next").select("n", c("beyond").alias("next")))
+    spans = made.join(pointers, "n").join(queue.select("n", "bytes"), "n")
+    after = queue.select(c("n").alias("next"), c("bytes").alias("after"))
+    return spans.join(after, "next", "left").select(c("n").alias("first"), (c("next") - c("n")).alias("changes"), (F.coalesce("after", F.lit(all_bytes)) - c("bytes")).alias("bytes"))
+
+
 def maintain(changes: DataFrame, apply: Callable[[DataFrame, int], None], rebuild: Callable[[], None], checkpoint: str, overflow: int = OVERFLOW, every: str | None = None) -> StreamingQuery:
     """Runs ``apply`` on each micro-batch's last change of every path, or ``rebuild`` on an overflow.
 
