@@ -125,8 +125,7 @@ def postings(df: DataFrame, text: str = "text") -> DataFrame:
                 of = np.repeat(np.arange(len(found)), most)
                 h = np.concatenate([np.empty(0, np.uint64), *(x[:n] for x, n in zip(found, most.tolist(), strict=True))])
                 at = np.arange(len(of)) - np.repeat(np.cumsum(most) - most, most)
-                ids = part.column("text_id").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[of]), pa.array(at.astype(np.int32)), pa.array(sizes[of].astype(np.int32))], ["h", "text_id", "at", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column("text_id").take(pa.array(of)), pa.array(at.astype(np.int32)), pa.array(sizes[of].astype(np.int32))], ["h", "text_id", "at", "size"])
 
     return _given(df, text).mapInArrow(run, "h long, text_id binary, at int, size int")
 
