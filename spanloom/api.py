@@ -94,7 +94,7 @@ class View:
 
     def __init__(self, engine: Engine, version: int, languages: list[str] | None, prefixes: list[str]):
         below = under(F.col("path"), prefixes)
-        self.engine, self.version = engine, version
+        self.engine, self.version, self.languages, self.below = engine, version, languages, below
         files = engine.files if engine.tables is None else index.files_at(engine.tables, version)
         self.files = files.where(alive(version)).where(below)
         if languages:
@@ -111,7 +111,15 @@ class View:
         return search.lines(self.sources())
 
     def seeds(self, query: str | int) -> DataFrame:
-        return bundles.resolve_seeds(str(query), self.symbols, self.edges)
+        """What a query names, in the languages asked for or else in any. Where nothing fits, the error says
+        what may have been meant."""
+        found = cut(bundles.resolve_seeds(str(query), self.symbols, self.edges))
+        if found.isEmpty() and self.languages:
+            found = cut(bundles.resolve_seeds(str(query), *(rows.where(self.below) for rows in self.engine.rows(self.version))))
+        if found.isEmpty():
+            near = bundles.suggestions(str(query), self.symbols)
+            raise ValueError(f"no such symbol: {query}" + (f"; did you mean {', '.join(near)}?" if near else ""))
+        return found
 
 
 def trace_flow(v: View, start: str, end: str | None = None, direction: str = "downstream", max_hops: int = 5, kinds: list[str] | None = None, max_bytes: int = traverse.TRACE_BYTES, offset: int = 0) -> dict[str, DataFrame]:

@@ -51,3 +51,20 @@ def response_prefix(items: DataFrame, keys: list[str], order: list[str | Column]
     return items.withColumn("bytes", size).where(F.col("bytes") <= most)
 
 
+
+
+def shared_prefix(items: DataFrame, keys: list[str], part: str, order: list[str | Column], size: str, most: int) -> DataFrame:
+    """Of each key's arrays (``part``) the longest beginnings that ``most`` bytes have room for, shared fairly.
+
+    What small arrays leave of an even share goes to the others, as water fills a vessel: with totals in rising
+    order, the level is the greatest of (what is left after smaller totals) / (arrays that are left). So the
+    level comes of a row for each array, and only beginnings within it are read from sums in order. ``level``
+    and ``used`` (the bytes up to an item) are added.
+    """
+    totals = items.groupBy(*keys, part).agg(F.sum(size).alias("\0total"))
+    rising = Window.partitionBy(*keys).orderBy("\0total", part)
+    smaller = F.coalesce(F.sum("\0total").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.count(F.lit(1)).over(Window.partitionBy(*keys)) - F.row_number().over(rising) + 1
+    levels = totals.select(*keys, ((F.lit(most) - smaller) / left).alias("\0level")).groupBy(*keys).agg(F.floor(F.max("\0level")).alias("level"))
+    upto = Window.partitionBy(*keys, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return items.withColumn("used", F.sum(size).over(upto)).join(levels, keys).where(F.col("used") <= F.col("level"))

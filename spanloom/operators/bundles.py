@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.names import short_name
 from spanloom.functions.paths import is_test_path
-from spanloom.operators import analytics, budget, filters, impact, resolve, search, snapshot, traverse
+from spanloom.operators import analytics, budget, filters, impact, resolve, search, snapshot, spelling, traverse
 from spanloom.operators.shared import cut
 
 #: Bytes of an answer.
@@ -114,6 +116,17 @@ def resolve_seeds(query: str, symbols: DataFrame, edges: DataFrame, limit: int =
     return both.join(both.agg(F.min("rank").alias("best")), F.col("rank") == F.col("best")).select("id").distinct()
 
 
+def suggestions(query: str, symbols: DataFrame, most: int = 3) -> list[str]:
+    """Qualified names that may have been meant: of the names that are nearest to the query or its last part."""
+    spark = symbols.sparkSession
+    last = re.split(r"\.|::", query)[-1]
+    asked = spark.createDataFrame([(n,) for n in {query, last} if n], "name string")
+    names = symbols.select(F.explode(F.array("name", "qualname")).alias("name"), "qualname")
+    near = spelling.near_names(asked, names, most)
+    meant = near.join(names, "name").groupBy("qualname").agg(F.min("edits").alias("edits"))
+    return [r.qualname for r in meant.orderBy("edits", F.length("qualname"), "qualname").limit(most).collect()]
+
+
 def next_hops(found: DataFrame) -> DataFrame:
     """method, id, direction, description: what to ask next about symbols (id, kind, qualname)."""
     first = found.orderBy("id").limit(1).select(F.lit("explain_symbol").alias("method"), "id", F.lit(None).cast("string").alias("direction"), F.concat(F.lit("Explain "), "qualname").alias("description"))

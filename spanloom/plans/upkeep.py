@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.operators import analytics, index, resolve, snapshot, spelling, traverse
+from spanloom.operators import analytics, budget, index, resolve, snapshot, spelling, traverse
 from spanloom.plans import core
 from spanloom.plans.core import RESOLVED, SEEDS, Snapshot
 from spanloom.plans.model import PREFIX, read
@@ -120,6 +120,19 @@ def _(g: Snapshot) -> DataFrame:
     return snapshot.neighbours_between(snapshot.validity(history, ["source", "target"]), 1995, 1997)
 
 
+@over_graph(
+    "shared_budget",
+    """, i AS (SELECT file_id, kind, id, strlen(qualname) AS size FROM s), t AS (SELECT file_id, kind, sum(size) AS total FROM i GROUP BY ALL), l AS (
+  SELECT file_id, (2000 - coalesce(sum(total) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / CAST(count(*) OVER (PARTITION BY file_id) - row_number() OVER w + 1 AS DOUBLE) AS level FROM t WINDOW w AS (PARTITION BY file_id ORDER BY total, kind)
+), m AS (SELECT file_id, CAST(floor(max(level)) AS BIGINT) AS level FROM l GROUP BY file_id)
+SELECT file_id, kind, id, CAST(used AS BIGINT) AS used, level FROM (SELECT *, sum(size) OVER (PARTITION BY file_id, kind ORDER BY id) AS used FROM i) JOIN m USING (file_id) WHERE used <= level""",
+)
+def _(g: Snapshot) -> DataFrame:
+    """What 2000 bytes of each file's symbols hold, an array for each kind."""
+    items = g.s.select("file_id", "kind", "id", F.octet_length("qualname").cast("long").alias("size"))
+    return budget.shared_prefix(items, ["file_id"], "kind", ["id"], "size", 2_000).select("file_id", "kind", "id", "used", "level")
+
+
 ROWS, BYTES, MS = 60, 530, 15_000_000
 QUEUE = f"""
 WITH RECURSIVE q AS (

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,19 +48,6 @@ def glob_pattern(glob: str) -> str:
     return "".join(out)
 
 
-def ignore_rules(spark: SparkSession, root: str) -> list[str]:
-    """The rules of the ignore files at a tree's root, in order."""
-    jvm, out = spark.sparkContext._jvm, []
-    for name in IGNORE_FILES:
-        where = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
-        fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.exists(where):
-            stream = fs.open(where)
-            out += jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
-            stream.close()
-    return out
-
-
 def ignored(path: Column, rules: list[str]) -> Column:
     """Whether the last of the ignore rules that fits a path excludes it (``!`` includes again)."""
     out = F.lit(False)
@@ -71,6 +60,67 @@ def ignored(path: Column, rules: list[str]) -> Column:
     return out
 
 
+RULES = "folder string, layer int, nth int, pattern string, keeps boolean, folders_only boolean"
+
+
+def parsed_rules(lines: list[str]) -> Iterator[tuple[int, str, bool, bool]]:
+    """nth, pattern (of a whole path below the file's folder), keeps, folders_only of an ignore file's lines."""
+    for nth, line in enumerate(lines):
+        rule = line.rstrip()
+        if not rule or rule.startswith("#"):
+            continue
+        keeps, rule = rule.startswith("!"), rule.removeprefix("!")
+        folders_only, rule = rule.endswith("/"), rule.rstrip("/")
+        if rule:
+            yield nth, ("" if "/" in rule else "(?:.*/)?") + glob_pattern(rule.removeprefix("/")), keeps, folders_only
+
+
+def layered_rules(folders: DataFrame, root: str) -> DataFrame:
+    """The rules of all ignore files in ``folders`` (folder, below the root; "" is the root), read where the
+    folders are dealt to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs as pafs
+
+        fs, base = pafs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        for batch in batches:
+            rows = []
+            for folder in batch.column(0).to_pylist():
+                for layer, name in enumerate(IGNORE_FILES):
+                    try:
+                        with fs.open_input_stream("/".join(filter(None, (base.rstrip("/"), folder, name)))) as file:
+                            lines = file.read().decode("utf-8", "replace").splitlines()
+                    except FileNotFoundError:
+                        continue
+                    rows += [(folder, layer, *rule) for rule in parsed_rules(lines)]
+            if rows:
+                kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["folder", "layer", "nth", "pattern", "keeps", "folders_only"])
+
+    return folders.select("folder").mapInArrow(run, RULES)
+
+
+def _steps(parts: Column, first: int) -> Column:
+    """The beginnings of a path: its folders, from ``first`` names on, and with ``first`` 1 the path itself."""
+    return F.transform(F.sequence(F.lit(first), F.size(parts) - 1 + first), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+
+
+def ignored_paths(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """path of those of ``paths`` (path) that the ignore files above them exclude.
+
+    Rules (``RULES``) meet the paths below their folder by equality. Of the rules that fit, one of the later kind of
+    file decides, then one of a deeper folder, then one that fits the path itself or the nearest folder above
+    it, then the last one. A rule of a folder does not fit files.
+    """
+    c = F.col
+    asked = paths.select("path").distinct().select("path", F.posexplode(_steps(F.split("path", "/"), 0)).alias("depth", "folder"))
+    rest = F.when(c("folder") == "", c("path")).otherwise(F.substr("path", F.length("folder") + 2))
+    met = asked.join(rules, "folder").select("path", "depth", "layer", "nth", "pattern", "keeps", "folders_only", rest.alias("rest"))
+    tried = met.select("*", F.posexplode(_steps(F.split("rest", "/"), 1)).alias("far", "part"))
+    fits = F.rlike("part", F.concat(F.lit("^(?:"), "pattern", F.lit(")$"))) & ~(c("folders_only") & (c("part") == c("rest")))
+    return tried.where(fits).groupBy("path").agg(F.max_by("keeps", F.struct("layer", "depth", "far", "nth")).alias("keeps")).where("not keeps").select("path")
+
+
 def scan_file(spark: SparkSession, root: str, path: str) -> DataFrame:
     """What ``scan`` gives of one file; a path that leaves the tree is an error."""
     if escapes(path):
@@ -81,11 +131,16 @@ def scan_file(spark: SparkSession, root: str, path: str) -> DataFrame:
 def scan(spark: SparkSession, root: str, rules: list[str] | None = None, languages: list[str] | None = None) -> DataFrame:
     """path, language, size, modified, hash, text of a tree's source files.
 
-    ``rules`` tell what to leave out; by default those of the tree's own ignore files do.
+    ``rules`` tell what to leave out; by default those of the ignore files in all of the tree's folders do.
     """
     base = root.rstrip("/")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(sorted(BY_EXTENSION)) + "}").load(base)
-    return _scanned(found, base, ignore_rules(spark, base) if rules is None else rules, languages)
+    rows = _scanned(found, base, rules, languages)
+    if rules is not None:
+        return rows
+    paths = rows.select("path")  # without contents, which are not read for it
+    folders = paths.select(F.explode(_steps(F.split("path", "/"), 0)).alias("folder")).distinct()
+    return rows.join(ignored_paths(paths, layered_rules(folders, base)), "path", "left_anti")
 
 
 def _scanned(found: DataFrame, base: str, rules: list[str] | None = None, languages: list[str] | None = None) -> DataFrame:

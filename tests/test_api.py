@@ -65,6 +65,15 @@ def test_wrong_requests_are_told(engine: Engine) -> None:
         assert "error" in json.loads(engine.answer(request))
 
 
+def test_names_that_nothing_fits_are_answered_with_what_is_near(engine: Engine) -> None:
+    got = json.loads(engine.answer('{"method": "explain_symbol", "params": {"query": "suply.sxplixr_7x"}}'))
+    assert "did you mean" not in got["error"]  # more than two edits away
+    got = json.loads(engine.answer('{"method": "explain_symbol", "params": {"query": "supply.suplier_7"}}'))
+    assert "supply.supplier_7" in got["error"]
+    alone = engine.call("explain_symbol", {"query": "supply.supplier_7"}).collect()
+    assert alone and engine.call("explain_symbol", {"query": "supply.supplier_7", "languages": ["go"]}) is not None
+
+
 def test_impact_reads_the_history_it_is_given(spark, engine) -> None:
     here, there = 1000004, 1000005
     files = {r.id: r.file_id for r in engine.symbols.where(f"id in ({here}, {there})").collect()}

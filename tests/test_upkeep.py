@@ -7,7 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import analytics, filters, impact, index, metrics, resolve, snapshot, spelling, traverse
+from spanloom.operators import analytics, budget, filters, impact, index, metrics, resolve, snapshot, spelling, traverse
+from spanloom.sources import repository
 from spanloom.streaming import watch
 
 
@@ -174,3 +175,42 @@ def test_no_confidence_is_full_confidence(spark) -> None:
     for kept in (filters.sure(rows, 0.5), impact.ranked(rows, 0.5)):
         assert sorted(r.id for r in kept.collect()) == [1, 3]
     assert impact.ranked(rows).count() == 3
+
+
+def test_layers_of_ignore_files(spark, tmp_path) -> None:
+    """The last rule of the deepest file that has one for a path decides; .ignore comes after .gitignore."""
+    files = {
+        ".gitignore": "# all\n*.tmp.py\n/top.py\nbuild/\nlogs/**/x.py\n!keep.tmp.py\n",
+        "sub/.gitignore": "!a.tmp.py\nown.py\n/only/here.py\n",
+        "sub/deep/.gitignore": "*\n!open.py\n",
+        ".ignore": "late.py\n",
+        "sub/deep/.ignore": "!late.py\n",
+    }
+    kept = ["a.py", "keep.tmp.py", "sub/a.tmp.py", "sub/top.py", "sub/deep/open.py", "sub/deep/late.py", "other/own.py", "sub/x/only/here.py", "logs/y.py", "sub/buildx/a.py", "build.py"]
+    gone = ["b.tmp.py", "top.py", "build/a.py", "sub/build/q/a.py", "logs/x.py", "logs/q/r/x.py", "sub/b.tmp.py", "sub/own.py", "sub/q/own.py", "sub/only/here.py", "sub/deep/closed.py", "sub/late.py", "late.py"]
+    for path, text in (files | dict.fromkeys(kept + gone, "x = 1\n")).items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    assert sorted(r.path for r in repository.scan(spark, str(tmp_path)).select("path").collect()) == sorted(kept)
+    assert repository.scan(spark, str(tmp_path), rules=[]).count() == len(kept + gone)
+    assert repository.scan(spark, str(tmp_path), rules=["*.tmp.py"]).count() == len(kept + gone) - 4
+
+
+def test_shared_budgets_by_pouring(spark) -> None:
+    r = random.Random(1)
+    rows = [(k, p, i, r.randint(1, 30)) for k in range(12) for p in "abcd"[: r.randint(1, 4)] for i in range(r.randint(1, 9))]
+    got = {(x.k, x.p, x.i) for x in budget.shared_prefix(spark.createDataFrame(rows, "k long, p string, i long, size long"), ["k"], "p", ["i"], "size", 150).collect()}
+    want = set()
+    for k in range(12):
+        sizes = {p: [s for a, b, _, s in rows if (a, b) == (k, p)] for p in "abcd"}
+        totals = {p: sum(s) for p, s in sizes.items() if s}
+        room, open_ = 150.0, sorted(totals, key=totals.get)
+        while open_ and totals[open_[0]] <= room / len(open_):
+            room -= totals[open_.pop(0)]
+        for p, s in sizes.items():
+            used = 0
+            for i, size in enumerate(s):
+                used += size
+                if p not in open_ or used <= room / len(open_):
+                    want.add((k, p, i))
+    assert got == want
