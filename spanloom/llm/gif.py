@@ -156,12 +156,12 @@ def read_codes(data: bytes, min_size: int) -> Iterator[list[int]]:
 def unlzw(data: bytes, min_size: int, most: int) -> bytes:
     """The bytes of an LZW stream of any GIF writer, up to the run of codes that reaches ``most`` of them."""
     base = [bytes((i,)) for i in range(1 << min_size)] + [b"", b""]
-    out: list[bytes] = []
+    runs: list[bytes] = []
     size = 0
     for codes in read_codes(data, min_size):
         if size >= most:
             break
-        begun = len(out)
+        out: list[bytes] = []
         table = base.copy()
         if codes[0] >= len(base):
             raise BrokenMedia("a code beyond the table")
@@ -179,14 +179,14 @@ def unlzw(data: bytes, min_size: int, most: int) -> bytes:
             emit(text)
             place(last + text[:1])
             last = text
-        size += sum(map(len, out[begun:]))
+        runs.append(b"".join(out))
+        size += len(runs[-1])
         for at in range(room, len(codes), 256):  # a full table: each code may stand for thousands of bytes
             if size >= most:
                 break
-            texts = [table[code] for code in codes[at : at + 256]]
-            size += sum(map(len, texts))
-            out += texts
-    return b"".join(out)
+            runs.append(b"".join([table[code] for code in codes[at : at + 256]]))
+            size += len(runs[-1])
+    return b"".join(runs)
 
 
 @dataclass
