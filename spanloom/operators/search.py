@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from re import _constants, _parser
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +50,79 @@ def regex(sources: DataFrame, pattern: str, context: int = 0) -> DataFrame:
     return rows.select("path", F.inline(shown))
 
 
+GRAM = 3
+
+
+def gram_index(sources: DataFrame) -> DataFrame:
+    """gram, path: the trigrams of each text of ``sources`` (path, text), each once."""
+    text = F.coalesce("text", F.lit(""))
+    grams = F.transform(F.sequence(F.lit(1), F.length(text) - GRAM + 1), lambda i: F.substr(text, i, F.lit(GRAM)))
+    return sources.where(F.length("text") >= GRAM).select(F.explode(F.array_distinct(grams)).alias("gram"), "path")
+
+
+def refreshed_index(index: DataFrame, away: DataFrame, sources: DataFrame) -> DataFrame:
+    """An index after a change: without the paths of ``away`` (path), and with what ``sources`` have now."""
+    return index.join(away.select("path").distinct(), "path", "left_anti").select("gram", "path").union(gram_index(sources))
+
+
+def _grams(text: str) -> frozenset[str]:
+    return frozenset(text[i : i + GRAM] for i in range(len(text) - GRAM + 1))
+
+
+def required_grams(pattern: str) -> list[list[frozenset[str]]]:
+    """What a text must have for a regular expression to match: of each list, all trigrams of one set.
+
+    They come of the plain characters of the expression. Where nothing can be told (other flags, an expression
+    that only Java reads, no three characters in a row) the list is empty: every text may match.
+    """
+    try:
+        parsed = _parser.parse(pattern)
+    except (re.error, OverflowError):
+        return []
+    if parsed.state.flags & ~re.UNICODE:
+        return []
+
+    def clauses(items) -> list[list[frozenset[str]]]:
+        found, run = [], ""
+        for kind, value in [*items, (None, None)]:
+            if kind is _constants.LITERAL:
+                run += chr(value)
+                continue
+            if kind is _constants.SUBPATTERN and (value[1] or value[2]):
+                return []
+            if grams := _grams(run):
+                found.append([grams])
+            run = ""
+            if kind is _constants.SUBPATTERN:
+                found += clauses(value[3])
+            elif kind in (_constants.MAX_REPEAT, _constants.MIN_REPEAT) and value[0] > 0:
+                found += clauses(value[2])
+            elif kind is _constants.BRANCH:
+                ways = [frozenset().union(*(c[0] for c in clauses(way) if len(c) == 1)) for way in value[1]]
+                if all(ways):
+                    found.append(ways)
+        return found
+
+    return clauses(parsed)
+
+
+def candidates(index: DataFrame, pattern: str) -> DataFrame | None:
+    """path of the texts that have what a regular expression requires; None where that is nothing."""
+    required = required_grams(pattern)
+    if not required:
+        return None
+    asked = sorted({g for ways in required for grams in ways for g in grams})
+    have = index.where(F.col("gram").isin(*asked)).groupBy("path").agg(F.collect_set("gram").alias("have"))
+    holds = lambda grams: F.size(F.array_intersect("have", F.array(*map(F.lit, sorted(grams))))) == len(grams)
+    return have.where(reduce(Column.__and__, (reduce(Column.__or__, map(holds, ways)) for ways in required))).select("path")
+
+
+def indexed_regex(index: DataFrame, sources: DataFrame, pattern: str, context: int = 0) -> DataFrame:
+    """What ``regex`` finds, in the texts alone that the index does not rule out."""
+    some = candidates(index, pattern)
+    return regex(sources if some is None else sources.join(some, "path", "left_semi"), pattern, context)
+
+
 def query_tokens(spark: SparkSession, query: str) -> list[str]:
     """The distinct tokens of a query, in order; none if they do not suffice for a fuzzy search."""
     found = spark.range(1).select(F.array_distinct(line_tokens(F.lit(query))).alias("t")).first()["t"]

@@ -49,6 +49,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return found.select("path", "line", F.md5("content").alias("content_md5"), F.md5("before").alias("before_md5"), F.md5("after").alias("after_md5"))
 
 
+@query("indexed_regex_search", SOURCES + " SELECT path, line, md5(content) AS content_md5 FROM lines WHERE regexp_matches(content, '(anre+d|hest[a-z]+) [a-m]')")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    texts = sources(spark, d)
+    return search.indexed_regex(search.gram_index(texts), texts, "(anre+d|hest[a-z]+) [a-m]").select("path", "line", F.md5("content").alias("content_md5"))
+
+
 @query("scope_filter", SOURCES + f" SELECT path, NOT (path LIKE 'docs/%' OR path LIKE 'tests/%') AS code, path LIKE 'docs/%' AS docs, path LIKE 'tests/%' AS tests, CAST({BONUS} AS DOUBLE) AS bonus FROM sources")
 def _(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("path")

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import analytics, budget, filters, impact, index, metrics, resolve, snapshot, spelling, traverse
+from spanloom.operators import analytics, budget, filters, impact, index, metrics, resolve, search, snapshot, spelling, traverse
 from spanloom.sources import repository
 from spanloom.streaming import watch
 
@@ -214,3 +214,22 @@ def test_shared_budgets_by_pouring(spark) -> None:
                 if p not in open_ or used <= room / len(open_):
                     want.add((k, p, i))
     assert got == want
+
+
+def test_the_index_finds_what_a_scan_does(spark) -> None:
+    r = random.Random(5)
+    texts = [(f"f{i}", "".join(r.choices(["load", "save", " ", "\n", "(x)", "ab", "über"], k=r.randint(0, 30)))) for i in range(60)] + [("none", None)]
+    sources = spark.createDataFrame(texts, "path string, text string").cache()
+    index = search.gram_index(sources).cache()
+    patterns = {"loadsave": True, "(load|save) save": True, "load|x": False, "lo+ad": False, "(?i)LOAD": False, "a.c": False, "(?:load){2}": True, r"save\(x\)": True, "über|load": True, "(load)?save+ab": True, r"\Qload\E ": False, "l[o]ad": True, "l[ou]ad": False, "ab(load )*über": True}
+    for pattern, narrow in patterns.items():
+        assert (search.candidates(index, pattern) is not None) == narrow, pattern
+        want = sorted((x.path, x.line) for x in search.regex(sources, pattern).collect())
+        assert sorted((x.path, x.line) for x in search.indexed_regex(index, sources, pattern).collect()) == want
+    assert search.required_grams("ab(load|sa.e) xyz") == [[frozenset({" xy", "xyz"})]]
+    assert search.required_grams("(load|save)") == [[frozenset({"loa", "oad"}), frozenset({"sav", "ave"})]]
+    assert 0 < search.candidates(index, "loadsave").count() < 60
+    changed = spark.createDataFrame([("f0", "quite new"), ("extra", "quite")], "path string, text string")
+    fresh = search.refreshed_index(index, changed.union(spark.createDataFrame([("f1", "")], "path string, text string")), changed)
+    now = sources.where("path not in ('f0', 'f1')").union(changed)
+    assert sorted(fresh.collect()) == sorted(search.gram_index(now).select("gram", "path").collect())
