@@ -46,8 +46,19 @@ CLASSES = 1 << 20
 
 
 def text_id(text: Column) -> Column:
-    """Half of a text's SHA-256: no two texts have one in common, by chance or by design. Null has its own."""
-    return F.coalesce(F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16), F.lit(b"null"))
+    """64 bits, which keep the many joins on it small. ``shared_ids`` tells where two texts have one."""
+    return F.xxhash64(text)
+
+
+def second_id(text: Column) -> Column:
+    """128 bits of SHA-256: no two texts have them in common, by chance or by design."""
+    return F.coalesce(F.substring(F.sha2(text.cast("binary"), 256), 1, 32), F.lit("null"))
+
+
+def shared_ids(df: DataFrame, text: str = "text") -> DataFrame:
+    """text_id, main: the ids that several texts of ``df`` have, and the ``second_id`` of the one that keeps it."""
+    ids = df.select(text_id(F.col(text)).alias("text_id"), second_id(F.col(text)).alias("second"))
+    return ids.groupBy("text_id").agg(F.min("second").alias("main"), F.max("second").alias("other")).where("main <> other").select("text_id", "main")
 
 
 def distinct_hashes(text: bytes) -> np.ndarray:
@@ -79,7 +90,7 @@ def sketches(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * (SKETCH // 64)), pa.array(np.concatenate([sketch(x, SKETCH) for x in found])))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_id"), bits, pa.array([len(x) for x in found], pa.int32()), rows], ["doc_id", "text_id", "bits", "size", "sketch"])
 
-    return given.mapInArrow(run, f"doc_id {kind}, text_id binary, bits long, size int, sketch array<long>")
+    return given.mapInArrow(run, f"doc_id {kind}, text_id long, bits long, size int, sketch array<long>")
 
 
 def _class(hashes: np.ndarray) -> np.ndarray:
@@ -125,9 +136,10 @@ def postings(df: DataFrame, text: str = "text") -> DataFrame:
                 of = np.repeat(np.arange(len(found)), most)
                 h = np.concatenate([np.empty(0, np.uint64), *(x[:n] for x, n in zip(found, most.tolist(), strict=True))])
                 at = np.arange(len(of)) - np.repeat(np.cumsum(most) - most, most)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column("text_id").take(pa.array(of)), pa.array(at.astype(np.int32)), pa.array(sizes[of].astype(np.int32))], ["h", "text_id", "at", "size"])
+                ids = part.column("text_id").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[of]), pa.array(at.astype(np.int32)), pa.array(sizes[of].astype(np.int32))], ["h", "text_id", "at", "size"])
 
-    return _given(df, text).mapInArrow(run, "h long, text_id binary, at int, size int")
+    return _given(df, text).mapInArrow(run, "h long, text_id long, at int, size int")
 
 
 def sets(df: DataFrame, text: str = "text") -> DataFrame:
@@ -142,7 +154,7 @@ def sets(df: DataFrame, text: str = "text") -> DataFrame:
                 fine = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * (FINE // 64)), pa.array(np.concatenate([sketch(x, FINE) for x in found])))
                 yield pa.RecordBatch.from_arrays([part.column("text_id"), pa.array(sizes, pa.int32()), fine, lists], ["text_id", "size", "sketch", "hashes"])
 
-    return _given(df, text).mapInArrow(run, "text_id binary, size int, sketch array<long>, hashes array<long>")
+    return _given(df, text).mapInArrow(run, "text_id long, size int, sketch array<long>, hashes array<long>")
 
 
 def _near(a: str, b: str) -> Column:

@@ -647,6 +647,17 @@ def test_the_near_dedup_stage_keeps_one_row_of_each_class(spark) -> None:
     assert {(r.doc_id, r.text[0], r.n_chars) for r in got.collect()} == {(None, "a", 1), (4, "b", 1), (5, "c", 1), (5, "d", 1), (None, "e", 1)} and got.count() == 5
 
 
+def test_texts_that_share_64_bits_are_not_taken_for_copies(spark, monkeypatch) -> None:
+    """Made to collide: all texts of one length have one id."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(jaccard, "text_id", lambda text: F.length(text).cast("long"))
+    one, two = (" ".join(f"{letter}{i:02d}" for i in range(40)) for letter in "ab")
+    given = docs(spark, two, one, one, two, two, "quite another text")
+    kept = corpus_pipeline.near_dedup(spark, given, "")
+    assert kept.columns == given.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 5]
+
+
 def test_stages_leave_other_columns_alone(spark) -> None:
     import corpus_pipeline
 
