@@ -37,16 +37,34 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     It is the row of the smallest id. A null id is one as others are but comes last: it is kept where a
     component has no other. Of rows that share id and text, the first by their other columns is kept.
+    Texts are told apart by 64 bits; should two have the same, one of them goes through the links and the others
+    are compared with their own copies alone, so none is dropped for another.
     """
     bounded_batches(spark)
+    shared = written(jaccard.shared_ids(docs), "shared-ids")
+    if shared.isEmpty():
+        return _first_of_classes(docs)
+    columns, text = [*map(quoted, docs.columns)], F.col("text")
+    marked = docs.select("*", jaccard.text_id(text).alias("\0text"), jaccard.second_id(text).alias("\0second")).join(shared.toDF("\0text", "\0main"), "\0text", "left")
+    stray = F.coalesce(F.col("\0second") != F.col("\0main"), F.lit(False))
+    main, rest = written(marked.where(~stray).select(*columns), "main"), written(marked.where(stray).select(*columns, "\0second"), "strays")
+    place = F.row_number().over(Window.partitionBy("\0second").orderBy(F.col("doc_id").isNull(), "doc_id", *_ordered(docs)))
+    first = rest.withColumn("\0place", place).where(F.col("\0place") == 1)
+    return _first_of_classes(main).unionByName(first.select(*columns))
+
+
+def _ordered(docs: DataFrame) -> list[str]:
+    return [quoted(f.name) for f in docs.schema if not isinstance(f.dataType, MapType)]
+
+
+def _first_of_classes(docs: DataFrame) -> DataFrame:
     found = jaccard.near_duplicates(docs, width=SHINGLE_WORDS)
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "text_id")).alias("row"))
     plain = (F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("\0id"), F.col("doc_id").isNull().alias("\0none"))  # equal where ids are, nulls too
     keys = ["\0text", "\0id", "\0none"]
     kept = first.select("row.*").select(F.col("text_id").alias("\0text"), *plain)
     rows = docs.select("*", jaccard.text_id(F.col("text")).alias("\0text"), *plain).join(kept, keys, "left_semi")
-    order = [quoted(f.name) for f in docs.schema if not isinstance(f.dataType, MapType)]
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*_ordered(docs)))
     return rows.withColumn("\0place", place).where(F.col("\0place") == 1).select(*map(quoted, docs.columns))
 
 
