@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -134,9 +135,22 @@ def trace_flow(v: View, start: str, end: str | None = None, direction: str = "do
     return {"hops": hops, "paths": traverse.paths_found(hops, goal)}
 
 
+def batch_impact(v: View, queries: list[str], depth: int, way: str, kinds: tuple[str, ...] | None, limit: int) -> dict[str, DataFrame]:
+    """What each of several queries reaches, and why those failed that name nothing."""
+    spark, found, errors = v.symbols.sparkSession, [], []
+    for query in dict.fromkeys(map(str, queries)):
+        try:
+            found.append(v.seeds(query).select(F.lit(query).alias("query"), "id"))
+        except ValueError as e:
+            errors.append((query, str(e)))
+    seeds = reduce(DataFrame.union, found, spark.createDataFrame([], "query string, id long"))
+    rows = impact.batch(cut(seeds), v.symbols, v.edges, depth, way, kinds, limit, len(found) + len(errors))
+    return {"rows": rows.orderBy("query", "distance", "qualname", "id"), "errors": spark.createDataFrame(errors, "query string, error string")}
+
+
 def analyze_impact(
     v: View,
-    query: str,
+    query: str | list[str],
     max_depth: int = 3,
     direction: str = "both",
     kinds: list[str] | None = None,
@@ -144,8 +158,11 @@ def analyze_impact(
     layers: tuple[str, ...] | list[str] = ("direct", "test", "historical"),
     min_confidence: float = 0.0,
     limit: int = 10_000,
-) -> DataFrame:
-    """Impact of a change by the layers asked for, sure enough, nearest first."""
+) -> Result:
+    """Impact of a change by the layers asked for, sure enough, nearest first. Several queries are answered by the
+    direct layer alone, each within its share of the limit."""
+    if isinstance(query, list):
+        return batch_impact(v, query, checked("max_depth", max_depth, 0, 10), traverse.direction(direction), tuple(kinds) if kinds else None, checked("limit", limit, 1, 1_000_000))
     if unknown := set(layers) - {"direct", "test", "historical"}:
         raise ValueError(f"no such layer: {', '.join(sorted(unknown))}")
     seeds = cut(v.seeds(query))

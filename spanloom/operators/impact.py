@@ -21,6 +21,17 @@ def direct(seeds: DataFrame, symbols: DataFrame, edges: DataFrame, depth: int, w
     return bfs(seeds, ways(symbols, used, way, kinds), depth)
 
 
+#: Symbols that each of several seeds may reach at least, whatever the bound on all of them.
+LEAST_EACH = 50
+
+
+def batch(seeds: DataFrame, symbols: DataFrame, edges: DataFrame, depth: int, way: str = UP, kinds: tuple[str, ...] | None = None, limit: int = 10_000, asked: int = 1, bridges: bool = True) -> DataFrame:
+    """query, id, qualname, path, distance of what each query's seeds (query, id) reach, nearest first: as many
+    for each of the ``asked`` queries as an even share of ``limit`` is, ``LEAST_EACH`` at least."""
+    reached = bfs(seeds, ways(symbols, edges, way, kinds, with_bridges=bridges), depth, most=max(LEAST_EACH, limit // max(asked, 1)), keys=("query",))
+    return reached.select("query", "id", "distance").join(symbols.select("id", "qualname", "path"), "id").select("query", "id", "qualname", "path", "distance")
+
+
 def tests(seeds: DataFrame, symbols: DataFrame, edges: DataFrame, is_test: Column) -> DataFrame:
     """id, source: tests of the seeds by call, import, name and place."""
     found = symbols.where(is_test).select("id", "name", "path", "language")
@@ -29,9 +40,10 @@ def tests(seeds: DataFrame, symbols: DataFrame, edges: DataFrame, is_test: Colum
     by_edge = used.where("kind in ('CALLS', 'IMPORTS', 'XREF')").select("id", F.when(F.col("kind") == "IMPORTS", "test_import").otherwise("test_call").alias("source"))
     named = found.withColumn("about", F.lower(test_target(F.col("name")))).join(own, (F.col("about") == F.lower("seed_name")) & (F.col("language") == F.col("seed_language"))).select("id", F.lit("test_naming").alias("source"))
     parts = lambda path: F.filter(F.split(F.lower(path), r"[/._]"), lambda p: (p != "") & ~p.isin("test", "tests", "spec", "src"))
-    seeds_by_part = own.select("seed_language", "seed", F.explode(F.array_distinct(parts(F.col("seed_path")))).alias("part"))
-    close = found.select("id", F.col("language").alias("seed_language"), F.explode(F.array_distinct(parts(F.col("path")))).alias("part")).join(seeds_by_part, ["seed_language", "part"])
-    placed = close.groupBy("id", "seed").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("id", F.lit("test_proximity").alias("source"))
+    files = lambda df, path, language: df.select(F.col(language).alias("language"), F.col(path).alias(path)).distinct().withColumn("part", F.explode(F.array_distinct(parts(F.col(path)))))
+    close = files(found, "path", "language").join(files(own, "seed_path", "seed_language"), ["language", "part"])  # files meet, not their symbols
+    near = close.groupBy("language", "path", "seed_path").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("language", "path").distinct()
+    placed = found.join(near, ["language", "path"], "left_semi").select("id", F.lit("test_proximity").alias("source"))
     return by_edge.union(named).union(placed).distinct()
 
 

@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Upper bound of the bytes of an Arrow batch of texts.
+BATCH_BYTES = 8 << 20
+
 _folders: dict[str, str] = {}
 
 
@@ -32,6 +35,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Bounds what one Arrow batch may hold for what reads texts in Python, so that long ones do not fill a worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a table in the shared folder."""
     spark = df.sparkSession

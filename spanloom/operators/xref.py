@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.normalize import route
 from spanloom.operators.resolve import enclosing
+from spanloom.operators.shared import bounded_batches
 
 # Words that are no reference to a symbol, and lengths of tokens.
 STOPWORDS = ("a", "an", "and", "any", "as", "asc", "begin", "between", "by", "case", "create", "delete", "desc", "distinct", "drop", "else", "end", "exists", "false", "from", "full", "group", "having", "if", "in", "inner", "insert", "into", "is", "join", "left", "like", "limit", "not", "null", "offset", "on", "or", "order", "outer", "primary", "return", "right", "select", "set", "then", "true", "union", "update", "values", "when", "where", "with")
@@ -59,7 +60,7 @@ def string_literals(sources: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["path", "language", "line", "end_line", "literal", "long"])
 
-    return given.mapInArrow(run, "path string, language string, line long, end_line long, literal string, long boolean")
+    return bounded_batches(given).mapInArrow(run, "path string, language string, line long, end_line long, literal string, long boolean")
 
 
 def routes(found: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.operators import analytics, budget, index, resolve, snapshot, spelling, traverse
+from spanloom.operators import analytics, budget, impact, index, resolve, snapshot, spelling, traverse
 from spanloom.plans import core
 from spanloom.plans.core import RESOLVED, SEEDS, Snapshot
 from spanloom.plans.model import PREFIX, read
@@ -74,6 +74,17 @@ for most in (50, 500):
         return traverse.bounded_subgraph(core._seeds(g), g.s, g.e, 2, most)[1]
 
 
+@over_graph(
+    "batch_impact_shares",
+    core.near_sql("up", "('CALLS', 'HTTP_CALL')", bridges=False) + """, walk AS (SELECT CAST(id AS VARCHAR) AS query, id, 0 AS distance FROM s WHERE id BETWEEN 1000010 AND 1000029 UNION SELECT query, next, distance + 1 FROM walk JOIN near ON node = id WHERE distance < 3), least AS (SELECT query, id, min(distance) AS distance FROM walk GROUP BY ALL)
+SELECT query, id, qualname, path, distance FROM (SELECT * FROM least QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, id) <= 50) JOIN s USING (id)""",
+)
+def _(g: Snapshot) -> DataFrame:
+    """What each of twenty symbols reaches upwards, fifty for each at most."""
+    seeds = g.s.where("id between 1000010 and 1000029").select(F.col("id").cast("string").alias("query"), "id")
+    return impact.batch(seeds, g.s, g.e, 3, traverse.UP, ("CALLS", "HTTP_CALL"), 100, 20, bridges=False)
+
+
 ASKED = "CASE id % 3 WHEN 0 THEN substr(name, 2) WHEN 1 THEN name || 'X' ELSE replace(name, 'pp', 'qp') END"
 
 

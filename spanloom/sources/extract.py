@@ -17,6 +17,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+
+from spanloom.operators.shared import bounded_batches
 from pyspark.sql import functions as F
 
 ROW = "path string, language string, item string, kind string, name string, qualname string, start_line long, end_line long, signature string, source_qualname string, target_qualname string, detail string"
@@ -314,7 +316,7 @@ def extract(files: DataFrame) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_pylist([f | {"path": path, "language": language} for f in found], schema=schema)
 
-    return files.select("path", "language", "text").mapInArrow(run, ROW)
+    return bounded_batches(files.select("path", "language", "text")).mapInArrow(run, ROW)
 
 
 def import_files(edges: DataFrame, files: DataFrame) -> DataFrame:

@@ -74,6 +74,11 @@ def test_names_that_nothing_fits_are_answered_with_what_is_near(engine: Engine)
     assert alone and engine.call("explain_symbol", {"query": "supply.supplier_7", "languages": ["go"]}) is not None
 
 
+def test_several_queries_are_answered_each(engine: Engine) -> None:
+    got = json.loads(engine.answer('{"method": "analyze_impact", "params": {"query": ["1000004", "no_such_thing_at_all", "1000005"], "max_depth": 1}}'))["result"]
+    assert {r["query"] for r in got["rows"]} == {"1000004", "1000005"} and [e["query"] for e in got["errors"]] == ["no_such_thing_at_all"]
+
+
 def test_impact_reads_the_history_it_is_given(spark, engine) -> None:
     here, there = 1000004, 1000005
     files = {r.id: r.file_id for r in engine.symbols.where(f"id in ({here}, {there})").collect()}
