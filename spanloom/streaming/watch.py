@@ -74,9 +74,10 @@ def urgent_stream(changes: DataFrame, seconds: int = URGENT_SECONDS, late: str =
 def batches(changes: DataFrame, order: list[str], size: str, most: int) -> DataFrame:
     """batch, changes, bytes of the queue in order, ``most`` to a batch (batch).
 
-    Numbers come from a range sort and counts of its partitions, so no task holds the queue.
+    Numbers come from a range sort and counts of its partitions, so no task holds the queue. The sorted table is
+    written once: run twice, partitions can be put together differently.
     """
-    ranged = changes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    ranged = cut(changes.select(*order, size).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
     counts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     offset = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     at = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
