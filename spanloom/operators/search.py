@@ -55,8 +55,7 @@ GRAM = 3
 
 def gram_index(sources: DataFrame) -> DataFrame:
     """gram, path: the trigrams of each text of ``sources`` (path, text), each once."""
-    text = F.coalesce("text", F.lit(""))
-    grams = F.transform(F.sequence(F.lit(1), F.length(text) - GRAM + 1), lambda i: F.substr(text, i, F.lit(GRAM)))
+    grams = F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{GRAM}}}))."), F.lit(1))  # one pass: a substring is counted from a text's beginning
     return sources.where(F.length("text") >= GRAM).select(F.explode(F.array_distinct(grams)).alias("gram"), "path")
 
 
