@@ -83,7 +83,11 @@ def ranked(fused: DataFrame, min_confidence: float = 0.0, limit: int | None = No
     return out if limit is None else out.limit(limit)
 
 
-def diff_downstream(seeds: DataFrame, symbols: DataFrame, edges: DataFrame, depth: int, most: int = 50) -> DataFrame:
+#: Callers of a change that are shown.
+MOST = 50
+
+
+def diff_downstream(seeds: DataFrame, symbols: DataFrame, edges: DataFrame, depth: int, most: int = MOST) -> DataFrame:
     """Callers of changed symbols by steps; confidence 0.9, less a fifth for each further step, and less
     a fifth for a caller that is known by the name it calls alone."""
     reached = bfs(seeds, ways(symbols, edges, UP, ("CALLS",), with_bridges=False), depth).where("distance > 0")
