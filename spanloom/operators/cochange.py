@@ -20,7 +20,8 @@ def mine_pairs(changes: DataFrame, now: Column) -> DataFrame:
     """Pairs of files by their weighted common commits. ``changes``: sha, ts (timestamp), file.
 
     A commit of n files gives n(n-1)/2 pairs, 1225 at most, so work grows with the commits. The
-    age of a commit is taken in whole days before ``now``.
+    age of a commit is taken in whole days before ``now``. A commit's pairs are made and first summed where its
+    files are: a large table of ``changes`` is to be dealt out by sha (``shared.dealt``).
     """
     distinct = changes.select("sha", "ts", "file").distinct()
     sizes = distinct.groupBy("sha").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= MOST_FILES)
