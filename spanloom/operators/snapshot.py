@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators.shared import dealt
+
 
 def diff(before: DataFrame, after: DataFrame, key: str, compared: list[str]) -> DataFrame:
     """key, state: added, deleted, modified or unchanged; null-safe in the compared columns."""
@@ -61,7 +63,7 @@ def signature_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 def validity(rows: DataFrame, keys: list[str], version: str = "graph_version") -> DataFrame:
     """keys, since, until: runs of consecutive versions that have a row of these keys."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(version))
-    runs = rows.select(*keys, version).distinct().withColumn("\0run", F.col(version) - place)
+    runs = dealt(rows.select(*keys, version), rows.count(), *keys).distinct().withColumn("\0run", F.col(version) - place)
     return runs.groupBy(*keys, "\0run").agg(F.min(version).alias("since"), F.max(version).alias("until")).drop("\0run")
 
 
