@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.names import trailing_name
 from spanloom.functions.paths import first_segment, module_prefix
+from spanloom.operators.shared import dealt
 
 
 def overview(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
@@ -122,8 +123,11 @@ DIGESTED = {
 def graph_digests(files: DataFrame, symbols: DataFrame, edges: DataFrame, metrics: DataFrame) -> DataFrame:
     """name, rows, digest of each table of a snapshot. Confidences count to four places."""
     named = edges.withColumn("sure", F.round(F.col("confidence") * 10_000).cast("long"))
+    rows = edges.count()
     for end in ("source", "target"):
-        named = named.join(symbols.select(F.col("id").alias(end), F.col("qualname").alias(f"{end}_name")), end, "left")
+        spread = F.when(F.col(end).isNull(), F.xxhash64("source", "target_qualname", "line")).otherwise(0)  # edges without this end meet no symbol, in no task of their own
+        ends = symbols.select(F.col("id").alias(end), F.lit(0).cast("long").alias("spread"), F.col("qualname").alias(f"{end}_name"))
+        named = dealt(named.withColumn("spread", spread), rows, end, "spread").join(ends, [end, "spread"], "left").drop("spread")
     tables = {"files": files, "symbols": symbols, "edges": named, "metrics": metrics}
     return reduce(DataFrame.union, (multiset_digest(df, DIGESTED[name]).select(F.lit(name).alias("name"), "rows", F.concat_ws("-", "first", "second").alias("digest")) for name, df in tables.items()))
 
