@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import time
 import zlib
 
+from pyspark.sql import functions as F
+
+from spanloom.operators import analytics, resolve, search, shared, snapshot, spelling, traverse
+from spanloom.plans import core
 from spanloom.streaming import watch
+from tests.oracle import DATA, TABLES, agree
 
 
 def test_blank_texts_among_those_that_go_round(spark, tmp_path) -> None:
@@ -30,3 +36,68 @@ def test_batches_are_counted_on_one_sort(spark) -> None:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert sorted((r.batch, r.changes) for r in got) == [(i, 100) for i in range(400)]
     assert sum(r.bytes for r in got) == sum(i * 7 % 50 + 1 for i in range(40_000))
+
+
+def test_risk_where_symbols_share_ids(spark, tmp_path) -> None:
+    from spanloom.plans import registry
+
+    for name in TABLES:
+        rows = spark.read.parquet(f"{DATA}/{name}.parquet")
+        if name == "part":  # their symbols have ids of suppliers' and of orders' too
+            rows = rows.union(rows.withColumn("p_partkey", F.expr("p_partkey + 1000000"))).union(rows.withColumn("p_partkey", F.expr("p_partkey + 2000000")))
+        rows.coalesce(1).write.parquet(f"{tmp_path}/raw/{name}")
+        (part,) = (tmp_path / "raw" / name).glob("*.parquet")
+        part.rename(tmp_path / f"{name}.parquet")
+    for name in ("risk_level", "test_coverage"):
+        agree(spark, registry.QUERIES[name], registry.ORACLE_SQL[name], str(tmp_path))
+
+
+def test_trigrams_of_long_texts_and_wide_characters(spark) -> None:
+    text = "ab\n😀é" * 60_000
+    began = time.monotonic()
+    got = {r.gram for r in search.gram_index(spark.createDataFrame([("p", text), ("q", "ab")], "path string, text string")).collect()}
+    assert got == {text[i : i + 3] for i in range(10)} and time.monotonic() - began < 20
+
+
+def test_numbered_names_share_variants_with_near_ones_alone(spark) -> None:
+    names = spark.createDataFrame([("supplier_123456",), ("supplier_123987",), ("supplier_12345",)], "name string")
+    one, far, near = (set(r.d) for r in names.select(spelling.deletions(F.col("name")).alias("d")).collect())
+    assert not one & far and one & near
+
+
+def test_a_trace_ends_with_the_level_that_is_enough(spark) -> None:
+    symbols = spark.createDataFrame([(i, f"n{i}", f"n{i}", "function", "x") for i in range(8)], "id long, name string, qualname string, kind string, language string")
+    edges = spark.createDataFrame([(i, i + 1, "CALLS", None, "x") for i in range(7)], "source long, target long, kind string, target_qualname string, language string")
+    reached = traverse.bfs(symbols.where("id = 0").select("id"), traverse.ways(symbols, edges, traverse.DOWN), 7, enough=3)
+    assert sorted(r.id for r in reached.collect()) == [0, 1, 2, 3]
+
+
+def test_tasks_grow_with_the_rows(spark, monkeypatch) -> None:
+    monkeypatch.setattr(shared, "TASK_ROWS", 100)
+    assert core.changes(spark, DATA).rdd.getNumPartitions() >= 50
+    history = spark.range(3_000).selectExpr("id % 500 as source", "id % 5 as target", "id % 3 as graph_version")
+    assert snapshot.validity(history, ["source", "target"]).rdd.getNumPartitions() == 30
+
+
+def test_bridges_of_a_name_are_dealt_over_shares(spark, monkeypatch) -> None:
+    monkeypatch.setattr(resolve, "SHARE", 2)
+    rows = [(i, "HTTP_CALL" if i % 3 else "HTTP_ROUTE", "/hot" if i % 5 else "/other") for i in range(40)] + [(7, "HTTP_ROUTE", "/hot"), (99, "RPC_CALL", "/alone"), (None, "HTTP_CALL", "/hot")]
+    want = {(n, k, l, a, b) for a, k, n in rows for b, l, m in rows if n == m and {k, l} == {"HTTP_CALL", "HTTP_ROUTE"} and a != b and a is not None and b is not None}
+    got = resolve.bridges(spark.createDataFrame(rows + rows[:3], "source long, kind string, target_qualname string")).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_edges_without_an_end_are_dealt_out(spark) -> None:
+    symbols = spark.createDataFrame([(1, "function", "a.b", "p", 1, 2, None)], "id long, kind string, qualname string, path string, start_line long, end_line long, signature string")
+    edges = spark.range(2_000).selectExpr("1L as source", "cast(null as long) as target", "'CALLS' as kind", "concat('n', id) as target_qualname", "'p' as path", "id as line", "0.5D as confidence", "1L as event_ts", "'t' as trace_id", "'d' as detail")
+    seen = []
+    whole = analytics.multiset_digest
+    analytics.multiset_digest = lambda df, columns: (seen.append(df) if "target_name" in columns else None) or whole(df, columns)
+    try:
+        files = spark.createDataFrame([("p", "x", None)], "path string, language string, deleted_version long")
+        metrics = spark.createDataFrame([(1, 1, 1, "h")], "symbol_id long, loc long, complexity long, duplication_hash string")
+        analytics.graph_digests(files, symbols, edges, metrics)
+    finally:
+        analytics.multiset_digest = whole
+    spread = seen[0].groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(spread) > 1 and max(r["count"] for r in spread) < 1_500
