@@ -35,8 +35,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import CHUNK_BYTES, chunks
+from spanloom.llm.common import chunks
 
+#: Upper bound of the text bytes, but for a longer text, of which a worker holds the lattice: 1 MB took it 145 MB, this takes 33 MB.
+LATTICE_BYTES = 1 << 17
 BLANK = "▁"
 LETTER, OTHER, MARK, LINE_END = range(4)
 #: Whether a unit begins between characters of two kinds (16 pairs).
@@ -430,7 +432,7 @@ def pieces(path: str, alpha: float) -> Pieces:
 ROW = "rank int, ids array<int>, log_prob double, perturbed double, log_inclusion double, round_trip boolean"
 
 
-def sample_segmentations(df: DataFrame, model_path: str, k: int = 2, alpha: float = 1 / 2_000, seed: int = 11, key: str = "doc_id", text: Column | str = "text", most: int = CHUNK_BYTES) -> DataFrame:
+def sample_segmentations(df: DataFrame, model_path: str, k: int = 2, alpha: float = 1 / 2_000, seed: int = 11, key: str = "doc_id", text: Column | str = "text", most: int = LATTICE_BYTES) -> DataFrame:
     """Up to k rows for each row of ``df``: doc_id, rank (from 1), ids, log_prob, perturbed,
     log_inclusion (the inclusion score's log, as scores of long texts are below the doubles),
     round_trip (whether decoding the ids gives the text)."""

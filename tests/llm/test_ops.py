@@ -8,8 +8,10 @@ import os
 import random
 import re
 import struct
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -440,6 +442,33 @@ def test_unlike_units_of_one_hash_stay_apart(pieces) -> None:
         assert [pieces.decode(s["ids"]) for s in samples] == [text.encode()] * 2
 
 
+def test_a_batch_of_texts_takes_a_bounded_lattice(spark, tmp_path, monkeypatch) -> None:
+    """What a worker holds follows the texts of a lattice, not those of an Arrow batch."""
+    seen = f"{tmp_path}/seen"
+    sample = segmentations.Sampler.sample
+
+    def marked(self, texts, keys):
+        with open(seen, "a") as f:
+            f.write(f"{sum(len(t) for t in texts)}\n")
+        return sample(self, texts, keys)
+
+    monkeypatch.setattr(segmentations.Sampler, "sample", marked)
+    texts = [(i, " ".join(f"w{i}x{j}" for j in range(2_000))) for i in range(60)]
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "place": i, "text": t} for i, t in texts])
+    frame = spark.createDataFrame([], "doc_id long, text string")
+    runs = []
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, run, schema: runs.append(run))
+    segmentations.sample_segmentations(frame, queries.tokenizer_file("piece_bpe_32k.model"))
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in runs[0](iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    sizes = [int(x) for x in open(seen)]
+    assert rows == 120 and sum(sizes) == sum(len(t) for _, t in texts) and peak < 90 << 20, (rows, sizes, peak)
+
+
 def test_repeated_words_reach_the_lattice_once(pieces, monkeypatch) -> None:
     """However often a word stands in the texts of a chunk, one lattice is built for it."""
     built: list[int] = []
