@@ -7,8 +7,9 @@ negatives. Both steps are one search: requests (an anchor, a band) against candi
 Anchors and candidates of a cell are trees of balls. For a pair of nodes, centres and radii give an interval
 that holds every inner product between their rows. The pair is dropped with all of its anchors at once if the
 interval meets no request's band above the worst score that this request would still take, or if labels
-forbid it; else the wider node is split, higher intervals first. Pairs of leaves are scored exactly, with ties
-kept until ids decide.
+forbid it; else the wider node is split, higher intervals first. Pairs of small nodes are scored exactly by one
+product of matrices, of which only scores in a request's band and above its worst are looked at, with ties kept until
+ids decide.
 
 Anchors and rows meet in cells (block x shard, for the positives within a label), so no task holds more than
 one shard and one block, a label of any size is dealt over many, and every cell gives its best for each request.
@@ -35,8 +36,12 @@ from spanloom.llm.topk import integer_vectors
 #: Rows of a shard and anchors of a block, on average.
 SHARD_ROWS = 8_192
 BLOCK_ROWS = 8_192
+#: Parts of a group in which its rows learn how many shards and blocks there are.
+SPREAD = 64
 #: Rows of a leaf.
 LEAF_ROWS = 48
+#: Rows of a node that is not split: a pair of such nodes is scored by one product.
+BLOCK = 512
 #: Scored rows that a cell holds before it lets go of those that are surely not among the best.
 HELD = 200_000
 
@@ -89,7 +94,7 @@ class Best:
         self.k = k
         self.scores = np.full((requests, k), -np.inf)
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.rows = 0
+        self.rows = self.kept = 0
 
     def least(self) -> np.ndarray:
         """What a score must reach at least."""
@@ -98,16 +103,28 @@ class Best:
     def add(self, first: int, scores: np.ndarray, fits: np.ndarray, ids: np.ndarray) -> None:
         """Scores (requests from ``first`` on x candidates) of which those count that ``fits`` marks."""
         request, place = np.nonzero(fits)
+        self.take(request + first, scores[request, place], ids[place])
+
+    def take(self, request: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of candidates, each for its request; what the requests hold grows no wider than k."""
         if not len(request):
             return
-        stop = first + len(scores)
-        both = np.concatenate([self.scores[first:stop], np.where(fits, scores, -np.inf)], axis=1)
-        self.scores[first:stop] = np.sort(both, axis=1)[:, -self.k :]
-        self.held.append((request + first, scores[request, place], ids[place]))
-        self.rows += len(request)
-        if self.rows > HELD:
+        order = np.lexsort((-score, request))
+        of, high = request[order], score[order]
+        fresh = np.concatenate([[True], of[1:] != of[:-1]])
+        number = np.cumsum(fresh) - 1
+        rank = np.arange(len(of)) - np.flatnonzero(fresh)[number]
+        few = rank < self.k
+        among = of[fresh]
+        new = np.full((len(among), self.k), -np.inf)
+        new[number[few], rank[few]] = high[few]
+        self.scores[among] = np.sort(np.concatenate([self.scores[among], new], axis=1), axis=1)[:, self.k :]
+        enough = score >= self.scores[request, 0]
+        self.held.append((request[enough], score[enough], ids[enough]))
+        self.rows += int(enough.sum())
+        if self.rows > max(HELD, 2 * self.kept):  # requests may keep more than HELD rows: these are not sorted at each step
             self.held = [self.ranked()]
-            self.rows = len(self.held[0][0])
+            self.rows = self.kept = len(self.held[0][0])
 
     def ranked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Requests, scores and ids: at most k for each request, best first, ties by id."""
@@ -138,15 +155,16 @@ class Side:
 
 
 def exact(anchors: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both as doubles, in which sums of products stay exact up to 2^53; beyond that they are refused."""
+    """Both as floats of 32 or 64 bits, in which sums of products stay exact up to 2^24 or 2^53; beyond that they are refused."""
     a, c = anchors.astype(np.float64), rows.astype(np.float64)
-    if np.abs(a).max(initial=0) * np.abs(c).max(initial=0) * c.shape[1] >= 2.0**52:
+    most = np.abs(a).max(initial=0) * np.abs(c).max(initial=0) * c.shape[1]
+    if most >= 2.0**52:
         raise ValueError("components are too large for exact inner products in doubles")
-    return a, c
+    return (a.astype(np.float32), c.astype(np.float32)) if most < 2.0**23 else (a, c)
 
 
 def dual_search(anchors: Side, offsets: np.ndarray, low: np.ndarray, high: np.ndarray, rows: Side, k: int, same: bool) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], int]:
-    """The k best candidates of each request, as ``Best.ranked`` has them, and how many leaf pairs were scored.
+    """The k best candidates of each request, as ``Best.ranked`` has them, and how many pairs of nodes were scored.
 
     Anchor i has the requests offsets[i] to offsets[i + 1], with bands from ``low`` to ``high``. ``same`` asks
     for candidates of the anchor's label, else for those of other labels.
@@ -171,18 +189,29 @@ def dual_search(anchors: Side, offsets: np.ndarray, low: np.ndarray, high: np.nd
         known = one.label[i] is not None and two.label[j] is not None
         if known and (one.label[i] == two.label[j]) != same or not alive(i, least, most):
             continue
-        if one.kids[i] is None and two.kids[j] is None:
+        done_i, done_j = (side.high[n] - side.low[n] <= BLOCK or side.kids[n] is None for side, n in ((one, i), (two, j)))
+        if done_i and done_j:
             rows_i, rows_j = slice(one.low[i], one.high[i]), slice(two.low[j], two.high[j])
-            counts = np.diff(offsets[one.low[i] : one.high[i] + 1])
             first, stop = offsets[one.low[i]], offsets[one.high[i]]
-            each = np.repeat(np.arange(len(counts)), counts)
-            scores = (a[rows_i] @ c[rows_j].T)[each]
-            fits = ((anchors.labels[rows_i, None] == rows.labels[None, rows_j]) == same) & (anchors.ids[rows_i, None] != rows.ids[None, rows_j])
+            counts = np.diff(offsets[one.low[i] : one.high[i] + 1])
+            asks = np.flatnonzero(counts)
+            starts = (offsets[one.low[i] : one.high[i]] - first)[asks]
             floor = np.maximum(low[first:stop], best.least()[first:stop])
-            best.add(int(first), scores, fits[each] & (scores >= floor[:, None]) & (scores <= high[first:stop, None]), rows.ids[rows_j])
+            scores = a[rows_i] @ c[rows_j].T if len(asks) == len(counts) else a[rows_i][asks] @ c[rows_j].T
+            # what lies in the widest band of an anchor's requests; few scores do once the best are known
+            wide = (scores >= np.minimum.reduceat(floor, starts)[:, None]) & (scores <= np.maximum.reduceat(high[first:stop], starts)[:, None])
+            which, place = np.nonzero(wide)
+            anchor = asks[which] + one.low[i]
+            fits = ((anchors.labels[anchor] == rows.labels[rows_j][place]) == same) & (anchors.ids[anchor] != rows.ids[rows_j][place])
+            which, place, value = which[fits], place[fits], scores[which[fits], place[fits]].astype(np.float64)
+            each = counts[asks][which]
+            request = np.repeat(starts[which] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+            place, value = np.repeat(place, each), np.repeat(value, each)
+            fits = (value >= floor[request]) & (value <= high[first:stop][request])
+            best.take(request[fits] + first, value[fits], rows.ids[rows_j][place[fits]])
             scored += 1
             continue
-        split = two.kids[j] is None or (one.kids[i] is not None and one.radius[i] > two.radius[j])
+        split = done_j or (not done_i and one.radius[i] > two.radius[j])
         pairs = [(child, j) for child in one.kids[i]] if split else [(i, child) for child in two.kids[j]]
         stack += sorted(((p, q, *interval(p, q)) for p, q in pairs), key=lambda t: t[3])  # the highest is next
     return best.ranked(), scored
@@ -237,8 +266,11 @@ def search(rows: DataFrame, anchors: DataFrame, k: int, same: bool) -> DataFrame
     sized = lambda df, most, name: df.groupBy(*groups).agg(F.ceil(F.count(F.lit(1)) / most).cast("long").alias(name))
     left, right = (df.withColumn("length", F.size("terms")) for df in (rows, anchors))
     sizes = sized(left, SHARD_ROWS, "shards").join(sized(right, BLOCK_ROWS, "blocks"), groups)
-    left = left.join(sizes, groups).withColumns({"shard": F.pmod(place, "shards"), "block": _numbers(F.col("blocks"))})
-    right = right.join(sizes, groups).withColumns({"shard": _numbers(F.col("shards")), "block": F.pmod(place, "blocks")})
+    spread = F.pmod(F.xxhash64("vec_id", F.lit("spread")), F.lit(SPREAD)).alias("spread")  # else a group's rows meet its sizes in one task
+    sizes = sizes.withColumn("spread", _numbers(F.lit(SPREAD).cast("long")))
+    left, right = (df.withColumn("spread", spread) for df in (left, right))
+    left = left.join(sizes, [*groups, "spread"]).withColumns({"shard": F.pmod(place, "shards"), "block": _numbers(F.col("blocks"))})
+    right = right.join(sizes, [*groups, "spread"]).withColumns({"shard": _numbers(F.col("shards")), "block": F.pmod(place, "blocks")})
     keys = [*groups, "shard", "block"]
     own = lambda df, *names: df.select(*(F.col(n).alias(n) for n in names))  # noqa: E731  both sides may come of one table
     left = own(left, "vec_id", "terms", "length", "label", "shard", "block")

@@ -164,6 +164,27 @@ def test_dual_search_by_brute_force() -> None:
     assert pruned > 0
 
 
+@pytest.mark.parametrize("block", [1, 60, 512])
+def test_small_nodes_are_scored_by_one_product(monkeypatch, block: int) -> None:
+    """Whatever the size at which the descent ends the result is the same, and the pairs of nodes are as few as it allows."""
+    monkeypatch.setattr(hard_negatives, "BLOCK", block)
+    r = np.random.default_rng(5)
+    x, labels, ids = r.integers(-9, 9, (1_500, 8)), r.integers(0, 4, 1_500), r.permutation(3_000)[:1_500]
+    asks = r.integers(0, 3, 40)
+    offsets = np.concatenate([[0], np.cumsum(asks)])
+    low = r.integers(-60, 60, offsets[-1]).astype(float)
+    high = low + r.integers(0, 120, offsets[-1])
+    anchors, rows = (hard_negatives.Side.of(ids[:n], labels[:n], x[:n]) for n in (40, 1_500))
+    whole = list(zip(ids, labels, x, strict=True))
+    for same in (True, False):
+        (request, score, found), scored = hard_negatives.dual_search(anchors, offsets, low, high, rows, 3, same)
+        assert block < 512 or scored <= 4
+        for at in range(40):
+            for q in range(offsets[at], offsets[at + 1]):
+                of = request == q
+                assert list(zip(found[of].tolist(), score[of].tolist(), strict=True)) == best_by_force(anchors.ids[at], anchors.labels[at], anchors.vectors[at], whole, low[q], high[q], 3, same)
+
+
 def test_held_rows_are_let_go_without_loss(monkeypatch) -> None:
     monkeypatch.setattr(hard_negatives, "HELD", 50)
     best = hard_negatives.Best(1, 3)
@@ -172,6 +193,16 @@ def test_held_rows_are_let_go_without_loss(monkeypatch) -> None:
     assert best.ranked()[2].tolist() == [0, 1, 2]
 
 
+def test_more_requests_than_held_rows_are_not_sorted_at_each_step(monkeypatch) -> None:
+    monkeypatch.setattr(hard_negatives, "HELD", 50)
+    best, sorts = hard_negatives.Best(100, 3), []
+    monkeypatch.setattr(best, "ranked", lambda whole=best.ranked: sorts.append(1) or whole())
+    for ids in np.arange(400):
+        best.add(0, np.full((100, 1), float(ids)), np.ones((100, 1), bool), np.array([ids]))
+    assert len(sorts) <= 150
+    assert best.ranked()[2].tolist() == [399, 398, 397] * 100
+
+
 def test_too_large_components_are_refused() -> None:
     with pytest.raises(ValueError):
         hard_negatives.exact(np.array([[2**40]]), np.array([[2**20]]))
