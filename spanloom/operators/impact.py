@@ -9,6 +9,7 @@ from spanloom.functions.names import test_target
 from spanloom.functions.paths import is_test_file
 from spanloom.operators.cochange import evidence_confidence, noisy_or
 from spanloom.operators.filters import sure
+from spanloom.operators.shared import dealt
 from spanloom.operators.traverse import UP, bfs, ways
 
 NOISE = ("module", "namespace", "package")
@@ -56,14 +57,16 @@ def historical(seeds: DataFrame, symbols: DataFrame, pairs: DataFrame, min_count
 
 
 def fuse(reached: DataFrame, by_test: DataFrame, by_history: DataFrame, symbols: DataFrame) -> DataFrame:
-    """id, sources, confidence, distance, relationship of everything that any layer found."""
+    """id, sources, confidence, distance, relationship of everything that any layer found.
+
+    History may find nearly all symbols, so evidence is dealt out by the number of these."""
     nothing = F.lit(None)
     evidence = (
         reached.select("id", F.lit("direct").alias("source"), "distance", nothing.cast("double").alias("frequency"))
         .union(by_test.select("id", "source", nothing.cast("int"), nothing.cast("double")))
         .union(by_history.select("id", F.lit("cochange"), nothing.cast("int"), "frequency"))
     )
-    weighed = evidence.withColumn("confidence", evidence_confidence(F.col("source"), F.col("distance"), F.col("frequency")))
+    weighed = dealt(evidence, symbols.count(), "id").withColumn("confidence", evidence_confidence(F.col("source"), F.col("distance"), F.col("frequency")))
     fused = noisy_or(weighed)
     nearest = weighed.groupBy("id").agg(F.min("distance").alias("near"), F.max(F.col("source").startswith("test_")).alias("tested"))
     label = F.when(F.col("near") == 0, "SEED").when(F.col("near") == 1, "DIRECT").when(F.col("near") > 1, F.concat(F.lit("INDIRECT_"), F.col("near").cast("string"))).when(F.col("tested"), "TEST").otherwise("COCHANGE")

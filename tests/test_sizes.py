@@ -7,7 +7,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from spanloom.operators import analytics, resolve, search, shared, snapshot, spelling, traverse
+from spanloom.operators import analytics, impact, resolve, search, shared, snapshot, spelling, traverse
 from spanloom.plans import core
 from spanloom.streaming import watch
 from tests.oracle import DATA, TABLES, agree
@@ -79,6 +79,16 @@ def test_tasks_grow_with_the_rows(spark, monkeypatch) -> None:
     assert snapshot.validity(history, ["source", "target"]).rdd.getNumPartitions() == 30
 
 
+def test_evidence_of_an_impact_is_dealt_out(spark, monkeypatch) -> None:
+    monkeypatch.setattr(shared, "TASK_ROWS", 100)
+    symbols = spark.range(3_000).selectExpr("id", "'function' as kind", "concat('n', id) as qualname", "'p' as path")
+    reached = spark.createDataFrame([(1, 0), (2, 1)], "id long, distance int")
+    fused = impact.fuse(reached, spark.createDataFrame([(2, "test_call")], "id long, source string"), spark.range(2, 3_000).selectExpr("id", "0.5D as frequency"), symbols)
+    rows = {r.id: (r.sources, r.confidence, r.distance, r.relationship) for r in fused.collect()}
+    assert len(rows) == 2_999 and rows[1] == (1, 0.95, 0, "SEED") and rows[2] == (3, 0.95, 1, "DIRECT") and rows[3] == (1, 0.5, 1, "COCHANGE")
+    assert fused.rdd.getNumPartitions() == 30
+
+
 def test_bridges_of_a_name_are_dealt_over_shares(spark, monkeypatch) -> None:
     monkeypatch.setattr(resolve, "SHARE", 2)
     rows = [(i, "HTTP_CALL" if i % 3 else "HTTP_ROUTE", "/hot" if i % 5 else "/other") for i in range(40)] + [(7, "HTTP_ROUTE", "/hot"), (99, "RPC_CALL", "/alone"), (None, "HTTP_CALL", "/hot")]
