@@ -97,6 +97,14 @@ def test_bridges_of_a_name_are_dealt_over_shares(spark, monkeypatch) -> None:
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_sources_meet_shares_before_pairs_are_made(spark, monkeypatch) -> None:
+    edges = spark.range(90).selectExpr("id as source", "if(id < 60, 'HTTP_CALL', 'HTTP_ROUTE') as kind", "'/hot' as target_qualname")
+    for share, rows in ((1_000, 60 + 30), (30, 60 * 1 + 30 * 2)):
+        monkeypatch.setattr(resolve, "SHARE", share)
+        met = resolve.meetings(edges).collect()
+        assert len(met) == rows and sum(len(r.to_ids) for r in met) == 2 * 60 * 30 == resolve.bridges(edges).count()
+
+
 def test_edges_without_an_end_are_dealt_out(spark) -> None:
     symbols = spark.createDataFrame([(1, "function", "a.b", "p", 1, 2, None)], "id long, kind string, qualname string, path string, start_line long, end_line long, signature string")
     edges = spark.range(2_000).selectExpr("1L as source", "cast(null as long) as target", "'CALLS' as kind", "concat('n', id) as target_qualname", "'p' as path", "id as line", "0.5D as confidence", "1L as event_ts", "'t' as trace_id", "'d' as detail")
