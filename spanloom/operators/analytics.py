@@ -149,7 +149,7 @@ def risk_factors(changed: DataFrame, downstream: DataFrame, coverage: DataFrame)
     """factor, severity, subject, n of a change: what makes it risky, of which symbol if of one, how many.
 
     ``changed``: id, change (signature_changed, added, modified), kind, qualname, language.
-    ``downstream``: callers as ``impact.diff_downstream`` finds them (few), with path and language.
+    ``downstream``: callers as ``impact.diff_downstream`` finds them, with path and language.
     ``coverage``: id and status as ``test_coverage`` gives them.
     """
     signed = changed.where("change = 'signature_changed'")

@@ -86,14 +86,15 @@ def ranked(fused: DataFrame, min_confidence: float = 0.0, limit: int | None = No
     return out if limit is None else out.limit(limit)
 
 
-#: Callers of a change that are shown.
+#: Callers of a change where only the first are asked for.
 MOST = 50
 
 
-def diff_downstream(seeds: DataFrame, symbols: DataFrame, edges: DataFrame, depth: int, most: int = MOST) -> DataFrame:
-    """Callers of changed symbols by steps; confidence 0.9, less a fifth for each further step, and less
-    a fifth for a caller that is known by the name it calls alone."""
+def diff_downstream(seeds: DataFrame, symbols: DataFrame, edges: DataFrame, depth: int, most: int | None = None) -> DataFrame:
+    """Callers of changed symbols by steps, all of them or the first ``most`` by distance and id; confidence 0.9, less
+    a fifth for each further step, and less a fifth for a caller that is known by the name it calls alone."""
     reached = bfs(seeds, ways(symbols, edges, UP, ("CALLS",), with_bridges=False), depth).where("distance > 0")
     confidence = 0.9 * F.pow(F.lit(0.8), F.col("distance") - 1) * F.when(F.col("solid"), 1.0).otherwise(0.8)
     label = F.when(F.col("distance") == 1, "caller").otherwise(F.concat(F.lit("caller_depth_"), F.col("distance").cast("string")))
-    return reached.withColumn("confidence", F.round(confidence, 6)).withColumn("relationship", label).orderBy("distance", "id").limit(most)
+    out = reached.withColumn("confidence", F.round(confidence, 6)).withColumn("relationship", label)
+    return out if most is None else out.orderBy("distance", "id").limit(most)

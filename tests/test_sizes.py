@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import types
 import zlib
 
 from pyspark.sql import functions as F
@@ -52,6 +53,17 @@ def test_risk_where_symbols_share_ids(spark, tmp_path) -> None:
         agree(spark, registry.QUERIES[name], registry.ORACLE_SQL[name], str(tmp_path))
 
 
+def test_risk_is_by_all_callers(spark, monkeypatch) -> None:
+    symbols = spark.createDataFrame([(i, "function", f"f{i}", f"a.f{i}", f"p{i % 3}", "go" if i == 60 else "py") for i in range(61)], "id long, kind string, name string, qualname string, path string, language string")
+    edges = spark.range(1, 61).selectExpr("id as source", "0L as target", "'CALLS' as kind", "cast(null as string) as target_qualname", "'py' as language")
+    monkeypatch.setattr(core, "changed", lambda g: spark.createDataFrame([(0, "modified")], "id long, change string"))
+    g = types.SimpleNamespace(s=symbols, e=edges)
+    rows = lambda *most: {(r.factor, r.n) for r in core.risk_factors(g, *most).collect()}
+    assert rows() == {("Missing test coverage", 1), ("High fan-in", 60), ("Cross-language impact", 1)}
+    assert rows(impact.MOST) == {("Missing test coverage", 1), ("High fan-in", 50)}
+    assert impact.diff_downstream(symbols.where("id = 0"), symbols, edges, 1).count() == 60
+
+
 def test_trigrams_of_long_texts_and_wide_characters(spark) -> None:
     text = "ab\n😀é" * 60_000
     began = time.monotonic()
